@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pluvia.llm.common import table
 from pluvia.llm.jaccard_join import jaccard_components
 from pluvia.llm.packing import packed_documents
+from pluvia.llm.suffix_dedup import substring_report
+
+
+def op2_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"), length=400)
 
 
 def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +25,7 @@ def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_group_join, op9_linear_grouping)}
+    return {f.__name__: f for f in (op2_suffix_family, op8_token_group_join, op9_linear_grouping)}
 
 
 def oracle_sql() -> dict[str, str]:
