@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from pluvia.llm.common import components, joined, mixed, runs, stored, utf8, words
 
 SKETCH_BITS = 18
+#: Documents of a side that one task compares at a time.
+BLOCK = 128
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -128,6 +130,69 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select("a", "b")
 
 
+def _opened_links(asks: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the queries (q, to, component) of opened groups and their members (q, to, component).
+
+    Queries and members of a group are dealt into blocks of about ``BLOCK`` documents, and every block of queries meets every
+    block of members in a task of its own, so that a set travels once for a block and not once for a pair, and no task grows
+    with a group. Blocks whose documents are all in the component of the group's pivot do not meet.
+    """
+    main = held.where("q = to").select("to", F.col("component").alias("main"))
+    asks, held = (stored(x.join(main, "to").withColumn("odd", (F.col("component") != F.col("main")).cast("int")), "jaccard-sides") for x in (asks, held))
+    n = lambda odd: F.ceil(F.sum(F.when(F.col("odd") == odd, 1).otherwise(0)) / BLOCK).cast("int")
+    shape = asks.groupBy("to").agg(n(0).alias("q0"), n(1).alias("q1")).join(held.groupBy("to").agg(n(0).alias("y0"), n(1).alias("y1")), "to")
+    shape = stored(shape.where("q1 > 0 or y1 > 0"), "jaccard-shapes")
+
+    def dealt(side: DataFrame, me: str, you: str, first: bool) -> DataFrame:
+        x = side.join(shape, "to")
+        own = F.pmod(F.xxhash64("q"), F.when(F.col("odd") == 1, F.col(f"{me}1")).otherwise(F.col(f"{me}0"))).cast("int") * 2 + F.col("odd")
+        labels = lambda odd: F.transform(F.sequence(F.lit(1), F.col(f"{you}{odd}")), lambda j: (j - 1) * 2 + odd)
+        none = F.array().cast("array<int>")
+        far = F.concat(F.when((F.col("odd") == 1) & (F.col(f"{you}0") > 0), labels(0)).otherwise(none), F.when(F.col(f"{you}1") > 0, labels(1)).otherwise(none))
+        x = x.select("to", "q", "component", own.alias("mine"), F.explode(far).alias("theirs"))
+        ql, yl = ("mine", "theirs") if first else ("theirs", "mine")
+        return x.select("to", F.col(ql).alias("ql"), F.col(yl).alias("yl"), F.lit(first).alias("asks"), F.col("q").alias("doc_id"), "component")
+
+    rows = dealt(asks, "q", "y", True).unionByName(dealt(held, "y", "q", False)).join(sets, "doc_id")
+    parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "to", "ql", "yl").sortWithinPartitions("to", "ql", "yl")
+
+    def meet(queries: list, members: list):
+        # overlap <= (|x| + |y| - bits that differ) / 2 for bitmaps of the sets: most pairs need no more than that
+        bits = [_bitmap([r[2] for r in side]) for side in (queries, members)]
+        size = [np.array([len(r[2]) for r in side]) for side in (queries, members)]
+        for i, (x, cx, sx) in enumerate(queries):
+            differ = np.bitwise_count(bits[0][i][None, :] ^ bits[1]).sum(1, dtype=np.int64)
+            total = size[0][i] + size[1]
+            for j in np.flatnonzero((total - differ) // 2 * (100 + percent) >= total * percent):
+                y, cy, sy = members[j]
+                if cx != cy and len(np.intersect1d(sx, sy, assume_unique=True)) * (100 + percent) >= total[j] * percent:
+                    yield min(x, y), max(x, y)
+
+    def compare(batches):
+        key, sides = None, ([], [])
+        for pdf in batches:
+            out = []
+            for to, ql, yl, ask, doc, component, tokens in pdf.itertuples(index=False, name=None):
+                if (to, ql, yl) != key:
+                    if sides[0] and sides[1]:
+                        out += meet(*sides)
+                    key, sides = (to, ql, yl), ([], [])
+                sides[0 if ask else 1].append((doc, component, tokens))
+            yield pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+        if sides[0] and sides[1]:
+            yield pd.DataFrame(list(meet(*sides)), columns=["a", "b"]).astype(np.int64)
+
+    return stored(rows.select("to", "ql", "yl", "asks", "doc_id", "component", "tokens").mapInPandas(compare, "a long, b long"), "jaccard-second")
+
+
+def _bitmap(sets: list[np.ndarray], bits: int = 4096) -> np.ndarray:
+    out = np.zeros((len(sets), bits), np.uint8)
+    for i, s in enumerate(sets):
+        out[i, (s.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked, directly or over others, at ``percent`` per cent similarity."""
     docs = docs.select("doc_id", "text")
@@ -161,12 +226,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     first = stored(_linked(star.select(F.col("q").alias("a"), F.col("g").alias("b")), sets, percent), "jaccard-links")
     root = components(first, "jaccard-first").withColumnRenamed("id", "q")
     placed = stored(size.join(root, "q", "left").withColumn("component", F.coalesce("component", "q")), "jaccard-placed")
-    other = placed.select(F.col("q").alias("y"), F.col("n").alias("ny"), F.col("g").alias("to"), F.col("component").alias("there"))
     # a group is opened for a query from outside, and for its own members that their pivot did not take
-    loose = placed.join(first.select(F.col("a").alias("q")), "q", "left_anti").where("q <> g").select("q", "n", F.col("g").alias("to"), "component")
-    asks = opened.join(placed.select("q", "component"), "q").unionByName(loose)
-    pairs = asks.join(other, "to").where("q <> y and component <> there").where((F.col("ny") * 100 >= F.col("n") * percent) & (F.col("ny") * percent <= F.col("n") * 100))
-    second = _linked(pairs.select(F.least("q", "y").alias("a"), F.greatest("q", "y").alias("b")).distinct(), sets, percent)
+    loose = placed.join(first.select(F.col("a").alias("q")), "q", "left_anti").where("q <> g").select("q", F.col("g").alias("to"), "component")
+    asks = opened.select("q", "to").join(placed.select("q", "component"), "q").select("q", "to", "component").unionByName(loose)
+    held = placed.select("q", F.col("g").alias("to"), "component")
+    second = _opened_links(asks, held, sets, percent)
     root = components(first.union(second), "jaccard").withColumnRenamed("id", "rep")
     found = classes.join(root, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     # representatives are the smallest ids of their classes, so the smallest representative is the smallest id reached

@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pluvia.llm.common import table
 from pluvia.llm.jaccard_join import jaccard_components
+from pluvia.llm.line_crf import quality_scores
 from pluvia.llm.packing import packed_documents
 from pluvia.llm.suffix_dedup import substring_report
+from pluvia.llm.toxicity import toxicity_scores
 
 
 def op2_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"), length=400)
 
 
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -24,8 +30,12 @@ def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_family, op8_token_group_join, op9_linear_grouping)}
+    return {f.__name__: f for f in (op2_suffix_family, op5_line_crf, op8_token_group_join, op9_linear_grouping, op10_noisy_or)}
 
 
 def oracle_sql() -> dict[str, str]:
