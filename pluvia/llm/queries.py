@@ -8,20 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pluvia.llm.common import table
 from pluvia.llm.jaccard_join import jaccard_components
+from pluvia.llm.language_id import languages
 from pluvia.llm.line_crf import quality_scores
+from pluvia.llm.mixing import ORACLE as MIXING_SQL
+from pluvia.llm.mixing import mixture_report
 from pluvia.llm.packing import packed_documents
+from pluvia.llm.quality_rules import divergence_rules
 from pluvia.llm.suffix_dedup import substring_report
 from pluvia.llm.toxicity import toxicity_scores
+from pluvia.llm.warc import capture_report
+
+
+def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"), length=400)
 
 
+def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_report(table(spark, sf_dir, "documents"))
+
+
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_report(table(spark, sf_dir, "pages"))
+
+
+def op7_bloom_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -35,8 +56,8 @@ def op10_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_family, op5_line_crf, op8_token_group_join, op9_linear_grouping, op10_noisy_or)}
+    return {f.__name__: f for f in (op1_divergence_rules, op2_suffix_family, op4_poisson_mix, op5_line_crf, op6_warc_transactions, op7_bloom_languages, op8_token_group_join, op9_linear_grouping, op10_noisy_or)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_poisson_mix": MIXING_SQL}
