@@ -92,9 +92,8 @@ def needed(n: F.Column, lo: F.Column, hi: F.Column, percent: int) -> F.Column:
     return F.greatest(F.lit(1), F.least(overlap(small) - F.ceil(n * t / 100) + 1, overlap(large) - F.ceil(large * t / 100) + 1))
 
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, signature): a 128-bit key of the set and its signature tokens."""
-    order = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))
+def signatures(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2, signature): a 128-bit key of the set and its signature tokens, in the order of ``order``."""
     schema = "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>"
 
     def sign(batches):
@@ -130,15 +129,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select("a", "b")
 
 
-def _opened_links(asks: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the queries (q, to, component) of opened groups and their members (q, to, component).
+def _met(asks: DataFrame, held: DataFrame, data: DataFrame, compare, schema: str) -> DataFrame:
+    """What ``compare(to, queries, members)`` yields for the queries (q, to, component) and members (q, to, component) of groups.
 
     Queries and members of a group are dealt into blocks of about ``BLOCK`` documents, and every block of queries meets every
-    block of members in a task of its own, so that a set travels once for a block and not once for a pair, and no task grows
-    with a group. Blocks whose documents are all in the component of the group's pivot do not meet.
+    block of members in a task of its own, so that ``data`` (doc_id, ...) travels once for a block and not once for a pair,
+    and no task grows with a group. Where all documents of two blocks are in the component of the group's pivot, they do not
+    meet; without components (null) all do.
     """
     main = held.where("q = to").select("to", F.col("component").alias("main"))
-    asks, held = (stored(x.join(main, "to").withColumn("odd", (F.col("component") != F.col("main")).cast("int")), "jaccard-sides") for x in (asks, held))
+    odd = F.coalesce((F.col("component") != F.col("main")).cast("int"), F.lit(1))
+    asks, held = (stored(x.join(main, "to", "left").withColumn("odd", odd), "jaccard-sides") for x in (asks, held))
     n = lambda odd: F.ceil(F.sum(F.when(F.col("odd") == odd, 1).otherwise(0)) / BLOCK).cast("int")
     shape = asks.groupBy("to").agg(n(0).alias("q0"), n(1).alias("q1")).join(held.groupBy("to").agg(n(0).alias("y0"), n(1).alias("y1")), "to")
     shape = stored(shape.where("q1 > 0 or y1 > 0"), "jaccard-shapes")
@@ -153,11 +154,61 @@ def _opened_links(asks: DataFrame, held: DataFrame, sets: DataFrame, percent: in
         ql, yl = ("mine", "theirs") if first else ("theirs", "mine")
         return x.select("to", F.col(ql).alias("ql"), F.col(yl).alias("yl"), F.lit(first).alias("asks"), F.col("q").alias("doc_id"), "component")
 
-    rows = dealt(asks, "q", "y", True).unionByName(dealt(held, "y", "q", False)).join(sets, "doc_id")
+    rows = dealt(asks, "q", "y", True).unionByName(dealt(held, "y", "q", False)).join(data, "doc_id")
     parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "to", "ql", "yl").sortWithinPartitions("to", "ql", "yl")
+    names = [x.split()[0] for x in schema.split(", ")]
+    rest = [c for c in data.columns if c != "doc_id"]
+
+    def meet(batches):
+        key, sides = None, ([], [])
+        frame = lambda out: pd.DataFrame(out, columns=names).astype(np.int64)
+        for pdf in batches:
+            out = []
+            for to, ql, yl, ask, *row in pdf.itertuples(index=False, name=None):
+                if (to, ql, yl) != key:
+                    if sides[0] and sides[1]:
+                        out += compare(key[0], *sides)
+                    key, sides = (to, ql, yl), ([], [])
+                sides[0 if ask else 1].append(row)
+            yield frame(out)
+        if sides[0] and sides[1]:
+            yield frame(list(compare(key[0], *sides)))
+
+    return rows.select("to", "ql", "yl", "asks", "doc_id", "component", *rest).mapInPandas(meet, schema)
+
+
+def _qualified(asks: DataFrame, held: DataFrame, sign: DataFrame, often, percent: int) -> DataFrame:
+    """The groups (q, to) that have a member whose whole signature could still reach the threshold.
+
+    Common tokens up to the end of the signature that ends first are in both signatures; of the r tokens that a set has up to
+    there it may lack n - overlap at most.
+    """
+
+    def compare(to, queries, members):
+        table = often.value
+        spot = lambda t: (table[(t.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], t.view(np.uint64))
+        placed = [[(spot(r[3]), np.sort(r[3])) for r in side] for side in (queries, members)]
+        for (x, _, nx, sx), ((ox, hx), tx) in zip(queries, placed[0], strict=True):
+            for (y, _, ny, sy), ((oy, hy), ty) in zip(members, placed[1], strict=True):
+                if x == y or ny * 100 < nx * percent or ny * percent > nx * 100:
+                    continue
+                overlap = -(-(nx + ny) * percent // (100 + percent))
+                end = min((ox[-1], hx[-1]), (oy[-1], hy[-1]))
+                c = len(np.intersect1d(tx, ty, assume_unique=True))
+                if all(c >= int(((o < end[0]) | ((o == end[0]) & (h <= end[1]))).sum()) - (n - overlap) for o, h, n in ((ox, hx, nx), (oy, hy, ny))):
+                    yield x, to
+                    break
+
+    none = F.lit(None).cast("long").alias("component")
+    data = sign.select("doc_id", "n_shingles", "signature")
+    return _met(asks.select("q", "to", none), held.select("q", "to", none), data, compare, "q long, to long").distinct()
+
+
+def _opened_links(asks: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the queries of opened groups and their members, as (a, b), from whole sets."""
 
-    def meet(queries: list, members: list):
+    def compare(to, queries, members):
         # overlap <= (|x| + |y| - bits that differ) / 2 for bitmaps of the sets: most pairs need no more than that
         bits = [_bitmap([r[2] for r in side]) for side in (queries, members)]
         size = [np.array([len(r[2]) for r in side]) for side in (queries, members)]
@@ -169,21 +220,7 @@ def _opened_links(asks: DataFrame, held: DataFrame, sets: DataFrame, percent: in
                 if cx != cy and len(np.intersect1d(sx, sy, assume_unique=True)) * (100 + percent) >= total[j] * percent:
                     yield min(x, y), max(x, y)
 
-    def compare(batches):
-        key, sides = None, ([], [])
-        for pdf in batches:
-            out = []
-            for to, ql, yl, ask, doc, component, tokens in pdf.itertuples(index=False, name=None):
-                if (to, ql, yl) != key:
-                    if sides[0] and sides[1]:
-                        out += meet(*sides)
-                    key, sides = (to, ql, yl), ([], [])
-                sides[0 if ask else 1].append((doc, component, tokens))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
-        if sides[0] and sides[1]:
-            yield pd.DataFrame(list(meet(*sides)), columns=["a", "b"]).astype(np.int64)
-
-    return stored(rows.select("to", "ql", "yl", "asks", "doc_id", "component", "tokens").mapInPandas(compare, "a long, b long"), "jaccard-second")
+    return stored(_met(asks, held, sets.select("doc_id", "tokens"), compare, "a long, b long"), "jaccard-second")
 
 
 def _bitmap(sets: list[np.ndarray], bits: int = 4096) -> np.ndarray:
@@ -196,7 +233,8 @@ def _bitmap(sets: list[np.ndarray], bits: int = 4096) -> np.ndarray:
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked, directly or over others, at ``percent`` per cent similarity."""
     docs = docs.select("doc_id", "text")
-    sign = stored(signatures(docs, width, percent), "jaccard-signatures")
+    order = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))  # of fixed size
+    sign = stored(signatures(docs, width, percent, order), "jaccard-signatures")
     own = sign.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = stored(sign.where("n_shingles > 0").select("doc_id", "k1", "k2", "n_shingles").join(own, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "jaccard-classes")
     reps = classes.where("doc_id = rep").select("doc_id").distinct()
@@ -216,9 +254,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     matrix = member.select("token", "g").distinct().withColumnRenamed("g", "to").join(groups.withColumnRenamed("g", "to"), "to")
     fits = (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("lo") * percent <= F.col("n") * 100)
     bound = member.join(matrix, "token").where((F.col("g") != F.col("to")) & fits).groupBy("q", "n", "to", "lo", "hi").agg(F.count("*").alias("c"))
-    opened = stored(bound.where(F.col("c") >= needed(F.col("n"), F.col("lo"), F.col("hi"), percent)).select("q", "n", "to"), "jaccard-opened")
-
+    opened = stored(bound.where(F.col("c") >= needed(F.col("n"), F.col("lo"), F.col("hi"), percent)).select("q", "to"), "jaccard-bound")
     size = stored(member.select("q", "n", "g").distinct(), "jaccard-sizes")
+    opened = stored(_qualified(opened, size.select("q", F.col("g").alias("to")), sign, order, percent), "jaccard-opened")
+
     open_members = size.join(opened.select(F.col("to").alias("g")).distinct(), "g", "left_semi")
     active = star.select("q").union(star.select("g")).union(opened.select("q")).union(open_members.select("q")).distinct().withColumnRenamed("q", "doc_id")
     sets = stored(_sets(docs.join(active, "doc_id", "left_semi"), width), "jaccard-sets")
