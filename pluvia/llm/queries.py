@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pluvia.llm.common import table
+from pluvia.llm.common import stored, table
+from pluvia.llm.image_copies import find_copies, rendered
 from pluvia.llm.jaccard_join import jaccard_components
 from pluvia.llm.language_id import languages
 from pluvia.llm.line_crf import quality_scores
@@ -27,6 +29,11 @@ def op2_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"), length=400)
 
 
+def op3_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = stored(rendered(table(spark, sf_dir, "embeddings")), "images")
+    return find_copies(images, images.where("image_id % 100 = 0")).withColumn("turn", F.round("turn", 6)).withColumn("scale", F.round("scale", 6))
+
+
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(table(spark, sf_dir, "documents"))
 
@@ -56,7 +63,7 @@ def op10_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_divergence_rules, op2_suffix_family, op4_poisson_mix, op5_line_crf, op6_warc_transactions, op7_bloom_languages, op8_token_group_join, op9_linear_grouping, op10_noisy_or)}
+    return {f.__name__: f for f in (op1_divergence_rules, op2_suffix_family, op3_local_descriptors, op4_poisson_mix, op5_line_crf, op6_warc_transactions, op7_bloom_languages, op8_token_group_join, op9_linear_grouping, op10_noisy_or)}
 
 
 def oracle_sql() -> dict[str, str]:
