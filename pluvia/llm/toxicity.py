@@ -4,6 +4,8 @@ A document is a bag of sentences. A sentence has probability p = sigmoid(bias +
 words and word parts); a document is toxic unless none of its sentences is, 1 - prod(1 - p). The likelihood of document
 labels trains the weights, so the sentences that carry the blame emerge without sentence labels; `offending` lists them.
 
+Features that do not set toxic documents of the sample apart beyond chance (z below ``screen``) have no weight.
+
 Training takes a bounded sample of labelled rows (``max_train`` documents for each label, whole texts, at most
 ``max_train_bytes`` of them on the driver); scoring goes over every row in one pass without a shuffle. Null and empty texts
 have no sentence and score 0. Repeated ids and other columns do not matter to a score.
@@ -60,7 +62,20 @@ def _logits(own: np.ndarray, where: np.ndarray, n: int, weights: np.ndarray, bia
     return bias + np.bincount(own, weights[where], n)
 
 
-def train(texts: list[bytes], labels: np.ndarray, prior: float = 0.5, epochs: int = 40, rate: float = 0.1, decay: float = 3e-5) -> tuple[np.ndarray, float, float]:
+def _screened(doc: np.ndarray, where: np.ndarray, labels: np.ndarray, use: np.ndarray, least: float) -> np.ndarray:
+    """Starting weights: log ratio of a feature's shares of toxic and other documents; 0 where that may be chance (z < least)."""
+    pair = np.unique(doc * (1 << BITS) + where)
+    d, w = pair >> BITS, pair & ((1 << BITS) - 1)
+    bad, n_bad, n_good = labels == 1, max(1, (use & (labels == 1)).sum()), max(1, (use & (labels == 0)).sum())
+    a = np.bincount(w[use[d] & bad[d]], minlength=1 << BITS)
+    b = np.bincount(w[use[d] & ~bad[d]], minlength=1 << BITS)
+    p = (a + b + 1) / (n_bad + n_good + 2)
+    z = (a / n_bad - b / n_good) / np.sqrt(p * (1 - p) * (1 / n_bad + 1 / n_good))
+    ratio = np.log((a + 0.3) / (n_bad + 0.6)) - np.log((b + 0.3) / (n_good + 0.6))
+    return np.where((z >= least) & (a >= 3), np.maximum(ratio, 0), 0.0)
+
+
+def train(texts: list[bytes], labels: np.ndarray, prior: float = 0.5, epochs: int = 40, rate: float = 0.05, decay: float = 3e-5, screen: float = 5.0) -> tuple[np.ndarray, float, float]:
     """(weights, bias, shift): noisy-or likelihood, balanced classes, Adam over minibatches.
 
     A fifth of the sample takes no part in the gradient; ``shift`` is the log odds that err least on it, with the classes
@@ -74,11 +89,15 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float = 0.5, epochs: in
         base += len(doc)
     doc, own, where = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, sentences, places))
     size = 1 << BITS
-    weights, bias = np.zeros(size), -4.0
-    m, v, mb, vb, step = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
     rng = np.random.default_rng(1)
     shuffled = rng.permutation(len(texts))
     tried, taught = np.split(shuffled, [len(texts) // 5])
+    in_sample = np.isin(np.arange(len(texts)), taught)
+    start = _screened(doc[own], where, labels, in_sample, screen)
+    weights, bias = start.copy(), -6.0
+    kept = start > 0
+    own, where = own[kept[where]], where[kept[where]]
+    m, v, mb, vb, step = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
     cost = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     word_at = np.searchsorted(own, np.arange(base + 1))
     doc_at = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -102,7 +121,7 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float = 0.5, epochs: in
             m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
             mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
             a, b = 1 - 0.9**step, 1 - 0.999**step
-            weights -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
+            weights -= rate * (m / a) / (np.sqrt(v / b) + 1e-8) * kept
             bias -= rate * 0.3 * (mb / a) / (np.sqrt(vb / b) + 1e-8)
     z = np.clip(bias + np.bincount(own, weights[where], base), -30, 30)
     odds, truth = _odds(np.bincount(doc, -np.logaddexp(0, z), len(texts)))[tried], labels[tried]
