@@ -9,8 +9,8 @@ groups whose bound reaches what the threshold needs are opened and compared exac
   shared by a third of all documents does not make them candidates of each other. The order changes cost, never results.
 * A signature is the first ``n - ceil(t n) + 1`` tokens of a set in that order. Two linked sets share a number of signature
   tokens that grows with their sizes (`needed`): the bound that groups have to reach.
-* Groups are stars: every document joins the pivot (smallest id) with which it shares most signature tokens.
-* Members linked to their pivot form components first; opened groups are then compared only where that leaves members of
+* Groups are trees of stars: every document joins the pivot (smallest id of a token) with which it shares most signature tokens.
+* Members linked to their pivots form components first; opened groups are then compared only where that leaves members of
   different components, so large families of near copies need no pairs among themselves, and no link that could still
   connect anything is skipped.
 
@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvia.llm.common import components, joined, mixed, runs, stored, utf8, words
 
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 #: Documents of a side that one task compares at a time.
 BLOCK = 128
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -68,19 +69,22 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
             for s in shingle_sets(utf8(pdf["text"]), width):
                 place, m = np.unique((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
                 total[place] += m
-        yield pd.DataFrame({"part": [total.astype(np.uint32).tobytes()]})
+        yield packed(total)
+
+    def packed(total):
+        return pd.DataFrame({"part": [zstandard.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
     def add(batches):
         total = np.zeros(size, np.int64)
         for pdf in batches:
             for b in pdf["part"]:
-                total += np.frombuffer(b, np.uint32)
-        yield pd.DataFrame({"part": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+                total += np.frombuffer(zstandard.decompress(b), np.uint32)
+        yield packed(total)
 
     part = docs.select("text").mapInPandas(count, schema)
     middle = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8 + 1
     rows = part.repartition(middle).mapInPandas(add, schema).coalesce(1).mapInPandas(add, schema).collect()
-    return np.frombuffer(rows[0][0], np.uint32) if rows else np.zeros(size, np.uint32)
+    return np.frombuffer(zstandard.decompress(rows[0][0]), np.uint32) if rows else np.zeros(size, np.uint32)
 
 
 def needed(n: F.Column, lo: F.Column, hi: F.Column, percent: int) -> F.Column:
@@ -246,7 +250,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     star = shared.where("q <> pivot").groupBy("q", "pivot", "n").agg(F.count("*").alias("c")).where("100 * c >= 2 * n")
     star = star.groupBy("q").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("g"))
     star = stored(star, "jaccard-stars")
-    member = shared.select("token", "q", "n").join(star, "q", "left").withColumn("g", F.coalesce("g", "q"))
+    tree = star  # pivots have pivots: a group is a tree, named by its root; ids fall along every path
+    while True:
+        up = tree.select(F.col("q").alias("g"), F.col("g").alias("top"))
+        tree = stored(tree.join(up, "g", "left").select("q", F.coalesce("top", "g").alias("g"), F.col("top").isNotNull().alias("moved")), "jaccard-trees")
+        if tree.where("moved").isEmpty():
+            break
+        tree = tree.drop("moved")
+    member = shared.select("token", "q", "n").join(tree.select("q", "g"), "q", "left").withColumn("g", F.coalesce("g", "q"))
     member = stored(member, "jaccard-members")
     groups = member.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
 
@@ -265,8 +276,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     first = stored(_linked(star.select(F.col("q").alias("a"), F.col("g").alias("b")), sets, percent), "jaccard-links")
     root = components(first, "jaccard-first").withColumnRenamed("id", "q")
     placed = stored(size.join(root, "q", "left").withColumn("component", F.coalesce("component", "q")), "jaccard-placed")
-    # a group is opened for a query from outside, and for its own members that their pivot did not take
-    loose = placed.join(first.select(F.col("a").alias("q")), "q", "left_anti").where("q <> g").select("q", F.col("g").alias("to"), "component")
+    # a group is opened for a query from outside, and for its own members that the pivots did not join to its root
+    main = placed.where("q = g").select("g", F.col("component").alias("main"))
+    loose = placed.join(main, "g").where("component <> main").select("q", F.col("g").alias("to"), "component")
     asks = opened.select("q", "to").join(placed.select("q", "component"), "q").select("q", "to", "component").unionByName(loose)
     held = placed.select("q", F.col("g").alias("to"), "component")
     second = _opened_links(asks, held, sets, percent)
