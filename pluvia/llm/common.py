@@ -156,4 +156,4 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         root = stored(to(root, "component"), f"{label}-root")
         edges = to(to(edges, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = stored(edges, f"{label}-edges")
-    return root
+    return root.select("id", "component")

@@ -184,4 +184,4 @@ def offending(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, score, sentence) of documents predicted toxic: the sentence with the highest probability."""
     s = toxicity_scores(docs, labels, **options).where("predicted = 1")
     data = F.col("text").cast("binary")
-    return docs.join(s, "doc_id").select("doc_id", "score", F.substring(data, F.col("worst_start").cast("int") + 1, (F.col("worst_end") - F.col("worst_start")).cast("int")).cast("string").alias("sentence"))
+    return docs.select("doc_id", "text").join(s, "doc_id").select("doc_id", "score", F.substring(data, F.col("worst_start").cast("int") + 1, (F.col("worst_end") - F.col("worst_start")).cast("int")).cast("string").alias("sentence"))
