@@ -145,7 +145,7 @@ def _fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int],
     mod, out = fold
     known = labels.select("doc_id", label).where(F.col(label).isin(0, 1) & (bucket("doc_id", mod) != out)).dropDuplicates(["doc_id"])
     sample = bounded_sample(known, label, max_train)
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").where("text is not null")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")  # the sample is bounded
     kept, used = [], 0
     for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
         used += len(r["text"])
@@ -156,7 +156,7 @@ def _fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int],
     return utf8(t for t, _ in kept), np.array([y for _, y in kept], np.int64), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = 2500, max_train_bytes: int = 24 << 20, fold: tuple[int, int] = (5, 0)) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = 1800, max_train_bytes: int = 12 << 20, fold: tuple[int, int] = (5, 0)) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_sentences, worst_start, worst_end): the last two are bytes of the worst sentence."""
     texts, y, prior = _fit(docs, labels, "toxic", fold, max_train, max_train_bytes)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, y, prior))  # 2**18 numbers
