@@ -150,7 +150,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     mod, out = fold
     known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & (bucket("doc_id", mod) != out)).dropDuplicates(["doc_id"])
     sample = bounded_sample(known, "quality", max_train)
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # the sample is bounded, so that it is broadcast and no text is shuffled
     feats, ids, sizes, truth, lines = [], [], [], [], 0
     for r in rows.toLocalIterator():
         for _, _, _, size, x in line_features(utf8([r["text"]])):
