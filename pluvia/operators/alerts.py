@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Operators in the order in which an expression is searched for them.
 OPERATORS = (" in ", ">=", "<=", "!=", "==", ">", "<")
@@ -39,7 +40,7 @@ def matches(features: DataFrame, rules: DataFrame, max_rules: int = 10_000) -> D
     return f.join(F.broadcast(rules), "property").where(compared(F.col("actual"), F.col("op"), F.col("value")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def six_digits(x: pd.Series) -> pd.Series:
     """Numbers as six significant digits, other texts as they are."""
 

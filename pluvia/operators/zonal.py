@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from pluvia.functions import scalars as S
 
@@ -18,7 +19,7 @@ def candidates(features: DataFrame, cells: DataFrame, tile: float) -> DataFrame:
     return f.join(c, ["tx", "ty"]).where("x >= x0 and x <= x1 and y >= y0 and y <= y1").drop("tx", "ty")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def in_ring(x: pd.Series, y: pd.Series, ring: pd.Series) -> pd.Series:
     """Whether points are in their polygon (flat list x0, y0, x1, y1, ...), by crossings."""
     out = np.zeros(len(x), bool)

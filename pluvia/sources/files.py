@@ -12,18 +12,17 @@ STATION_SCHEMA = "WEATHER_STATION_ID string, ISO_8601_TIMESTAMP string, LONGITUD
 
 def _stations(raw: DataFrame) -> DataFrame:
     return raw.select(
-        F.col("WEATHER_STATION_ID").alias("station"), S.iso_timestamp(F.col("ISO_8601_TIMESTAMP")).alias("ts"), F.col("LONGITUDE").alias("lon"), F.col("LATITUDE").alias("lat"), S.finite(F.col("RAINRATE_VALUE")).alias("rate"), F.monotonically_increasing_id().alias("record")
+        F.col("WEATHER_STATION_ID").alias("station"), S.iso_timestamp(F.col("ISO_8601_TIMESTAMP")).alias("ts"), F.col("LONGITUDE").alias("lon"), F.col("LATITUDE").alias("lat"), S.finite(F.col("RAINRATE_VALUE")).alias("rate")
     )
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     """Station records of a CSV file or of all files in a folder, headers required; values that are no numbers are NULL."""
-    return _stations(spark.read.schema(STATION_SCHEMA).csv(path, header=True, enforceSchema=False))
+    return _stations(spark.read.schema(STATION_SCHEMA).csv(path, header=True, enforceSchema=False)).withColumn("record", F.monotonically_increasing_id())
 
 
 def stream_stations(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.readStream.schema(STATION_SCHEMA).csv(path, header=True)
-    return _stations(raw.withColumn("_", F.lit(0))).drop("record")
+    return _stations(spark.readStream.schema(STATION_SCHEMA).csv(path, header=True))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
