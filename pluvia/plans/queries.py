@@ -249,14 +249,14 @@ moves AS (SELECT cell_id AS src, step0, n, vol, cell_id AS cur, 0.0::DOUBLE AS t
 
 @query(f"{_CLOCK} SELECT src AS cell_id, step - step0 AS \"offset\", cur AS node FROM moves WHERE cur IS NOT NULL AND cur <> prev AND step <= 39")
 def hop_schedule(spark, d):
-    s, _, _ = _schedule(spark, d)
+    s, _, _ = _schedule(spark, d, 42)  # a hop takes a step at least
     p = _parcels(spark, d)
     return s.where("j > 0").join(p.select("cell_id", "step0"), "cell_id").where("step0 + `offset` <= 39").select("cell_id", F.col("offset").cast("int").alias("offset"), "node")
 
 
 @query(f"{_CLOCK} SELECT cur AS node, sum(n)::BIGINT AS n, round(sum(vol), 6) AS vol FROM moves WHERE step = 19 AND NOT gone OR gone AND step <= 19 GROUP BY cur")
 def advect_k_steps(spark, d):
-    s, _, _ = _schedule(spark, d)
+    s, _, _ = _schedule(spark, d, 21)
     return L.advect(_parcels(spark, d), s, 19).select("node", "n", rnd("vol"))
 
 
@@ -275,7 +275,7 @@ def advect_supersteps(spark, d):
 
 
 def _outflow(spark, d):
-    s, _, g = _schedule(spark, d)
+    s, _, g = _schedule(spark, d, 63)
     return L.outflow_events(_parcels(spark, d), s).where("step <= 60")
 
 
@@ -297,7 +297,7 @@ _DEPTH = f"{_CLOCK}, v AS (SELECT cur, sum(vol) AS vol FROM moves WHERE step = 1
 
 
 def _depth(spark, d):
-    s, _, g = _schedule(spark, d)
+    s, _, g = _schedule(spark, d, 21)
     return P.flood_depth(L.advect(_parcels(spark, d), s, 19), g)
 
 
