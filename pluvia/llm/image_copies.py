@@ -143,12 +143,46 @@ def consensus(q: np.ndarray, t: np.ndarray, slack: float = 3.0) -> tuple[int, tu
         dx, dy = t[k, 0] - (q[k, 0] * cos - q[k, 1] * sin), t[k, 1] - (q[k, 0] * sin + q[k, 1] * cos)
         off = np.hypot(q[:, 0] * cos - q[:, 1] * sin + dx - t[:, 0], q[:, 0] * sin + q[:, 1] * cos + dy - t[:, 1])
         ok = off < slack * max(1.0, scale)
+        if ok.sum() <= best:
+            continue
         n = min(len(np.unique(np.rint(q[ok, :2] / 2), axis=0)), len(np.unique(np.rint(t[ok, :2] / 2), axis=0)))
         if n > best:
             best, found = n, (float(turn), float(scale), float(dx), float(dy))
     return best, found
 
 
+def _promising(place: np.ndarray, spots: np.ndarray, size: np.ndarray, least: int, slack: float = 3.0, most: int = 1 << 20) -> np.ndarray:
+    """Which groups of matches could reach ``least`` in :func:`consensus`: all transforms of many groups are tried at once.
+
+    The matches of a group are consecutive, ``size`` long. Corners are counted without regard to equal places and with a
+    little more slack, so no group that consensus accepts is lost. Groups whose proposals exceed ``most`` are taken as they are.
+    """
+    out = np.zeros(len(size), bool)
+    start = np.cumsum(size) - size
+    work = size.astype(np.int64) ** 2
+    out[work > most] = True
+    rest = np.flatnonzero((work <= most) & (size >= least))
+    turn, scale = spots[:, 3] - place[:, 3], spots[:, 2] / place[:, 2]
+    cos, sin = scale * np.cos(turn), scale * np.sin(turn)
+    dx = spots[:, 0] - (place[:, 0] * cos - place[:, 1] * sin)
+    dy = spots[:, 1] - (place[:, 0] * sin + place[:, 1] * cos)
+    reach = (slack * np.maximum(1.0, scale)) * 1.001 + 0.01
+    chunk = np.cumsum(work[rest]) // most
+    for part in np.split(rest, np.flatnonzero(np.diff(chunk)) + 1):
+        n = size[part]
+        first = np.repeat(start[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # the proposing matches
+        m = np.repeat(n, n)
+        k = np.repeat(first, m)
+        begin = np.cumsum(m) - m
+        j = np.repeat(np.repeat(start[part], n), m) + np.arange(len(k)) - np.repeat(begin, m)
+        x, y = place[j, 0], place[j, 1]
+        off = np.hypot(x * cos[k] - y * sin[k] + dx[k] - spots[j, 0], x * sin[k] + y * cos[k] + dy[k] - spots[j, 1])
+        if len(k):
+            agree = np.add.reduceat((off < reach[k]).astype(np.int64), begin)
+            out[part] = np.maximum.reduceat(agree, np.cumsum(n) - n) >= least
+    return out
+
+
 def find_copies(images: DataFrame, queries: DataFrame, least: int = 6, most_bits: int = 48, block: int = 4096) -> DataFrame:
     """(query_id, image_id, n_matches, n_inliers, turn, scale): images that share ``least`` corners with a query image.
 
@@ -201,16 +235,23 @@ def _probe(batches, model, most_bits: int, least: int):
             near = np.bitwise_count(c.view(np.uint64)[mine] ^ wide[theirs]).sum(1) <= most_bits
             mine, theirs = mine[near], theirs[near]
             pair = image[mine] * len(names) + owner[theirs]
-            for p in np.unique(pair):
-                at = np.flatnonzero(pair == p)
-                i, q = int(p // len(names)), int(p % len(names))
-                if len(at) < least or names[q] == pdf["image_id"].iloc[i]:
+            by = np.argsort(pair, kind="stable")
+            pair, mine, theirs = pair[by], mine[by], theirs[by]
+            pairs, size = np.unique(pair, return_counts=True)
+            keep = size >= least
+            wanted = np.repeat(keep, size)
+            pairs, size, mine, theirs = pairs[keep], size[keep], mine[wanted], theirs[wanted]
+            spots = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, 4) for x in pdf["corners"].iloc[lo : lo + 64]])[mine]
+            spread = place[theirs]
+            first = np.cumsum(size) - size
+            for g in np.flatnonzero(_promising(spread, spots, size, least)):
+                i, q = int(pairs[g] // len(names)), int(pairs[g] % len(names))
+                if names[q] == pdf["image_id"].iloc[i]:
                     continue
-                spots = np.frombuffer(pdf["corners"].iloc[i], np.float32).reshape(-1, 4)
-                own = mine[at] - np.searchsorted(image, i)
-                n, (turn, scale, _, _) = consensus(place[theirs[at]], spots[own])
+                at = slice(first[g], first[g] + size[g])
+                n, (turn, scale, _, _) = consensus(spread[at], spots[at])
                 if n >= least:
-                    out.append((names[q], int(pdf["image_id"].iloc[i]), len(at), n, turn, scale))
+                    out.append((names[q], int(pdf["image_id"].iloc[i]), int(size[g]), n, turn, scale))
         yield pd.DataFrame(out, columns=["query_id", "image_id", "n_matches", "n_inliers", "turn", "scale"])
 
 
