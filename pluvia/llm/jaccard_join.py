@@ -20,6 +20,8 @@ one id are treated as one document (the first of them by set key).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -30,6 +32,8 @@ from pyspark.sql import types as T
 from pluvia.llm.common import components, joined, mixed, runs, stored, utf8, words
 
 SKETCH_BITS = 22
+#: Bits of the bitmap that tells which documents' whole sets are needed.
+ID_BITS = 24
 #: Documents of a side that one task compares at a time.
 BLOCK = 128
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -117,12 +121,51 @@ def signatures(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(sign, schema)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with a bit for each of ``ids`` (doc_id), built in two steps."""
+    size = 1 << ID_BITS
+    schema = T.StructType([T.StructField("part", T.BinaryType())])
+    packed = lambda bits: pd.DataFrame({"part": [zstandard.compress(np.packbits(bits).tobytes(), 1)]})
+
+    def mark(batches):
+        bits = np.zeros(size, bool)
+        for pdf in batches:
+            bits[_id_places(pdf["doc_id"])] = True
+        yield packed(bits)
+
+    def merge(batches):
+        bits = np.zeros(size >> 3, np.uint8)
+        for pdf in batches:
+            for b in pdf["part"]:
+                bits |= np.frombuffer(zstandard.decompress(b), np.uint8)
+        yield pd.DataFrame({"part": [zstandard.compress(bits.tobytes(), 1)]})
+
+    rows = ids.where("doc_id is not null").select("doc_id").mapInPandas(mark, schema).repartition(4).mapInPandas(merge, schema).coalesce(1).mapInPandas(merge, schema).collect()
+    return np.frombuffer(zstandard.decompress(rows[0][0]), np.uint8) if rows else np.zeros(size >> 3, np.uint8)
+
+
+def _id_places(ids: pd.Series) -> np.ndarray:
+    return (mixed(ids.to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def _sets(docs: DataFrame, width: int, active: DataFrame) -> DataFrame:
+    """(doc_id, tokens) of the documents in ``active`` and of a few others that share their bits: texts are not shuffled."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(active))  # of fixed size
+
     def sets(batches):
+        bits = marks.value
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "tokens": [s.view(np.int64) for s in shingle_sets(utf8(pdf["text"]), width)]})
+            place = _id_places(pdf["doc_id"])
+            pdf = pdf[(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(np.int64), "tokens": [s.view(np.int64) for s in shingle_sets(utf8(pdf["text"]), width)]})
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(sets, "doc_id long, tokens array<long>")
+
 
-    return docs.select("doc_id", "text").mapInPandas(sets, "doc_id long, tokens array<long>")
+def _of_like_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link."""
+    x, y = (sizes.select(F.col("q").alias(c), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,7 +286,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes = stored(sign.where("n_shingles > 0").select("doc_id", "k1", "k2", "n_shingles").join(own, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "jaccard-classes")
     reps = classes.where("doc_id = rep").select("doc_id").distinct()
     rows = sign.join(reps, "doc_id", "left_semi").select(F.explode("signature").alias("token"), F.col("doc_id").alias("q"), F.col("n_shingles").alias("n"))
-    pivots = rows.groupBy("token").agg(F.min("q").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
+    # counted and joined on one exchange: both sides read the same columns, so that it is written once
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    pivots = rows.groupBy("token").agg(F.min("q").alias("pivot"), F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least > 0").drop("m", "least")
     shared = stored(rows.join(pivots, "token"), "jaccard-shared")
 
     # stars: the pivot with which a document shares most signature tokens
@@ -257,7 +302,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         if tree.where("moved").isEmpty():
             break
         tree = tree.drop("moved")
-    member = shared.select("token", "q", "n").join(tree.select("q", "g"), "q", "left").withColumn("g", F.coalesce("g", "q"))
+    # a tree is cut by size, so that the sizes of a group, and with them the bound, stay within one step of the threshold
+    sizes = tree.select("q").union(tree.select("g")).distinct().join(sign.where("n_shingles > 0").groupBy(F.col("doc_id").alias("q")).agg(F.min("n_shingles").alias("n")), "q")
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99)))
+    cut = sizes.join(tree.select("q", F.col("g").alias("top")), "q", "left").select("q", "n", F.coalesce("top", "q").alias("top"), step.alias("step"))
+    cut = stored(cut, "jaccard-steps")
+    cut = cut.join(cut.groupBy("top", "step").agg(F.min("q").alias("g")), ["top", "step"]).select("q", "n", "g")
+    cut = stored(cut, "jaccard-cut")
+    member = shared.select("token", "q", "n").join(cut.select("q", "g"), "q", "left").withColumn("g", F.coalesce("g", "q"))
     member = stored(member, "jaccard-members")
     groups = member.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
 
@@ -270,10 +322,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     opened = stored(_qualified(opened, size.select("q", F.col("g").alias("to")), sign, order, percent), "jaccard-opened")
 
     open_members = size.join(opened.select(F.col("to").alias("g")).distinct(), "g", "left_semi")
-    active = star.select("q").union(star.select("g")).union(opened.select("q")).union(open_members.select("q")).distinct().withColumnRenamed("q", "doc_id")
-    sets = stored(_sets(docs.join(active, "doc_id", "left_semi"), width), "jaccard-sets")
+    arms = star.select(F.col("q").alias("a"), F.col("g").alias("b")).union(cut.where("q <> g").select(F.col("q").alias("a"), F.col("g").alias("b"))).distinct()
+    arms = stored(_of_like_size(arms, cut.select("q", "n"), percent), "jaccard-arms")
+    several = cut.join(cut.where("q <> g").select("g").distinct(), "g", "left_semi")  # members of groups of two and more
+    active = several.select("q").union(arms.select("a")).union(arms.select("b")).union(opened.select("q")).union(open_members.select("q")).distinct().withColumnRenamed("q", "doc_id")
+    sets = stored(_sets(docs, width, active), "jaccard-sets")
 
-    first = stored(_linked(star.select(F.col("q").alias("a"), F.col("g").alias("b")), sets, percent), "jaccard-links")
+    first = stored(_linked(arms, sets, percent), "jaccard-links")
     root = components(first, "jaccard-first").withColumnRenamed("id", "q")
     placed = stored(size.join(root, "q", "left").withColumn("component", F.coalesce("component", "q")), "jaccard-placed")
     # a group is opened for a query from outside, and for its own members that the pivots did not join to its root
