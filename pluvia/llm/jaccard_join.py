@@ -97,7 +97,12 @@ def needed(n: F.Column, lo: F.Column, hi: F.Column, percent: int) -> F.Column:
     small = F.greatest(lo, F.ceil(n * t / 100))
     large = F.least(hi, F.floor(n * 100 / t))
     overlap = lambda m: F.ceil((n + m) * t / (100 + t))
-    return F.greatest(F.lit(1), F.least(overlap(small) - F.ceil(n * t / 100) + 1, overlap(large) - F.ceil(large * t / 100) + 1))
+    short = lambda m: overlap(m) - F.ceil(m * t / 100) + 1
+    # where the larger set's signature ends first, the bound falls with its size, but for steps up by 1 that the two roundings
+    # make: the least value is at most so many sizes below the largest
+    near = -(-100 * (100 + t) // (t * t))
+    least = [short(F.greatest(small, large - j)) for j in range(near)]
+    return F.greatest(F.lit(1), F.least(overlap(small) - F.ceil(n * t / 100) + 1, *least))
 
 
 def signatures(docs: DataFrame, width: int, percent: int, order) -> DataFrame:

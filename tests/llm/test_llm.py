@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pluvia.llm import image_copies as I
 from pluvia.llm import mixing, packing, queries, suffix_dedup, warc
 from pluvia.llm.common import components
-from pluvia.llm.jaccard_join import jaccard_components
+from pluvia.llm.jaccard_join import jaccard_components, needed
 from pluvia.llm.language_id import languages
 from pluvia.llm.line_crf import marginals, quality_scores
 from pluvia.llm.quality_rules import divergence_rules
@@ -141,6 +141,35 @@ def test_jaccard_components(spark, docs, nothing, width, percent):
     assert jaccard_components(nothing, width, percent).count() == 0
 
 
+@pytest.mark.parametrize(("width", "percent", "n", "m"), [(3, 90, 100, 109), (5, 80, 85, 104)])
+def test_jaccard_links_into_groups_of_uneven_sizes(spark, width, percent, n, m):
+    """A link of exactly the threshold, to the smaller one of a group of two: the bound for the larger size is higher."""
+    both = -(-(n + m) * percent // (100 + percent))
+    say = lambda name, k: " ".join(f"{name}{j}" for j in range(k))
+    base = say("b", both + width - 1)
+    y = f"{base} {say('y', m - both)}"
+    texts = [f"{base} {say('x', n - both)}", y, f"{y} more"]
+    want = _components(texts, width, percent)
+    assert want == {0: (n, 0), 1: (m, 0), 2: (m + 1, 0)}
+    got = jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), width, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_needed_overlap_is_the_least_over_all_sizes(spark, percent):
+    up = lambda a, b: -(-a // b)
+    rows = []
+    for n in range(1, 131):
+        for lo in range(up(n * percent, 100), n * 100 // percent + 1, 2):
+            least = n
+            for hi in range(lo, n * 100 // percent + 1):
+                both = up((n + hi) * percent, 100 + percent)
+                least = min(least, both - up(n * percent, 100) + 1, both - up(hi * percent, 100) + 1)
+                rows.append((n, lo, hi, max(1, least)))
+    d = spark.createDataFrame(rows, "n long, lo long, hi long, least long")
+    assert d.where(needed(F.col("n"), F.col("lo"), F.col("hi"), percent) != F.col("least")).count() == 0
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
