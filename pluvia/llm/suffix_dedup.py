@@ -15,7 +15,8 @@ one); matches never cross documents and are judged on the input.
 * An anchor with more than ``hot`` different entries (a phrase in a third of all documents) is not put in one shard: its
   windows are counted by 128-bit hashes instead, which splits it over all tasks.
 
-Null texts are empty. Repeated rows of an id are different documents to each other. Very long texts are cut in runs that
+Null texts are empty. Repeated rows of an id are different documents to each other: rows are named by a 64-bit hash of id and
+text, so that rows of one name are equal and have the same spans. Very long texts are cut in runs that
 overlap by ``length - 1`` bytes, so memory for a task does not grow with them but by the text itself. Other columns stay
 outside.
 """
@@ -28,7 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import gram_hashes, mixed, stored
@@ -204,16 +205,16 @@ def _union(starts: np.ndarray, ends: np.ndarray, length: int) -> list[tuple[int,
     return [(a, b) for a, b in out]
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT = "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _row(doc_id, text: bytes, spans: list[tuple[int, int]]):
+def _row(row_id, text: bytes, spans: list[tuple[int, int]]):
     kept, at = [], 0
     for lo, hi in spans:
         kept.append(text[at:lo])
         at = hi
     kept.append(text[at:])
-    return doc_id, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest()
+    return row_id, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest()
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 200, batch: int = 1 << 15, shard: int = 1 << 16, hot: int = 1 << 15, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
@@ -331,13 +332,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 200, batch:
     return spans, texts
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("row_id"), "text")
+def _row_id(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
 
 
 def substring_report(docs: DataFrame, length: int = 400, anchor: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    docs = _numbered(docs)
+    docs = docs.select(_row_id(docs).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans, texts = repeated_spans(docs, length, anchor)
 
     def cut(batches):
@@ -347,19 +348,19 @@ def substring_report(docs: DataFrame, length: int = 400, anchor: int = 200) -> D
             for k, z, ranges in zip(pdf["row_id"], pdf["z"], pdf["ranges"], strict=True):
                 first, last = (np.array([r[c] for r in ranges], np.int64) for c in ("first", "last"))
                 rows.append(_row(k, unpack.decompress(z), _union(first, last, length)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pd.DataFrame(rows, columns=["row_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    hit = stored(texts.join(spans, "row_id").mapInPandas(cut, _RESULT), "suffix-report")
+    hit = stored(texts.join(spans, "row_id").mapInPandas(cut, _RESULT), "suffix-report").dropDuplicates(["row_id"])
     data = F.coalesce("text", F.lit("")).cast("binary")
-    whole = docs.select(F.col("row_id").alias("doc_id"), F.octet_length(data).cast("long").alias("all_bytes"), F.sha2(data, 256).alias("whole"))
-    return whole.join(hit, "doc_id", "left").select(
+    whole = docs.select("row_id", "doc_id", F.octet_length(data).cast("long").alias("all_bytes"), F.sha2(data, 256).alias("whole"))
+    return whole.join(hit, "row_id", "left").select(
         "doc_id", F.col("all_bytes").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
     )
 
 
 def without_repeats(docs: DataFrame, length: int = 400, anchor: int = 200) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``; spans shrink to whole characters. All columns and rows stay."""
-    spans, texts = repeated_spans(_numbered(docs), length, anchor)
+    spans, texts = repeated_spans(docs.select(_row_id(docs).alias("row_id"), "text"), length, anchor)
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -380,7 +381,7 @@ def without_repeats(docs: DataFrame, length: int = 400, anchor: int = 200) -> Da
                 rows.append((k, b"".join(kept).decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=["row_id", "cut_text"])
 
-    done = stored(texts.join(spans, "row_id").mapInPandas(cut, "row_id long, cut_text string"), "suffix-cut")
-    out = docs.join(done, docs["doc_id"].cast("long") == done["row_id"], "left")
+    done = stored(texts.join(spans, "row_id").mapInPandas(cut, "row_id long, cut_text string"), "suffix-cut").dropDuplicates(["row_id"])
+    out = docs.join(done, _row_id(docs) == done["row_id"], "left")
     names = [F.coalesce("cut_text", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns]
     return out.select(*names)

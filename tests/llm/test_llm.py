@@ -110,6 +110,25 @@ def test_cut_texts_keep_rows_columns_and_whole_characters(docs):
     assert len(got) == len(_texts()) and got[3] is None and "�" not in "".join(t or "" for t in got.values())
 
 
+def test_rows_of_one_id_are_cut_each_for_itself(spark):
+    say = lambda name, k: " ".join(f"{name}{j}" for j in range(k))
+    passage, again = say("passage", 60), say("again", 90)
+    rows = [(1, f"{say('a', 40)} {passage} {say('b', 30)}"), (1, f"{say('c', 150)} {passage}"), (1, say("d", 120)), (2, f"{passage} {say('e', 9)}"), (3, again), (3, again), (4, None)]
+    texts = [(t or "").encode() for _, t in rows]
+    count = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    kept = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            gone[i : i + 400] |= count[t[i : i + 400]] > 1
+        kept.append(bytes(b for b, g in zip(t, gone, strict=True) if not g))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.substring_report(docs).collect())
+    assert got == sorted((k, len(t), len(t) - len(x), hashlib.sha256(x).hexdigest()) for (k, _), t, x in zip(rows, texts, kept, strict=True))
+    got = sorted((r["doc_id"], (r["text"] or "").encode()) for r in suffix_dedup.without_repeats(docs).collect())
+    assert got == sorted((k, x) for (k, _), x in zip(rows, kept, strict=True))
+
+
 def _components(texts, width, percent):
     sets = []
     for t in texts:
