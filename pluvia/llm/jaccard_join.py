@@ -162,7 +162,7 @@ def _sets(docs: DataFrame, width: int, active: DataFrame) -> DataFrame:
         for pdf in batches:
             place = _id_places(pdf["doc_id"])
             pdf = pdf[(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(np.int64), "tokens": [s.view(np.int64) for s in shingle_sets(utf8(pdf["text"]), width)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(np.int64), "tokens": pd.Series([s.view(np.int64) for s in shingle_sets(utf8(pdf["text"]), width)], dtype=object)})  # typed without rows too
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(sets, "doc_id long, tokens array<long>")
 

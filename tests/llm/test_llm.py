@@ -373,5 +373,73 @@ def test_pipeline_runs_and_keeps_clean_documents(spark):
         docs, n = out, m
 
 
+def test_pipeline_equals_brute_force_stage_by_stage(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    learnt, labels = _labelled(spark)
+    rows = [(r["doc_id"], r["text"], "learnt") for r in learnt.select("doc_id", "text").collect()]
+    toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()}
+    say = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    first, passage = max(r[0] for r in rows) + 1, say("passage", 70)
+    planted = [say("base", 200), say("base", 200), say("base", 200) + " more", f"{say('a', 250)} {passage} {say('b', 150)}", f"{say('c', 200)} {passage} {say('d', 150)}", say("long", 1500), "", None]
+    rows += [(first + k, t, f"s{k % 2}") for k, t in enumerate(planted)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+
+    def watched(stage):
+        def run(*a):
+            out = stage(*a)
+            seen.append([r.asDict() for r in out.collect()])
+            return out
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, watched(stage)) for name, stage in corpus_pipeline.STAGES])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, seen[4])) == sorted(repr(r.asDict()) for r in packed)
+    tuples = lambda k: [(r["doc_id"], r["text"], r["source"]) for r in seen[k]]
+
+    left = tuples(0)
+    gone = {r[0] for r in rows} - {r[0] for r in left}
+    assert set(left) <= set(rows) and len(left) + len(gone) == len(rows)
+    assert len(gone & toxic) >= 0.95 * len(toxic) and len(gone - toxic) <= 0.05 * (len(rows) - len(toxic)) and max(gone) < first
+
+    left.sort()
+    part = _components([t for _, t, _ in left], 5, 80)
+    left = [r for k, r in enumerate(left) if part[k][1] == k]
+    assert sorted(tuples(1)) == left and {first + 1, first + 2}.isdisjoint(r[0] for r in left)
+
+    count = Counter(t[i : i + 400] for _, t, _ in left if t for i in range(len(t) - 399))
+    cut = []
+    for k, t, source in left:
+        lost = np.zeros(len(t or ""), bool)
+        for i in range(len(lost) - 399):
+            lost[i : i + 400] |= count[t[i : i + 400]] > 1
+        cut.append((k, t and "".join(c for c, x in zip(t, lost, strict=True) if not x), source))
+    assert sorted(tuples(2), key=repr) == sorted(cut, key=repr)
+    assert all("passage30 " not in (t or "") for _, t, _ in cut)
+
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(cut, "doc_id long, text string, source string").toPandas())
+    text = {k: (k, t, source) for k, t, source in cut}
+    mixed = [text[r[0]] for r in con.sql(mixing.ORACLE).fetchall()]
+    assert Counter(tuples(3)) == Counter(mixed)
+
+    reader, want = Tokenizer.from_file(packing.tokenizer_paths()[0]), Counter()
+    for k, t, _ in mixed:
+        ids = np.array([*reader.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want.update((k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for a, b in zip(cuts, cuts[1:], strict=False))
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in sequences.values():
+        ends = [a + n for a, n in sorted(s)]
+        assert [a for a, _ in sorted(s)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
 def test_every_operator_has_a_query():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()] == list(range(1, 11))
