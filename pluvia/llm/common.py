@@ -5,16 +5,21 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
 WHITE = bytes([0x20, 9, 10, 11, 12, 13])
 #: A batch of texts is cut into runs of about this many bytes before NumPy sees it.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 512 << 10
+#: Arrow batches to and from Python workers end at this many bytes (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+#: Shares of a key that may be hot.
+SALTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "pluvia-checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -36,14 +43,62 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`stored` wrote and that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_batches(df: DataFrame, f: Callable, schema: str | StructType, arrow: bool = False) -> DataFrame:
+    """``df.mapInPandas`` (or ``mapInArrow``) with Arrow batches bounded by bytes, so that long rows do not pile up in a Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(f, schema) if arrow else df.mapInPandas(f, schema)
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str, bool]:
+    """(``docs`` with a column that names its rows, that column, whether ids do): ids where every row has one of its own.
+
+    Otherwise rows are named by a 64-bit hash of id and text, so that rows of one name are equal in both. Only ids are
+    shuffled to find out.
+    """
+    odd = docs.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("m")).where("id is null or m > 1")
+    plain, name = odd.isEmpty(), free("row_id", docs.columns)
+    k = F.col(key).cast("long")
+    return docs.withColumn(name, k if plain else F.xxhash64(k, F.col(text))), name, plain
+
+
+def looked_up(rows: DataFrame, on: str, own: str, values: DataFrame) -> DataFrame:
+    """``rows`` left-joined to ``values`` (``on`` its key). A third of all rows may hold one value of ``on``: ``own`` spreads it."""
+    salt = free("salt", rows.columns + values.columns)
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int"))
+    return rows.join(rows.select(on, salt).distinct().join(values, on), [on, salt], "left").drop(salt)
 
 
 def bucket(col: str, mod: int) -> F.Column:
-    """crc32 of the decimal text of an id, modulo ``mod``: the fold rule of the classifiers."""
+    """crc32 of the decimal text of an id, modulo ``mod``: the fold rule of the classifiers; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
 
 
+def held_out(col: str, fold: tuple[int, int]) -> F.Column:
+    """Is the id in the fold that is not learnt from? Rows without an id are not learnt from either, but belong to no fold."""
+    return F.coalesce(bucket(col, fold[0]) == fold[1], F.lit(False)).alias("held_out")
+
+
 def bounded_sample(df: DataFrame, by: str, limit: int, key: str = "doc_id", seed: int = 7) -> DataFrame:
     """About ``limit`` rows for each value of ``by``, chosen by a hash of ``key``: same rows however the table is split."""
     counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
@@ -142,18 +197,22 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
     root = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("component"))
+    root = stored(root, f"{label}-root")
     while not edges.isEmpty():
-        hook = edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up"))
-        hook = stored(hook, f"{label}-hook")
+        hook = stored(edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up")), f"{label}-hook")
         while True:
             far = hook.select(F.col("root").alias("up"), F.col("up").alias("top"))
-            hook2 = stored(hook.join(far, "up", "left").select("root", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), f"{label}-hook")
-            moved = not hook2.where("moved").isEmpty()
-            hook = hook2.drop("moved")
-            if not moved:
+            further = stored(hook.join(far, "up", "left").select("root", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), f"{label}-hook")
+            discard(hook)
+            hook = further
+            if hook.where("moved").isEmpty():
                 break
+            hook = hook.drop("moved")
+            hook.stored_at = further.stored_at
         to = lambda df, col: df.join(hook.select(F.col("root").alias(col), F.col("up").alias(f"{col}_up")), col, "left").withColumn(col, F.coalesce(f"{col}_up", col)).drop(f"{col}_up")
+        spent = [root, edges, hook]
         root = stored(to(root, "component"), f"{label}-root")
         edges = to(to(edges, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = stored(edges, f"{label}-edges")
+        discard(*spent)
     return root.select("id", "component")
