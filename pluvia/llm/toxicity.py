@@ -8,17 +8,19 @@ Features that do not set toxic documents of the sample apart beyond chance (z be
 
 Training takes a bounded sample of labelled rows (``max_train`` documents for each label, whole texts, at most
 ``max_train_bytes`` of them on the driver); scoring goes over every row in one pass without a shuffle. Null and empty texts
-have no sentence and score 0. Repeated ids and other columns do not matter to a score.
+have no sentence and score 0. Every row is scored by its text alone: repeated ids, null ids (never learnt from, ``held_out``
+false) and other columns do not matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import LOWER, bounded_sample, bucket, gram_hashes, joined, mixed, runs, utf8, words
+from pluvia.llm.common import LOWER, bounded_sample, bucket, gram_hashes, held_out, in_batches, joined, mixed, runs, utf8, words
 
 BITS = 18
 #: Word beginnings of so many bytes are features beside whole words: inflected forms share them.
@@ -62,13 +64,9 @@ def _logits(own: np.ndarray, where: np.ndarray, n: int, weights: np.ndarray, bia
     return bias + np.bincount(own, weights[where], n)
 
 
-def _screened(doc: np.ndarray, where: np.ndarray, labels: np.ndarray, use: np.ndarray, least: float) -> np.ndarray:
-    """Starting weights: log ratio of a feature's shares of toxic and other documents; 0 where that may be chance (z < least)."""
-    pair = np.unique(doc * (1 << BITS) + where)
-    d, w = pair >> BITS, pair & ((1 << BITS) - 1)
-    bad, n_bad, n_good = labels == 1, max(1, (use & (labels == 1)).sum()), max(1, (use & (labels == 0)).sum())
-    a = np.bincount(w[use[d] & bad[d]], minlength=1 << BITS)
-    b = np.bincount(w[use[d] & ~bad[d]], minlength=1 << BITS)
+def _screened(a: np.ndarray, b: np.ndarray, n_bad: int, n_good: int, least: float) -> np.ndarray:
+    """Starting weights: log ratio of a feature's shares of toxic (a) and other (b) documents; 0 where that may be chance (z < least)."""
+    n_bad, n_good = max(1, n_bad), max(1, n_good)
     p = (a + b + 1) / (n_bad + n_good + 2)
     z = (a / n_bad - b / n_good) / np.sqrt(p * (1 - p) * (1 / n_bad + 1 / n_good))
     ratio = np.log((a + 0.3) / (n_bad + 0.6)) - np.log((b + 0.3) / (n_good + 0.6))
@@ -79,25 +77,33 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float = 0.5, epochs: in
     """(weights, bias, shift): noisy-or likelihood, balanced classes, Adam over minibatches.
 
     A fifth of the sample takes no part in the gradient; ``shift`` is the log odds that err least on it, with the classes
-    weighted as in the population (``prior``: share of label 1), and becomes score 0.5.
+    weighted as in the population (``prior``: share of label 1), and becomes score 0.5. The texts are read twice, once to
+    count features by label and once for the features that are left: words of a run are all that is held beside those.
     """
+    size = 1 << BITS
+    rng = np.random.default_rng(1)
+    tried, taught = np.split(rng.permutation(len(texts)), [len(texts) // 5])
+    use = np.isin(np.arange(len(texts)), taught)
+    seen = np.zeros((2, size), np.int64)
+    for lo, _, doc, _, _, own, where in sentence_words(texts):
+        pair = np.unique(((doc[own] + lo) << BITS) + where)
+        d, w = pair >> BITS, pair & (size - 1)
+        for y in (0, 1):
+            seen[y] += np.bincount(w[use[d] & (labels[d] == y)], minlength=size)
+    start = _screened(seen[1], seen[0], int((use & (labels == 1)).sum()), int((use & (labels == 0)).sum()), screen)
+    feature = np.flatnonzero(start > 0)
+    slot = np.full(size, -1, np.int64)
+    slot[feature] = np.arange(len(feature))
     docs, sentences, places, base = [], [], [], 0
     for lo, _, doc, _, _, own, where in sentence_words(texts):
+        at = slot[where]
         docs.append(doc + lo)
-        sentences.append(own + base)
-        places.append(where)
+        sentences.append(own[at >= 0] + base)
+        places.append(at[at >= 0])
         base += len(doc)
     doc, own, where = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, sentences, places))
-    size = 1 << BITS
-    rng = np.random.default_rng(1)
-    shuffled = rng.permutation(len(texts))
-    tried, taught = np.split(shuffled, [len(texts) // 5])
-    in_sample = np.isin(np.arange(len(texts)), taught)
-    start = _screened(doc[own], where, labels, in_sample, screen)
-    weights, bias = start.copy(), -6.0
-    kept = start > 0
-    own, where = own[kept[where]], where[kept[where]]
-    m, v, mb, vb, step = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
+    weights, bias = start[feature], -6.0
+    m, v, mb, vb, step = np.zeros(len(feature)), np.zeros(len(feature)), 0.0, 0.0, 0
     cost = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     word_at = np.searchsorted(own, np.arange(base + 1))
     doc_at = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -116,23 +122,25 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float = 0.5, epochs: in
             some = -np.expm1(none)
             pull = np.where(labels[part] == 1, -np.exp(none) / np.maximum(some, 1e-9), 1.0) * cost[part] / len(part)
             g = p * pull[of]
-            gw = np.bincount(where[w], g[local], size) + decay * weights  # under Adam's scaling this empties words without evidence
+            gw = np.bincount(where[w], g[local], len(feature)) + decay * weights  # under Adam's scaling this empties words without evidence
             step += 1
             m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
             mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
             a, b = 1 - 0.9**step, 1 - 0.999**step
-            weights -= rate * (m / a) / (np.sqrt(v / b) + 1e-8) * kept
+            weights = weights - rate * (m / a) / (np.sqrt(v / b) + 1e-8)
             bias -= rate * 0.3 * (mb / a) / (np.sqrt(vb / b) + 1e-8)
     z = np.clip(bias + np.bincount(own, weights[where], base), -30, 30)
     odds, truth = _odds(np.bincount(doc, -np.logaddexp(0, z), len(texts)))[tried], labels[tried]
+    full = np.zeros(size)
+    full[feature] = weights
     order = np.argsort(odds)
     worth = np.where(truth == 1, prior / max(1, (truth == 1).sum()), (1 - prior) / max(1, (truth == 0).sum()))[order]
     right = np.round(np.cumsum(worth * (truth[order] == 0)) - np.cumsum(worth * (truth[order] == 1)), 12)
     best = np.flatnonzero(right == right.max()) if len(right) else np.zeros(0, int)
     if not len(best):
-        return weights, bias, 0.0
+        return full, bias, 0.0
     k = best[len(best) // 2]
-    return weights, bias, float((odds[order[k]] + odds[order[min(k + 1, len(order) - 1)]]) / 2)
+    return full, bias, float((odds[order[k]] + odds[order[min(k + 1, len(order) - 1)]]) / 2)
 
 
 def _odds(none: np.ndarray) -> np.ndarray:
@@ -156,28 +164,45 @@ def _fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int],
     return utf8(t for t, _ in kept), np.array([y for _, y in kept], np.int64), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
+def _scores(texts: list[bytes], weights: np.ndarray, bias: float, shift: float):
+    """(score, sentences, first and last byte of the worst sentence) of each text."""
+    n = len(texts)
+    none, count = np.zeros(n), np.zeros(n, np.int64)
+    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for lo, hi, doc, a, b, own, where in sentence_words(texts):
+        z = np.clip(_logits(own, where, len(doc), weights, bias), -30, 30)
+        none[lo:hi] += np.bincount(doc, -np.logaddexp(0, z), hi - lo)
+        count[lo:hi] += np.bincount(doc, minlength=hi - lo)
+        order = np.argsort(z, kind="stable")
+        first[lo + doc[order]], last[lo + doc[order]] = a[order], b[order]
+    return np.where(count > 0, 1 / (1 + np.exp(-np.clip(_odds(none) - shift, -30, 30))), 0.0), count, first, last
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = 1800, max_train_bytes: int = 12 << 20, fold: tuple[int, int] = (5, 0)) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_sentences, worst_start, worst_end): the last two are bytes of the worst sentence."""
     texts, y, prior = _fit(docs, labels, "toxic", fold, max_train, max_train_bytes)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, y, prior))  # 2**18 numbers
 
     def score(batches):
-        weights, bias, shift = model.value
         for pdf in batches:
-            n = len(pdf)
-            none, count = np.zeros(n), np.zeros(n, np.int64)
-            first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for lo, hi, doc, a, b, own, where in sentence_words(utf8(pdf["text"])):
-                z = np.clip(_logits(own, where, len(doc), weights, bias), -30, 30)
-                none[lo:hi] += np.bincount(doc, -np.logaddexp(0, z), hi - lo)
-                count[lo:hi] += np.bincount(doc, minlength=hi - lo)
-                order = np.argsort(z, kind="stable")
-                first[lo + doc[order]], last[lo + doc[order]] = a[order], b[order]
-            s = np.where(count > 0, 1 / (1 + np.exp(-np.clip(_odds(none) - shift, -30, 30))), 0.0)
+            s, count, first, last = _scores(utf8(pdf["text"]), *model.value)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "score": s, "predicted": (s >= threshold).astype(np.int32), "n_sentences": count, "worst_start": first, "worst_end": last})
 
-    out = docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double, predicted int, n_sentences long, worst_start long, worst_end long")
-    return out.select("doc_id", (bucket("doc_id", fold[0]) == fold[1]).alias("held_out"), "score", "predicted", "n_sentences", "worst_start", "worst_end")
+    out = in_batches(docs.select("doc_id", "text"), score, "doc_id long, score double, predicted int, n_sentences long, worst_start long, worst_end long")
+    return out.select("doc_id", held_out("doc_id", fold), "score", "predicted", "n_sentences", "worst_start", "worst_end")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = 1800, max_train_bytes: int = 12 << 20, fold: tuple[int, int] = (5, 0)) -> DataFrame:
+    """``docs``, all columns, without the rows whose own text is predicted toxic: one pass, nothing is shuffled."""
+    texts, y, prior = _fit(docs, labels, "toxic", fold, max_train, max_train_bytes)
+    model = docs.sparkSession.sparkContext.broadcast(train(texts, y, prior))  # 2**18 numbers
+
+    def keep(batches):
+        for rows in batches:
+            s = _scores(utf8(rows.column("text").to_pylist()), *model.value)[0]
+            yield rows.filter(pa.array(s < threshold))
+
+    return in_batches(docs, keep, docs.schema, arrow=True)
 
 
 def offending(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
