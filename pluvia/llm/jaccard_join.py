@@ -14,8 +14,9 @@ groups whose bound reaches what the threshold needs are opened and compared exac
   different components, so large families of near copies need no pairs among themselves, and no link that could still
   connect anything is skipped.
 
-Null, empty and white-space texts have an empty set and link with nothing (``component_id`` is their own id). Repeated rows of
-one id are treated as one document (the first of them by set key).
+Null, empty and white-space texts have an empty set and link with nothing (``component_id`` is their own id). Rows that share an
+id, or have none, are documents of their own: they are told apart by id and text, a component's id is the smallest id of its
+rows that have one (null without any), and equal rows are one document.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pluvia.llm.common import components, joined, mixed, runs, stored, utf8, words
+from pluvia.llm.common import components, discard, in_batches, joined, mixed, named, runs, stored, utf8, words
 
 SKETCH_BITS = 22
 #: Bits of the bitmap that tells which documents' whole sets are needed.
@@ -61,34 +62,50 @@ def shingle_sets(texts: list[bytes], width: int):
                 yield np.unique(mixed(total))
 
 
+#: Tables that one task of a tree of sums reads.
+FAN_IN = 8
+_PART = T.StructType([T.StructField("part", T.BinaryType())])
+
+
+def _packed(table: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"part": [zstandard.compress(table.tobytes(), 1)]})
+
+
+def _summed(parts: DataFrame, none: np.ndarray, add) -> np.ndarray:
+    """One table from compressed ones, by a tree: no task reads more than ``FAN_IN`` of them, however many there are."""
+
+    def merge(batches):
+        total = None
+        for pdf in batches:
+            for b in pdf["part"]:
+                x = np.frombuffer(zstandard.decompress(b), none.dtype)
+                total = x.copy() if total is None else add(total, x)
+        if total is not None:
+            yield _packed(total)
+
+    first = stored(parts, "sketch-parts")
+    n, parts = first.count(), first
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        parts = in_batches(parts.repartition(n), merge, _PART)
+    rows = in_batches(parts.repartition(1), merge, _PART).collect()  # one table of fixed size
+    discard(first)
+    return np.frombuffer(zstandard.decompress(rows[0][0]), none.dtype) if rows else none
+
+
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """In how many documents the tokens of each hash bucket occur: fixed size, whole corpus, summed in two steps."""
-    size = 1 << SKETCH_BITS
-    spark = docs.sparkSession
-    schema = T.StructType([T.StructField("part", T.BinaryType())])
+    """In how many documents the tokens of each hash bucket occur: fixed size, whole corpus."""
+    none = np.zeros(1 << SKETCH_BITS, np.uint32)
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total = none.copy()
         for pdf in batches:
             for s in shingle_sets(utf8(pdf["text"]), width):
                 place, m = np.unique((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-                total[place] += m
-        yield packed(total)
-
-    def packed(total):
-        return pd.DataFrame({"part": [zstandard.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+                total[place] = np.minimum(total[place].astype(np.uint64) + m.astype(np.uint64), 2**32 - 1)
+        yield _packed(total)
 
-    def add(batches):
-        total = np.zeros(size, np.int64)
-        for pdf in batches:
-            for b in pdf["part"]:
-                total += np.frombuffer(zstandard.decompress(b), np.uint32)
-        yield packed(total)
-
-    part = docs.select("text").mapInPandas(count, schema)
-    middle = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8 + 1
-    rows = part.repartition(middle).mapInPandas(add, schema).coalesce(1).mapInPandas(add, schema).collect()
-    return np.frombuffer(zstandard.decompress(rows[0][0]), np.uint32) if rows else np.zeros(size, np.uint32)
+    return _summed(in_batches(docs.select("text"), count, _PART), none, lambda a, b: np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype(np.uint32))
 
 
 def needed(n: F.Column, lo: F.Column, hi: F.Column, percent: int) -> F.Column:
@@ -123,30 +140,20 @@ def signatures(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
                 out.append((n, int(k1.astype(np.int64)), int(k2.astype(np.int64)), s[rank[: n - (n * percent + 99) // 100 + 1]].view(np.int64)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_shingles": [x[0] for x in out], "k1": [x[1] for x in out], "k2": [x[2] for x in out], "signature": [x[3] for x in out]})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, schema)
+    return in_batches(docs.select("doc_id", "text"), sign, schema)
 
 
 def _marked(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each of ``ids`` (doc_id), built in two steps."""
-    size = 1 << ID_BITS
-    schema = T.StructType([T.StructField("part", T.BinaryType())])
-    packed = lambda bits: pd.DataFrame({"part": [zstandard.compress(np.packbits(bits).tobytes(), 1)]})
+    """A bitmap of fixed size with a bit for each of ``ids`` (doc_id)."""
+    none = np.zeros(1 << ID_BITS >> 3, np.uint8)
 
     def mark(batches):
-        bits = np.zeros(size, bool)
+        bits = np.zeros(1 << ID_BITS, bool)
         for pdf in batches:
             bits[_id_places(pdf["doc_id"])] = True
-        yield packed(bits)
-
-    def merge(batches):
-        bits = np.zeros(size >> 3, np.uint8)
-        for pdf in batches:
-            for b in pdf["part"]:
-                bits |= np.frombuffer(zstandard.decompress(b), np.uint8)
-        yield pd.DataFrame({"part": [zstandard.compress(bits.tobytes(), 1)]})
+        yield _packed(np.packbits(bits))
 
-    rows = ids.where("doc_id is not null").select("doc_id").mapInPandas(mark, schema).repartition(4).mapInPandas(merge, schema).coalesce(1).mapInPandas(merge, schema).collect()
-    return np.frombuffer(zstandard.decompress(rows[0][0]), np.uint8) if rows else np.zeros(size >> 3, np.uint8)
+    return _summed(in_batches(ids.select("doc_id"), mark, _PART), none, np.bitwise_or)
 
 
 def _id_places(ids: pd.Series) -> np.ndarray:
@@ -164,7 +171,7 @@ def _sets(docs: DataFrame, width: int, active: DataFrame) -> DataFrame:
             pdf = pdf[(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(np.int64), "tokens": pd.Series([s.view(np.int64) for s in shingle_sets(utf8(pdf["text"]), width)], dtype=object)})  # typed without rows too
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(sets, "doc_id long, tokens array<long>")
+    return in_batches(docs.select("doc_id", "text"), sets, "doc_id long, tokens array<long>")
 
 
 def _of_like_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -227,7 +234,7 @@ def _met(asks: DataFrame, held: DataFrame, data: DataFrame, compare, schema: str
         if sides[0] and sides[1]:
             yield frame(list(compare(key[0], *sides)))
 
-    return rows.select("to", "ql", "yl", "asks", "doc_id", "component", *rest).mapInPandas(meet, schema)
+    return in_batches(rows.select("to", "ql", "yl", "asks", "doc_id", "component", *rest), meet, schema)
 
 
 def _qualified(asks: DataFrame, held: DataFrame, sign: DataFrame, often, percent: int) -> DataFrame:
@@ -282,9 +289,8 @@ def _bitmap(sets: list[np.ndarray], bits: int = 4096) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents linked, directly or over others, at ``percent`` per cent similarity."""
-    docs = docs.select("doc_id", "text")
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) where rows of one id are equal: documents linked, directly or over others."""
     order = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))  # of fixed size
     sign = stored(signatures(docs, width, percent, order), "jaccard-signatures")
     own = sign.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -316,6 +322,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     cut = stored(cut, "jaccard-cut")
     member = shared.select("token", "q", "n").join(cut.select("q", "g", "w"), "q", "left").withColumn("g", F.coalesce("g", "q")).withColumn("w", F.coalesce("w", F.lit(1)))
     member = stored(member, "jaccard-members")
+    discard(shared)
     groups = member.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("w").alias("wt"))
 
     # the matrix, the bound, the groups that qualify
@@ -345,6 +352,63 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     held = placed.select("q", F.col("g").alias("to"), "component")
     second = _opened_links(asks, held, sets, percent)
     root = components(first.union(second), "jaccard").withColumnRenamed("id", "rep")
+    discard(star, cut, member, opened, size, arms, sets, first, placed, second)
     found = classes.join(root, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     # representatives are the smallest ids of their classes, so the smallest representative is the smallest id reached
     return sign.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def jaccard_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, str, bool]:
+    """(rows, found, name, plain): ``docs`` with a column that names its rows, and (name, doc_id, n_shingles, component_id, kept).
+
+    ``found`` has a row for each name; ``kept`` is true for one of each component: the one with the smallest id. ``plain``: ids
+    are names.
+    """
+    rows, name, plain = named(docs)
+    texts = rows.select(F.col(name).alias("doc_id"), "text")
+    if plain:
+        found = _components(texts, width, percent)
+        return rows, found.select(F.col("doc_id").alias(name), "doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept")), name, plain
+    found = _components(stored(texts.dropDuplicates(["doc_id"]), "jaccard-texts"), width, percent)
+    ids = rows.select(name, F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    found = found.withColumnsRenamed({"doc_id": name, "component_id": "of"}).join(ids, name)
+    # smallest ids first, rows without one last; one row for each component after partial aggregation
+    first = found.groupBy("of").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", name))[name].alias("first"))
+    found = found.join(first, "of").select(name, "doc_id", "n_shingles", "component_id", (F.col(name) == F.col("first")).alias("kept"))
+    return rows, stored(found, "jaccard-rows"), name, plain
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: documents linked, directly or over others, at ``percent`` per cent similarity."""
+    rows, found, name, plain = jaccard_rows(docs.select("doc_id", "text"), width, percent)
+    if not plain:
+        found = rows.select(name).join(found, name)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without near copies: of each component the row with the smallest id stays, of rows equal in id and text one.
+
+    Texts without words are copies of nothing and all stay.
+    """
+    rows, found, name, plain = jaccard_rows(docs, width, percent)
+    gone = stored(found.where("not kept").select(name), "near-duplicates")
+    left = rows.join(gone, name, "left_anti")
+    if not plain:
+        worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        left = left.where(worded).dropDuplicates([name]).unionByName(left.where(~worded))
+    return left.select(*docs.columns)
+
+
+#: The components by all pairs that share a shingle; for tables small enough for that.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a WHERE r.c < e.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(c) AS c FROM r GROUP BY a) c USING (doc_id)
+"""
