@@ -6,9 +6,12 @@ repeated so often; a global shuffle by hashed keys puts the copies in random ord
 rate: partitions, retries and lost executors change nothing.
 
 Sizes are characters of the whole texts (null: 0). A null source is a source of its own. Repeated rows of one id draw the same
-count. Sources without characters get rate 1. The table of sources is one row for each source; the join to it and the shuffle
-by hash have no hot key problem (a hot source is split by Spark or joined by broadcast, its documents' keys are all different).
-Rates above ``MAX_RATE`` raise an error: exp(-rate) would leave the range of doubles.
+count; a row without an id draws by its text. Sources without characters get rate 1. Rates above ``MAX_RATE`` raise an error:
+exp(-rate) would leave the range of doubles. Columns of the input keep their names; a column that is added gets underscores
+behind its name where the input has it already.
+
+Rates are one row for each source. Up to ``MOST_SOURCES`` of them (counted first; at most 13 MB) are broadcast, more are joined
+with every source spread over several tasks. Texts are shuffled once, by hashed keys.
 """
 
 from __future__ import annotations
@@ -16,7 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.llm.common import SALTS, free, stored
+
 MAX_RATE = 500.0
+#: A rate with its distribution function takes at most 800 numbers.
+MOST_SOURCES = 2000
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What a row draws by: its id; without one its text."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
 
 
 def uniform(seed: str, *key: Column) -> Column:
@@ -48,29 +60,38 @@ def source_rates(docs: DataFrame, alpha: float = 0.7, epochs: float = 1.0, weigh
     return sizes.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"])
 
 
-def replicated(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
+def replicated(docs: DataFrame, seed: str = "mix-1", most_broadcast: int = MOST_SOURCES, **options) -> DataFrame:
     """``docs`` with rate, copy (from 0) and shuffle_key; a document that draws 0 has no row. In global random order."""
-    rates = source_rates(docs, **options).select(F.col("source").alias("of"), "rate", "cdf")
-    d = docs.join(rates, docs["source"].eqNullSafe(rates["of"])).drop("of")
-    count = F.size(F.filter("cdf", lambda c: c <= F.col("u"))).cast("int")
-    d = d.withColumn("u", uniform(seed, F.col("doc_id"))).withColumn("n", count).where("n > 0").drop("u", "cdf")
-    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    d = d.withColumn("shuffle_key", uniform(seed + "-order", F.col("doc_id"), F.col("copy")))
+    own = {c: free(c, docs.columns) for c in ("of", "rate", "cdf", "salt", "key", "n", "copy", "shuffle_key", "slice")}
+    of, rate, cdf, salt, key, n, copy, order, part = own.values()
+    rates = stored(source_rates(docs, **options), "mix-rates").select(F.col("source").alias(of), F.col("rate").alias(rate), F.col("cdf").alias(cdf))
+    d = docs.withColumn(key, row_key())
+    if rates.count() <= most_broadcast:
+        d = d.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col(of)))
+    else:
+        spread = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        d = d.withColumn(salt + "_own", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        d = d.join(spread, F.col("source").eqNullSafe(F.col(of)) & (F.col(salt + "_own") == F.col(salt))).drop(salt, salt + "_own")
+    u = uniform(seed, F.col(key))
+    d = d.withColumn(n, F.aggregate(cdf, F.struct(u.alias("u"), F.lit(0).alias("n")), lambda a, c: F.struct(a["u"].alias("u"), (a["n"] + (c <= a["u"]).cast("int")).alias("n")), lambda a: a["n"]))
+    d = d.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(of, cdf, n)
+    d = d.withColumn(order, uniform(seed + "-order", F.col(key), F.col(copy))).drop(key)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # equal slices of the unit interval need no sampling pass to be balanced
-    return d.withColumn("slice", F.floor(F.col("shuffle_key") * parts)).repartition(parts, "slice").sortWithinPartitions("shuffle_key", "doc_id", "copy").drop("slice")
+    return d.withColumn(part, F.floor(F.col(order) * parts)).repartition(parts, part).sortWithinPartitions(order, "doc_id", copy).drop(part)
 
 
 ORACLE = """
-WITH d AS (SELECT doc_id, source, length(coalesce(text, '')) AS n,
-                  (CAST('0x' || substr(md5('mix-1:' || doc_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
+WITH b AS (SELECT doc_id, source, length(coalesce(text, '')) AS n, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS key FROM documents),
+d AS (SELECT *, (CAST('0x' || substr(md5('mix-1:' || key), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM b),
 s AS (SELECT source, CAST(sum(n) AS DOUBLE) AS size, pow(CAST(sum(n) AS DOUBLE), 0.7) AS target FROM d GROUP BY source),
 r AS (SELECT source, sum(size) OVER () * target / sum(target) OVER () / size AS rate FROM s),
 k AS (SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM r, range(0, 80) t(k)),
-c AS (SELECT d.doc_id, d.source, k.rate, count(*) FILTER (WHERE k.cdf <= d.u) AS n FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source GROUP BY ALL)
+c AS (SELECT d.doc_id, d.source, d.key, k.rate, (count(*) FILTER (WHERE k.cdf <= d.u)) // count(*) FILTER (WHERE k.k = 0) AS n, count(*) FILTER (WHERE k.k = 0) AS m
+      FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source GROUP BY d.doc_id, d.source, d.key, k.rate)
 SELECT doc_id, source, CAST(x AS INTEGER) AS copy, round(rate, 6) AS rate,
-       CAST('0x' || substr(md5('mix-1-order:' || doc_id || ':' || x), 1, 13) AS BIGINT) AS shuffle_bits
-FROM c, unnest(range(0, n)) u(x)
+       CAST('0x' || substr(md5('mix-1-order:' || key || ':' || x), 1, 13) AS BIGINT) AS shuffle_bits
+FROM c, unnest(range(0, n)) u(x), unnest(range(0, m))
 """
 
 
