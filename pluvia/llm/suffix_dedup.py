@@ -15,8 +15,8 @@ one); matches never cross documents and are judged on the input.
 * An anchor with more than ``hot`` different entries (a phrase in a third of all documents) is not put in one shard: its
   windows are counted by 128-bit hashes instead, which splits it over all tasks.
 
-Null texts are empty. Repeated rows of an id are different documents to each other: rows are named by a 64-bit hash of id and
-text, so that rows of one name are equal and have the same spans. Very long texts are cut in runs that
+Null texts are empty. Repeated rows of an id, and rows without one, are different documents to each other: where ids do not name
+rows, a 64-bit hash of id and text does, so that rows of one name are equal and have the same spans. Very long texts are cut in runs that
 overlap by ``length - 1`` bytes, so memory for a task does not grow with them but by the text itself. Other columns stay
 outside.
 """
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import gram_hashes, mixed, stored
+from pluvia.llm.common import free, gram_hashes, in_batches, mixed, named, stored
 
 _FAR = np.uint64(2**64 - 1)
 
@@ -240,7 +240,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 200, batch:
             if ids:
                 yield pd.DataFrame({key: np.concatenate(ids), "f": np.concatenate(prints), "m": np.concatenate(often)})
 
-    marks = stored(docs.mapInPandas(mark, f"{key} long, f long, m int"), "suffix-anchors")
+    marks = stored(in_batches(docs, mark, f"{key} long, f long, m int"), "suffix-anchors")
     again = marks.groupBy("f").agg(F.sum("m").alias("m")).where("m > 1").select("f")
     wanted = marks.select(key, "f").join(again, "f").groupBy(key).agg(F.collect_list("f").alias("prints"))
 
@@ -269,7 +269,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 200, batch:
                 rows.append((k, None, None, None, None, None, pack.compress(text), known))
             yield pd.DataFrame(rows, columns=[key, "f", "a", "first", "last", "around", "z", "known"]).astype({c: "Int64" for c in ("f", "a", "first", "last")})
 
-    found = docs.join(wanted, key).mapInPandas(gather, f"{key} long, f long, a long, first long, last long, around binary, z binary, known array<struct<lo:long,hi:long>>")
+    found = in_batches(docs.join(wanted, key), gather, f"{key} long, f long, a long, first long, last long, around binary, z binary, known array<struct<lo:long,hi:long>>")
     found = stored(found, "suffix-entries")
     texts = found.where("z is not null").select(key, "z")
     known = found.where("size(known) > 0").select(key, F.explode("known").alias("x")).select(key, F.col("x.lo").alias("first"), F.col("x.hi").alias("last"))
@@ -311,7 +311,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 200, batch:
         yield pd.DataFrame(out, columns=[key, "first", "last"])
 
     span = f"{key} long, first long, last long"
-    ranges = entries.join(crowd.where(F.col("m") <= hot).select("f"), "f").select(key, "f", "a", "first", "last", "around").repartition(shards, "f").mapInPandas(scan, span)
+    dealt = entries.join(crowd.where(F.col("m") <= hot).select("f"), "f").select(key, "f", "a", "first", "last", "around").repartition(shards, "f")
+    ranges = in_batches(dealt, scan, span)
     ranges = ranges.unionByName(known)
     if not crowd.where(F.col("m") > hot).isEmpty():
 
@@ -325,20 +326,17 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 200, batch:
                 if out:
                     yield pd.concat(out)
 
-        each = stored(entries.join(crowd.where(F.col("m") > hot).select("f"), "f").mapInPandas(windows, f"{key} long, first long, h1 long, h2 long"), "suffix-windows")
+        crowded = entries.join(crowd.where(F.col("m") > hot).select("f"), "f")
+        each = stored(in_batches(crowded, windows, f"{key} long, first long, h1 long, h2 long"), "suffix-windows")
         twice = each.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").drop("m")
         ranges = ranges.unionByName(each.join(twice, ["h1", "h2"]).select(key, "first", F.col("first").alias("last")))
     spans = ranges.groupBy(key).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     return spans, texts
 
 
-def _row_id(docs: DataFrame) -> Column:
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
-
-
 def substring_report(docs: DataFrame, length: int = 400, anchor: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    docs = docs.select(_row_id(docs).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))[0]
     spans, texts = repeated_spans(docs, length, anchor)
 
     def cut(batches):
@@ -350,7 +348,7 @@ def substring_report(docs: DataFrame, length: int = 400, anchor: int = 200) -> D
                 rows.append(_row(k, unpack.decompress(z), _union(first, last, length)))
             yield pd.DataFrame(rows, columns=["row_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    hit = stored(texts.join(spans, "row_id").mapInPandas(cut, _RESULT), "suffix-report").dropDuplicates(["row_id"])
+    hit = stored(in_batches(texts.join(spans, "row_id"), cut, _RESULT), "suffix-report").dropDuplicates(["row_id"])
     data = F.coalesce("text", F.lit("")).cast("binary")
     whole = docs.select("row_id", "doc_id", F.octet_length(data).cast("long").alias("all_bytes"), F.sha2(data, 256).alias("whole"))
     return whole.join(hit, "row_id", "left").select(
@@ -360,7 +358,8 @@ def substring_report(docs: DataFrame, length: int = 400, anchor: int = 200) -> D
 
 def without_repeats(docs: DataFrame, length: int = 400, anchor: int = 200) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``; spans shrink to whole characters. All columns and rows stay."""
-    spans, texts = repeated_spans(docs.select(_row_id(docs).alias("row_id"), "text"), length, anchor)
+    rows, name, _ = named(docs)
+    spans, texts = repeated_spans(rows.select(F.col(name).alias("row_id"), "text"), length, anchor)
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -381,7 +380,24 @@ def without_repeats(docs: DataFrame, length: int = 400, anchor: int = 200) -> Da
                 rows.append((k, b"".join(kept).decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=["row_id", "cut_text"])
 
-    done = stored(texts.join(spans, "row_id").mapInPandas(cut, "row_id long, cut_text string"), "suffix-cut").dropDuplicates(["row_id"])
-    out = docs.join(done, _row_id(docs) == done["row_id"], "left")
-    names = [F.coalesce("cut_text", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return out.select(*names)
+    done = stored(in_batches(texts.join(spans, "row_id"), cut, "row_id long, cut_text string"), "suffix-cut").dropDuplicates(["row_id"])
+    done = done.select(F.col("row_id").alias(free("of", rows.columns)), F.col("cut_text").alias(free("cut", rows.columns)))
+    of, new = done.columns
+    out = rows.join(done, F.col(name) == F.col(of), "left")
+    return out.withColumn("text", F.coalesce(new, "text")).select(*docs.columns)
+
+
+#: Every string of 400 bytes against every other; for tables small enough for that.
+ORACLE = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, i, md5(b[i : i + 399]) AS h FROM b, unnest(range(1, octet_length(b) - 398)) u(i)),
+x AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+s AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM x),
+r AS (SELECT doc_id, k, min(i) AS lo, max(i) + 400 AS hi FROM s GROUP BY doc_id, k),
+o AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY k), 1) AS from_ FROM r),
+c AS (SELECT b.doc_id, any_value(b.b) AS b, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, max(hi) AS past,
+             string_agg(CASE WHEN lo > from_ THEN hex(b.b[from_ : lo - 1]) ELSE '' END, '' ORDER BY k) AS kept FROM o JOIN b USING (doc_id) GROUP BY b.doc_id),
+z AS (SELECT doc_id, n_removed, n_spans, sha256(unhex(kept || CASE WHEN past <= octet_length(b) THEN hex(b[past : octet_length(b)]) ELSE '' END)) AS kept FROM c)
+SELECT b.doc_id, CAST(octet_length(b.b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept, sha256(b.b)) AS kept_sha256
+FROM b LEFT JOIN z USING (doc_id)
+"""
