@@ -5,8 +5,8 @@ histograms over all its documents. A text is kept when, for some language, both
 limits; below a minimum number of words a distance says little and is not judged (each histogram has its own guard). The
 base rules (see `base_columns`) come first.
 
-The common words are the most frequent words of each language over the whole corpus (frequent-items sketch for the
-candidates, exact counts for the reference). They are looked up through a table without collisions, so that a word costs one
+The common words are the most frequent words of each language over the whole corpus, by exact counts (ties by the word itself).
+They are looked up through a table without collisions, so that a word costs one
 hash and one comparison. Work per row is linear but for a sort of its common words, and of its word windows where any window
 repeats; nothing is exploded by document, and only counts by language are shuffled.
 
@@ -16,7 +16,7 @@ reference; without any reference only the base rules count. Repeated rows are ju
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import stored
@@ -64,11 +64,12 @@ def base_columns(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _common_words(docs: DataFrame, count: int, items: int) -> tuple[list[str], int]:
+def _common_words(docs: DataFrame, count: int) -> tuple[list[str], int]:
     """The most frequent words of each language, as a table without collisions, and its size; empty places are ''."""
-    each = docs.where("lang is not null and text is not null").select("lang", F.explode(_words(F.col("text"))).alias("w"))
-    top = each.groupBy("lang").agg(F.expr(f"approx_top_k(w, {count}, {items})").alias("top"))
-    found = top.select(F.explode("top.item").alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).orderBy("w").collect()
+    each = docs.where("lang is not null and text is not null").select("lang", F.explode(_words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("m"))
+    # Spark limits the rows of each language before it shuffles them for the ranking
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("m"), "w"))
+    found = each.withColumn("rank", rank).where(F.col("rank") <= count).select("w").distinct().select("w", F.xxhash64("w").alias("h")).orderBy("w").collect()
     size = 256
     while len({r["h"] % size for r in found}) < len(found):
         size += 1 if size > 1 << 16 else size
@@ -98,10 +99,10 @@ def _pairs(reference: Column) -> Column:
     return F.transform("hist", lambda x: F.struct((x["m"] / F.greatest("n_words", F.lit(1))).alias("p"), F.get(reference, x["c"]).alias("q")))
 
 
-def divergence_rules(docs: DataFrame, common: int = 48, items: int = 4096, char_limit: float = 0.26, word_limit: float = 0.25, char_guard: int = 50, word_guard: int = 50) -> DataFrame:
+def divergence_rules(docs: DataFrame, common: int = 48, char_limit: float = 0.26, word_limit: float = 0.25, char_guard: int = 50, word_guard: int = 50) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, nearest)."""
     docs = docs.select("doc_id", "lang", "text")
-    table, size = _common_words(docs, common, items)
+    table, size = _common_words(docs, common)
     words = _array(table, "string")
     d = base_columns(docs)
     code = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
@@ -142,3 +143,58 @@ def divergence_rules(docs: DataFrame, common: int = 48, items: int = 4096, char_
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("best.worst") <= 1)).alias("kept"),
         F.col("best.c").alias("char_distance"), F.col("best.w").alias("word_distance"), F.col("best.lang").alias("nearest"),
     )
+
+
+def rules_report(docs: DataFrame) -> DataFrame:
+    """:func:`divergence_rules` with rounded distances."""
+    return divergence_rules(docs).withColumn("char_distance", F.round("char_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
+
+
+def _oracle(common: int = 48, char_limit: float = 0.26, word_limit: float = 0.25, guard: int = 50) -> str:
+    part = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * ln(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * ln(2 * {q} / ({p} + {q})) ELSE 0 END)"
+    names = [c for c, _ in CLASSES] + ["other"]
+    steps, rest = [], "t"
+    for name, pattern in CLASSES:
+        steps.append(f"r_{name} AS (SELECT *, regexp_replace({rest}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS x_{name} FROM {steps[-1].split()[0] if steps else 'w'})")
+        rest = f"x_{name}"
+    before = ["t"] + [f"x_{c}" for c, _ in CLASSES]
+    sizes = ", ".join(f"length({a}) - length({b}) AS c_{c}" for c, a, b in zip(names, before, before[1:], strict=False)) + f", length({rest}) AS c_other"
+    total = " + ".join(f"c_{c}" for c in names)
+    shares = ", ".join(f"c_{c} / greatest(1, {total}) AS p_{c}" for c in names)
+    sums = ", ".join(f"sum(c_{c}) AS s_{c}" for c in names)
+    far = f"greatest(1, {' + '.join(f's_{c}' for c in names)})"
+    by_char = " + ".join(part(f"p_{c}", f"(s_{c} / {far})") for c in names)
+    dist = lambda x: f"sqrt(greatest(({x}) / 2, 0) / ln(2))"
+    noisy = lambda limit, bins: f"sqrt({limit * limit!r} + {bins} / (8 * ln(2) * greatest(n_words, 1)))"
+    rest_word = part("greatest(1 - coalesce(seen_m, 0) / greatest(n_words, 1), 0)", "(1 - all_q)")
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, CAST(len(ws) AS BIGINT) AS n_words FROM d),
+{", ".join(steps)},
+b AS (SELECT doc_id, lang, t, ws, n_words, {sizes} FROM r_digits),
+f AS (SELECT *, {shares} FROM b),
+e AS (SELECT doc_id, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+win AS (SELECT doc_id, i, ws[i : i + 2] AS g FROM w, unnest(range(1, n_words - 1)) u(i)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 3) o(k) GROUP BY doc_id),
+top AS (SELECT lang, w FROM (SELECT lang, w, count(*) AS m FROM e WHERE lang IS NOT NULL GROUP BY lang, w) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY m DESC, w) <= {common}),
+h AS (SELECT doc_id, lang, w, count(*) AS m FROM e WHERE w IN (SELECT w FROM top) GROUP BY ALL),
+l AS (SELECT lang, greatest(sum(n_words), 1) AS n, {sums} FROM b WHERE lang IS NOT NULL GROUP BY lang),
+q AS (SELECT h.lang, w, sum(m) / any_value(l.n) AS q FROM h JOIN l ON h.lang = l.lang GROUP BY h.lang, w),
+a AS (SELECT l.*, coalesce((SELECT sum(q) FROM q WHERE q.lang = l.lang), 0) AS all_q FROM l),
+s AS (SELECT f.doc_id, a.lang AS of, sum({part("(h.m / f.n_words)", "coalesce(q.q, 0)")}) AS part, sum(coalesce(q.q, 0)) AS seen_q, sum(h.m) AS seen_m
+      FROM f JOIN h ON h.doc_id = f.doc_id CROSS JOIN a LEFT JOIN q ON q.lang = a.lang AND q.w = h.w GROUP BY f.doc_id, a.lang),
+j AS (SELECT f.doc_id, f.n_words, a.lang AS of, CASE WHEN f.n_words >= {guard} THEN {dist(by_char)} ELSE 0 END AS c,
+             CASE WHEN f.n_words >= {guard} THEN {dist(f"coalesce(part, 0) + ln(2) * greatest(all_q - coalesce(seen_q, 0), 0) + {rest_word}")} ELSE 0 END AS v
+      FROM f CROSS JOIN a LEFT JOIN s ON s.doc_id = f.doc_id AND s.of = a.lang),
+k AS (SELECT *, greatest(c / {noisy(char_limit, len(names))}, v / {noisy(word_limit, common + 1)}) AS worst FROM j QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY worst, c, v, of) = 1)
+SELECT f.doc_id, f.n_words, CAST(length(t) - c_white AS BIGINT) AS word_chars, c_symbols AS n_symbols,
+       CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+       CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, f.n_words < 50 OR 100 * coalesce(rep.n, 0) > 50 * f.n_words AS base_failed,
+       NOT (f.n_words < 50 OR 100 * coalesce(rep.n, 0) > 50 * f.n_words) AND coalesce(k.worst, 0) <= 1 AS kept,
+       round(coalesce(k.c, 0), 6) AS char_distance, round(coalesce(k.v, 0), 6) AS word_distance, k.of AS nearest
+FROM f LEFT JOIN k ON k.doc_id = f.doc_id LEFT JOIN rep ON rep.doc_id = f.doc_id
+"""
+
+
+ORACLE = _oracle()
