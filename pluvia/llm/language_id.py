@@ -8,7 +8,8 @@ A language contains an n-gram when the n-gram is at least ``ratio`` times as fre
 most frequent, which keeps foreign passages and mislabelled rows from filling every filter. Counts come from a bounded sample
 of labelled rows (``max_docs`` documents for each language, whole texts; at most ``max_grams`` n-grams of each language),
 summed on the executors. More than 64 languages take more words to a position. Null texts and texts without a letter are
-``und`` with score 0; a text too short for any known n-gram gets the first language with score 0.
+``und`` with score 0; a text too short for any known n-gram gets the first language with score 0. Rows without an id are not
+learnt from and not held out; repeated ids are scored each for itself.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import LOWER, bounded_sample, bucket, gram_hashes, joined, runs, utf8
+from pluvia.llm.common import LOWER, bounded_sample, bucket, gram_hashes, held_out, in_batches, joined, runs, utf8
 
 POSITION_BITS = 19
 HASHES = 2
@@ -89,13 +90,27 @@ def fit(docs: DataFrame, fold: tuple[int, int] = (4, 2), max_docs: int = 1500, m
     sample = bounded_sample(known, "lang", max_docs)
 
     def count(batches):
+        held: dict[str, list] = {}  # (n-grams, counts) of each language, put together when they grow large
+
+        def summed(parts):
+            g, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+            return g, np.bincount(back, np.concatenate([m for _, m in parts])).astype(np.int64)
+
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
+                mine = held.setdefault(lang, [])
                 for _, _, _, h in _grams(utf8(part["text"]), GRAM):
-                    g, m = np.unique(h, return_counts=True)
+                    mine.append(np.unique(h, return_counts=True))
+                    if len(mine) > 16:
+                        mine[:] = [summed(mine)]
+                if sum(len(g) for g, _ in mine) > 1 << 20:
+                    g, m = summed(held.pop(lang))
                     yield pd.DataFrame({"lang": lang, "g": g.view(np.int64), "m": m})
+        for lang, mine in held.items():
+            g, m = summed(mine) if mine else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pd.DataFrame({"lang": lang, "g": g.view(np.int64), "m": m})
 
-    counts = sample.select("lang", "text").mapInPandas(count, "lang string, g long, m long").groupBy("lang", "g").agg(F.sum("m").alias("m"))
+    counts = in_batches(sample.select("lang", "text"), count, "lang string, g long, m long").groupBy("lang", "g").agg(F.sum("m").alias("m"))
     share = counts.withColumn("p", F.col("m") / F.sum("m").over(Window.partitionBy("lang"))).where(F.col("m") >= least)
     share = share.withColumn("top", F.max("p").over(Window.partitionBy("g"))).where(F.col("p") >= ratio * F.col("top"))
     ranked = share.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("m"), "g"))).where(F.col("r") <= max_grams)
@@ -131,5 +146,5 @@ def languages(docs: DataFrame, fold: tuple[int, int] = (4, 2), **options) -> Dat
                 score = np.where(letters, true[np.arange(n), best] / np.maximum(true.sum(1), 1e-9), 0.0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "lang_pred": names, "score": np.clip(score, 0, 1), "n_grams": total.astype(np.int64)})
 
-    scored = docs.select("doc_id", "text").mapInPandas(predict, "doc_id long, lang_pred string, score double, n_grams long")
-    return scored.select("doc_id", (bucket("doc_id", fold[0]) == fold[1]).alias("held_out"), "lang_pred", "score", "n_grams")
+    scored = in_batches(docs.select("doc_id", "text"), predict, "doc_id long, lang_pred string, score double, n_grams long")
+    return scored.select("doc_id", held_out("doc_id", fold), "lang_pred", "score", "n_grams")

@@ -1,12 +1,13 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is good or bad. Unary potentials see features of the line and of the lines beside it, pair potentials tie
-neighbours together. Forward-backward gives each line's marginal; the mean of the marginals, weighted by line length, goes
-through a logistic curve fitted on a part of the sample that the field was not trained on, and is the document's score.
+neighbours together. Forward-backward gives each line's marginal; the mean of the marginals, weighted by line length, is
+shifted in log odds so that the threshold errs least on a part of the sample that the field was not trained on: the score.
 
 Training uses weak labels (lines carry their document's label) on a bounded sample of labelled rows (``max_train`` documents
 for each label, at most ``max_lines`` lines on the driver); scoring is one pass over all rows without a shuffle. Null, empty
-and white-space texts have one empty line and get a score like any other text.
+and white-space texts have one empty line and get a score like any other text. Rows without an id are not learnt from and not
+held out; repeated ids are scored each for itself.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import bounded_sample, bucket, joined, runs, utf8, words
+from pluvia.llm.common import bounded_sample, bucket, held_out, in_batches, joined, runs, utf8, words
 
 _CLASS = np.full(256, 6, np.int64)  # other
 for _k, _chars in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t\r\x0b\x0c", b".,;:?'\"-()", b"#*$%&|<>!=+_~^@\\/[]{}`")):
@@ -133,8 +134,8 @@ def _document(good: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int) -> np
     return np.bincount(doc, good * weight, n) / np.maximum(np.bincount(doc, weight, n), 1)
 
 
-def _curve(p: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float, float]:
-    """Logistic curve over the mean marginal: slope by fit, place so that ``threshold`` errs least."""
+def _shift(p: np.ndarray, y: np.ndarray, threshold: float) -> float:
+    """What is added to the log odds of the mean marginal, so that ``threshold`` errs least."""
     s = np.clip(p, 1e-4, 1 - 1e-4)
     s = np.log(s / (1 - s))
     order = np.argsort(s)
@@ -142,7 +143,7 @@ def _curve(p: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float, float
     best = np.flatnonzero(right == right.max())
     k = int(best[len(best) // 2])
     cut = (s[order[k]] + s[order[min(k + 1, len(s) - 1)]]) / 2
-    return 1.0, float(np.log(threshold / (1 - threshold)) - cut)
+    return float(np.log(threshold / (1 - threshold)) - cut)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 1500, max_lines: int = 60_000, fold: tuple[int, int] = (4, 2)) -> DataFrame:
@@ -162,7 +163,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
         truth.append(r["quality"])
         if lines >= max_lines:
             break
-    weights, pull, curve = np.zeros(3 * N_OWN + 3), np.zeros((2, 2)), (1.0, 0.0)
+    weights, pull, shift = np.zeros(3 * N_OWN + 3), np.zeros((2, 2)), 0.0
     if truth:
         doc, x, size, y = np.concatenate(ids), np.concatenate(feats), np.concatenate(sizes), np.array(truth, np.int64)
         full = with_neighbours(x, doc)
@@ -172,21 +173,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
         p = _document(good, doc, size, len(y))
         test = np.arange(len(y)) % 4 == 3
         if test.any():
-            curve = _curve(p[test], y[test], threshold)
-    model = docs.sparkSession.sparkContext.broadcast((weights, pull, curve))
+            shift = _shift(p[test], y[test], threshold)
+    model = docs.sparkSession.sparkContext.broadcast((weights, pull, shift))
 
     def score(batches):
-        w, pair, (slope, shift) = model.value
+        w, pair, shift = model.value
         for pdf in batches:
             n = len(pdf)
             s, lines, bad = np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
             for lo, hi, doc, size, x in line_features(utf8(pdf["text"])):
                 good, _, _ = marginals(with_neighbours(x, doc) @ w, doc, pair)
                 p = np.clip(_document(good, doc, size, hi - lo), 1e-4, 1 - 1e-4)
-                s[lo:hi] = 1 / (1 + np.exp(-(slope * np.log(p / (1 - p)) + shift)))
+                s[lo:hi] = 1 / (1 + np.exp(-(np.log(p / (1 - p)) + shift)))
                 lines[lo:hi] = np.bincount(doc, minlength=hi - lo)
                 bad[lo:hi] = np.bincount(doc, np.where(good < 0.5, size, 0), hi - lo)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "score": s, "predicted": (s >= threshold).astype(np.int32), "n_lines": lines, "bad_bytes": bad.astype(np.int64)})
 
-    scored = docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double, predicted int, n_lines long, bad_bytes long")
-    return scored.select("doc_id", (bucket("doc_id", mod) == out).alias("held_out"), "score", "predicted", "n_lines", "bad_bytes")
+    scored = in_batches(docs.select("doc_id", "text"), score, "doc_id long, score double, predicted int, n_lines long, bad_bytes long")
+    return scored.select("doc_id", held_out("doc_id", fold), "score", "predicted", "n_lines", "bad_bytes")
