@@ -7,22 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvia.llm import jaccard_join, mixing, quality_rules, suffix_dedup, warc
 from pluvia.llm.common import stored, table
 from pluvia.llm.image_copies import find_copies, rendered
 from pluvia.llm.jaccard_join import jaccard_components
 from pluvia.llm.language_id import languages
 from pluvia.llm.line_crf import quality_scores
-from pluvia.llm.mixing import ORACLE as MIXING_SQL
 from pluvia.llm.mixing import mixture_report
 from pluvia.llm.packing import packed_documents
-from pluvia.llm.quality_rules import divergence_rules
+from pluvia.llm.quality_rules import rules_report
 from pluvia.llm.suffix_dedup import substring_report
 from pluvia.llm.toxicity import toxicity_scores
 from pluvia.llm.warc import capture_report
 
 
 def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence_rules(table(spark, sf_dir, "documents"))
+    return rules_report(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mix": MIXING_SQL}
+    return {
+        "op1_divergence_rules": quality_rules.ORACLE, "op2_suffix_family": suffix_dedup.ORACLE, "op4_poisson_mix": mixing.ORACLE,
+        "op6_warc_transactions": warc.ORACLE, "op8_token_group_join": jaccard_join.ORACLE,
+    }
