@@ -7,33 +7,29 @@
 4. mixture: sources are replicated to target weights; a document may come several times or, by its draw, not at all.
 5. packing: token sequences of at most 1024, one row for each piece.
 
-A document without an id, text or source goes through every stage as the operators define it. Extra columns are kept up to the
-last stage.
+Every stage goes by rows: repeated ids and rows without one are documents of their own, told apart by id and text. Nulls and
+empty texts go through as each operator defines it (not toxic, copies of nothing, nothing to cut, a draw by the id, one end
+token). Extra columns, whatever their names, are kept up to the last stage. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pluvia.llm.common import stored, table
-from pluvia.llm.jaccard_join import jaccard_components
+from pluvia.llm.common import discard, stored, table
+from pluvia.llm.jaccard_join import one_of_each
 from pluvia.llm.mixing import replicated
 from pluvia.llm.packing import packed_documents
 from pluvia.llm.suffix_dedup import without_repeats
-from pluvia.llm.toxicity import toxicity_scores
+from pluvia.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    bad = scores.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(stored(bad, "toxic"), "doc_id", "left_anti").select(*docs.columns)
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs, width=5, percent=80)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(stored(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each(docs, width=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage-{name}")
+            if last is not None:
+                discard(last)  # the next stage reads this one's table only
+            last = docs
     return docs
