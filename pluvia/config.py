@@ -1,4 +1,7 @@
-"""Run configuration: defaults, merged with JSON; dictionaries merge, lists and scalars replace."""
+"""Run configuration: defaults, merged with JSON; dictionaries merge, lists and scalars replace.
+
+Rain sources are ``{"name": weight}`` or ``{"name": {"kind", "path", "variable", "value", "select", "mode", "weight"}}``.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +15,8 @@ DEFAULTS = {
     "travel_time_auto": {"enabled": False, "hillslope_velocity_ms": 0.5, "channel_velocity_ms": 1.5, "min_s": 0.25, "max_s": 3600.0},
     "rain": {"sources": {}, "select": "previous", "mode": "intensity_mmph", "weight": 1.0},
     "risk": {"balance": 0.55, "p_low": 5.0, "p_high": 95.0},
-    "restart": {"every": 120},
-    "output": {"save_every_s": 0.0, "rotate_every_s": 0.0, "variables": "all", "fill": -9999.0, "inundation_threshold_m": 0.01},
+    "restart": {"every": 120, "read": None, "strict_grid": True},
+    "output": {"save_every_s": 0.0, "rotate_every_s": 0.0, "outflow_interval_s": 3600.0, "variables": "all", "fill": -9999.0, "inundation_threshold_m": 0.01},
 }
 VARIABLES = ["flood_depth", "risk_index", "inundation_mask", "flood_depth_max", "inundation_mask_max"]
 
@@ -37,3 +40,27 @@ def output_variables(choice) -> list[str]:
     if not names or not all(isinstance(n, str) for n in names) or set(names) - set(VARIABLES):
         raise ValueError(f"output variables {choice!r} are not among {VARIABLES}")
     return list(dict.fromkeys(names))
+
+
+KINDS = ("netcdf", "scalar", "table")
+
+
+def rain_sources(cfg: dict, names: list[str] | None = None) -> dict[str, dict]:
+    """Every rain source with all its options. Without any in the configuration, ``names`` with the defaults.
+
+    A source that is described without a weight has weight 0 and is not read; a scalar needs its value.
+    """
+    rain = cfg["rain"]
+    given = rain["sources"] or {n: rain["weight"] for n in names or []}
+    out = {}
+    for name, x in given.items():
+        x = dict(x) if isinstance(x, dict) else {"kind": "table", "weight": x}
+        one = {"kind": "netcdf", "path": None, "variable": "rain_rate", "value": None, "select": rain["select"], "mode": rain["mode"], "weight": 0.0} | x
+        if one["kind"] not in KINDS:
+            raise ValueError(f"rain source {name!r}: unknown kind {one['kind']!r}")
+        if one["kind"] == "scalar" and one["value"] is None:
+            raise ValueError(f"rain source {name!r}: a scalar needs a value")
+        if one["kind"] == "netcdf" and not one["path"]:
+            raise ValueError(f"rain source {name!r}: a path is missing")
+        out[name] = one
+    return out

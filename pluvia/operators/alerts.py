@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -57,6 +58,29 @@ def alert_id(feature: Column, rule: Column, prop: Column, op: Column, value: Col
     return F.sha2(F.concat_ws("|", feature, rule, prop, op, value, actual), 256)
 
 
+def read_sent(spark: SparkSession, path: str) -> DataFrame:
+    """(alert_id, ts) of what has been sent; empty where there is no such table or it cannot be read."""
+    none = spark.createDataFrame([], "alert_id string, ts timestamp")
+    try:
+        sent = spark.read.parquet(path)
+        return sent.select("alert_id", "ts") if {"alert_id", "ts"} <= set(sent.columns) else none
+    except AnalysisException:  # no table, or no schema to be found in it
+        return none
+
+
+def remember(sent: DataFrame, path: str) -> None:
+    """Adds (alert_id, ts) to the table of what has been sent: both are written beside it, then take its place."""
+    spark = sent.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    here, there = hadoop(path), hadoop(path.rstrip("/") + ".part")
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(there, True)
+    read_sent(spark, path).unionByName(sent.select("alert_id", "ts")).groupBy("alert_id").agg(F.min("ts").alias("ts")).write.parquet(str(there))
+    fs.delete(here, True)
+    if not fs.rename(there, here):
+        raise OSError(f"cannot rename {there} to {here}")
+
+
 def unsent(alerts: DataFrame, sent: DataFrame) -> DataFrame:
     """Alerts whose id is not in ``sent``, once each."""
     return alerts.join(sent.select("alert_id"), "alert_id", "left_anti").dropDuplicates(["alert_id"])
@@ -93,6 +117,18 @@ def rendered(template: str | None, rule: Column, feature: Column, prop: Column,
     return out
 
 
-def run_summary(alerts: DataFrame) -> DataFrame:
-    """One row of counts: matched, missing_route, deliverable."""
-    return alerts.agg(F.count("*").alias("matched"), F.sum(F.col("missing_route").cast("long")).alias("missing_route"), F.sum((~F.col("missing_route")).cast("long")).alias("deliverable"))
+def run_summary(alerts: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+    """One row of counts: matched, deduplicated (sent before), missing_route, deliverable (a row of (alert, channel) each)."""
+    if sent is None:
+        a = alerts.withColumn("old", F.lit(False))
+    else:
+        a = alerts.join(sent.select("alert_id", F.lit(True).alias("old")).distinct(), "alert_id", "left").fillna(False, ["old"])
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    new = ~F.col("old")
+    routes = F.coalesce(F.sum(F.when(new, F.size("routes")).otherwise(0)), F.lit(0)).alias("deliveries") if "routes" in alerts.columns else F.lit(0).alias("deliveries")
+    return a.agg(F.count("*").alias("matched"), n(F.col("old")).alias("deduplicated"), n(new & F.col("missing_route")).alias("missing_route"), n(new & ~F.col("missing_route")).alias("deliverable"), routes)
+
+
+def deliveries(alerts: DataFrame) -> DataFrame:
+    """(alert_id, channel, message): one row for each route of an alert, for the outbox or a sender of that channel."""
+    return alerts.select("alert_id", F.explode("routes").alias("channel"), "message")

@@ -19,32 +19,34 @@ def _doubled(jump: DataFrame) -> DataFrame:
     return jump.join(far, "to").where("next is not null").select("cell_id", F.col("next").alias("to"))
 
 
-def cycle_cells(edges: DataFrame, cells: int) -> DataFrame:
-    """(cell_id) of cells on cycles of ``edges`` (cell_id, to): where walks of more than ``cells`` hops end up."""
-    jump = cut(edges)
-    for _ in range(max(1, math.ceil(math.log2(max(2, cells)))) + 1):
-        if jump.isEmpty():
-            break
-        jump = cut(_doubled(jump))
-    return jump.select(F.col("to").alias("cell_id")).distinct()
-
-
 def flow_accumulation(cells: DataFrame, flow: DataFrame) -> DataFrame:
     """(cell_id, acc_m2): own active area and that of all cells upstream.
 
     ``cells`` (cell_id, active, area_m2), ``flow`` (cell_id, ds_id). Edges leave active cells only; an inactive cell receives and
     does not forward; cells on a cycle receive from outside it and do not forward. Pointer doubling: after k rounds every cell
-    holds the sum over cells nearer than 2^k hops, so rounds grow with the logarithm of the longest path.
+    holds the sum over cells nearer than 2^k hops, so rounds grow with the logarithm of the longest path. Walks that are longer
+    than there are cells end on cycles: only then edges out of cycles are left out and the sums are done again.
     """
     edges = flow.where("ds_id is not null").join(cells.where("active").select("cell_id"), "cell_id", "left_semi").select("cell_id", F.col("ds_id").alias("to"))
-    loops = cycle_cells(edges, cells.count())
-    jump = cut(edges.join(loops, "cell_id", "left_anti"))
-    total = cut(cells.select("cell_id", F.when(F.col("active"), F.col("area_m2")).otherwise(0.0).alias("acc_m2")))
+    own = cut(cells.select("cell_id", F.when(F.col("active"), F.col("area_m2")).otherwise(0.0).alias("acc_m2")))
+    edges = cut(edges)
+    total, endless = _summed(own, edges, math.ceil(math.log2(max(2, own.count()))) + 1)
+    if endless is None:
+        return total
+    loops = endless.select(F.col("to").alias("cell_id")).distinct()
+    return _summed(own, cut(edges.join(loops, "cell_id", "left_anti")), None)[0]
+
+
+def _summed(total: DataFrame, jump: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(sums, what is left): doubling until no walk goes on, or for ``rounds``; then the walks (cell_id, to) that still do."""
+    done = 0
     while not jump.isEmpty():
+        if done == rounds:
+            return total, jump
         inflow = jump.join(total, "cell_id").groupBy(F.col("to").alias("cell_id")).agg(F.sum("acc_m2").alias("more"))
         total = cut(total.join(inflow, "cell_id", "left").select("cell_id", (F.col("acc_m2") + F.coalesce("more", F.lit(0.0))).alias("acc_m2")))
-        jump = cut(_doubled(jump))
-    return total
+        jump, done = cut(_doubled(jump)), done + 1
+    return total, None
 
 
 def paths(flow: DataFrame, hops: int | None = None) -> DataFrame:
@@ -75,15 +77,40 @@ def hop_schedule(path: DataFrame, travel: DataFrame, dt_s: float) -> DataFrame:
 
 
 def advect(parcels: DataFrame, schedule: DataFrame, step: int) -> DataFrame:
-    """(node, n, vol) of parcels (cell_id, step0, n, vol) after step ``step``; node NULL is what has flowed out.
+    """(node, n, vol) of parcels (cell_id, step0, n, vol) after step ``step``; node NULL is what has flowed out."""
+    at = parcels.sparkSession.createDataFrame([(step,)], "step int")
+    return advect_to(parcels, schedule, at).drop("step")
+
+
+def advect_to(parcels: DataFrame, schedule: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step, node, n, vol) after each of ``steps`` (step: output steps of one run's clock, broadcast); NULL is what has flowed out.
 
-    The last hop with step0 + offset <= step tells the place; a parcel whose next hop from its last node is due is out.
+    The last hop with step0 + offset <= step tells the place; a parcel whose next hop from its last node is due is out. Parcels
+    of a cell and step travel as one row, so each meets its path once for all output steps.
     """
-    s = parcels.where(F.col("step0") <= step).join(schedule, "cell_id").where((F.col("offset") < 0) | (F.col("step0") + F.col("offset") <= step))
-    here = s.groupBy("cell_id", "step0", "n", "vol").agg(F.max_by(F.struct("node", "due"), "j").alias("at"), F.max("j").alias("j"))
-    ends = schedule.groupBy("cell_id").agg(F.max("j").alias("last"))
-    out = (F.col("j") == F.col("last")) & (F.col("step0") + F.col("at.due") <= step)
-    return here.join(ends, "cell_id").select(F.when(~out, F.col("at.node")).alias("node"), "n", "vol").groupBy("node").agg(F.sum("n").alias("n"), F.sum("vol").alias("vol"))
+    p = parcels.groupBy("cell_id", "step0").agg(F.sum("n").alias("n"), F.sum("vol").alias("vol"))
+    walk = schedule.select("cell_id", "j", "node", F.when(F.col("offset") < 0, F.lit(-(1 << 30))).otherwise(F.col("offset")).alias("from"), "due", (F.lead("j").over(Window.partitionBy("cell_id").orderBy("j"))).isNull().alias("last"))
+    # at a node from arrival up to the step before the next hop; the last node up to the hop out of the grid
+    s = p.join(walk, "cell_id").join(F.broadcast(steps.select("step")), F.col("step") >= F.col("step0"))
+    here = (F.col("step0") + F.col("from") <= F.col("step")) & ((F.col("step0") + F.col("due") > F.col("step")) | F.col("last"))
+    out = F.col("last") & (F.col("step0") + F.col("due") <= F.col("step"))
+    return s.where(here).select("step", F.when(~out, F.col("node")).alias("node"), "n", "vol").groupBy("step", "node").agg(F.sum("n").alias("n"), F.sum("vol").alias("vol"))
+
+
+def in_grid(parcels: DataFrame, schedule: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step, vol) measured from the parcels: what has been spawned and has not left by the end of each step."""
+    end = schedule.groupBy("cell_id").agg(F.max_by("due", "j").alias("due"))
+    p = parcels.join(end, "cell_id", "left")
+    moves = p.select(F.col("step0").alias("step"), "vol").unionByName(p.where("due is not null").select((F.col("step0") + F.col("due")).alias("step"), (-F.col("vol")).alias("vol")))
+    by = moves.groupBy("step").agg(F.sum("vol").alias("change"))
+    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # one row a step: a run's clock
+    return steps.select("step").join(by, "step", "left").select("step", F.sum(F.coalesce("change", F.lit(0.0))).over(w).alias("vol"))
+
+
+def active_parcels(parcels: DataFrame, schedule: DataFrame, step: int) -> DataFrame:
+    """The parcels that are in the grid after ``step``, as they were spawned: with the schedule their place follows."""
+    end = schedule.groupBy("cell_id").agg(F.max_by("due", "j").alias("due"))
+    return parcels.join(end, "cell_id", "left").where((F.col("step0") <= step) & (F.col("due").isNull() | (F.col("step0") + F.col("due") > step))).select(*parcels.columns)
 
 
 def superstep(parcels: DataFrame, flow: DataFrame, dt_s: float, sink: bool = True) -> DataFrame:

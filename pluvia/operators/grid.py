@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from pluvia.functions import scalars as S
 
 
+def reprojected(target: DataFrame, epsg: int, source_axis_x: DataFrame, source_axis_y: DataFrame, source: DataFrame, value: str) -> DataFrame:
+    """``target`` (cell_id, x, y in degrees) with the nearest value of a raster (i, j) in a UTM zone: the match of both grids."""
+    x, y = S.utm(F.col("x"), F.col("y"), F.lit(epsg))
+    return regrid_nearest(target.select("cell_id", x.alias("x"), y.alias("y")), source_axis_x, source_axis_y, source, value)
+
+
 def clean_domain(raw: DataFrame, dem_fill: float | None = None) -> DataFrame:
     """Domain contract: missing elevation is inactive; direction and curve number of inactive cells are 0; channel is a flag."""
     dem = S.finite(F.col("dem"))
@@ -80,8 +86,8 @@ def within(grid: DataFrame, west: float, south: float, east: float, north: float
     return grid.where(F.col("x").between(west, east) & F.col("y").between(south, north))
 
 
-def regrid_nearest(target: DataFrame, source_axis_x: DataFrame, source_axis_y: DataFrame, source: DataFrame, value: str) -> DataFrame:
-    """``target`` (cell_id, x, y) with the value of the nearest source cell (i, j); ties go to the lower index.
+def nearest_nodes(target: DataFrame, axis_x: DataFrame, axis_y: DataFrame) -> DataFrame:
+    """``target`` (..., x, y) with the indices i, j of the nearest node on each axis (i, v); ties go to the lower index.
 
     The nearest index is found on each axis by itself: distinct target coordinates against a small one-dimensional axis.
     """
@@ -92,7 +98,12 @@ def regrid_nearest(target: DataFrame, source_axis_x: DataFrame, source_axis_y: D
         best = F.array_min(F.transform("axis", lambda e: F.struct(F.abs(e["v"] - F.col("t")).alias("d"), e["i"].alias("i"))))
         return t.select(F.col("t").alias(coord), best["i"].alias(out))
 
-    t = target.join(nearest("x", source_axis_x, "i"), "x").join(nearest("y", source_axis_y, "j"), "y")
+    return target.join(nearest("x", axis_x, "i"), "x").join(nearest("y", axis_y, "j"), "y")
+
+
+def regrid_nearest(target: DataFrame, source_axis_x: DataFrame, source_axis_y: DataFrame, source: DataFrame, value: str) -> DataFrame:
+    """``target`` (cell_id, x, y) with the value of the nearest source cell (i, j)."""
+    t = nearest_nodes(target, source_axis_x, source_axis_y)
     return t.join(source.select("i", "j", F.col(value).alias("value")), ["i", "j"], "left").select("cell_id", "value")
 
 
@@ -109,6 +120,45 @@ def regrid_bilinear(target: DataFrame, x0: float, dx: float, nx: int, y0: float,
     return target.select("cell_id").join(done, "cell_id", "left")
 
 
+def hillshade(grid: DataFrame, dx: float, dy: float, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
+    """(cell_id, shade): light of 0 to 1 from the elevation's gradient, one-sided at borders; NULL without elevation.
+
+    ``dy`` is the step from a row to the next, negative for rows that go south. One shuffle, as in :func:`d8_from_dem`.
+    """
+    import math
+
+    sides = {"e": (0, 1), "w": (0, -1), "s": (1, 0), "n": (-1, 0)}
+    sent = F.array(F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc"), F.lit("o").alias("k")), *(F.struct(F.lit(-a).alias("dr"), F.lit(-b).alias("dc"), F.lit(k).alias("k")) for k, (a, b) in sides.items()))
+    s = grid.where(F.col("dem").isNotNull()).select("r", "c", "cell_id", "dem", F.explode(sent).alias("s"))
+    pick = lambda k, v: F.max(F.when(F.col("s.k") == k, F.col(v)))
+    s = s.groupBy((F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c")).agg(pick("o", "cell_id").alias("cell_id"), pick("o", "dem").alias("o"), *(pick(k, "dem").alias(k) for k in sides))
+
+    def slope(a: str, b: str, d: float):
+        have = F.col(a).isNotNull().cast("int") + F.col(b).isNotNull().cast("int")
+        return F.coalesce(F.try_divide(F.coalesce(a, "o") - F.coalesce(b, "o"), have * d), F.lit(0.0))
+
+    gx, gy = slope("e", "w", dx), slope("s", "n", dy)
+    az, alt = math.radians(90 - azimuth), math.radians(altitude)
+    lx, ly, lz = math.cos(az) * math.cos(alt), math.sin(az) * math.cos(alt), math.sin(alt)
+    light = (lz - lx * gx - ly * gy) / F.sqrt(1 + gx * gx + gy * gy)
+    return grid.select("cell_id").join(s.where("cell_id is not null").select("cell_id", F.least(F.greatest(light, F.lit(0.0)), F.lit(1.0)).alias("shade")), "cell_id", "left")
+
+
+def upward(axis: DataFrame) -> DataFrame:
+    """(i, v, k) of an axis (i, v): ``k`` counts from the lowest value, so that rows can be read from south to north."""
+    return axis.select("i", "v", (F.row_number().over(Window.orderBy("v", "i")) - 1).alias("k"))  # one axis
+
+
+def axis_values(low: float, high: float, step: float, rising: bool = True) -> list[float]:
+    """Values of an axis from one end to the other, both included where the step fits; ``step`` > 0."""
+    import math
+
+    if step <= 0:
+        raise ValueError("the resolution must be positive")
+    n = max(1, math.ceil((high - low) / step + 0.5 - 1e-9))
+    return [low + k * step if rising else high - k * step for k in range(n)]
+
+
 def slabs(grid: DataFrame, parts: int) -> DataFrame:
     """(r, active_rows, slab): rows in ``parts`` slabs of about equal numbers of active cells.
 

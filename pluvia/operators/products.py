@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions import scalars as S
+from pluvia.plans.storage import cut
 
 
 def flood_depth(placed: DataFrame, grid: DataFrame) -> DataFrame:
@@ -15,6 +16,13 @@ def flood_depth(placed: DataFrame, grid: DataFrame) -> DataFrame:
     return d.select("cell_id", S.depth_from_volume(F.col("vol"), F.col("area_m2"), F.col("active")).alias("depth_m"))
 
 
+def flood_depths(placed: DataFrame, grid: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step, cell_id, depth_m) of every cell at every output step: ``placed`` (step, node, vol)."""
+    all_ = grid.select("cell_id", "area_m2", "active").join(F.broadcast(steps.select("step")), F.lit(True))  # output steps of a run
+    v = placed.where("node is not null").groupBy("step", F.col("node").alias("cell_id")).agg(F.sum("vol").alias("vol"))
+    return all_.join(v, ["step", "cell_id"], "left").select("step", "cell_id", S.depth_from_volume(F.col("vol"), F.col("area_m2"), F.col("active")).alias("depth_m"))
+
+
 def running_max(depths: DataFrame, least_m: float = 0.01) -> DataFrame:
     """(step, cell_id, depth_max_m, inundated_max): maxima over the output steps so far; NULL depths are skipped."""
     w = Window.partitionBy("cell_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
@@ -22,50 +30,124 @@ def running_max(depths: DataFrame, least_m: float = 0.01) -> DataFrame:
     return depths.select("step", "cell_id", top.alias("depth_max_m"), S.inundated(top, F.lit(True), least_m).alias("inundated_max"))
 
 
-def robust_normalize(values: DataFrame, name: str, low: float = 5.0, high: float = 95.0) -> DataFrame:
-    """``values`` with ``<name>_norm``: clip((x - lo) / (hi - lo), 0, 1) between two exact percentiles of the valid values.
+#: Up to so many rows of a group Spark's exact percentile, which holds the distinct values in one task, is used.
+EXACT_ROWS = 1_000_000
+_BINS = 1024
 
-    Where they do not rise, those of the positive values; where those do not either, 0. NULL stays NULL. The statistics are one
-    row, computed with partial aggregation and broadcast.
+
+def order_statistics(values: DataFrame, by: str, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(by, name...): linear percentiles of columns in each group, exact, without bringing a group into one task.
+
+    ``wanted``: name -> (column, share). Every pass counts the values in equal bins between bounds that hold the wanted ranks, by
+    partial aggregation, and takes the least and largest value of each rank's bin for the next bounds, until they are equal.
+    Groups are few (output steps of a run): counts of bins are all that reaches the driver.
     """
-    x = S.finite(F.col(name))
-    p = lambda q, c: F.percentile(c, F.lit(q / 100.0))
-    pos = F.when(x > 0, x)
-    s = values.agg(p(low, x).alias("lo"), p(high, x).alias("hi"), p(low, pos).alias("plo"), p(high, pos).alias("phi"))
-    d = values.join(F.broadcast(s), F.lit(True))
-    part = lambda lo, hi: F.least(F.greatest((x - F.col(lo)) / (F.col(hi) - F.col(lo)), F.lit(0.0)), F.lit(1.0))
-    norm = F.when(F.col("hi") > F.col("lo"), part("lo", "hi")).when(F.col("phi") > F.col("plo"), part("plo", "phi")).otherwise(0.0)
-    return d.withColumn(f"{name}_norm", F.when(x.isNotNull(), norm)).drop("lo", "hi", "plo", "phi")
+    spark = values.sparkSession
+    names = list(wanted)
+    x = {n: wanted[n][0] for n in names}
+    first = values.groupBy(by).agg(*(f(x[n]).alias(f"{k}_{n}") for n in names for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max)))).collect()
+    bounds, found = {}, {}
+    for r in first:
+        for n in names:
+            count = r[f"n_{n}"]
+            place = wanted[n][1] * max(count - 1, 0)
+            for side in (0, 1):
+                rank = min(int(place) + side, max(count - 1, 0))
+                if not count:
+                    found[r[by], n, side] = (None, place - int(place))
+                else:
+                    bounds[r[by], n, side] = [r[f"lo_{n}"], r[f"hi_{n}"], rank, place - int(place)]
+    while bounds:
+        for key, (lo, hi, _, part) in list(bounds.items()):
+            if lo == hi:
+                found[key] = (lo, part)
+                del bounds[key]
+        if not bounds:
+            break
+        table = spark.createDataFrame([(g, n, side, lo, hi) for (g, n, side), (lo, hi, _, _) in bounds.items()], f"{by} {dict(values.dtypes)[by]}, name string, side int, lo double, hi double")
+        long = values.select(by, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), x[n].alias("x")) for n in names))).alias("v")).select(by, "v.name", "v.x")
+        inside = long.join(F.broadcast(table), [by, "name"]).where("x >= lo and x <= hi")
+        k = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _BINS), F.lit(_BINS - 1)).cast("int")
+        bins = inside.groupBy(by, "name", "side", k.alias("k")).agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        hist: dict = {}
+        for r in bins:
+            hist.setdefault((r[by], r["name"], r["side"]), []).append((r["k"], r["m"], r["lo"], r["hi"]))
+        for key, rows in hist.items():
+            rank = bounds[key][2]
+            for _, m, lo, hi in sorted(rows):
+                if rank < m:
+                    bounds[key] = [lo, hi, rank, bounds[key][3]]
+                    break
+                rank -= m
+    out = {}
+    for (g, n, side), (v, part) in found.items():
+        out.setdefault(g, {}).setdefault(n, {})[side] = (v, part)
+    rows = [(g, *(None if s[0][0] is None else s[0][0] + (s[1][0] - s[0][0]) * s[0][1] for s in (sides[n] for n in names))) for g, sides in out.items()]
+    return spark.createDataFrame(rows, f"{by} {dict(values.dtypes)[by]}, " + ", ".join(f"{n} double" for n in names))
+
+
+def normalized(values: DataFrame, columns: list[str], low: float = 5.0, high: float = 95.0, by: str | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """``values`` with ``<name>_norm`` of every column: clip((x - lo) / (hi - lo), 0, 1) between two exact percentiles.
+
+    Where they do not rise, those of the positive values; where those do not either, 0. NULL stays NULL. ``by``: percentiles of
+    each group (output steps). Small groups take one aggregation, larger ones :func:`order_statistics`; either way a row for each
+    group is broadcast.
+    """
+    group = by or "_all"
+    d = values if by else values.withColumn(group, F.lit(0))
+    x = {c: S.finite(F.col(c)) for c in columns}
+    wanted = {f"{k}_{c}": (x[c] if k in ("lo", "hi") else F.when(x[c] > 0, x[c]), (low if k in ("lo", "plo") else high) / 100.0) for c in columns for k in ("lo", "hi", "plo", "phi")}
+    size = d.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if size <= exact_rows:
+        s = d.groupBy(group).agg(*(F.percentile(v, F.lit(q)).alias(n) for n, (v, q) in wanted.items()))
+    else:
+        s = order_statistics(d, group, wanted)
+    d = d.join(F.broadcast(s), group)  # a row for each output step
+    for c in columns:
+        part = lambda lo, hi, c=c: F.least(F.greatest((x[c] - F.col(lo)) / (F.col(hi) - F.col(lo)), F.lit(0.0)), F.lit(1.0))
+        norm = F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), part(f"lo_{c}", f"hi_{c}")).when(F.col(f"phi_{c}") > F.col(f"plo_{c}"), part(f"plo_{c}", f"phi_{c}")).otherwise(0.0)
+        d = d.withColumn(f"{c}_norm", F.when(x[c].isNotNull(), norm))
+    return d.drop(*wanted, *([] if by else [group]))
+
 
+def robust_normalize(values: DataFrame, name: str, low: float = 5.0, high: float = 95.0) -> DataFrame:
+    return normalized(values, [name], low, high)
 
-def risk_index(cells: DataFrame, balance: float = 0.55, low: float = 5.0, high: float = 95.0) -> DataFrame:
-    """(cell_id, risk): runoff ``q_cum_mm`` and upstream area ``acc_m2`` of cells, normalised and blended; active cells only."""
-    d = robust_normalize(robust_normalize(cells.where("active"), "q_cum_mm", low, high), "acc_m2", low, high)
-    return d.select("cell_id", S.risk_blend(F.col("q_cum_mm_norm"), F.col("acc_m2_norm"), balance).alias("risk"))
 
+def risk_index(cells: DataFrame, balance: float = 0.55, low: float = 5.0, high: float = 95.0, by: str | None = None) -> DataFrame:
+    """([by, ]cell_id, risk): runoff ``q_cum_mm`` and upstream area ``acc_m2`` of cells, normalised and blended; active cells only."""
+    d = normalized(cut(cells.where("active")), ["q_cum_mm", "acc_m2"], low, high, by)
+    return d.select(*([by] if by else []), "cell_id", S.risk_blend(F.col("q_cum_mm_norm"), F.col("acc_m2_norm"), balance).alias("risk"))
 
-def volume_balance(runoff: DataFrame, outflow: DataFrame) -> DataFrame:
+
+def volume_balance(runoff: DataFrame, outflow: DataFrame, stored: DataFrame | None = None, before: dict | None = None) -> DataFrame:
     """(step, rain_m3, runoff_m3, outflow_m3, rain_cum_m3, runoff_cum_m3, outflow_cum_m3, stored_m3) by step.
 
-    ``runoff``: (step, rain_mm, dq_mm, area_m2), ``outflow``: (step, vol). Steps are one run's clock: few rows.
+    ``runoff``: (step, rain_mm, dq_mm, area_m2), ``outflow``: (step, vol). ``stored``: (step, vol) as measured from the parcels;
+    NULL without. ``before``: totals of the run that this one carries on. Steps are one run's clock: few rows.
     """
     by = runoff.groupBy("step").agg(F.sum(F.col("rain_mm") / 1000.0 * F.col("area_m2")).alias("rain_m3"), F.sum(F.col("dq_mm") / 1000.0 * F.col("area_m2")).alias("runoff_m3"))
     out = outflow.groupBy("step").agg(F.sum("vol").alias("outflow_m3"))
     b = by.join(out, "step", "left").withColumn("outflow_m3", F.coalesce("outflow_m3", F.lit(0.0)))
     w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     for name in ("rain", "runoff", "outflow"):
-        b = b.withColumn(f"{name}_cum_m3", F.sum(f"{name}_m3").over(w))
-    return b.withColumn("stored_m3", F.col("runoff_cum_m3") - F.col("outflow_cum_m3"))
+        b = b.withColumn(f"{name}_cum_m3", F.sum(f"{name}_m3").over(w) + float((before or {}).get(f"{name}_cum_m3", 0.0)))
+    if stored is None:
+        return b.withColumn("stored_m3", F.lit(None).cast("double"))
+    return b.join(stored.select("step", F.col("vol").alias("stored_m3")), "step", "left")
+
 
+def quality_report(balance: DataFrame) -> DataFrame:
+    """One row: errors of the measured stored volume against runoff less outflow, shares, and whether they are within limits.
 
-def quality_report(balance: DataFrame, stored: Column | None = None) -> DataFrame:
-    """One row: errors of stored volume against runoff less outflow, shares, and whether they are within limits."""
-    stored = F.col("stored_m3") if stored is None else stored
-    err = stored - (F.col("runoff_cum_m3") - F.col("outflow_cum_m3"))
+    Without a measured volume the errors and ``numerical_ok`` are NULL.
+    """
+    err = F.col("stored_m3") - (F.col("runoff_cum_m3") - F.col("outflow_cum_m3"))
     q = balance.agg(
         F.max(F.abs(err)).alias("mass_error_max_m3"), F.avg(err).alias("mass_error_mean_m3"), F.max("rain_cum_m3").alias("rain_m3"), F.max("runoff_cum_m3").alias("runoff_m3"), F.max("outflow_cum_m3").alias("outflow_m3")
     )
     limit = 1e-3 * F.greatest(F.col("runoff_m3"), F.col("rain_m3"), F.lit(1.0)) + 1e-6
+    q = q.withColumn("mass_error_pct", 100 * F.try_divide(F.col("mass_error_max_m3"), F.col("runoff_m3")))
     return q.withColumn("runoff_ratio", F.try_divide(F.col("runoff_m3"), F.col("rain_m3"))).withColumn("numerical_ok", F.col("mass_error_max_m3") <= limit).withColumn("hydrological_ok", (F.col("runoff_m3") <= F.col("rain_m3") + limit) & (F.col("outflow_m3") <= F.col("runoff_m3") + limit))
 
 
@@ -76,3 +158,34 @@ def saved_steps(steps: DataFrame, dt_s: float, every_s: float) -> DataFrame:
     s = steps.join(F.broadcast(last), F.lit(True))
     due = F.floor(end / every_s + 1e-9) > F.floor(before / every_s + 1e-9) if every_s > 0 else F.lit(False)
     return s.where(due | (F.col("step") == F.col("last"))).select("step", F.floor(end / every_s + 1e-9).cast("int").alias("rotation") if every_s > 0 else F.lit(0).alias("rotation"))
+
+
+def shown(value: Column, threshold: float | None = None, positive: bool = True) -> Column:
+    """What a map shows of a depth: finite values above the threshold, and above 0 unless told otherwise; NULL is clear."""
+    v = S.finite(value)
+    ok = v.isNotNull()
+    ok = ok if threshold is None else ok & (v > threshold)
+    return F.when(ok & (v > 0) if positive else ok, v)
+
+
+def colour_top(values: DataFrame, name: str, percent: float = 99.5, low: float = 0.0) -> DataFrame:
+    """(top): the upper end of a colour scale, a percentile of the finite values; a little above ``low`` where there are none."""
+    x = S.finite(F.col(name))
+    if values.count() <= EXACT_ROWS:
+        top = values.agg(F.percentile(x, F.lit(percent / 100.0)).alias("top"))
+    else:
+        top = order_statistics(values.withColumn("_all", F.lit(0)), "_all", {"top": (x, percent / 100.0)}).select("top")
+    return top.select(F.when(F.col("top") > 0, F.col("top")).otherwise(low + 1e-3).alias("top"))
+
+
+def summaries(samples: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, mean, p50, p95, max) of timings: rows by step or task, few."""
+    v = F.col(value)
+    return samples.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.95)).alias("p95"), F.max(v).alias("max"))
+
+
+def hops(parcels: DataFrame, schedule: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step, moved): particles that move to another cell, or out, in each step of the clock."""
+    due = parcels.groupBy("cell_id", "step0").agg(F.sum("n").alias("n")).join(schedule.where("due is not null").select("cell_id", "due"), "cell_id")
+    moved = due.groupBy((F.col("step0") + F.col("due")).alias("step")).agg(F.sum("n").alias("moved"))
+    return steps.select("step").join(moved, "step", "left").fillna(0, ["moved"])

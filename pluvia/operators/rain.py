@@ -37,24 +37,50 @@ def pick_slices(steps: DataFrame, slices: DataFrame, select: str) -> DataFrame:
     return both.select("source", "step", pick.alias("k"))
 
 
-def blend(picked: DataFrame, rates: DataFrame, weights: dict[str, float], mode: str, dt_s: float) -> DataFrame:
-    """(step, cell_id, rain_mm): weighted sum over sources of each step's rain; sources of weight 0 are not read."""
+def pick_by_source(steps: DataFrame, slices: DataFrame, select: dict[str, str]) -> DataFrame:
+    """(source, step, k) with a way to select of its own for every source."""
+    out = None
+    for how in sorted(set(select.values())):
+        one = pick_slices(steps, slices.where(F.col("source").isin([s for s, h in select.items() if h == how])), how)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def blend(picked: DataFrame, rates: DataFrame, weights: dict[str, float], mode: str | dict[str, str], dt_s: float) -> DataFrame:
+    """(step, cell_id, rain_mm): weighted sum over sources of each step's rain; sources of weight 0 are not read.
+
+    ``mode`` is one for all sources or one for each.
+    """
     used = {k: w for k, w in weights.items() if w}
-    weight = F.lit(0.0)
+    mm = F.lit(0.0)
     for name, w in used.items():
-        weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
+        rate = S.rain_to_step_mm(F.col("rate"), mode if isinstance(mode, str) else mode[name], dt_s)
+        mm = F.when(F.col("source") == name, rate * float(w)).otherwise(mm)
     # clamping comes before weights, so that negative weights take rain away
-    r = rates.where(F.col("source").isin(list(used))).withColumn("mm", S.rain_to_step_mm(F.col("rate"), mode, dt_s) * weight)
+    r = rates.where(F.col("source").isin(list(used))).withColumn("mm", mm)
     return picked.where(F.col("source").isin(list(used))).join(r, ["source", "k"]).groupBy("step", "cell_id").agg(F.sum("mm").alias("rain_mm"))
 
 
-def runoff_steps(rain: DataFrame, grid: DataFrame, ia_ratio: float = 0.2, compat: str = "documented") -> DataFrame:
-    """(step, cell_id, p_cum_mm, q_cum_mm, dq_mm): running rain, curve-number runoff and its growth, for active cells."""
+def scalar_rain(grid: DataFrame, name: str, value: float) -> DataFrame:
+    """(source, k, t, cell_id, rate): the same rain on every cell, at all times."""
+    return grid.select(F.lit(name).alias("source"), F.lit(0).alias("k"), F.timestamp_seconds(F.lit(0)).alias("t"), "cell_id", F.lit(float(value)).alias("rate"))
+
+
+def runoff_steps(rain: DataFrame, grid: DataFrame, ia_ratio: float = 0.2, compat: str = "documented", start: DataFrame | None = None) -> DataFrame:
+    """(step, cell_id, rain_mm, p_cum_mm, q_cum_mm, dq_mm): running rain, curve-number runoff and its growth, for active cells.
+
+    ``start`` (cell_id, p_cum_mm, q_cum_mm): what an earlier run left behind.
+    """
     w = Window.partitionBy("cell_id").orderBy("step")
     g = grid.where("active").select("cell_id", "cn")
-    d = rain.join(g, "cell_id").withColumn("p_cum_mm", F.sum("rain_mm").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = rain.join(g, "cell_id")
+    if start is None:
+        d = d.withColumn("p0", F.lit(0.0)).withColumn("q0", F.lit(0.0))
+    else:
+        d = d.join(start.select("cell_id", F.col("p_cum_mm").alias("p0"), F.col("q_cum_mm").alias("q0")), "cell_id", "left").fillna(0.0, ["p0", "q0"])
+    d = d.withColumn("p_cum_mm", F.col("p0") + F.sum("rain_mm").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("q_cum_mm", S.scs_runoff_mm(F.col("p_cum_mm"), F.col("cn"), ia_ratio, compat))
-    return d.select("step", "cell_id", "rain_mm", "p_cum_mm", "q_cum_mm", F.greatest(F.col("q_cum_mm") - F.coalesce(F.lag("q_cum_mm").over(w), F.lit(0.0)), F.lit(0.0)).alias("dq_mm"))
+    return d.select("step", "cell_id", "rain_mm", "p_cum_mm", "q_cum_mm", F.greatest(F.col("q_cum_mm") - F.coalesce(F.lag("q_cum_mm").over(w), F.col("q0")), F.lit(0.0)).alias("dq_mm"))
 
 
 def advances(picked: DataFrame) -> DataFrame:

@@ -34,6 +34,11 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("area_m2", S.sphere_cell_area(F.col("y"), DX, DY))
 
 
+def rows(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the grid."""
+    return grid(spark, sf_dir).agg(F.max("r") + 1).first()[0]
+
+
 GRID = """grid AS (SELECT p_partkey AS cell_id, CAST(p_partkey // 40 AS INTEGER) AS r, CAST(p_partkey % 40 AS INTEGER) AS c,
   CASE WHEN p_partkey % 89 <> 88 THEN CAST((p_partkey // 40) * 16 + abs(p_partkey % 40 - 20) * 10 + ((p_partkey * 37) % 11) * 3 AS DOUBLE) END AS dem,
   CAST(40 + p_size AS DOUBLE) AS cn, p_partkey % 7 = 0 AS channel, p_partkey % 89 <> 88 AS active,
@@ -58,14 +63,14 @@ def directed(g: DataFrame) -> DataFrame:
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, k, t, base): mean value of each event type and day, every 4th day of a source missing."""
+    """(source, k, t, base): mean value of each event type and day."""
     e = read(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "value")
-    e = e.groupBy(F.col("event_type").alias("source"), "day").agg(F.round(F.avg("value") / 20, 4).alias("base")).where("day(day) % 4 <> 0")
+    e = e.groupBy(F.col("event_type").alias("source"), "day").agg(F.round(F.avg("value") / 20, 4).alias("base"))
     return e.select("source", F.day("day").alias("k"), F.to_timestamp("day").alias("t"), "base")
 
 
 SLICES = """slices AS (SELECT event_type AS source, CAST(day(ts) AS INTEGER) AS k, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS t, round(avg(value) / 20, 4) AS base
-  FROM events WHERE day(ts) % 4 <> 0 GROUP BY ALL)"""
+  FROM events GROUP BY ALL)"""
 
 
 def steps(spark: SparkSession) -> DataFrame:

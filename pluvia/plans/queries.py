@@ -198,13 +198,13 @@ def runoff_increment(spark, d):
     return _runoff(spark, d).select("step", "cell_id", rnd("p_cum_mm"), rnd("q_cum_mm"), rnd("dq_mm"))
 
 
-#: Parcels for routing: one batch for each cell whose id is a multiple of 3, spawned at step id % 4, of whole cubic metres.
+#: Parcels for routing: one batch for each active cell, spawned at step id % 4, of whole cubic metres.
 def _parcels(spark, d):
-    g = X.grid(spark, d).where("active and cell_id % 3 = 0")
+    g = X.grid(spark, d).where("active")
     return g.select("cell_id", (F.col("cell_id") % 4).cast("int").alias("step0"), (F.col("cell_id") % 5 + 1).cast("long").alias("n"), (F.col("cell_id") % 11 + 1).cast("double").alias("vol"))
 
 
-_PARCELS = "parcels AS (SELECT cell_id, CAST(cell_id % 4 AS INTEGER) AS step0, cell_id % 5 + 1 AS n, CAST(cell_id % 11 + 1 AS DOUBLE) AS vol FROM grid WHERE active AND cell_id % 3 = 0)"
+_PARCELS = "parcels AS (SELECT cell_id, CAST(cell_id % 4 AS INTEGER) AS step0, cell_id % 5 + 1 AS n, CAST(cell_id % 11 + 1 AS DOUBLE) AS vol FROM grid WHERE active)"
 DT = 600.0
 
 
@@ -377,26 +377,67 @@ def risk_class_as_coded(spark, d):
     return _classes(spark, d, "as_coded")
 
 
+def _routed(spark, d):
+    """Runoff, its parcels and their schedule over the rain's own steps."""
+    r = L.cut(_runoff(spark, d).select("step", "cell_id", "rain_mm", "dq_mm", "area_m2"))
+    g, f = _flow(spark, d)
+    schedule = L.cut(L.hop_schedule(L.paths(f, X.N_STEPS + 1), _travel(g), X.STEP_S))
+    return r, L.spawn(r, 50000.0), schedule
+
+
 def _balance(spark, d):
-    r = _runoff(spark, d).select("step", "rain_mm", "dq_mm", "area_m2")
-    share = r.where("step >= 2").select((F.col("step")).alias("step"), (F.col("dq_mm") / 1000 * F.col("area_m2") * 0.25).alias("vol"))
-    return P.volume_balance(r, share)
+    r, parcels, schedule = _routed(spark, d)
+    out = L.outflow_events(parcels, schedule).where(F.col("step") < X.N_STEPS)
+    return P.volume_balance(r, out, L.in_grid(parcels, schedule, X.steps(spark)))
 
 
-_BALANCE = f"""{_RAIN}, b AS (SELECT step, sum(rain_mm / 1000 * area_m2) AS rain, sum(dq / 1000 * area_m2) AS run, CASE WHEN step >= 2 THEN sum(dq / 1000 * area_m2 * 0.25::DOUBLE) ELSE 0 END AS outf FROM runoff GROUP BY step),
-bal AS (SELECT step, rain, run, outf, sum(rain) OVER (ORDER BY step) AS rc, sum(run) OVER (ORDER BY step) AS uc, sum(outf) OVER (ORDER BY step) AS oc FROM b)"""
+#: The literal clock over the rain's steps of six hours, with the parcels that the runoff makes.
+_BALANCE = (
+    _RAIN.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", {X.D8}, {TRAVEL}, made AS (SELECT cell_id, step AS step0, dq / 1000 * area_m2 AS vol FROM runoff WHERE dq > 0),
+moves AS (SELECT step0, vol, cell_id AS cur, 0.0::DOUBLE AS tau, step0 - 1 AS step, FALSE AS gone FROM made
+  UNION ALL SELECT step0, vol, CASE WHEN tau - 21600 <= 1e-9 THEN ds_id ELSE cur END, CASE WHEN tau - 21600 <= 1e-9 THEN tau - 21600 + coalesce(travel_s, 0) ELSE tau - 21600 END,
+    step + 1, tau - 21600 <= 1e-9 AND ds_id IS NULL FROM moves JOIN flow ON flow.cell_id = cur LEFT JOIN travel ON node = ds_id WHERE NOT gone AND step < 23),
+held AS (SELECT step, sum(CASE WHEN gone THEN vol ELSE 0 END) AS outf, sum(CASE WHEN gone THEN 0 ELSE vol END) AS stored FROM moves WHERE step >= step0 GROUP BY step),
+b AS (SELECT step, sum(rain_mm / 1000 * area_m2) AS rain, sum(dq / 1000 * area_m2) AS run FROM runoff GROUP BY step),
+bal AS (SELECT b.step, rain, run, coalesce(outf, 0) AS outf, coalesce(stored, 0) AS stored, sum(rain) OVER w AS rc, sum(run) OVER w AS uc, sum(coalesce(outf, 0)) OVER w AS oc FROM b LEFT JOIN held USING (step) WINDOW w AS (ORDER BY b.step))"""
+)
 
 
-@query(f"{_BALANCE} SELECT step, round(rain) AS rain_m3, round(run) AS runoff_m3, round(outf) AS outflow_m3, round(rc) AS rain_cum_m3, round(uc) AS runoff_cum_m3, round(oc) AS outflow_cum_m3, round(uc - oc) AS stored_m3 FROM bal")
+@query(f"{_BALANCE} SELECT step, round(rain) AS rain_m3, round(run) AS runoff_m3, round(outf) AS outflow_m3, round(rc) AS rain_cum_m3, round(uc) AS runoff_cum_m3, round(oc) AS outflow_cum_m3, round(stored) AS stored_m3 FROM bal")
 def volume_balance(spark, d):
     b = _balance(spark, d)
     return b.select("step", *(F.round(c).alias(c) for c in b.columns if c != "step"))
 
 
-@query(f"{_BALANCE} SELECT round(max(rc)) AS rain_m3, round(max(uc)) AS runoff_m3, round(max(oc)) AS outflow_m3, round(max(uc) / max(rc), 6) AS runoff_ratio, TRUE AS numerical_ok, TRUE AS hydrological_ok FROM bal")
+@query(f"""{_BALANCE} SELECT round(max(abs(stored - (uc - oc)))) AS mass_error_m3, round(max(rc)) AS rain_m3, round(max(uc)) AS runoff_m3, round(max(oc)) AS outflow_m3, round(max(uc) / max(rc), 6) AS runoff_ratio,
+  max(abs(stored - (uc - oc))) <= 1e-3 * greatest(max(uc), max(rc), 1) + 1e-6 AS numerical_ok, max(uc) <= max(rc) * 1.001 AND max(oc) <= max(uc) + 1e-3 * max(rc) AS hydrological_ok FROM bal""")
 def quality_report(spark, d):
     q = P.quality_report(_balance(spark, d))
-    return q.select(*(F.round(c).alias(c) for c in ("rain_m3", "runoff_m3", "outflow_m3")), rnd("runoff_ratio"), "numerical_ok", "hydrological_ok")
+    return q.select(F.round("mass_error_max_m3").alias("mass_error_m3"), *(F.round(c).alias(c) for c in ("rain_m3", "runoff_m3", "outflow_m3")), rnd("runoff_ratio"), "numerical_ok", "hydrological_ok")
+
+
+@query(f"{_CLOCK} SELECT step, sum(n)::BIGINT AS moved FROM moves WHERE step >= step0 AND (gone OR cur <> prev) AND step <= 39 GROUP BY step")
+def particle_hops(spark, d):
+    s, _, _ = _schedule(spark, d, 42)
+    clock = spark.range(40).select(F.col("id").cast("int").alias("step"))
+    return P.hops(_parcels(spark, d), s, clock).where("moved > 0").select(F.col("step").cast("int").alias("step"), "moved")
+
+
+@query(f"{_RAIN} SELECT step, cell_id, round(p, 6) AS p_cum_mm, round(q, 6) AS q_cum_mm, round(dq, 6) AS dq_mm FROM runoff WHERE step >= 12")
+def restart_runoff(spark, d):
+    """The second half of a run from the state that the first one left."""
+    g, mm = X.grid(spark, d), L.cut(_blended(spark, d))
+    first = R.runoff_steps(mm.where("step < 12"), g)
+    state = first.groupBy("cell_id").agg(F.max_by("p_cum_mm", "step").alias("p_cum_mm"), F.max_by("q_cum_mm", "step").alias("q_cum_mm"))
+    return R.runoff_steps(mm.where("step >= 12"), g, start=L.cut(state)).select("step", "cell_id", rnd("p_cum_mm"), rnd("q_cum_mm"), rnd("dq_mm"))
+
+
+@query(f"{_CLOCK} SELECT step, cur AS node, sum(n)::BIGINT AS n, round(sum(vol), 6) AS vol FROM moves WHERE step IN (3, 9, 19) AND step >= step0 AND NOT gone GROUP BY ALL")
+def advect_output_steps(spark, d):
+    s, _, _ = _schedule(spark, d, 21)
+    saved = spark.createDataFrame([(3,), (9,), (19,)], "step int")
+    return L.advect_to(_parcels(spark, d), s, saved).where("node is not null").select("step", "node", "n", rnd("vol"))
 
 
 @query("SELECT CAST(i AS INTEGER) AS step, CAST(floor((i + 1) * 600 / 3600.0 + 1e-9) AS INTEGER) AS rotation FROM range(0, 50) s(i) WHERE (i + 1) % 6 = 0 OR i = 49")
@@ -534,9 +575,9 @@ def _points(spark, d):
     return X.read(spark, d, "customer").select(k.alias("feature_id"), (k * 13 % 430 / 10.0).alias("px"), (k * 29 % 520 / 10.0).alias("py"))
 
 
-@query(f"WITH {X.GRID}, {_VALUES}, {_POINT} SELECT feature_id, cell_id, round(depth_m, 6) AS depth_m, round(risk, 6) AS risk FROM points LEFT JOIN vals ON c = least(ceil(px - 0.5), 39) AND r = least(ceil(py - 0.5), 49)")
+@query(f"WITH {X.GRID}, {_VALUES}, {_POINT} SELECT feature_id, cell_id, round(depth_m, 6) AS depth_m, round(risk, 6) AS risk FROM points LEFT JOIN vals ON c = least(ceil(px - 0.5), 39) AND r = least(ceil(py - 0.5), (SELECT max(r) FROM grid))")
 def zonal_point(spark, d):
-    return Z.sample_points(_points(spark, d), 0.0, 1.0, 40, 0.0, 1.0, 50, _values(spark, d)).select("feature_id", "cell_id", rnd("depth_m"), rnd("risk"))
+    return Z.sample_points(_points(spark, d), 0.0, 1.0, X.NCOL, 0.0, 1.0, X.rows(spark, d), _values(spark, d)).select("feature_id", "cell_id", rnd("depth_m"), rnd("risk"))
 
 
 @query(f"WITH {_POINT} SELECT feature_id, CAST((SELECT min_by(i, abs(i - px) * 1000 + i) FROM range(0, 40) t(i)) AS INTEGER) AS c FROM points")

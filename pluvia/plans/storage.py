@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint below ``spark.checkpoint.dir``; a temporary folder is set only where none is (tests)."""
+    """Reliable checkpoint below ``spark.checkpoint.dir``; unset, a temporary folder in local mode only."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "pluvia-checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)

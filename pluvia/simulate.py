@@ -1,26 +1,29 @@
 """A whole run: grid and rain to runoff, routing, depth, risk and balance, as one plan without a step loop.
 
-    python -m pluvia.simulate --grid grid.parquet --rain rain.parquet --out folder [--config run.json]
+    python -m pluvia.simulate --grid grid.parquet --rain rain.parquet --out folder [--config run.json] [--restart folder]
 
 ``grid``: (cell_id, r, c, x, y, dem, cn, channel[, d8]); ``rain``: (source, k, t, cell_id, rate). Runoff comes from windows over
-steps, routing from hop schedules; a result step is an as-of lookup.
+steps, routing from hop schedules; all output steps are one as-of lookup. Steps count on over restarts, so that a run in pieces
+gives what a whole one does: parcels keep the step they were spawned at, and their place follows from it.
 """
 
 from __future__ import annotations
 
 import argparse
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia import config
+from pluvia import config, report
 from pluvia.functions import scalars as S
 from pluvia.operators import flow as L
 from pluvia.operators import grid as G
 from pluvia.operators import products as P
 from pluvia.operators import rain as R
 from pluvia.plans import state
+from pluvia.sources import domain, files
 
 
 @dataclass
@@ -31,11 +34,27 @@ class Run:
     outflow: DataFrame
     cells: DataFrame
     parcels: DataFrame
+    runoff: DataFrame
+    schedule: DataFrame
+    start: state.State | None = None
 
+    def state_at(self, step: int, dt_s: float) -> state.State:
+        """What a later run needs to go on after ``step``."""
+        last = self.runoff.where(F.col("step") <= step).groupBy("cell_id").agg(F.max_by("p_cum_mm", "step").alias("p_cum_mm"), F.max_by("q_cum_mm", "step").alias("q_cum_mm"))
+        cells = self.cells.select("cell_id").join(last, "cell_id", "left")
+        if self.start is not None:
+            before = self.start.cells.select("cell_id", F.col("p_cum_mm").alias("p0"), F.col("q_cum_mm").alias("q0"))
+            cells = cells.join(before, "cell_id", "left").select("cell_id", F.coalesce("p_cum_mm", "p0").alias("p_cum_mm"), F.coalesce("q_cum_mm", "q0").alias("q_cum_mm"))
+        b = self.balance.where(F.col("step") == step).first()
+        totals = {k: b[k] if b else 0.0 for k in ("rain_cum_m3", "runoff_cum_m3", "outflow_cum_m3")}
+        return state.State(cells.fillna(0.0), L.active_parcels(self.parcels, self.schedule, step), {"step": step, "dt_s": dt_s, "elapsed_s": (step + 1) * dt_s, **totals})
 
-def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict) -> Run:
+
+def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict, start: state.State | None = None) -> Run:
     """``steps`` (step, t). Results are the output steps that the configuration saves, and always the last."""
     m, out, auto = cfg["model"], cfg["output"], cfg["travel_time_auto"]
+    if start is not None and start.scalars.get("dt_s", m["dt_s"]) != m["dt_s"]:
+        raise ValueError("a run goes on with the time step it began with")
     dx = G.median_step(grid.select(F.col("c").alias("i"), F.col("x").alias("v")).distinct()).first()[0] or 1.0
     dy = G.median_step(grid.select(F.col("r").alias("i"), F.col("y").alias("v")).distinct()).first()[0] or dx
     g = grid if "d8" in grid.columns else grid.join(G.d8_from_dem(grid, dx, dy), "cell_id", "left")
@@ -52,58 +71,93 @@ def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict) -> R
         travel = F.when(channel, F.lit(m["travel_time_channel_s"])).otherwise(F.lit(m["travel_time_s"]))
     travel = g.select(F.col("cell_id").alias("node"), travel.alias("travel_s"))
     slices = rain.select("source", "k", "t").distinct()
-    weights = cfg["rain"]["sources"] or {r[0]: cfg["rain"]["weight"] for r in slices.select("source").distinct().collect()}
-    mm = R.blend(R.pick_slices(steps, slices, cfg["rain"]["select"]), rain.select("source", "k", "cell_id", "rate"), weights, cfg["rain"]["mode"], m["dt_s"])
-    runoff = R.runoff_steps(mm, g, m["ia_ratio"]).join(g.select("cell_id", "area_m2"), "cell_id")
+    sources = config.rain_sources(cfg, [r[0] for r in slices.select("source").distinct().collect()])  # as many as are configured
+    of = lambda k: {n: x[k] for n, x in sources.items()}
+    picked = R.pick_by_source(steps, slices, of("select"))
+    mm = R.blend(picked, rain.select("source", "k", "cell_id", "rate"), of("weight"), of("mode"), m["dt_s"])
+    runoff = R.runoff_steps(mm, g, m["ia_ratio"], start=start and start.cells).join(g.select("cell_id", "area_m2"), "cell_id")
     runoff = L.cut(runoff)
     parcels = L.spawn(runoff, m["particle_vol_m3"])
-    last = steps.agg(F.max("step")).first()[0]
-    schedule = L.cut(L.hop_schedule(L.paths(flow, int(last) + 1), travel, m["dt_s"]))
-    outflow = L.outflow_events(parcels, schedule).where(F.col("step") <= last)
-    saved = [r[0] for r in P.saved_steps(steps, m["dt_s"], out["save_every_s"]).select("step").orderBy("step").collect()]
-    depth = None
-    for k in saved:
-        one = P.flood_depth(L.advect(parcels, schedule, k), g).withColumn("step", F.lit(k))
-        depth = one if depth is None else depth.unionByName(one)
-    acc = L.flow_accumulation(g.select("cell_id", "active", "area_m2"), flow)
-    q = runoff.select("step", "cell_id", "q_cum_mm").where(F.col("step").isin(saved))
-    risk = None
-    for k in saved:
-        cells = g.select("cell_id", "active").join(acc, "cell_id").join(q.where(F.col("step") == k).drop("step"), "cell_id", "left").withColumn("q_cum_mm", F.coalesce("q_cum_mm", F.lit(0.0)))
-        one = P.risk_index(cells, cfg["risk"]["balance"], cfg["risk"]["p_low"], cfg["risk"]["p_high"]).withColumn("step", F.lit(k))
-        risk = one if risk is None else risk.unionByName(one)
+    if start is not None:
+        parcels = parcels.unionByName(start.parcels.select(*parcels.columns))
+    parcels = L.cut(parcels)
+    first, last = steps.agg(F.min("step"), F.max("step")).first()
+    begun = parcels.agg(F.min("step0")).first()[0]
+    hops = int(last) - int(first if begun is None else begun) + 1
+    schedule = L.cut(L.hop_schedule(L.paths(flow, hops), travel, m["dt_s"]))
+    outflow = L.outflow_events(parcels, schedule).where(F.col("step").between(first, last))
+    saved = L.cut(P.saved_steps(steps.select("step"), m["dt_s"], out["save_every_s"]).select("step"))
     least = out["inundation_threshold_m"]
+    depth = L.cut(P.flood_depths(L.advect_to(parcels, schedule, saved), g, saved))
+    acc = L.flow_accumulation(g.select("cell_id", "active", "area_m2"), flow)
+    # cumulated runoff as of each output step: one running window over runoff and questions, ordered by step
+    q = runoff.select("step", "cell_id", "q_cum_mm", F.lit(0).alias("ask"))
+    if start is not None:
+        q = q.unionByName(start.cells.select(F.lit(int(first) - 1).alias("step"), "cell_id", "q_cum_mm", F.lit(0).alias("ask")))
+    asked = g.where("active").select("cell_id").join(F.broadcast(saved), F.lit(True)).select("step", "cell_id", F.lit(None).cast("double").alias("q_cum_mm"), F.lit(1).alias("ask"))
+    so_far = Window.partitionBy("cell_id").orderBy("step", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    q = q.unionByName(asked).withColumn("q_cum_mm", F.last("q_cum_mm", True).over(so_far)).where("ask = 1").drop("ask")
+    cells = g.select("cell_id", "active").join(acc, "cell_id").join(F.broadcast(saved), F.lit(True)).join(q, ["step", "cell_id"], "left").fillna(0.0, ["q_cum_mm"])
+    risk = P.risk_index(cells, cfg["risk"]["balance"], cfg["risk"]["p_low"], cfg["risk"]["p_high"], by="step")
     top = P.running_max(depth, least).withColumnsRenamed({"depth_max_m": "flood_depth_max", "inundated_max": "inundation_mask_max"})
-    results = depth.join(risk, ["step", "cell_id"], "left").join(top, ["step", "cell_id"]).join(steps, "step")
+    results = depth.join(risk, ["step", "cell_id"], "left").join(top, ["step", "cell_id"]).join(F.broadcast(steps), "step")
     names = {"flood_depth": F.col("depth_m"), "risk_index": F.col("risk"), "inundation_mask": S.inundated(F.col("depth_m"), F.col("depth_m").isNotNull(), least)}
     chosen = config.output_variables(out["variables"])
     results = results.select("step", "t", "cell_id", *(names.get(v, F.col(v)).alias(v) for v in chosen if v in names or v in top.columns))
-    balance = P.volume_balance(runoff, outflow)
-    return Run(results, balance, P.quality_report(balance), outflow, runoff.where(F.col("step") == last).select("cell_id", "p_cum_mm", "q_cum_mm"), parcels)
+    # measured from the parcels, those of an earlier run included, so that the balance can be wrong
+    stored = L.in_grid(parcels, schedule, spanned(parcels, steps))
+    balance = L.cut(P.volume_balance(runoff, outflow, stored, start and start.scalars))
+    state_ = runoff.groupBy("cell_id").agg(F.max_by("p_cum_mm", "step").alias("p_cum_mm"), F.max_by("q_cum_mm", "step").alias("q_cum_mm"))
+    return Run(results, balance, P.quality_report(balance), outflow, g.select("cell_id").join(state_, "cell_id", "left").fillna(0.0), parcels, runoff, schedule, start)
+
+
+def spanned(parcels: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step) of the run and the earlier steps at which its parcels were spawned: a clock, few rows."""
+    return steps.select("step").unionByName(parcels.select(F.col("step0").alias("step")).distinct()).distinct()
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="rainfall to runoff, routing, depth and risk")
-    for name in ("grid", "rain", "out"):
+    for name in ("grid", "out"):
         p.add_argument(f"--{name}", required=True)
+    p.add_argument("--rain", help="table of rain; without it the configuration's sources are read")
     p.add_argument("--config")
     p.add_argument("--start", default="1970-01-01T00:00:00Z")
     p.add_argument("--T-s", type=float)
     p.add_argument("--dt-s", type=float)
+    p.add_argument("--restart", help="state of an earlier run to go on from")
+    p.add_argument("--report", help="path of a JSON report")
     a = p.parse_args(argv)
     from pyspark.sql import SparkSession
 
+    began = time.time()
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     cfg = config.load(a.config, model={k: v for k, v in (("T_s", a.T_s), ("dt_s", a.dt_s)) if v is not None})
     dt = cfg["model"]["dt_s"]
     n = max(1, int(-(-cfg["model"]["T_s"] // dt)))
+    grid = spark.read.parquet(a.grid)
+    begin = a.restart or cfg["restart"]["read"]
+    before = state.read(spark, begin, grid.count() if cfg["restart"]["strict_grid"] else None) if begin else None
+    first = before.scalars["step"] + 1 if before else 0
     start = S.iso_timestamp(F.lit(a.start))
-    steps = spark.range(n).select(F.col("id").cast("int").alias("step"), F.timestamp_micros(F.unix_micros(start) + ((F.col("id") + 1) * dt * 1e6).cast("long")).alias("t"))
-    run = simulate(spark.read.parquet(a.grid), spark.read.parquet(a.rain), steps, cfg)
-    run.results.write.mode("overwrite").partitionBy("step").parquet(f"{a.out}/results")
-    L.outflow_arrays(run.outflow, cfg["output"]["rotate_every_s"] or 3600.0, dt).write.mode("overwrite").parquet(f"{a.out}/outflow")
+    steps = spark.range(first, first + n).select(F.col("id").cast("int").alias("step"), F.timestamp_micros(F.unix_micros(start) + ((F.col("id") + 1) * dt * 1e6).cast("long")).alias("t"))
+    rain = spark.read.parquet(a.rain) if a.rain else domain.configured_rain(spark, grid, cfg)
+    run = simulate(grid, rain, steps, cfg, before)
+    every = cfg["output"]["rotate_every_s"] or cfg["output"]["save_every_s"]
+    rotation = P.saved_steps(steps.select("step"), dt, every).select("step", "rotation")
+    run.results.join(F.broadcast(rotation), "step", "left").fillna(0, ["rotation"]).write.mode("overwrite").partitionBy("rotation", "step").parquet(f"{a.out}/results")
+    interval = cfg["output"]["outflow_interval_s"]
+    L.outflow_arrays(run.outflow, interval, dt).write.mode("overwrite").parquet(f"{a.out}/outflow")
+    files.write_outflow(L.outflow_arrays(run.outflow, interval, dt), grid, f"{a.out}/outflow_geojson", interval)
     run.report.write.mode("overwrite").json(f"{a.out}/report")
-    state.save(f"{a.out}/restart", run.cells, run.parcels, {"elapsed_s": n * dt, "config": cfg})
+    keep = cfg["restart"]["every"]
+    for step in sorted({*range(first + keep - 1, first + n, keep), first + n - 1}) if keep > 0 else []:
+        s = run.state_at(step, dt)
+        state.save(f"{a.out}/restart/step={step}", s.cells, s.parcels, s.scalars)
+    if a.report:
+        area = grid if "area_m2" in grid.columns else grid.withColumn("area_m2", F.lit(None).cast("double"))
+        area = area if "active" in area.columns else area.withColumn("active", F.col("dem").isNotNull())
+        files.write_text(spark, a.report, report.run_report(area, run.balance, run.report, cfg, time.time() - began))
 
 
 if __name__ == "__main__":
