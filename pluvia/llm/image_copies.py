@@ -1,7 +1,7 @@
 """Copies of images by local descriptors: cropped, brightened, rotated or re-encoded ones share corners.
 
 * Corners: Harris response at several scales, local maxima, the strongest ``most_corners`` of an image (a budget of the
-  feature, by response and place). Every corner has an angle (intensity centroid of its patch).
+  feature, by response and place: more corners make chance agreements of unlike images more frequent than they find copies). Every corner has an angle (intensity centroid of its patch).
 * Descriptors: 256 brightness tests between points of the smoothed patch, turned by the corner's angle.
 * Hamming tables: the bits are cut into bands; a query descriptor and a stored one are compared in full when a band agrees.
   The query set is taken in blocks of bounded size, each a hash table that is sent to all tasks and probed by all stored
@@ -9,8 +9,11 @@
 * Consensus: every matching pair of corners proposes a similarity transform (turn, scale, shift); a copy needs ``least``
   corners, of different places on both sides, that agree with one.
 
-Images are binary portable graymaps (P5); null, broken, empty or flat images have no corners and match nothing. Repeated ids
-count as images of their own rows' id. Ties keep the earliest corner in reading order.
+A band of 16 equal bits is found in 97 of 100 pairs of corners that differ in 24 bits, in 88 at 32, in 74 at 40; an image needs
+six of its corners, so that few copies are lost (a test measures recall against comparing every pair of corners).
+
+Images are binary portable graymaps (P5); null, broken, empty or flat images have no corners and match nothing, and so do rows
+without an id. Of rows that share an id the best match counts, once for each pair. Ties keep the earliest corner in reading order.
 """
 
 from __future__ import annotations
@@ -22,12 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import stored
+from pluvia.llm.common import in_batches, stored
 
 SCALES = (1.0, 1.5, 2.25)
 RADIUS = 9
-BANDS = 10
-BAND_BITS = 24
+BANDS = 16
 _rng = np.random.default_rng(11)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (256, 4)), -RADIUS + 1, RADIUS - 1)
 _YY, _XX = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -125,13 +127,13 @@ def descriptors(images: DataFrame, most_corners: int = 60) -> DataFrame:
                         out.append((k, p.tobytes(), b.tobytes()))
             yield pd.DataFrame(out, columns=["image_id", "corners", "codes"])
 
-    return images.select("image_id", "image").mapInPandas(rows, "image_id long, corners binary, codes binary")
+    return in_batches(images.where("image_id is not null").select("image_id", "image"), rows, "image_id long, corners binary, codes binary")
 
 
 def _bands(codes: np.ndarray) -> np.ndarray:
-    """BANDS numbers of BAND_BITS bits for each descriptor."""
-    c = codes[:, : BANDS * 3].reshape(len(codes), BANDS, 3).astype(np.uint32)
-    return c[:, :, 0] << 16 | c[:, :, 1] << 8 | c[:, :, 2]
+    """The descriptor's 256 bits as BANDS numbers of 16 bits."""
+    c = codes.reshape(len(codes), BANDS, 2).astype(np.uint16)
+    return c[:, :, 0] << 8 | c[:, :, 1]
 
 
 def consensus(q: np.ndarray, t: np.ndarray, slack: float = 3.0) -> tuple[int, tuple[float, float, float, float]]:
@@ -183,14 +185,14 @@ def _promising(place: np.ndarray, spots: np.ndarray, size: np.ndarray, least: in
     return out
 
 
-def find_copies(images: DataFrame, queries: DataFrame, least: int = 6, most_bits: int = 48, block: int = 4096) -> DataFrame:
+def find_copies(images: DataFrame, queries: DataFrame, least: int = 6, most_bits: int = 40, block: int = 4096) -> DataFrame:
     """(query_id, image_id, n_matches, n_inliers, turn, scale): images that share ``least`` corners with a query image.
 
     ``queries`` (image_id) are searched against all ``images`` (image_id, image) but themselves, ``block`` images at a time.
     """
     spark = images.sparkSession
     index = stored(descriptors(images), "image-descriptors")
-    asked = index.join(queries.select("image_id").distinct(), "image_id", "left_semi")
+    asked = index.join(queries.select("image_id").where("image_id is not null").distinct(), "image_id", "left_semi")
     blocks = max(1, -(-asked.count() // block))
     result = None
     for part in range(blocks):
@@ -203,11 +205,12 @@ def find_copies(images: DataFrame, queries: DataFrame, least: int = 6, most_bits
         bands = _bands(code)
         order = np.argsort(bands, axis=0, kind="stable")
         model = spark.sparkContext.broadcast((code, owner, place, np.take_along_axis(bands, order, 0), order, [r["image_id"] for r in rows]))
-        found = index.mapInPandas(lambda it, model=model: _probe(it, model.value, most_bits, least), "query_id long, image_id long, n_matches int, n_inliers int, turn double, scale double")
+        found = in_batches(index, lambda it, model=model: _probe(it, model.value, most_bits, least), "query_id long, image_id long, n_matches int, n_inliers int, turn double, scale double")
         result = found if result is None else result.unionByName(found)
     if result is None:
         return spark.createDataFrame([], "query_id long, image_id long, n_matches int, n_inliers int, turn double, scale double")
-    return result
+    best = result.groupBy("query_id", "image_id").agg(F.max(F.struct("n_inliers", "n_matches", "turn", "scale")).alias("m"))
+    return best.select("query_id", "image_id", "m.n_matches", "m.n_inliers", "m.turn", "m.scale")
 
 
 def _probe(batches, model, most_bits: int, least: int):

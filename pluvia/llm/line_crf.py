@@ -146,8 +146,8 @@ def _shift(p: np.ndarray, y: np.ndarray, threshold: float) -> float:
     return float(np.log(threshold / (1 - threshold)) - cut)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 1500, max_lines: int = 60_000, fold: tuple[int, int] = (4, 2)) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_lines, bad_bytes) of every document."""
+def fit(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 1500, max_lines: int = 60_000, fold: tuple[int, int] = (4, 2)) -> tuple[np.ndarray, np.ndarray, float]:
+    """(unary weights, pair potentials, shift) from the bounded sample of labelled rows."""
     mod, out = fold
     known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & (bucket("doc_id", mod) != out)).dropDuplicates(["doc_id"])
     sample = bounded_sample(known, "quality", max_train)
@@ -174,7 +174,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
         test = np.arange(len(y)) % 4 == 3
         if test.any():
             shift = _shift(p[test], y[test], threshold)
-    model = docs.sparkSession.sparkContext.broadcast((weights, pull, shift))
+    return weights, pull, shift
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 1500, max_lines: int = 60_000, fold: tuple[int, int] = (4, 2)) -> DataFrame:
+    """(doc_id, held_out, score, predicted, n_lines, bad_bytes) of every document."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, threshold, max_train, max_lines, fold))  # a few numbers
 
     def score(batches):
         w, pair, shift = model.value

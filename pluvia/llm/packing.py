@@ -12,7 +12,7 @@ the driver) and applied to pieces by their rank within their length (distributed
 Several group counts are tried and the plan with the fewest sequences is kept.
 
 Null texts are empty: they are one piece that holds the end token alone. Repeated rows of one id are packed each for
-themselves. Texts are tokenised by the ranks file of the same vocabulary, which gives the same ids several times as fast; a
+themselves; rows without an id are packed like others. Texts are tokenised by the ranks file of the same vocabulary, which gives the same ids several times as fast; a
 text that holds the spelling of a special token goes through the JSON file's own reader.
 """
 
@@ -27,10 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import stored
+from pluvia.llm.common import in_batches, stored
 
 #: A run: ``count`` sequences with the same pieces, as [length, ...]
 Run = tuple[int, list[int]]
+#: Most slots (40 bytes each) that are broadcast; ranks in a block of the join that takes its place beyond that.
+MOST_SLOTS = 200_000
+RANKS = 4096
 
 
 def _knapsack(sizes: list[int], prices: np.ndarray, most: list[int], capacity: int) -> tuple[float, list[int]]:
@@ -252,10 +255,10 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, paths: tuple[
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else ())])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return in_batches(docs.select("doc_id", "text"), cut, schema)
 
 
-def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
+def place(cut: DataFrame, capacity: int = 1024, most_slots: int = MOST_SLOTS) -> DataFrame:
     """``cut`` (with ``length``) with sequence_id and offset added.
 
     Full pieces are sequences of their own. Every other piece gets its rank within its length without bringing a length into
@@ -276,9 +279,16 @@ def place(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     ranked = base.withColumn("share", share).withColumn("inside", F.row_number().over(inside) - 1).join(counts, ["length", "share"])
     ranked = ranked.withColumn("rank", F.col("inside") + F.col("before")).drop("inside", "before", "share")
     schema = "length long, first long, past long, sequence long, offset long"
-    slots = spark.createDataFrame(pd.DataFrame(placements(plan), columns=["length", "first", "past", "sequence", "offset"]) if plan else [], schema)
-    # a few thousand rows whatever the input: runs of equal sequences
-    packed = ranked.join(F.broadcast(slots), "length").where("rank >= first and rank < past").withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).drop("rank", "first", "past", "sequence")
+    found = placements(plan)
+    slots = spark.createDataFrame(pd.DataFrame(found, columns=["length", "first", "past", "sequence", "offset"]) if found else [], schema)
+    fits = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past"))
+    if len(found) <= most_slots:
+        placed = ranked.join(F.broadcast(slots), "length").where(fits)
+    else:  # a slot stands in every block of ranks that it reaches into
+        block = lambda c: F.floor(F.col(c) / RANKS)
+        reach = slots.withColumn("block", F.explode(F.sequence(block("first"), F.floor((F.col("past") - 1) / RANKS))))
+        placed = ranked.withColumn("block", block("rank")).join(reach, ["length", "block"]).where(fits).drop("block")
+    packed = placed.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).drop("rank", "first", "past", "sequence")
     full = cut.where(F.col("length") >= capacity).withColumn("offset", F.lit(0).cast("long"))
     full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id())
     return packed.unionByName(full)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvia.llm import image_copies as I
-from pluvia.llm import mixing, packing, queries, suffix_dedup, warc
+from pluvia.llm import jaccard_join, language_id, line_crf, mixing, packing, quality_rules, queries, suffix_dedup, toxicity, warc
 from pluvia.llm.common import components
 from pluvia.llm.jaccard_join import jaccard_components, needed
 from pluvia.llm.language_id import languages
@@ -443,3 +443,271 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark, tmp_path, monkeypatch
 
 def test_every_operator_has_a_query():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()] == list(range(1, 11))
+
+
+# --- odd tables: rows without an id, ids of several rows, columns with the operators' own names ------------------------------
+
+CLASH = ("row_id", "cdf", "of", "rate", "copy", "shuffle_key", "slice", "cut", "cut_text", "salt", "key", "predicted", "kept", "level", "name", "payload", "to", "n", "m", "component_id", "held_out", "first", "words")
+
+
+def _odd_texts():
+    say = lambda name, k: " ".join(f"{name}{j}" for j in range(k))
+    passage = say("passage", 70)
+    return [
+        (1, say("a", 120)), (1, say("b", 120)), (1, say("b", 120)), (None, say("a", 120)), (None, f"{say('c', 60)} {passage}"), (None, f"{say('d', 60)} {passage}"), (None, None), (None, ""), (2, f"{say('b', 120)} more"),
+        (3, say("e", 90)), (4, None), (5, " "), (6, say("f", 3)), (7, say("f", 3)), (8, say("g", 20_000)),
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    d = spark.createDataFrame([(k, t, "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None) for i, (k, t) in enumerate(_odd_texts())], "doc_id long, text string, lang string, source string")
+    return d.select("*", *(F.lit("clash").alias(c) for c in CLASH)).repartition(4)
+
+
+def _oracle(name, **tables):
+    con = duckdb.connect()
+    for k, d in tables.items():
+        con.register(k, d.toPandas().astype({c: "Int64" for c, t in d.dtypes if t == "bigint"}))
+    r = con.sql(queries.oracle_sql()[name])
+    order = sorted(r.columns)
+    return order, sorted((tuple(row[r.columns.index(c)] for c in order) for row in r.fetchall()), key=repr)
+
+
+def _same(name, got, **tables):
+    order, want = _oracle(name, **tables)
+    assert sorted(got.columns) == order
+    assert sorted((tuple(r[c] for c in order) for r in got.collect()), key=repr) == want
+
+
+def test_rules_equal_sql_with_their_verdicts(docs, odd, nothing):
+    for d in (docs, odd):
+        d = d.select("text", "lang", F.monotonically_increasing_id().alias("doc_id"))
+        got = quality_rules.rules_report(d)
+        _same("op1_divergence_rules", got, documents=d)
+    assert {r["doc_id"] for r in quality_rules.divergence_rules(odd).collect()} == {None, 1, 2, 3, 4, 5, 6, 7, 8}
+    assert quality_rules.rules_report(nothing).count() == 0
+
+
+def test_other_operators_equal_their_sql(docs):
+    plain = docs.select("doc_id", "text", "source")
+    _same("op2_suffix_family", suffix_dedup.substring_report(plain), documents=plain)
+    _same("op4_poisson_mix", mixing.mixture_report(plain), documents=plain)
+    _same("op8_token_group_join", jaccard_join.jaccard_components(plain, 3, 90), documents=plain)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("http://h/"), F.col("doc_id"))).alias("url"), F.col("text").alias("html"))
+    _same("op6_warc_transactions", warc.capture_report(pages), pages=pages)
+
+
+def test_odd_rows_are_cut_each_for_itself(odd):
+    want = Counter()
+    texts = [(k, (t or "").encode()) for k, t in _odd_texts()]
+    count = Counter(t[i : i + 400] for _, t in texts for i in range(len(t) - 399))
+    for k, t in texts:
+        gone = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - 399):
+            if count[t[i : i + 400]] > 1:
+                gone[i] += 1
+                gone[i + 400] -= 1
+        left = bytes(np.frombuffer(t, np.uint8)[np.cumsum(gone)[: len(t)] == 0])
+        want[k, len(t), hashlib.sha256(left).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["kept_sha256"]) for r in suffix_dedup.substring_report(odd).collect()) == want
+    out = suffix_dedup.without_repeats(odd)
+    assert out.columns == odd.columns and out.count() == len(texts) and out.where("cdf <> 'clash' or cut <> 'clash'").count() == 0
+    assert Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in out.collect()) == Counter((k, h) for (k, _, h), n in want.items() for _ in range(n))
+
+
+def test_odd_rows_of_the_join(spark, odd):
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(odd, 5, 80).collect())
+    rows = _odd_texts()
+    part = _components([t for _, t in rows], 5, 80)
+    least = {}
+    for k, (_, p) in part.items():
+        if rows[k][0] is not None:
+            least[p] = min(least.get(p, 10**9), rows[k][0])
+    assert got == Counter((rows[k][0], n, least.get(p)) for k, (n, p) in part.items())
+    left = jaccard_join.one_of_each(odd, 5, 80)
+    assert left.columns == odd.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert len(kept) == sum(kept.values()) == len({p for _, p in part.values()})
+    # of two different texts with one id, only the copy goes
+    assert {(1, rows[0][1]), (1, rows[1][1])} <= set(kept) and (None, rows[3][1]) not in kept and (2, rows[8][1]) not in kept
+
+
+def test_unlinked_documents_in_many_partitions(spark):
+    say = lambda k: " ".join(f"w{k}_{j}" for j in range(30))
+    for n, parts in ((2, 1), (10, 4), (3, 20)):
+        d = spark.createDataFrame([(k, say(k)) for k in range(n)], "doc_id long, text string").repartition(parts)
+        assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(d).collect()} == {(k, k) for k in range(n)}
+    d = spark.createDataFrame([(k, say(0 if k in (3, 7) else k)) for k in range(10)], "doc_id long, text string").repartition(8)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(d).collect()} == {**{k: k for k in range(10)}, 3: 0, 7: 0}
+
+
+def test_sketches_are_summed_by_a_tree(spark):
+    d = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text")).repartition(150)
+    often = jaccard_join._sketch(d, 3)
+    assert often.max() == 200 and int(often.sum()) == 400
+
+
+def test_odd_rows_of_the_mixture(odd):
+    own = odd.columns
+    d = mixing.replicated(odd, epochs=3.0)
+    assert d.columns == [*own, "rate_", "copy_", "shuffle_key_"] and d.where("cdf <> 'clash' or rate <> 'clash' or copy <> 'clash'").count() == 0
+    few = lambda x: sorted((r["doc_id"] or -1, r["text"] or "", r["copy_"], r["shuffle_key_"]) for r in x.collect())
+    assert few(d) == few(mixing.replicated(odd, epochs=3.0, most_broadcast=0)) and d.count() > 0
+    _same("op4_poisson_mix", mixing.mixture_report(odd.select("doc_id", "source", "text")), documents=odd.select("doc_id", "source", "text"))
+    # rows without an id draw apart
+    a = odd.sparkSession.createDataFrame([(None, f"text {k}", "s") for k in range(300)], "doc_id long, text string, source string")
+    assert len({r["n"] for r in mixing.replicated(a).groupBy("text").agg(F.count("*").alias("n")).collect()}) > 1
+
+
+def test_odd_captures(spark):
+    rows = [(1, "u", "same"), (1, "v", "same"), (1, "v", "same"), (None, None, "same"), (None, "w", "other"), (2, None, None), (3, "x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *(F.lit("clash").alias(c) for c in CLASH))
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["url"]) for r in warc.capture_report(pages).collect())
+    assert sum(got.values()) == len(rows) and sum(n for k, n in got.items() if k[2] == "response") == 3
+    assert got[None, 4, "revisit", 1, "about:blank"] == 1 and got[None, 5, "response", None, "w"] == 1 and got[2, 0, "revisit", 3, "about:blank"] == 1 and got[3, 0, "response", None, "x"] == 1
+    assert sum(n for k, n in got.items() if k[:4] == (1, 4, "revisit", 1)) == 2
+    assert Counter(r["record_type"] for r in warc.capture_report(pages.where("page_id is null")).collect()) == {"response": 2}
+
+
+def test_archives_of_large_captures_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 16)
+    pages = spark.createDataFrame([(k, f"http://h/{k}", ("x" if k % 5 else "yz" * 200) * (k + 900)) for k in range(120)], "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/a"
+    assert warc.capture_report(pages, f"file://{path}").count() == 120
+    import glob
+
+    assert len(glob.glob(f"{path}/*/*.gz")) > 8
+
+
+def test_odd_rows_of_the_classifiers(spark, odd, nothing):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    for out in (toxicity_scores(odd, labels), quality_scores(odd, labels), languages(odd)):
+        rows = out.collect()
+        assert len(rows) == len(_odd_texts()) and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in rows)
+        assert not any(r["held_out"] for r in rows if r["doc_id"] is None)
+    left = toxicity.without_toxic(odd, labels)
+    assert left.columns == odd.columns and left.schema == odd.schema
+    assert sum(r["predicted"] == 0 for r in toxicity_scores(odd, labels).collect()) == left.count()
+    assert toxicity.without_toxic(nothing, labels).count() == 0
+
+
+def test_odd_rows_are_packed(odd):
+    rows = packing.packed_documents(odd).collect()
+    assert sum(r["piece"] == 0 for r in rows) == len(_odd_texts())
+    spread = packing.place(packing.pieces(odd), most_slots=0).collect()
+    key = lambda r: (r["doc_id"] or -1, r["piece"], r["ids_crc32"], r["length"])
+    assert sorted(map(key, spread)) == sorted(map(key, rows))
+    for found in (rows, spread):
+        sequences = defaultdict(list)
+        for r in found:
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        for s in sequences.values():
+            ends = [a + n for a, n in sorted(s)]
+            assert [a for a, _ in sorted(s)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, nothing, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, d in (("odd", odd), ("nothing", nothing)):
+        folder = f"{tmp_path}/{name}"
+        d.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        at = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            out = stage(spark, at, folder)
+            assert out.columns == d.columns
+            if k in (0, 2):
+                assert out.count() == at.count()
+            at = out
+        assert (corpus_pipeline.run(spark, folder).count() > 0) == (name == "odd")
+
+
+# --- the methods themselves against plain versions ---------------------------------------------------------------------------
+
+
+def test_document_quality_equals_enumeration(spark):
+    docs, labels = _labelled(spark)
+    weights, pull, shift = line_crf.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in quality_scores(docs, labels).collect()}
+    for k in (0, 1, 2, 3, 50, 400, 402):
+        ((_, _, doc, size, x),) = line_crf.line_features([(texts[k] or "").encode()])
+        s = line_crf.with_neighbours(x, doc) @ weights
+        total, good = 0.0, np.zeros(len(s))
+        for m in range(2 ** len(s)):
+            y = [(m >> j) & 1 for j in range(len(s))]
+            w = np.exp(sum(a * b for a, b in zip(s, y, strict=True)) + sum(pull[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total, good = total + w, good + w * np.array(y)
+        length = np.maximum(size, 1)
+        p = np.clip((good / total * length).sum() / length.sum(), 1e-4, 1 - 1e-4)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(np.log(p / (1 - p)) + shift))), abs=1e-9)
+
+
+def test_noisy_or_by_hand(spark):
+    docs, labels = _labelled(spark)
+    texts, y, prior = toxicity._fit(docs, labels, "toxic", (5, 0), 1800, 12 << 20)
+    weights, bias, shift = toxicity.train(texts, y, prior)
+    got = {r["doc_id"]: r for r in toxicity_scores(docs, labels).collect()}
+    for r in docs.where("doc_id in (0, 1, 2, 4, 9, 400, 401, 402)").collect():
+        none = 1.0
+        sentences = [x for part in (r["text"] or "").split("\n") for x in re.split(r"(?<=[.!?]) ", part) if x.strip()]
+        for x in sentences:
+            ((*_, where),) = toxicity.sentence_words([x.encode()])
+            none *= 1 - 1 / (1 + np.exp(-(bias + weights[where].sum())))
+        p = 1 - none
+        want = 0.0 if not sentences else 1 / (1 + np.exp(-(np.log(max(p, 1e-13)) - np.log(none) - shift)))
+        assert got[r["doc_id"]]["n_sentences"] == len(sentences) and got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-6)
+
+
+def test_filters_hold_their_sets():
+    rng = np.random.default_rng(8)
+    known = {k: rng.integers(0, 1 << 63, 3000, dtype=np.uint64) for k in range(3)}
+    known[1][:500] = known[0][:500]
+    f = language_id.Filters(["a", "b", "c"])
+    for k, h in known.items():
+        f.add(k, h)
+    asked = np.concatenate([known[0][:700], known[2][:40], rng.integers(0, 1 << 63, 5000, dtype=np.uint64)])
+    counts = f.popcounts(np.zeros(len(asked), np.int64), asked, 1)[0]
+    exact = np.array([np.isin(asked, h).sum() for h in known.values()])
+    assert (counts >= exact).all()
+    rate = f.false_rate()
+    true = (counts - len(asked) * rate) / (1 - rate)
+    assert np.abs(true - exact).max() < 4 * np.sqrt(len(asked) * rate.max() + 1) + 1
+    many = language_id.Filters([f"l{k}" for k in range(70)])
+    many.add(69, known[0])
+    assert many.popcounts(np.zeros(700, np.int64), known[0][:700], 1)[0][69] == 700
+
+
+def test_image_tables_find_what_all_pairs_find(spark):
+    rng = np.random.default_rng(21)
+    blob = lambda: np.clip(128 + 45 * I._stretched(rng.normal(size=(9, 9)), 96) + 35 * I._stretched(rng.normal(size=(18, 18)), 96), 0, 255)
+    rows, k = [], 0
+    edits = [
+        lambda x: np.rot90(x), lambda x: np.rot90(x, 2), lambda x: x[10:80, 14:90], lambda x: x[5:60, 30:92] * 0.7 + 40, lambda x: np.clip(x + rng.normal(0, 6, x.shape), 0, 255),
+        lambda x: I._shrunk(x.astype(np.float32), 1.25), lambda x: np.rint(x / 16) * 16,
+    ]
+    for _ in range(16):
+        x = blob()
+        rows.append((k, bytearray(I.to_pgm(np.rint(x)))))
+        rows += [(k + 1 + j, bytearray(I.to_pgm(np.clip(np.rint(np.ascontiguousarray(e(x))), 0, 255)))) for j, e in enumerate(edits)]
+        k += 10
+    images = spark.createDataFrame(rows, "image_id long, image binary").repartition(4)
+    found = {(r["query_id"], r["image_id"]) for r in I.find_copies(images, images.where("image_id % 10 = 0"), block=8).collect()}
+    described = {i: I.describe(I.from_pgm(b)) for i, b in rows}
+    exact = set()
+    for q in range(0, k, 10):
+        for i, (p, b) in described.items():
+            if i == q:
+                continue
+            near = np.argwhere(np.bitwise_count(described[q][1].view(np.uint64)[:, None] ^ b.view(np.uint64)[None]).sum(2) <= 40)
+            if len(near) >= 6 and I.consensus(described[q][0][near[:, 0]], p[near[:, 1]])[0] >= 6:
+                exact.add((q, i))
+    true = {(q, i) for q, i in exact if i // 10 == q // 10}
+    assert len(true) >= 0.95 * 16 * len(edits) and len(exact - true) <= 0.02 * 16 * 15 * len(edits)
+    assert len(found & true) >= 0.95 * len(true) and not found - exact
+    again = images.unionByName(images).unionByName(spark.createDataFrame([(None, rows[0][1])], "image_id long, image binary"))
+    twice = [(r["query_id"], r["image_id"]) for r in I.find_copies(again, again.where("image_id % 10 = 0"), block=8).collect()]
+    assert len(twice) == len(set(twice)) and set(twice) == found
