@@ -11,7 +11,7 @@ from pathlib import Path
 
 #: The defaults of a run.
 DEFAULTS = {
-    "model": {"T_s": 7200.0, "dt_s": 5.0, "encoding": "esri", "ia_ratio": 0.2, "particle_vol_m3": 0.25, "travel_time_s": 5.0, "travel_time_channel_s": 1.0, "outflow_sink": True},
+    "model": {"T_s": 7200.0, "dt_s": 5.0, "encoding": "esri", "ia_ratio": 0.2, "particle_vol_m3": 0.25, "travel_time_s": 5.0, "travel_time_channel_s": 1.0, "outflow_sink": True, "routing": "auto"},
     "travel_time_auto": {"enabled": False, "hillslope_velocity_ms": 0.5, "channel_velocity_ms": 1.5, "min_s": 0.25, "max_s": 3600.0},
     "rain": {"sources": {}, "select": "previous", "mode": "intensity_mmph", "weight": 1.0},
     "risk": {"balance": 0.55, "p_low": 5.0, "p_high": 95.0},

@@ -6,11 +6,13 @@ Parcels do not act on each other, so equal parcels (cell, tau) travel as one row
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia.plans.storage import cut
+from pluvia.plans.storage import cut, shared
 
 
 def _doubled(jump: DataFrame) -> DataFrame:
@@ -125,6 +127,65 @@ def superstep(parcels: DataFrame, flow: DataFrame, dt_s: float, sink: bool = Tru
     return p.select(cell.alias("cell_id"), tau.alias("tau"), "n", "vol").groupBy("cell_id", "tau").agg(F.sum("n").alias("n"), F.sum("vol").alias("vol"))
 
 
+#: More rows of path tables than this, and a run is routed step by step.
+MOST_PATH_ROWS = 5_000_000_000
+
+
+@dataclass
+class Routed:
+    """``placed`` (step, node, n, vol) at output steps, ``outflow`` (node, step, n, vol), ``inside`` (step, vol)."""
+
+    placed: DataFrame
+    outflow: DataFrame
+    inside: DataFrame
+
+
+def by_schedule(parcels: DataFrame, schedule: DataFrame, saved: DataFrame, steps: DataFrame) -> Routed:
+    first, last = steps.agg(F.min("step"), F.max("step")).first()
+    outflow = outflow_events(parcels, schedule).where(F.col("step").between(first, last))
+    clock = steps.select("step").unionByName(parcels.select(F.col("step0").alias("step")).distinct()).distinct()
+    return Routed(advect_to(parcels, schedule, saved), outflow, in_grid(parcels, schedule, clock))
+
+
+def by_supersteps(parcels: DataFrame, flow: DataFrame, travel: DataFrame, dt_s: float, saved: DataFrame, steps: DataFrame) -> Routed:
+    """The literal clock, for grids whose path tables would be larger than their parcels: rows are active (cell, waiting time)s.
+
+    Steps follow one another; every one is written, so that a lost executor costs one step. Parcels of an earlier run are moved
+    from the step they were spawned at.
+    """
+    spark = parcels.sparkSession
+    first, last = steps.agg(F.min("step"), F.max("step")).first()
+    begun = parcels.agg(F.min("step0")).first()[0]
+    outputs = {r[0] for r in saved.collect()}  # output steps of a run
+    folder = f"{shared(spark)}/supersteps-{uuid.uuid4().hex}"
+    none = "node bigint, step int, n bigint, vol double"
+    spark.createDataFrame([], none).write.parquet(f"{folder}/out/at=none")
+    spark.createDataFrame([], none).write.parquet(f"{folder}/placed/at=none")
+    spark.createDataFrame([], "step int, vol double").write.parquet(f"{folder}/inside/at=none")
+    f = flow.join(travel.select(F.col("node").alias("ds_id"), F.col("travel_s").alias("ds_travel_s")), "ds_id", "left").select("cell_id", "ds_id", "ds_travel_s")
+    f = cut(f.repartition("cell_id"))
+    state = None
+    for step in range(first if begun is None else min(first, begun), last + 1):
+        new = parcels.where(F.col("step0") == step).select("cell_id", F.lit(0.0).alias("tau"), "n", "vol")
+        now = new if state is None else state.unionByName(new)
+        p = now.join(f, "cell_id", "left").withColumn("left", F.col("tau") - dt_s)
+        go = F.col("left") <= 1e-9
+        out = go & F.col("ds_id").isNull()
+        cell = F.when(~go | out, F.col("cell_id")).otherwise(F.col("ds_id"))
+        tau = F.when(out, 0.0).when(go, F.col("left") + F.col("ds_travel_s")).otherwise(F.col("left"))
+        moved = cut(p.select(cell.alias("cell_id"), tau.alias("tau"), out.alias("out"), "n", "vol").groupBy("cell_id", "tau", "out").agg(F.sum("n").alias("n"), F.sum("vol").alias("vol")))
+        state = moved.where("not out").drop("out")
+        write = lambda d, kind, step=step: d.write.parquet(f"{folder}/{kind}/at={step}")
+        by_node = lambda d, step=step: d.groupBy(F.col("cell_id").alias("node")).agg(F.lit(step).alias("step"), F.sum("n").alias("n"), F.sum("vol").alias("vol"))
+        if step >= first:
+            write(by_node(moved.where("out")), "out")
+        write(state.agg(F.lit(step).alias("step"), F.coalesce(F.sum("vol"), F.lit(0.0)).alias("vol")), "inside")
+        if step in outputs:
+            write(by_node(state), "placed")
+    read = lambda kind, schema: spark.read.schema(schema).parquet(f"{folder}/{kind}").drop("at")
+    return Routed(read("placed", none), read("out", none), read("inside", "step int, vol double"))
+
+
 def outflow_events(parcels: DataFrame, schedule: DataFrame) -> DataFrame:
     """(node, step, n, vol): when parcels leave the grid and from which cell."""
     last = schedule.groupBy("cell_id").agg(F.max_by(F.struct("node", "due"), "j").alias("end"))

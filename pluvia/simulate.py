@@ -35,7 +35,7 @@ class Run:
     cells: DataFrame
     parcels: DataFrame
     runoff: DataFrame
-    schedule: DataFrame
+    schedule: DataFrame | None
     start: state.State | None = None
 
     def state_at(self, step: int, dt_s: float) -> state.State:
@@ -47,7 +47,7 @@ class Run:
             cells = cells.join(before, "cell_id", "left").select("cell_id", F.coalesce("p_cum_mm", "p0").alias("p_cum_mm"), F.coalesce("q_cum_mm", "q0").alias("q_cum_mm"))
         b = self.balance.where(F.col("step") == step).first()
         totals = {k: b[k] if b else 0.0 for k in ("rain_cum_m3", "runoff_cum_m3", "outflow_cum_m3")}
-        return state.State(cells.fillna(0.0), L.active_parcels(self.parcels, self.schedule, step), {"step": step, "dt_s": dt_s, "elapsed_s": (step + 1) * dt_s, **totals})
+        return state.State(cells.fillna(0.0), self.parcels.where(F.col("step0") <= step) if self.schedule is None else L.active_parcels(self.parcels, self.schedule, step), {"step": step, "dt_s": dt_s, "elapsed_s": (step + 1) * dt_s, **totals})
 
 
 def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict, start: state.State | None = None) -> Run:
@@ -84,11 +84,17 @@ def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict, star
     first, last = steps.agg(F.min("step"), F.max("step")).first()
     begun = parcels.agg(F.min("step0")).first()[0]
     hops = int(last) - int(first if begun is None else begun) + 1
-    schedule = L.cut(L.hop_schedule(L.paths(flow, hops), travel, m["dt_s"]))
-    outflow = L.outflow_events(parcels, schedule).where(F.col("step").between(first, last))
     saved = L.cut(P.saved_steps(steps.select("step"), m["dt_s"], out["save_every_s"]).select("step"))
+    how = m["routing"] if m["routing"] != "auto" else "paths" if g.count() * hops <= L.MOST_PATH_ROWS else "supersteps"
+    schedule = None
+    if how == "paths":
+        schedule = L.cut(L.hop_schedule(L.paths(flow, hops), travel, m["dt_s"]))
+        routed = L.by_schedule(parcels, schedule, saved, steps)
+    else:
+        routed = L.by_supersteps(parcels, flow, travel, m["dt_s"], saved, steps)
+    outflow = routed.outflow
     least = out["inundation_threshold_m"]
-    depth = L.cut(P.flood_depths(L.advect_to(parcels, schedule, saved), g, saved))
+    depth = L.cut(P.flood_depths(routed.placed, g, saved))
     acc = L.flow_accumulation(g.select("cell_id", "active", "area_m2"), flow)
     # cumulated runoff as of each output step: one running window over runoff and questions, ordered by step
     q = runoff.select("step", "cell_id", "q_cum_mm", F.lit(0).alias("ask"))
@@ -105,17 +111,11 @@ def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict, star
     chosen = config.output_variables(out["variables"])
     results = results.select("step", "t", "cell_id", *(names.get(v, F.col(v)).alias(v) for v in chosen if v in names or v in top.columns))
     # measured from the parcels, those of an earlier run included, so that the balance can be wrong
-    stored = L.in_grid(parcels, schedule, spanned(parcels, steps))
-    balance = L.cut(P.volume_balance(runoff, outflow, stored, start and start.scalars))
+    balance = L.cut(P.volume_balance(runoff, outflow, routed.inside, start and start.scalars))
     state_ = runoff.groupBy("cell_id").agg(F.max_by("p_cum_mm", "step").alias("p_cum_mm"), F.max_by("q_cum_mm", "step").alias("q_cum_mm"))
     return Run(results, balance, P.quality_report(balance), outflow, g.select("cell_id").join(state_, "cell_id", "left").fillna(0.0), parcels, runoff, schedule, start)
 
 
-def spanned(parcels: DataFrame, steps: DataFrame) -> DataFrame:
-    """(step) of the run and the earlier steps at which its parcels were spawned: a clock, few rows."""
-    return steps.select("step").unionByName(parcels.select(F.col("step0").alias("step")).distinct()).distinct()
-
-
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="rainfall to runoff, routing, depth and risk")
     for name in ("grid", "out"):
@@ -127,6 +127,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--dt-s", type=float)
     p.add_argument("--restart", help="state of an earlier run to go on from")
     p.add_argument("--report", help="path of a JSON report")
+    p.add_argument("--metrics", help="path of a JSON report of times and throughput")
+    p.add_argument("--compact", action="store_true", help="JSON without indentation and configuration")
     a = p.parse_args(argv)
     from pyspark.sql import SparkSession
 
@@ -142,22 +144,30 @@ def main(argv: list[str] | None = None) -> None:
     start = S.iso_timestamp(F.lit(a.start))
     steps = spark.range(first, first + n).select(F.col("id").cast("int").alias("step"), F.timestamp_micros(F.unix_micros(start) + ((F.col("id") + 1) * dt * 1e6).cast("long")).alias("t"))
     rain = spark.read.parquet(a.rain) if a.rain else domain.configured_rain(spark, grid, cfg)
-    run = simulate(grid, rain, steps, cfg, before)
+    times = report.Timings()
+    with times("plan and route"):
+        run = simulate(grid, rain, steps, cfg, before)
     every = cfg["output"]["rotate_every_s"] or cfg["output"]["save_every_s"]
     rotation = P.saved_steps(steps.select("step"), dt, every).select("step", "rotation")
-    run.results.join(F.broadcast(rotation), "step", "left").fillna(0, ["rotation"]).write.mode("overwrite").partitionBy("rotation", "step").parquet(f"{a.out}/results")
+    with times("results"):
+        run.results.join(F.broadcast(rotation), "step", "left").fillna(0, ["rotation"]).write.mode("overwrite").partitionBy("rotation", "step").parquet(f"{a.out}/results")
     interval = cfg["output"]["outflow_interval_s"]
-    L.outflow_arrays(run.outflow, interval, dt).write.mode("overwrite").parquet(f"{a.out}/outflow")
-    files.write_outflow(L.outflow_arrays(run.outflow, interval, dt), grid, f"{a.out}/outflow_geojson", interval)
+    with times("outflow"):
+        arrays = L.cut(L.outflow_arrays(run.outflow, interval, dt))
+        arrays.write.mode("overwrite").parquet(f"{a.out}/outflow")
+        files.write_outflow(arrays, grid, f"{a.out}/outflow_geojson", interval)
     run.report.write.mode("overwrite").json(f"{a.out}/report")
     keep = cfg["restart"]["every"]
-    for step in sorted({*range(first + keep - 1, first + n, keep), first + n - 1}) if keep > 0 else []:
-        s = run.state_at(step, dt)
-        state.save(f"{a.out}/restart/step={step}", s.cells, s.parcels, s.scalars)
+    with times("state"):
+        for step in sorted({*range(first + keep - 1, first + n, keep), first + n - 1}) if keep > 0 else []:
+            s = run.state_at(step, dt)
+            state.save(f"{a.out}/restart/step={step}", s.cells, s.parcels, s.scalars)
     if a.report:
         area = grid if "area_m2" in grid.columns else grid.withColumn("area_m2", F.lit(None).cast("double"))
         area = area if "active" in area.columns else area.withColumn("active", F.col("dem").isNotNull())
-        files.write_text(spark, a.report, report.run_report(area, run.balance, run.report, cfg, time.time() - began))
+        files.write_text(spark, a.report, report.run_report(area, run.balance, run.report, cfg, time.time() - began, not a.compact))
+    if a.metrics:
+        files.write_text(spark, a.metrics, report.run_metrics(run, steps, cfg, time.time() - began, times, not a.compact))
 
 
 if __name__ == "__main__":

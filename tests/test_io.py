@@ -109,6 +109,14 @@ def test_whole_run_conserves_water(spark, tmp_path):
                 assert np.allclose(a[c].to_numpy(float), b[c].to_numpy(float), equal_nan=True) if a[c].dtype.kind in "fiO" and c != "t" else (a[c] == b[c]).all(), c
     with pytest.raises(ValueError):
         simulate(grid, rain, steps, config.load(None, model={"dt_s": 60.0}), s)
+    # the literal clock gives the same
+    cfg["model"]["routing"] = "supersteps"
+    for literal, first in ((simulate(grid, rain, steps, cfg), 0), (simulate(grid, rain, steps.where("step >= 5"), cfg, s), 5)):
+        for table, keys in (("results", ["step", "cell_id"]), ("balance", ["step"])):
+            a = getattr(whole, table).where(F.col("step") >= first).orderBy(*keys).drop("t", "flood_depth_max", "inundation_mask_max").toPandas()
+            b = getattr(literal, table).select(*a.columns).orderBy(*keys).toPandas()
+            assert np.allclose(a.to_numpy(float), b.to_numpy(float), equal_nan=True)
+        assert sorted(map(tuple, literal.outflow.where("n > 0").select("node", "step", "n").collect())) == sorted(map(tuple, whole.outflow.where(F.col("step") >= first).select("node", "step", "n").collect()))
 
 
 def test_sources_of_the_configuration(spark):
@@ -227,9 +235,11 @@ def test_commands(spark, tmp_path, capsys):
     cli.main(["model", "--inputs", f"{tmp_path}/m*.nc", "--domain", f"{tmp_path}/grid", "--out", f"{tmp_path}/model", "--hours", "2"])
     assert spark.read.parquet(f"{tmp_path}/model").where("rate = 3").count() == 40
     (tmp_path / "c.json").write_text(json.dumps({"model": {"T_s": 1800.0, "dt_s": 300.0}, "output": {"save_every_s": 900.0}, "restart": {"every": 3}}))
-    cli.main(["simulate", "--grid", f"{tmp_path}/grid", "--rain", f"{tmp_path}/rain", "--config", f"{tmp_path}/c.json", "--start", "2024-01-01T00:00:00Z", "--out", f"{tmp_path}/run", "--report", f"{tmp_path}/report.json"])
+    cli.main(["simulate", "--grid", f"{tmp_path}/grid", "--rain", f"{tmp_path}/rain", "--config", f"{tmp_path}/c.json", "--start", "2024-01-01T00:00:00Z", "--out", f"{tmp_path}/run", "--report", f"{tmp_path}/report.json", "--metrics", f"{tmp_path}/metrics.json"])
     assert sorted(p.name for p in (tmp_path / "run/restart").iterdir()) == ["step=2", "step=5"]
     assert json.loads((tmp_path / "report.json").read_text())["status"]["numerical_ok"]
+    metrics = json.loads((tmp_path / "metrics.json").read_text())
+    assert metrics["summary"]["spawned_particles"] > 0 and metrics["summary"]["particle_hops"] > 0 and len(metrics["per_step_samples"]) == 6
     cli.main(["simulate", "--grid", f"{tmp_path}/grid", "--rain", f"{tmp_path}/rain", "--config", f"{tmp_path}/c.json", "--restart", f"{tmp_path}/run/restart/step=2", "--start", "2024-01-01T00:00:00Z", "--T-s", "900", "--out", f"{tmp_path}/rest"])
     last = lambda p: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{p}/results").where("step = 5").select("cell_id", F.round("flood_depth", 9), F.round("risk_index", 9)).collect()))
     assert last("run") == last("rest")
