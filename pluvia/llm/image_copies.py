@@ -9,8 +9,9 @@
 * Consensus: every matching pair of corners proposes a similarity transform (turn, scale, shift); a copy needs ``least``
   corners, of different places on both sides, that agree with one.
 
-A band of 16 equal bits is found in 97 of 100 pairs of corners that differ in 24 bits, in 88 at 32, in 74 at 40; an image needs
-six of its corners, so that few copies are lost (a test measures recall against comparing every pair of corners).
+Corners of a copy differ in up to ``most_bits`` bits, so that a pair may agree in no band; an image needs six corners. Measured
+on turned, cropped, darkened, noisy, shrunk and quantised copies, 12 bands of 21 bits find 95 to 97 % of the copies that comparing
+every pair of corners finds, 10 of 24 bits 93 to 95 %, 16 of 16 bits 98 to 99 % at five times the candidates (a test holds 95 %).
 
 Images are binary portable graymaps (P5); null, broken, empty or flat images have no corners and match nothing, and so do rows
 without an id. Of rows that share an id the best match counts, once for each pair. Ties keep the earliest corner in reading order.
@@ -29,7 +30,7 @@ from pluvia.llm.common import in_batches, stored
 
 SCALES = (1.0, 1.5, 2.25)
 RADIUS = 9
-BANDS = 16
+BANDS, BAND_BITS = 12, 21
 _rng = np.random.default_rng(11)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (256, 4)), -RADIUS + 1, RADIUS - 1)
 _YY, _XX = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -131,9 +132,9 @@ def descriptors(images: DataFrame, most_corners: int = 60) -> DataFrame:
 
 
 def _bands(codes: np.ndarray) -> np.ndarray:
-    """The descriptor's 256 bits as BANDS numbers of 16 bits."""
-    c = codes.reshape(len(codes), BANDS, 2).astype(np.uint16)
-    return c[:, :, 0] << 8 | c[:, :, 1]
+    """BANDS numbers of BAND_BITS bits for each descriptor."""
+    bits = np.unpackbits(codes, axis=1)[:, : BANDS * BAND_BITS].reshape(len(codes), BANDS, BAND_BITS)
+    return bits.astype(np.int32) @ (1 << np.arange(BAND_BITS, dtype=np.int32))
 
 
 def consensus(q: np.ndarray, t: np.ndarray, slack: float = 3.0) -> tuple[int, tuple[float, float, float, float]]:
