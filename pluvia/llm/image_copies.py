@@ -11,7 +11,7 @@
 
 Corners of a copy differ in up to ``most_bits`` bits, so that a pair may agree in no band; an image needs six corners. Measured
 on turned, cropped, darkened, noisy, shrunk and quantised copies, 12 bands of 21 bits find 95 to 97 % of the copies that comparing
-every pair of corners finds, 10 of 24 bits 93 to 95 %, 16 of 16 bits 98 to 99 % at five times the candidates (a test holds 95 %).
+every pair of corners finds, 10 of 24 bits 93 to 95 %, 16 of 16 bits 98 to 99 % at four to six times the candidates (a test holds 95 %).
 
 Images are binary portable graymaps (P5); null, broken, empty or flat images have no corners and match nothing, and so do rows
 without an id. Of rows that share an id the best match counts, once for each pair. Ties keep the earliest corner in reading order.
