@@ -82,11 +82,11 @@ def named(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     return docs.withColumn(name, k if plain else F.xxhash64(k, F.col(text))), name, plain
 
 
-def looked_up(rows: DataFrame, on: str, own: str, values: DataFrame) -> DataFrame:
+def looked_up(rows: DataFrame, on: str | list[str], own: str, values: DataFrame) -> DataFrame:
     """``rows`` left-joined to ``values`` (``on`` its key). A third of all rows may hold one value of ``on``: ``own`` spreads it."""
-    salt = free("salt", rows.columns + values.columns)
+    keys, salt = [on] if isinstance(on, str) else on, free("salt", rows.columns + values.columns)
     rows = rows.withColumn(salt, F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int"))
-    return rows.join(rows.select(on, salt).distinct().join(values, on), [on, salt], "left").drop(salt)
+    return rows.join(rows.select(*keys, salt).distinct().join(values, keys), [*keys, salt], "left").drop(salt)
 
 
 def bucket(col: str, mod: int) -> F.Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pluvia.llm.common import components, discard, in_batches, joined, mixed, named, runs, stored, utf8, words
+from pluvia.llm.common import components, discard, in_batches, joined, looked_up, mixed, named, runs, stored, utf8, words
 
 SKETCH_BITS = 22
 #: Bits of the bitmap that tells which documents' whole sets are needed.
@@ -293,14 +293,16 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) where rows of one id are equal: documents linked, directly or over others."""
     order = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))  # of fixed size
     sign = stored(signatures(docs, width, percent, order), "jaccard-signatures")
-    own = sign.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = stored(sign.where("n_shingles > 0").select("doc_id", "k1", "k2", "n_shingles").join(own, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "jaccard-classes")
+    keyed, key = sign.where("n_shingles > 0").select("doc_id", "k1", "k2", "n_shingles"), ["k1", "k2", "n_shingles"]
+    own = keyed.groupBy(key).agg(F.min("doc_id").alias("rep"))
+    classes = stored(looked_up(keyed, key, "doc_id", own).select("doc_id", "rep"), "jaccard-classes")  # a third of all may be copies of one
     reps = classes.where("doc_id = rep").select("doc_id").distinct()
     rows = sign.join(reps, "doc_id", "left_semi").select(F.explode("signature").alias("token"), F.col("doc_id").alias("q"), F.col("n_shingles").alias("n"))
-    # counted and joined on one exchange: both sides read the same columns, so that it is written once
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
-    pivots = rows.groupBy("token").agg(F.min("q").alias("pivot"), F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least > 0").drop("m", "least")
+    # a token may be in a third of all signatures: it is counted by partial sums, and as the counts are a table, the join has
+    # an exchange of its own on either side, which adaptive execution can split
+    pivots = stored(rows.groupBy("token").agg(F.min("q").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m"), "jaccard-pivots")
     shared = stored(rows.join(pivots, "token"), "jaccard-shared")
+    discard(pivots)
 
     # stars: the pivot with which a document shares most signature tokens
     star = shared.where("q <> pivot").groupBy("q", "pivot", "n").agg(F.count("*").alias("c")).where("100 * c >= 2 * n")
@@ -353,7 +355,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     second = _opened_links(asks, held, sets, percent)
     root = components(first.union(second), "jaccard").withColumnRenamed("id", "rep")
     discard(star, cut, member, opened, size, arms, sets, first, placed, second)
-    found = classes.join(root, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    found = looked_up(classes, "rep", "doc_id", root).groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     # representatives are the smallest ids of their classes, so the smallest representative is the smallest id reached
     return sign.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
