@@ -318,19 +318,21 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99)))
     cut = sizes.join(tree.select("q", F.col("g").alias("top")), "q", "left").select("q", "n", F.coalesce("top", "q").alias("top"), step.alias("step"))
     cut = stored(cut, "jaccard-steps")
-    cut = cut.join(cut.groupBy("top", "step").agg(F.min("q").alias("g"), F.count("*").alias("w")), ["top", "step"]).select("q", "n", "g", "w")
+    group = cut.groupBy("top", "step").agg(F.min("q").alias("g"), F.count("*").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    cut = cut.join(group, ["top", "step"]).select("q", "n", "g", "w", "lo", "hi")
     cut = stored(cut, "jaccard-cut")
-    member = shared.select("token", "q", "n").join(cut.select("q", "g", "w"), "q", "left").withColumn("g", F.coalesce("g", "q")).withColumn("w", F.coalesce("w", F.lit(1)))
+    # what the bound needs of a group travels with its members; who is in no tree is a group of one
+    alone = {"g": "q", "w": F.lit(1), "lo": "n", "hi": "n"}
+    member = shared.select("token", "q", "n").join(cut.drop("n"), "q", "left").withColumns({c: F.coalesce(c, x) for c, x in alone.items()})
     member = stored(member, "jaccard-members")
     discard(shared)
-    groups = member.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("w").alias("wt"))
 
     # the matrix, the bound, the groups that qualify
-    matrix = member.select("token", "g").distinct().withColumnRenamed("g", "to").join(groups.withColumnRenamed("g", "to"), "to")
+    matrix = member.select("token", F.col("g").alias("to"), F.col("w").alias("wt"), "lo", "hi").distinct()
     fits = (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("lo") * percent <= F.col("n") * 100)
     # of two groups the smaller one asks: either direction finds every link between them
     asking = (F.col("w") < F.col("wt")) | ((F.col("w") == F.col("wt")) & (F.col("g") < F.col("to")))
-    bound = member.join(matrix, "token").where(asking & fits).groupBy("q", "n", "to", "lo", "hi").agg(F.count("*").alias("c"))
+    bound = member.drop("lo", "hi").join(matrix, "token").where(asking & fits).groupBy("q", "n", "to", "lo", "hi").agg(F.count("*").alias("c"))
     opened = stored(bound.where(F.col("c") >= needed(F.col("n"), F.col("lo"), F.col("hi"), percent)).select("q", "to"), "jaccard-bound")
     size = stored(member.select("q", "n", "g").distinct(), "jaccard-sizes")
     opened = stored(_qualified(opened, size.select("q", F.col("g").alias("to")), sign, order, percent), "jaccard-opened")
