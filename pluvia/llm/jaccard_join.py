@@ -35,6 +35,8 @@ from pluvia.llm.common import components, discard, in_batches, joined, mixed, na
 SKETCH_BITS = 22
 #: Bits of the bitmap that tells which documents' whole sets are needed.
 ID_BITS = 24
+#: Tokens whose sketch bucket counts so many documents more than the mean bucket are joined where adaptive execution can split a key.
+HOT = 2048
 #: Documents of a side that one task compares at a time.
 BLOCK = 128
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -123,22 +125,26 @@ def needed(n: F.Column, lo: F.Column, hi: F.Column, percent: int) -> F.Column:
 
 
 def signatures(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, signature): a 128-bit key of the set and its signature tokens, in the order of ``order``."""
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>"
+    """(doc_id, n_shingles, k1, k2, signature, hot): a 128-bit key of the set, its signature tokens in the order of ``order``, and
+    those of them that many documents have."""
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>, hot array<long>"
 
     def sign(batches):
         often = order.value
+        most = int(often.mean()) + HOT
         for pdf in batches:
             out = []
             for s in shingle_sets(utf8(pdf["text"]), width):
                 n = len(s)
                 if not n:
-                    out.append((0, 0, 0, np.zeros(0, np.int64)))
+                    out.append((0, 0, 0, *[np.zeros(0, np.int64)] * 2))
                     continue
-                rank = np.argsort(often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                seen = often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                rank = np.argsort(seen, kind="stable")[: n - (n * percent + 99) // 100 + 1]
                 k1, k2 = mixed(s).sum(dtype=np.uint64), mixed(s ^ _C[0]).sum(dtype=np.uint64)
-                out.append((n, int(k1.astype(np.int64)), int(k2.astype(np.int64)), s[rank[: n - (n * percent + 99) // 100 + 1]].view(np.int64)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_shingles": [x[0] for x in out], "k1": [x[1] for x in out], "k2": [x[2] for x in out], "signature": [x[3] for x in out]})
+                out.append((n, int(k1.astype(np.int64)), int(k2.astype(np.int64)), s[rank].view(np.int64), s[rank[seen[rank] > most]].view(np.int64)))
+            lists = {c: pd.Series([x[k] for x in out], dtype=object) for k, c in ((3, "signature"), (4, "hot"))}
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_shingles": [x[0] for x in out], "k1": [x[1] for x in out], "k2": [x[2] for x in out], **lists})
 
     return in_batches(docs.select("doc_id", "text"), sign, schema)
 
@@ -293,14 +299,21 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) where rows of one id are equal: documents linked, directly or over others."""
     order = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))  # of fixed size
     sign = stored(signatures(docs, width, percent, order), "jaccard-signatures")
-    own = sign.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = stored(sign.where("n_shingles > 0").select("doc_id", "k1", "k2", "n_shingles").join(own, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "jaccard-classes")
-    reps = classes.where("doc_id = rep").select("doc_id").distinct()
-    rows = sign.join(reps, "doc_id", "left_semi").select(F.explode("signature").alias("token"), F.col("doc_id").alias("q"), F.col("n_shingles").alias("n"))
+    # Any key of a join may hold a third of all rows. Sums by it are written first: adaptive execution splits a key of a join only
+    # where both sides come straight from an exchange.
+    keyed, key = sign.where("n_shingles > 0").select("doc_id", "k1", "k2", "n_shingles"), ["k1", "k2", "n_shingles"]
+    own = stored(keyed.groupBy(key).agg(F.min("doc_id").alias("rep")), "jaccard-own")
+    classes = stored(keyed.join(own, key).select("doc_id", "rep"), "jaccard-classes")
+    reps = own.select(F.col("rep").alias("doc_id"))
+    exploded = lambda docs, tokens: docs.join(reps, "doc_id", "left_semi").select(F.explode(tokens).alias("token"), F.col("doc_id").alias("q"), F.col("n_shingles").alias("n"))
+    hot = exploded(sign.where(F.size("hot") > 0).select("doc_id", "n_shingles", "hot"), "hot")
+    hot_pivots = stored(hot.groupBy("token").agg(F.min("q").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m"), "jaccard-hot")
+    rows = exploded(sign, F.when(F.size("hot") == 0, F.col("signature")).otherwise(F.array_except("signature", "hot")))
     # counted and joined on one exchange: both sides read the same columns, so that it is written once
     rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
     pivots = rows.groupBy("token").agg(F.min("q").alias("pivot"), F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least > 0").drop("m", "least")
-    shared = stored(rows.join(pivots, "token"), "jaccard-shared")
+    shared = stored(rows.join(pivots, "token").unionByName(hot.join(hot_pivots, "token")), "jaccard-shared")
+    discard(own, hot_pivots)
 
     # stars: the pivot with which a document shares most signature tokens
     star = shared.where("q <> pivot").groupBy("q", "pivot", "n").agg(F.count("*").alias("c")).where("100 * c >= 2 * n")
@@ -318,9 +331,10 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99)))
     cut = sizes.join(tree.select("q", F.col("g").alias("top")), "q", "left").select("q", "n", F.coalesce("top", "q").alias("top"), step.alias("step"))
     cut = stored(cut, "jaccard-steps")
-    group = cut.groupBy("top", "step").agg(F.min("q").alias("g"), F.count("*").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    group = stored(cut.groupBy("top", "step").agg(F.min("q").alias("g"), F.count("*").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi")), "jaccard-groups")
     cut = cut.join(group, ["top", "step"]).select("q", "n", "g", "w", "lo", "hi")
     cut = stored(cut, "jaccard-cut")
+    discard(group)
     # what the bound needs of a group travels with its members; who is in no tree is a group of one
     alone = {"g": "q", "w": F.lit(1), "lo": "n", "hi": "n"}
     member = shared.select("token", "q", "n").join(cut.drop("n"), "q", "left").withColumns({c: F.coalesce(c, x) for c, x in alone.items()})

@@ -542,6 +542,19 @@ def test_unlinked_documents_in_many_partitions(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(d).collect()} == {**{k: k for k in range(10)}, 3: 0, 7: 0}
 
 
+def test_hot_tokens_change_no_component(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    line = " ".join(f"c{j}" for j in range(30))
+    texts = [line, line, None, *(f"{line} x{k}" for k in range(12)), *(" ".join([line, *(f"o{rng.integers(10**9)}" for _ in range(3 * k))]) for k in range(12)), *(f"a{k} b{k} c{k} d{k} e{k} f{k}" for k in range(5))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = _components(texts, 3, 90)
+    for most in (0, 4):
+        monkeypatch.setattr(jaccard_join, "HOT", most)
+        order = spark.sparkContext.broadcast(jaccard_join._sketch(d, 3))
+        assert jaccard_join.signatures(d, 3, 90, order).where("size(hot) > 0 and size(hot) < size(signature)" if most else "size(hot) > 0").count() > 0
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(d, 3, 90).collect()} == want
+
+
 def test_sketches_are_summed_by_a_tree(spark):
     d = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text")).repartition(150)
     often = jaccard_join._sketch(d, 3)
