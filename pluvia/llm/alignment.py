@@ -6,15 +6,16 @@ of B end at the same byte, a group ends. A link is a pair of an A and a B token
 1. Texts are cut before runs of white space, at characters before which neither vocabulary can merge (:func:`cuts` proves it from the
    vocabularies: no entry holds the character after another that is no white space, and none but runs of white space begins with B's
    space and the character). A cut is then a token border of both, and each segment's tokens are those it has alone.
-2. Rows are taken up in blocks of about ``BLOCK_BYTES`` of text as they are read, and each block numbers its distinct segments: a
+2. Rows are taken up in blocks of about ``BLOCK_CHARS`` of text as they are read, and each block numbers its distinct segments: a
    document becomes a list of numbers. From here on no text is read or shuffled.
-3. Distinct segments of the whole corpus are tokenised and aligned once; the alignments are joined back to the blocks that hold them.
-4. A block's documents are composed of its segments' alignments. First the id pairs linked in each document are counted, summed up in
-   the block and then corpus-wide; the counts go back to the distinct segments, each of which gets its sums; then every document is the
-   sum of its segments.
+3. A block deals its segments out by their hash, one packed row for each share. A share of the corpus's segments comes together from
+   all blocks; its distinct segments are tokenised and aligned once, and each block gets back a packed row of alignments.
+4. A block's documents are joined to its alignments and counted: how many of them hold an id pair linked. The counts are summed up
+   corpus-wide, and every document is composed of its segments: texts of groups, and sums of the counts of its links.
 
-No links cross a segment, so the sums are exact. A segment occurs at most once in a block, so no key of the joins holds more than one row of each
-block; pairs are joined in salted shares. Blocks are bounded by bytes; a longer text is a block of its own.
+No links cross a segment, so the sums are exact. A segment occurs at most once in a block, so no share holds more than one entry of it
+for each block; shares grow in number with the text. Blocks are bounded by characters; a longer text is a block of its own. Counts of
+pairs are broadcast up to ``MOST_PAIRS`` of them (counted), and beyond that joined to the blocks that hold the pairs.
 
 Null and empty texts have no tokens: zeros, and an empty list of groups. So have texts in which the joined bytes of either tokenizer are
 not space + text; a text that holds U+2581 is such a one, since B reads that sign as a space. As a segment's bytes can get fewer
@@ -25,24 +26,35 @@ and n_best counts every link whose pair is among its A id's most frequent. Empty
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import in_batches, looked_up, stored
+from pluvia.llm.common import discard, in_batches, stored
 
-#: A block of documents ends at about this many bytes of text.
-BLOCK_BYTES = 4 << 20
+#: A block of documents ends at about this many characters of text.
+BLOCK_CHARS = 16 << 20
+#: Bytes of text of the corpus for each share of its segments.
+SHARE_BYTES = 16 << 20
+#: Most pairs whose counts are broadcast (24 bytes each).
+MOST_PAIRS = 1 << 20
 #: Characters before which texts may be cut, if the vocabularies allow it.
 CANDIDATES = " \n\t\r"
 #: B writes a space so.
 SPACE = "▁"
+#: Fixed value: the pattern by which byte-level vocabularies of A's kind cut texts before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -81,6 +93,16 @@ class Pair:
             piece = self.b.id_to_piece(k)
             self.bytes_b.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(k) else piece.replace(SPACE, " ").encode())
         self.blank = self.b.piece_to_id(SPACE)
+        self.fast = self._by_ranks(json.loads(self.raw[0])["model"])
+
+    def _by_ranks(self, model: dict):
+        """A's ids by rank of merged bytes, several times as fast; None unless ids are in the order of the merges."""
+        import tiktoken
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(model["vocab"].get(x + y) != 256 + k for k, (x, y) in enumerate(merges)) or len(set(self.bytes_a[: 256 + len(merges)])) != 256 + len(merges):
+            return None
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={self.bytes_a[k]: k for k in range(256 + len(merges))}, special_tokens={}).encode_ordinary
 
     _known = {}
 
@@ -96,8 +118,6 @@ class Pair:
 
         A must cut texts by its byte-level pattern first, which starts a new part at white space after anything else.
         """
-        import json
-
         kind = json.loads(self.a.to_str())
         split, model = kind["pre_tokenizer"] or {}, kind["model"]
         if kind["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model["type"] != "BPE" or model.get("dropout"):
@@ -111,8 +131,11 @@ class Pair:
         return "".join(c for c in CANDIDATES if c not in merged and (c == " " or c not in led))
 
     def aligned(self, segments: list[str]) -> list[tuple]:
-        """(whole, n_a, n_b, n_groups, groups, links) of each segment."""
-        ids_a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
+        """(n_a, n_b, n_groups, groups, links) of each segment; zeros where a tokenizer does not give its bytes back."""
+        if self.fast is not None:
+            ids_a = [self.fast(s) for s in segments]
+        else:
+            ids_a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
         ids_b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         # B adds its space to every text but the empty one; a segment without a space of its own does not have that token
         ids_b = [([self.blank] if s == " " else b if s[0] == " " else b[1:]) for s, b in zip(segments, ids_b, strict=True)]
@@ -121,7 +144,7 @@ class Pair:
     def _one(self, data: bytes, a: list[int], b: list[int]) -> tuple:
         in_a, in_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
         if b"".join(in_a) != data or b"".join(in_b) != data:
-            return False, 0, 0, 0, "", []
+            return 0, 0, 0, "", []
         links, groups, i, j, at_i, at_j, end_a, end_b = [], [], 0, 0, 0, 0, len(in_a[0]), len(in_b[0])
         while True:
             links.append((a[i] << 32) | b[j])
@@ -129,7 +152,7 @@ class Pair:
                 groups.append(f"{','.join(map(str, a[at_i : i + 1]))}|{','.join(map(str, b[at_j : j + 1]))}")
                 i, j = i + 1, j + 1
                 if i == len(a):
-                    return True, len(a), len(b), len(groups), ";".join(groups), links
+                    return len(a), len(b), len(groups), ";".join(groups), links
                 at_i, at_j, end_a, end_b = i, j, end_a + len(in_a[i]), end_b + len(in_b[j])
             elif end_a < end_b:
                 i += 1
@@ -147,143 +170,228 @@ def segments_pattern(cut: str) -> re.Pattern:
     return re.compile(rf"\s*\S+(?:{stay}\s*\S*)*|\s+")
 
 
-def numbered(docs: DataFrame, cut: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of two kinds: (block, doc_id, codes), a document as numbers of its block's segments; (block, no, segment)."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("no", pa.int32()), ("segment", pa.string())])
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string, the bytes of numbers in planes: high bytes are mostly zeros."""
+    head = np.array([len(arrays), *(x for v in arrays for x in (v.itemsize, len(v)))], "<i8")
+    planes = (np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T).tobytes() for v in arrays)
+    return zstandard.compress(b"".join([head.tobytes(), *planes]), 3)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n = int(raw[:8].view("<i8")[0])
+    sizes = raw[8 : 8 + 16 * n].view("<i8").reshape(n, 2)
+    out, at = [], 8 + 16 * n
+    for width, m in sizes.tolist():
+        out.append(np.ascontiguousarray(raw[at : at + width * m].reshape(width, m).T).reshape(-1).view({1: "u1", 4: "<u4", 8: "<i8"}[width]))
+        at += width * m
+    return out
+
+
+def _strings(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and bytes."""
+    return np.array([len(v) for v in values], "<u4"), np.frombuffer(b"".join(values), np.uint8)
+
+
+def _split(sizes: np.ndarray, data: np.ndarray) -> list[str]:
+    text, edge = data.tobytes(), np.concatenate([[0], np.cumsum(sizes.astype(np.int64))]).tolist()
+    return [text[a:b].decode() for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def _gathered(sizes: np.ndarray, values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The values of lists (sizes, values) in another order of the lists."""
+    sizes = sizes.astype(np.int64)
+    start = (np.cumsum(sizes) - sizes)[order]
+    count = sizes[order]
+    return values[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+
+
+def numbered(docs: DataFrame, cut: str, shares: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(block, share, data): without a share a block's documents (ids, lengths and numbers), else the segments of a share."""
+    schema = pa.schema([("block", pa.int64()), ("share", pa.int32()), ("data", pa.binary())])
 
     def number(batches):
         find, first, block = segments_pattern(cut).findall, TaskContext.get().partitionId() << 32, 0
-        numbers: dict[str, int] = {}
+        numbers = defaultdict(count().__next__)
         ids, lists, held = [], [], 0
 
         def rows():
-            n, m = len(ids), len(numbers)
-            for at in range(0, n, 1000):  # small batches: lists may be long
-                part = lists[at : at + 1000]
-                k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([first + block] * k, pa.int64()), pa.array(ids[at : at + k], pa.int64()), pa.array(part, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string())], schema=schema)
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array([first + block] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(numbers), pa.string())], schema=schema)
+            null = np.array([k is None for k in ids], np.uint8)
+            of = np.array([k or 0 for k in ids], "<i8")
+            yield None, _pack(null, of, np.array([len(x) for x in lists], "<u4"), np.concatenate(lists))
+            segments = [s.encode() for s in numbers]
+            share = np.array([crc32(s) % shares for s in segments], np.int64)
+            order = np.argsort(share, kind="stable")
+            edge = np.searchsorted(share[order], np.arange(shares + 1))
+            for k in np.flatnonzero(np.diff(edge)).tolist():
+                mine = order[edge[k] : edge[k + 1]]
+                yield k, _pack(mine.astype("<u4"), *_strings([segments[j] for j in mine.tolist()]))
+
+        def batch_of(part):
+            return pa.RecordBatch.from_arrays([pa.array([first + block] * len(part), pa.int64()), pa.array([k for k, _ in part], pa.int32()), pa.array([d for _, d in part], pa.binary())], schema=schema)
+
+        def written():
+            part = []
+            for row in rows():
+                part.append(row)
+                if len(part) == 64:
+                    yield batch_of(part)
+                    part = []
+            if part:
+                yield batch_of(part)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                size = 4 * len(text) if text else 0
-                if ids and held + size > 4 * block_bytes:
-                    yield from rows()
+                size = len(text) if text else 0
+                if ids and held + size > block_chars:
+                    yield from written()
                     block, held = block + 1, 0
-                    numbers, ids, lists = {}, [], []
-                codes = [numbers.setdefault(s, len(numbers)) for s in find(f" {text}")] if text else []
+                    numbers = defaultdict(count().__next__)
+                    ids, lists = [], []
                 ids.append(doc_id)
-                lists.append(np.array(codes, "<u4").tobytes())
+                lists.append(np.fromiter(map(numbers.__getitem__, find(f" {text}")), "<u4") if text else np.zeros(0, "<u4"))
                 held += size
         if ids:
-            yield from rows()
+            yield from written()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return in_batches(rows, number, "block long, doc_id long, codes binary, no int, segment string", arrow=True)
+    return in_batches(rows, number, "block long, share int, data binary", arrow=True)
 
 
-def align(distinct: DataFrame, raw) -> DataFrame:
-    """(segment, whole, n_a, n_b, n_groups, groups, links) of every row of ``distinct`` (segment). ``raw``: broadcast files."""
-    schema = pa.schema([("segment", pa.string()), ("whole", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))])
+def align(shared: DataFrame, raw) -> DataFrame:
+    """(home, data): the alignments of each block's segments, by share. ``shared``: (block, share, data), ``raw``: broadcast files."""
 
-    def run(batches):
+    def run(rows: pa.Table) -> pa.Table:
         pair = Pair.of(raw.value)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 2000):
-                part = texts[at : at + 2000]
-                columns = zip(*pair.aligned(part), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
-
-    return in_batches(distinct, run, "segment string, whole boolean, n_a long, n_b long, n_groups long, groups string, links array<long>", arrow=True)
+        slot = defaultdict(count().__next__)
+        members = []
+        for data in rows.column("data").to_pylist():
+            no, sizes, text = _unpack(data)
+            members.append((no, np.fromiter(map(slot.__getitem__, _split(sizes, text)), np.int64)))
+        segments, found = list(slot), []
+        for at in range(0, len(segments), 2000):
+            found += pair.aligned(segments[at : at + 2000])
+        heads = np.array([f[:3] for f in found], "<u4").reshape(-1, 3)
+        n_links, links = np.array([len(f[4]) for f in found], "<u4"), np.array([x for f in found for x in f[4]], "<i8")
+        n_text, text = _strings([f[3].encode() for f in found])
+        data = [_pack(no, *(heads[at, k] for k in range(3)), n_links[at], _gathered(n_links, links, at), n_text[at], _gathered(n_text, text, at)) for no, at in members]
+        return pa.table({"home": rows.column("block"), "data": pa.array(data, pa.binary())})
+
+    return shared.groupBy("share").applyInArrow(run, "home long, data binary")
 
 
 class _Block:
-    """Documents of a block as one list of segment numbers, and columns of segments by number."""
-
-    def __init__(self, docs: pa.Table, segments: pa.Table) -> None:
-        lists = [np.frombuffer(c, "<u4") for c in docs.column("codes").to_pylist()]
-        self.n = len(lists)
-        self.codes = np.concatenate([*lists, np.zeros(0, "<u4")]).astype(np.int64)
-        self.owner = np.repeat(np.arange(self.n), [len(x) for x in lists])
-        self.edge = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        self.segments = segments.take(np.argsort(segments.column("no").to_numpy(), kind="stable")) if len(segments) else segments
-        self.whole = self.column("whole").astype(bool)
-        self.bad = np.bincount(self.owner[~self.whole[self.codes]], minlength=self.n) > 0
-        self.good = ~self.bad[self.owner]  # of each segment's place
-
-    def column(self, name: str) -> np.ndarray:
-        return self.segments.column(name).to_numpy()
-
-    def summed(self, name: str) -> np.ndarray:
-        """A column's sum by document; 0 where the document is not whole."""
-        out = np.zeros(self.n, np.int64)
-        np.add.at(out, self.owner[self.good], self.column(name).astype(np.int64)[self.codes[self.good]])
-        return out
-
-
-def _linked(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """(pair, docs): in how many of the block's documents each id pair is linked."""
-    block = _Block(docs, segments)
-    out = {"pair": np.zeros(0, np.int64), "docs": np.zeros(0, np.int64)}
-    if len(block.codes) and len(block.segments):
-        lists = block.segments.column("links").combine_chunks()
-        links, start = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-        pairs, slot = np.unique(links, return_inverse=True)
-        total, n_pairs = np.zeros(len(pairs), np.int64), max(1, len(pairs))
-        n_segments = len(block.segments)
-        seen = np.unique(block.owner[block.good] * n_segments + block.codes[block.good])  # (document, segment)
-        doc, no = seen // n_segments, seen % n_segments
-        for lo in range(0, len(seen), 1 << 20):
-            hi = min(len(seen), lo + (1 << 20))
-            while hi < len(seen) and doc[hi] == doc[hi - 1]:
-                hi += 1 << 16  # a document is not split
-                hi = min(hi, len(seen))
-            while lo and lo < hi and doc[lo] == doc[lo - 1]:
-                lo += 1  # what the range before took
-            count = start[no[lo:hi] + 1] - start[no[lo:hi]]
-            place = np.repeat(start[no[lo:hi]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            once = np.unique(np.repeat(doc[lo:hi], count) * n_pairs + slot[place])
-            total += np.bincount(once % n_pairs, minlength=len(pairs))
-        out = {"pair": pairs[total > 0], "docs": total[total > 0]}
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
-
-
-def _composed(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """The report's rows of a block."""
-    block = _Block(docs, segments)
-    texts = block.segments.column("groups").to_pylist() if len(block.segments) else []
-    codes = block.codes.tolist()
-    groups = ["" if block.bad[k] else ";".join([texts[c] for c in codes[block.edge[k] : block.edge[k + 1]]]) for k in range(block.n)]
-    sums = {c: pa.array(block.summed(c), pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}
-    return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), **sums, "groups": pa.array(groups, pa.string())})
-
-
-def token_alignments(docs: DataFrame, files: tuple[str, str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A block's documents and the alignments of its segments, by number."""
+
+    def __init__(self, null, ids, lengths, codes, n_a, n_b, n_groups, n_links, links, n_text, text) -> None:
+        self.arrays = (null, ids, lengths, codes, n_a, n_b, n_groups, n_links, links, n_text, text)
+        self.n, self.codes = len(ids), codes.astype(np.int64)
+        self.ids = pa.array(ids, pa.int64(), mask=null.astype(bool))
+        self.owner = np.repeat(np.arange(self.n), lengths)
+        self.edge = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+        self.bad = np.bincount(self.owner[n_a[self.codes] == 0], minlength=self.n) > 0
+        self.links, self.n_links = links, n_links.astype(np.int64)
+        self.start = np.cumsum(self.n_links) - self.n_links
+
+    @classmethod
+    def of(cls, documents: bytes, alignments: list[bytes]) -> _Block:
+        parts = [_unpack(d) for d in alignments]
+        empty = [np.zeros(0, t) for t in ("<u4", "<u4", "<u4", "<u4", "<u4", "<i8", "<u4", "u1")]
+        no, n_a, n_b, n_groups, n_links, links, n_text, text = (np.concatenate([e, *(p[k] for p in parts)]) for k, e in enumerate(empty))
+        order = np.argsort(no, kind="stable")  # all numbers from 0 on, once each
+        return cls(*_unpack(documents), n_a[order], n_b[order], n_groups[order], n_links[order], _gathered(n_links, links, order), n_text[order], _gathered(n_text, text, order))
+
+    def linked(self) -> tuple[np.ndarray, np.ndarray]:
+        """(id pairs, how many documents hold them linked)."""
+        pairs, slot = np.unique(self.links, return_inverse=True)
+        total, edge = np.zeros(len(pairs), np.int64), self.edge
+        at = 0
+        while at < self.n:  # some documents at once, one at least
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + (1 << 18), side="right")) - 1)
+            good = ~self.bad[self.owner[edge[at] : edge[to]]]
+            seen = np.unique(((self.owner[edge[at] : edge[to]][good] - at) << 32) + self.codes[edge[at] : edge[to]][good])
+            doc, no = seen >> 32, seen & 0xFFFFFFFF
+            many = self.n_links[no]
+            place = np.repeat(self.start[no] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            once = np.unique((np.repeat(doc, many) << 32) + slot[place])
+            total += np.bincount(once & 0xFFFFFFFF, minlength=len(pairs))
+            at = to
+        return pairs[total > 0], total[total > 0]
+
+    def report(self, pairs: np.ndarray, docs: np.ndarray, best: np.ndarray):
+        """Rows of the report, some at a time; ``pairs``: sorted, with their counts and whether they are their A id's best."""
+        _, _, _, _, n_a, n_b, n_groups, _, links, n_text, text = self.arrays
+        at = np.minimum(np.searchsorted(pairs, links), max(0, len(pairs) - 1))
+        known = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)  # others are of texts without tokens only
+        by_segment = lambda v: (lambda c: c[self.start + self.n_links] - c[self.start])(np.concatenate([[0], np.cumsum(np.where(known, v[at], 0) if len(pairs) else np.zeros(len(links), np.int64))]))
+        columns = (n_a, n_b, n_groups, self.n_links, by_segment(best), by_segment(docs))
+        sums = []
+        for values in columns:
+            run = np.concatenate([[0], np.cumsum(values.astype(np.int64)[self.codes])])
+            sums.append(np.where(self.bad, 0, run[self.edge[1:]] - run[self.edge[:-1]]))
+        texts, codes, lo = _split(n_text, text), self.codes, 0
+        while lo < self.n:
+            hi = max(lo + 1, int(np.searchsorted(self.edge, self.edge[lo] + (1 << 18), side="right")) - 1)
+            groups = ["" if self.bad[k] else ";".join([texts[c] for c in codes[self.edge[k] : self.edge[k + 1]].tolist()]) for k in range(lo, hi)]
+            yield pa.RecordBatch.from_arrays([self.ids[lo:hi], *(pa.array(v[lo:hi], pa.int64()) for v in sums), pa.array(groups, pa.string())], schema=_REPORT)
+            lo = hi
+
+
+_REPORT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups", pa.string())])
+_REPORT_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+
+
+def _met(documents: pa.Table, alignments: pa.Table) -> pa.Table:
+    """(block, data, pair, docs): the block packed as a whole, and its counts of pairs."""
+    if not documents.num_rows:
+        raise ValueError("alignments of a block that is not there")
+    block = _Block.of(documents.column("data")[0].as_py(), alignments.column("data").to_pylist())
+    pairs, counts = block.linked()
+    n = len(pairs)
+    return pa.table({
+        "block": pa.array([documents.column("block")[0].as_py()] * (n + 1), pa.int64()), "data": pa.array([_pack(*block.arrays)] + [None] * n, pa.binary()),
+        "pair": pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(pairs, pa.int64())]), "docs": pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(counts, pa.int64())]),
+    })
+
+
+def token_alignments(docs: DataFrame, files: tuple[str, str] | None = None, block_chars: int = BLOCK_CHARS, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every document; groups is ``a1,a2|b1;a3|b2,b3``."""
-    raw = []
+    spark, raw = docs.sparkSession, []
     for path in files or tokenizer_files():
         with open(path, "rb") as f:  # on the driver alone: the files' bytes travel as a broadcast of a few megabytes
             raw.append(f.read())
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(raw))
-    rows = stored(numbered(docs, Pair.of(shared.value).cuts(), block_bytes), "alignment-blocks")
-    documents = rows.where("no is null").select("block", "doc_id", "codes")
-    members = rows.where("no is not null").select(F.col("block").alias("home"), "no", "segment")
-    aligned = stored(align(members.select("segment").distinct(), shared), "alignment-segments")
-
-    per_block = members.join(aligned.select("segment", "whole", "links"), "segment").drop("segment")
-    linked = documents.groupBy("block").cogroup(per_block.groupBy("home")).applyInArrow(_linked, "pair long, docs long")
-    counts = stored(linked.groupBy("pair").agg(F.sum("docs").alias("docs")), "alignment-pairs")
+    sent = spark.sparkContext.broadcast(tuple(raw))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE_BYTES))
+    rows = stored(numbered(docs, Pair.of(sent.value).cuts(), shares, block_chars), "alignment-blocks")
+    documents = rows.where("share is null").select("block", "data")
+    aligned = align(rows.where("share is not null"), sent)
+    met = documents.groupBy("block").cogroup(aligned.groupBy("home")).applyInArrow(_met, "block long, data binary, pair long, docs long")
+    met = stored(met, "alignment-met")
+    discard(rows)  # nothing reads it any more
+    blocks, pairs = met.where("data is not null").select("block", "data"), met.where("pair is not null").select(F.col("block").alias("home"), "pair", "docs")
+    counts = pairs.groupBy("pair").agg(F.sum("docs").alias("docs"))
     # an A id has at most as many pairs as B has ids
     top = F.max("docs").over(Window.partitionBy(F.shiftrightunsigned("pair", 32)))
-    counts = counts.select("pair", "docs", (F.col("docs") == top).cast("long").alias("best"))
-    links = aligned.where("whole").select("segment", F.explode("links").alias("pair"))
-    sums = looked_up(links, "pair", "segment", counts).groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
-    full = aligned.join(sums, "segment", "left").select("segment", "whole", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")), "groups")
-    per_block = members.join(full, "segment").drop("segment")
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-    return documents.groupBy("block").cogroup(per_block.groupBy("home")).applyInArrow(_composed, schema)
+    counts = stored(counts.select("pair", "docs", (F.col("docs") == top).cast("long").alias("best")), "alignment-pairs")
+    if counts.count() <= most_pairs:
+        table = counts.orderBy("pair").toPandas()  # counted
+        known = spark.sparkContext.broadcast(tuple(table[c].to_numpy(np.int64) for c in ("pair", "docs", "best")))
+
+        def compose(batches):
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    yield from _Block(*_unpack(data)).report(*known.value)
+
+        return in_batches(blocks, compose, _REPORT_DDL, arrow=True)
+
+    def composed(block: pa.Table, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("pair").to_numpy(), kind="stable")
+        stats = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("pair", "docs", "best"))
+        return pa.Table.from_batches(_Block(*_unpack(block.column("data")[0].as_py())).report(*stats), _REPORT)
+
+    here = pairs.select("home", "pair").join(counts, "pair")  # a pair is in one row of each block
+    return blocks.groupBy("block").cogroup(here.groupBy("home")).applyInArrow(composed, _REPORT_DDL)
 
 
 def alignment_report(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:

@@ -210,9 +210,9 @@ def _report(pair, rows):
     )
 
 
-@pytest.mark.parametrize("block_bytes", [1, 2000, alignment.BLOCK_BYTES])
-def test_alignment_equals_brute_force(docs, rows, pair, nothing, monkeypatch, block_bytes):
-    got = alignment.token_alignments(docs, block_bytes=block_bytes)
+@pytest.mark.parametrize(("block_chars", "most_pairs"), [(1, 1 << 20), (2000, 0), (alignment.BLOCK_CHARS, 1 << 20)])
+def test_alignment_equals_brute_force(docs, rows, pair, block_chars, most_pairs):
+    got = alignment.token_alignments(docs, block_chars=block_chars, most_pairs=most_pairs)
     names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     found = sorted(((*(r[c] for c in names), hashlib.sha256(r["groups"].encode()).hexdigest() if r["groups"] else "") for r in got.collect()), key=str)
     odd = [(g[0], w[0]) for g, w in zip(found, _report(pair, rows), strict=True) if g != w]
@@ -239,7 +239,7 @@ def test_cuts_are_proved_and_segments_are_whole(pair):
         parts = find(text)
         assert "".join(parts) == text
         a = [k for s in parts for k in pair.a.encode(s, add_special_tokens=False).ids]
-        assert a == pair.a.encode(text, add_special_tokens=False).ids
+        assert a == pair.a.encode(text, add_special_tokens=False).ids == [k for s in parts for k in pair.fast(s)]
         b = [k for s in parts for k in ([pair.blank] if s == " " else pair.b.encode(s[1:]) if s[0] == " " else pair.b.encode(s)[1:])]
         assert b == (pair.b.encode(text[1:]) or [pair.blank])
 
