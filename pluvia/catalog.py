@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pluvia.plans import queries as plans
-from pluvia.plans import queries_features  # noqa: F401  registers its queries
+from pluvia.plans import queries_features, queries_networks  # noqa: F401  register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

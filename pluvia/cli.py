@@ -96,7 +96,9 @@ def station_rain(argv: list[str]) -> None:
     p.add_argument("--domain", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--interval-s", type=int, default=900)
-    p.add_argument("--buffer-m", type=float, default=0.0, help="cells farther from the stations' hull have no value")
+    p.add_argument("--buffer-m", type=float, default=0.0, help="cells farther from the stations' hull have no rain")
+    p.add_argument("--variogram", default="best", choices=["best", "spherical", "exponential", "gaussian"])
+    p.add_argument("--neighbours", type=int, default=32, help="stations that a cell's value is made from")
     a = p.parse_args(argv)
     spark = _spark()
     cells, axes = _domain(spark, a.domain)
@@ -106,11 +108,16 @@ def station_rain(argv: list[str]) -> None:
     binned = metres(T.station_bins(files.read_stations(spark, a.records), a.interval_s), "lon", "lat")
     times = [(r["bin"], r["h"]) for r in binned.groupBy("bin").agg(F.min(S.cf_hours(F.col("t"))).alias("h")).orderBy("bin").collect()]  # bins of a run
     grid = metres(cells, "x", "y")
+    outside = None
     if a.buffer_m > 0:
         spots = binned.select("x_m", "y_m").distinct().toPandas().to_numpy(float)  # a network
-        grid = T.in_buffered_hull(grid, T.hull(spots), a.buffer_m).where("inside")
+        grid = T.in_buffered_hull(grid, T.hull(spots), a.buffer_m)
+        grid, outside = grid.where("inside"), grid.where("not inside")
     number = spark.createDataFrame([(b, k) for k, (b, _) in enumerate(times)], "bin long, k int")
-    rates = T.interpolate_bins(binned, grid).join(F.broadcast(number), "bin").select("k", "cell_id", F.col("value").alias("rate"))
+    rates = T.interpolated(binned, grid, None, a.variogram, a.neighbours)
+    if outside is not None:  # no rain there
+        rates = rates.unionByName(outside.select("cell_id").join(F.broadcast(number.select("bin")), F.lit(True)).select("bin", "cell_id", F.lit(0.0).alias("value")))
+    rates = rates.join(F.broadcast(number), "bin").select("k", "cell_id", F.col("value").alias("rate"))
     _save_rain(rates, a.out, axes, [h for _, h in times], cells, "stations")
 
 

@@ -1,4 +1,6 @@
-"""Flow over the cell graph: upstream area by pointer doubling, routing of parcels by closed-form schedules or supersteps.
+"""Flow over the cell graph: upstream area by pointer doubling, routing of parcels by closed-form schedules or the literal clock.
+
+Runs are routed by blocks (:mod:`pluvia.operators.routing`); what is here beside it serves questions about single paths and tests.
 
 Parcels do not act on each other, so equal parcels (cell, tau) travel as one row with a count and a volume.
 """
@@ -7,11 +9,11 @@ from __future__ import annotations
 
 import math
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pluvia.operators.routing import Routed
 from pluvia.plans.storage import cut, shared
 
 
@@ -127,19 +129,6 @@ def superstep(parcels: DataFrame, flow: DataFrame, dt_s: float, sink: bool = Tru
     return p.select(cell.alias("cell_id"), tau.alias("tau"), "n", "vol").groupBy("cell_id", "tau").agg(F.sum("n").alias("n"), F.sum("vol").alias("vol"))
 
 
-#: More rows of path tables than this, and a run is routed step by step.
-MOST_PATH_ROWS = 5_000_000_000
-
-
-@dataclass
-class Routed:
-    """``placed`` (step, node, n, vol) at output steps, ``outflow`` (node, step, n, vol), ``inside`` (step, vol)."""
-
-    placed: DataFrame
-    outflow: DataFrame
-    inside: DataFrame
-
-
 def by_schedule(parcels: DataFrame, schedule: DataFrame, saved: DataFrame, steps: DataFrame) -> Routed:
     first, last = steps.agg(F.min("step"), F.max("step")).first()
     outflow = outflow_events(parcels, schedule).where(F.col("step").between(first, last))
@@ -150,8 +139,8 @@ def by_schedule(parcels: DataFrame, schedule: DataFrame, saved: DataFrame, steps
 def by_supersteps(parcels: DataFrame, flow: DataFrame, travel: DataFrame, dt_s: float, saved: DataFrame, steps: DataFrame) -> Routed:
     """The literal clock, for grids whose path tables would be larger than their parcels: rows are active (cell, waiting time)s.
 
-    Steps follow one another; every one is written, so that a lost executor costs one step. Parcels of an earlier run are moved
-    from the step they were spawned at.
+    Steps follow one another; every one is written, so that a lost executor costs one step. Parcels with a waiting time ``tau``
+    go on with it, others have just been spawned.
     """
     spark = parcels.sparkSession
     first, last = steps.agg(F.min("step"), F.max("step")).first()
@@ -165,8 +154,9 @@ def by_supersteps(parcels: DataFrame, flow: DataFrame, travel: DataFrame, dt_s:
     f = flow.join(travel.select(F.col("node").alias("ds_id"), F.col("travel_s").alias("ds_travel_s")), "ds_id", "left").select("cell_id", "ds_id", "ds_travel_s")
     f = cut(f.repartition("cell_id"))
     state = None
+    tau0 = F.coalesce(F.col("tau"), F.lit(0.0)) if "tau" in parcels.columns else F.lit(0.0)
     for step in range(first if begun is None else min(first, begun), last + 1):
-        new = parcels.where(F.col("step0") == step).select("cell_id", F.lit(0.0).alias("tau"), "n", "vol")
+        new = parcels.where(F.col("step0") == step).select("cell_id", tau0.cast("double").alias("tau"), "n", "vol")
         now = new if state is None else state.unionByName(new)
         p = now.join(f, "cell_id", "left").withColumn("left", F.col("tau") - dt_s)
         go = F.col("left") <= 1e-9

@@ -1,8 +1,8 @@
 """Features against cells in column expressions: rings and paths as lists of edges, point tests, distances, exact overlaps.
 
 A feature is one row with its edges (ax, ay, bx, by, s): the sign ``s`` turns every outer ring against the clock and every hole
-with it, so that one sum over all edges serves polygons with holes and of several parts. Cells meet features by an equi-join on
-tiles; a tile's share of a feature, not the feature's whole box, bounds what a task holds. Nothing here runs Python.
+with it, so that one sum over all edges serves polygons with holes and of several parts. Cells meet features by scan lines
+(:mod:`pluvia.operators.scanline`), edge by edge. Nothing here runs Python.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.functions import scalars as S
+from pluvia.operators import grid as G
+from pluvia.operators import scanline as N
 from pluvia.operators import zonal as Z
+from pluvia.plans.storage import cut
 
 AREAS, LINES = ("Polygon", "MultiPolygon"), ("LineString", "MultiLineString")
 _POINT = "array<double>"
@@ -21,21 +24,30 @@ def _points(depth: int) -> str:
     return "array<" * depth + _POINT + ">" * depth
 
 
-def _edges_of(path: Column, sign: Column) -> Column:
-    """Edges between the points of a path, in its order."""
-    ends = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
-    return F.transform(ends, lambda q, i: F.struct(path[i][0].alias("ax"), path[i][1].alias("ay"), q[0].alias("bx"), q[1].alias("by"), sign.alias("s")))
+def _let(value: Column, f) -> Column:
+    """``f(value)``, the value worked out once: inside a lambda an outer expression is worked out for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
 
+def _edges_of(path: Column) -> Column:
+    """Edges between the points of a path, in its order."""
+    def joined(p: Column) -> Column:
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        return F.zip_with(F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by"), F.lit(1.0).alias("s")))
 
-def _twice_area(ring: Column) -> Column:
-    ends = F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0)))
-    return F.aggregate(F.transform(ends, lambda q, i: ring[i][0] * q[1] - q[0] * ring[i][1]), F.lit(0.0), lambda a, v: a + v)
+    return _let(path, joined)
 
 
 def _ring_edges(ring: Column, i: Column) -> Column:
-    closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
-    role = F.when(i == 0, 1.0).otherwise(-1.0)
-    return _edges_of(closed, role * F.when(_twice_area(closed) < 0, -1.0).otherwise(1.0))
+    """Edges of the ring numbered ``i`` (0: outer, others: holes), closed, with signs."""
+    closed = _let(ring, lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1))))
+
+    def signed(edges: Column) -> Column:
+        area = F.aggregate(edges, F.lit(0.0), lambda sum_, e: sum_ + e["ax"] * e["by"] - e["bx"] * e["ay"])
+        role = F.when(i == 0, 1.0).otherwise(-1.0) * F.when(area < 0, -1.0).otherwise(1.0)
+        return _let(F.struct(edges.alias("edges"), role.alias("s")), lambda x: F.transform(x["edges"], lambda e: F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"), e["by"].alias("by"), x["s"].alias("s"))))
+
+    return _let(_edges_of(closed), signed)
 
 
 def shapes(features: DataFrame) -> DataFrame:
@@ -49,7 +61,7 @@ def shapes(features: DataFrame) -> DataFrame:
     paths = F.when(kind == "LineString", F.array(read(1))).when(kind == "MultiLineString", read(2))
     spots = F.when(kind == "Point", F.array(read(0))).when(kind == "MultiPoint", read(1))
     rings = F.flatten(F.transform(polygons, lambda p: F.flatten(F.transform(p, _ring_edges))))
-    lines = F.flatten(F.transform(paths, lambda p: _edges_of(p, F.lit(1.0))))
+    lines = F.flatten(F.transform(paths, _edges_of))
     dots = F.transform(F.filter(spots, lambda p: F.size(p) > 1), lambda p: F.struct(p[0].alias("ax"), p[1].alias("ay"), p[0].alias("bx"), p[1].alias("by"), F.lit(1.0).alias("s")))
     f = features.withColumn("edges", F.when(kind.isin(*AREAS), rings).when(kind.isin(*LINES), lines).otherwise(dots))
     f = f.withColumn("kind", F.when(F.coalesce(F.size("edges"), F.lit(0)) > 0, F.when(kind.isin(*AREAS), "area").when(kind.isin(*LINES), "line").otherwise("point")))
@@ -81,6 +93,46 @@ def cell_boxes(cells: DataFrame, dx: float, dy: float) -> DataFrame:
     return cells.withColumns({"west": w, "south": s, "east": e, "north": n})
 
 
+def uneven_boxes(cells: DataFrame, x_axis: DataFrame, y_axis: DataFrame) -> DataFrame:
+    """``cells`` (r, c) of uneven axes (i, v) with x, y and the rectangle of each: its sides lie half-way to the next centres."""
+    sides = lambda axis, key, v, low, high: G.axis_edges(axis).select(F.col("i").alias(key), F.col("v").alias(v), F.least("lo", "hi").alias(low), F.greatest("lo", "hi").alias(high))
+    out = cells.drop("x", "y", "west", "south", "east", "north")
+    return out.join(sides(x_axis, "c", "x", "west", "east"), "c").join(sides(y_axis, "r", "y", "south", "north"), "r")
+
+
+def nearest_index(points: DataFrame, value: str, axis: DataFrame, out: str, most: int = 1_000_000) -> DataFrame:
+    """``points`` with ``out``, the number of the nearest of an uneven axis (i, v), by bisection in its sorted borders.
+
+    Values beyond the ends take the end, a value on a border the lower number. An axis is counted before it becomes a constant.
+    """
+    found = G.axis_edges(axis).orderBy("v").limit(most + 1).select("i", "v").collect()
+    if len(found) > most:
+        raise ValueError(f"an axis of more than {most} values")
+    order, v = [int(r["i"]) for r in found], [float(r["v"]) for r in found]
+    up = len(order) < 2 or order[0] < order[-1]
+    between = [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)]
+    borders = points.sparkSession.createDataFrame([(between, order)], "borders array<double>, numbers array<int>")
+    x = F.col(value)
+    beyond = lambda b: (x > b) if up else (x >= b)
+    # each round halves (lo, hi]: the number of borders that lie before the value
+    state = F.struct(F.lit(0).alias("lo"), F.size("borders").alias("hi"))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        open_, right = s["lo"] < s["hi"], beyond(F.element_at("borders", F.least(mid + 1, F.size("borders"))))
+        return F.struct(F.when(open_ & right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi"))
+
+    rounds = F.sequence(F.lit(1), F.lit(max(1, len(between).bit_length())))
+    at = F.aggregate(rounds, state, halve)["lo"] if between else F.lit(0)
+    return points.join(F.broadcast(borders), F.lit(True)).withColumn(out, F.when(x.isNotNull() & ~F.isnan(x), F.element_at("numbers", at + 1))).drop("borders", "numbers")
+
+
+def sample_uneven(points: DataFrame, x_axis: DataFrame, y_axis: DataFrame, cells: DataFrame) -> DataFrame:
+    """(feature_id, cell_id, depth_m, risk) of points (feature_id, px, py) at the nearest cell of uneven axes."""
+    p = nearest_index(nearest_index(points, "px", x_axis, "c"), "py", y_axis, "r")
+    return p.join(cells, ["r", "c"], "left").select("feature_id", "cell_id", "depth_m", "risk")
+
+
 def cell_polygon() -> Column:
     """GeoJSON of a cell's rectangle."""
     p = lambda x, y: F.concat(F.lit("["), F.col(x).cast("string"), F.lit(","), F.col(y).cast("string"), F.lit("]"))
@@ -128,14 +180,11 @@ def weighted_cells(shapes_: DataFrame, cells: DataFrame, dx: float, dy: float, t
     ``centre``: cells whose centre is in the polygon, or within ``buffer`` of the line or point; ``touched``: cells that share
     any area; both weigh cos(latitude). ``exact``: the shared area.
     """
-    reach = buffer if mode == "centre" else 0.0
-    more = lambda c, s, d: (F.col(c) + s * (reach + (abs(d) / 2 if mode != "centre" else 0.0))).alias(c)
-    f = shapes_.select("feature_id", "edges", more("x0", -1, dx), more("x1", 1, dx), more("y0", -1, dy), more("y1", 1, dy))
-    p = Z.candidates(f, cell_boxes(cells, dx, dy), tile)
+    c = cells if {"west", "south", "east", "north"} <= set(cells.columns) else cell_boxes(cells, dx, dy)
     if mode == "centre":
-        here = distance(F.col("x"), F.col("y"), F.col("edges")) <= buffer if buffer > 0 else inside(F.col("x"), F.col("y"), F.col("edges"))
-        return p.where(here).withColumn("w", S.cos_lat(F.col("y"))).drop("edges")
-    p = p.withColumn("w", overlap(F.col("edges"), F.col("west"), F.col("south"), F.col("east"), F.col("north"))).where("w > 0").drop("edges")
+        p = N.near(shapes_, c, tile, buffer) if buffer > 0 else N.centres(shapes_, c, tile)
+        return p.withColumn("w", S.cos_lat(F.col("y")))
+    p = N.areas(shapes_, c, tile)
     return p.withColumn("w", S.cos_lat(F.col("y"))) if mode == "touched" else p
 
 
@@ -153,7 +202,7 @@ def zonal_single(shapes_: DataFrame, cells: DataFrame, dx: float, dy: float, til
 
 
 def enriched(features: DataFrame, cells: DataFrame, axes: tuple[float, float, int, float, float, int], tile: float, threshold: float, point_buffer: float = 0.0, line_buffer: float = 0.0, mode: str = "centre", class_by: str = "mean", thresholds: tuple[float, float, float] | None = None) -> DataFrame:
-    """Every feature once, with statistics by what it is: (..., mode, n, depth_mean, depth_max, risk_mean, risk_max, risk_class, flooded_pct).
+    """Every row of ``features`` once, of whatever id, with statistics by what it is: (..., mode, n, depth_mean, depth_max, risk_mean, risk_max, risk_class, flooded_pct).
 
     Polygons, and points and lines with a buffer (in units of the plane), take their cells (``area``); points without one the
     nearest cell (``point``), lines the one nearest to their centroid (``line_centroid``), several points likewise
@@ -161,7 +210,10 @@ def enriched(features: DataFrame, cells: DataFrame, axes: tuple[float, float, in
     of the grid (c, r).
     """
     x0, dx, nx, y0, dy, ny = axes
-    s = shapes(features)
+    # ids need not be unique (files number their features from 0): rows are numbered, and written so that their numbers stay
+    kept = features.withColumn("feature_row", F.monotonically_increasing_id())
+    kept = cut(kept)
+    s = shapes(kept.drop("feature_id").withColumnRenamed("feature_row", "feature_id"))
     area = zonal(s.where("kind = 'area'"), cells, dx, dy, tile, threshold, mode)
     many = F.size("edges") > 1
     for kind, buffer in (("line", line_buffer), ("point", point_buffer)):
@@ -173,7 +225,8 @@ def enriched(features: DataFrame, cells: DataFrame, axes: tuple[float, float, in
     valid = lambda c: S.finite(F.col(c))
     spot = spot.select("feature_id", F.when(valid("depth_m").isNotNull() & valid("risk").isNotNull(), 1).otherwise(0).cast("long").alias("n"), valid("depth_m").alias("depth_mean"), valid("depth_m").alias("depth_max"), valid("risk").alias("risk_mean"), valid("risk").alias("risk_max"), F.lit(None).cast("double").alias("flooded_pct"))
     how = F.when(F.col("kind") == "area", "area").when(F.col("kind") == "line", "area" if line_buffer > 0 else "line_centroid").when(F.col("kind") == "point", F.when(many, "centroid").otherwise("area" if point_buffer > 0 else "point"))
-    out = features.join(s.select("feature_id", how.alias("mode")), "feature_id", "left").join(area.unionByName(spot), "feature_id", "left")
+    found = s.select("feature_id", how.alias("mode")).join(area.unionByName(spot), "feature_id", "left").withColumnRenamed("feature_id", "feature_row")
+    out = kept.join(found, "feature_row", "left").drop("feature_row")
     return out.withColumn("risk_class", S.risk_class(F.col(f"risk_{class_by}"), thresholds))
 
 

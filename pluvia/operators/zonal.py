@@ -1,14 +1,12 @@
-"""Zonal statistics: features against cells by a bucketed range join, exact tests after it."""
+"""Zonal statistics: boxes against cells by a bucketed range join, polygons by scan lines."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from pluvia.functions import scalars as S
+from pluvia.operators import scanline as N
 
 
 def candidates(features: DataFrame, cells: DataFrame, tile: float) -> DataFrame:
@@ -19,22 +17,6 @@ def candidates(features: DataFrame, cells: DataFrame, tile: float) -> DataFrame:
     return f.join(c, ["tx", "ty"]).where("x >= x0 and x <= x1 and y >= y0 and y <= y1").drop("tx", "ty")
 
 
-@F.pandas_udf(BooleanType())
-def in_ring(x: pd.Series, y: pd.Series, ring: pd.Series) -> pd.Series:
-    """Whether points are in their polygon (flat list x0, y0, x1, y1, ...), by crossings."""
-    out = np.zeros(len(x), bool)
-    for key, at in pd.Series(range(len(x))).groupby(ring.map(lambda r: np.asarray(r, float).tobytes())).groups.items():
-        p = np.frombuffer(key, float).reshape(-1, 2)
-        px, py = x.to_numpy(float)[at], y.to_numpy(float)[at]
-        odd = np.zeros(len(px), bool)
-        for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, 0), strict=True):
-            cross = (ay > py) != (by > py)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                odd ^= cross & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
-        out[at] = odd
-    return pd.Series(out)
-
-
 def stats(pairs: DataFrame, key: str, weight: Column, depth: str, risk: str, threshold: float) -> DataFrame:
     """(key, n, depth_mean, depth_max, risk_mean, risk_max, flooded_pct): weighted; means and maxima need both values valid."""
     d, r = S.finite(F.col(depth)), S.finite(F.col(risk))
@@ -46,9 +28,13 @@ def stats(pairs: DataFrame, key: str, weight: Column, depth: str, risk: str, thr
 
 def zonal_by_centre(features: DataFrame, cells: DataFrame, tile: float, threshold: float, polygon: bool = False) -> DataFrame:
     """Statistics over cells whose centre is in the feature's box or, with ``polygon``, its ``ring``; weight cos(latitude)."""
-    p = candidates(features, cells, tile)
     if polygon:
-        p = p.where(in_ring("x", "y", "ring"))
+        n = F.floor(F.size("ring") / 2).cast("int")
+        point = lambda k, names: [F.element_at("ring", (F.pmod(k, n) * 2 + j).cast("int")).alias(c) for j, c in enumerate(names, 1)]
+        edges = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(*point(k, ("ax", "ay")), *point(k + 1, ("bx", "by")), F.lit(1.0).alias("s")))
+        p = N.centres(features.select("feature_id", edges.alias("edges")), cells.withColumns({"west": F.col("x"), "east": F.col("x"), "south": F.col("y"), "north": F.col("y")}), tile)
+    else:
+        p = candidates(features, cells, tile)
     return stats(p, "feature_id", S.cos_lat(F.col("y")), "depth_m", "risk", threshold)
 
 

@@ -11,6 +11,7 @@ from pluvia.operators import flow as L
 from pluvia.operators import grid as G
 from pluvia.operators import products as P
 from pluvia.operators import rain as R
+from pluvia.operators import routing as B
 from pluvia.operators import stations as T
 from pluvia.operators import zonal as Z
 from pluvia.plans import domains
@@ -240,6 +241,14 @@ def _schedule(spark, d, hops=None):
     return L.hop_schedule(L.paths(f, hops), _travel(g), DT), f, g
 
 
+def _routed(spark, d, last, saved=()):
+    """The parcels' run up to step ``last`` by blocks, and the grid."""
+    g, f = _flow(spark, d)
+    clock = spark.range(last + 1).select(F.col("id").cast("int").alias("step"))
+    at = spark.createDataFrame([(s,) for s in saved], "step int")
+    return B.by_blocks(_parcels(spark, d), g.select("cell_id", "r", "c"), f, _travel(g), DT, at, clock), g
+
+
 #: The literal clock: waiting time goes down by dt each step, at most one hop a step, out where there is no next cell.
 _CLOCK = f"""WITH RECURSIVE {X.GRID}, {X.D8}, {TRAVEL}, {_PARCELS},
 moves AS (SELECT cell_id AS src, step0, n, vol, cell_id AS cur, 0.0::DOUBLE AS tau, step0 - 1 AS step, FALSE AS gone, cell_id AS prev FROM parcels
@@ -275,8 +284,7 @@ def advect_supersteps(spark, d):
 
 
 def _outflow(spark, d):
-    s, _, g = _schedule(spark, d, 63)
-    return L.outflow_events(_parcels(spark, d), s).where("step <= 60")
+    return _routed(spark, d, 60)[0].outflow.where("n > 0")
 
 
 @query(f"{_CLOCK} SELECT prev AS node, CAST((step + 1) * 600 // 3600 AS INTEGER) AS k, sum(n)::BIGINT AS n, round(sum(vol), 6) AS vol FROM moves WHERE gone GROUP BY ALL")
@@ -297,8 +305,8 @@ _DEPTH = f"{_CLOCK}, v AS (SELECT cur, sum(vol) AS vol FROM moves WHERE step = 1
 
 
 def _depth(spark, d):
-    s, _, g = _schedule(spark, d, 21)
-    return P.flood_depth(L.advect(_parcels(spark, d), s, 19), g)
+    routed, g = _routed(spark, d, 19, [19])
+    return P.flood_depth(routed.placed.drop("step"), g)
 
 
 @query(f"{_DEPTH} SELECT cell_id, round(depth_m * 1e6, 4) AS depth_um FROM depth")
@@ -419,9 +427,7 @@ def quality_report(spark, d):
 
 @query(f"{_CLOCK} SELECT step, sum(n)::BIGINT AS moved FROM moves WHERE step >= step0 AND (gone OR cur <> prev) AND step <= 39 GROUP BY step")
 def particle_hops(spark, d):
-    s, _, _ = _schedule(spark, d, 42)
-    clock = spark.range(40).select(F.col("id").cast("int").alias("step"))
-    return P.hops(_parcels(spark, d), s, clock).where("moved > 0").select(F.col("step").cast("int").alias("step"), "moved")
+    return _routed(spark, d, 39)[0].moved.where("moved > 0").select(F.col("step").cast("int").alias("step"), "moved")
 
 
 @query(f"{_RAIN} SELECT step, cell_id, round(p, 6) AS p_cum_mm, round(q, 6) AS q_cum_mm, round(dq, 6) AS dq_mm FROM runoff WHERE step >= 12")

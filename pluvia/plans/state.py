@@ -13,21 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass
 class State:
-    """``cells`` (cell_id, p_cum_mm, q_cum_mm), ``parcels`` (cell_id, step0, n, vol) that are still in the grid, as spawned, and
-    ``scalars``: step (the last one done), dt_s, totals."""
+    """``cells`` (cell_id, p_cum_mm, q_cum_mm), ``parcels`` (cell_id, step0, tau, n, vol) that are still in the grid: from
+    step0 on they wait in their cell for tau (without tau: as they were spawned), and ``scalars``: step (the last one done), dt_s, totals."""
 
     cells: DataFrame
     parcels: DataFrame
     scalars: dict
 
 
-def save(path: str, cells: DataFrame, parcels: DataFrame, scalars: dict) -> None:
+def save(path: str, cells: DataFrame, parcels: DataFrame, scalars: dict, **more: DataFrame) -> None:
+    """``more``: further tables of the state, by name."""
     spark = cells.sparkSession
     fs, here, there = _paths(spark, path, path.rstrip("/") + ".part")
     fs.delete(there, True)
     part = str(there)
     cells.write.parquet(f"{part}/cells")
     parcels.write.parquet(f"{part}/parcels")
+    for name, table in more.items():
+        table.write.parquet(f"{part}/{name}")
     spark.createDataFrame([(json.dumps(scalars),)], "scalars string").coalesce(1).write.parquet(f"{part}/run")
     fs.delete(here, True)
     if not fs.rename(there, here):

@@ -3,14 +3,15 @@
     python -m pluvia.simulate --grid grid.parquet --rain rain.parquet --out folder [--config run.json] [--restart folder]
 
 ``grid``: (cell_id, r, c, x, y, dem, cn, channel[, d8]); ``rain``: (source, k, t, cell_id, rate). Runoff comes from windows over
-steps, routing from hop schedules; all output steps are one as-of lookup. Steps count on over restarts, so that a run in pieces
-gives what a whole one does: parcels keep the step they were spawned at, and their place follows from it.
+steps, routing from blocks of the grid. Steps count on over restarts, and a state holds parcels where they are with the time that
+they still wait, so that a run in pieces gives what a whole one does without doing any part again.
 """
 
 from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,7 @@ from pluvia.operators import flow as L
 from pluvia.operators import grid as G
 from pluvia.operators import products as P
 from pluvia.operators import rain as R
+from pluvia.operators import routing as B
 from pluvia.plans import state
 from pluvia.sources import domain, files
 
@@ -37,6 +39,10 @@ class Run:
     runoff: DataFrame
     schedule: DataFrame | None
     start: state.State | None = None
+    kept: DataFrame | None = None
+    kept_steps: frozenset = frozenset()
+    route: Callable | None = None
+    moved: DataFrame | None = None
 
     def state_at(self, step: int, dt_s: float) -> state.State:
         """What a later run needs to go on after ``step``."""
@@ -47,7 +53,12 @@ class Run:
             cells = cells.join(before, "cell_id", "left").select("cell_id", F.coalesce("p_cum_mm", "p0").alias("p_cum_mm"), F.coalesce("q_cum_mm", "q0").alias("q_cum_mm"))
         b = self.balance.where(F.col("step") == step).first()
         totals = {k: b[k] if b else 0.0 for k in ("rain_cum_m3", "runoff_cum_m3", "outflow_cum_m3")}
-        return state.State(cells.fillna(0.0), self.parcels.where(F.col("step0") <= step) if self.schedule is None else L.active_parcels(self.parcels, self.schedule, step), {"step": step, "dt_s": dt_s, "elapsed_s": (step + 1) * dt_s, **totals})
+        if self.schedule is not None:
+            parcels = L.active_parcels(self.parcels, self.schedule, step)
+        else:  # parcels where they are and with the time that they still wait, however they were routed
+            kept = self.kept if step in self.kept_steps else self.route(step).kept
+            parcels = kept.where(F.col("step") == step).select("cell_id", (F.col("step") + 1).alias("step0"), "tau", "n", "vol")
+        return state.State(cells.fillna(0.0), parcels, {"step": step, "dt_s": dt_s, "elapsed_s": (step + 1) * dt_s, **totals})
 
 
 def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict, start: state.State | None = None) -> Run:
@@ -78,20 +89,38 @@ def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict, star
     runoff = R.runoff_steps(mm, g, m["ia_ratio"], start=start and start.cells).join(g.select("cell_id", "area_m2"), "cell_id")
     runoff = L.cut(runoff)
     parcels = L.spawn(runoff, m["particle_vol_m3"])
+    m_routing = m["routing"]
+    if m_routing not in ("auto", "blocks", "paths", "supersteps"):
+        raise ValueError(f"no routing {m_routing!r}")
+    if m_routing != "paths":
+        parcels = parcels.withColumn("tau", F.lit(0.0))
     if start is not None:
-        parcels = parcels.unionByName(start.parcels.select(*parcels.columns))
+        if m_routing == "paths" and "tau" in start.parcels.columns:
+            raise ValueError("this state goes on with routing by blocks: its parcels are on their way")
+        parcels = parcels.unionByName(start.parcels, allowMissingColumns=True)
     parcels = L.cut(parcels)
     first, last = steps.agg(F.min("step"), F.max("step")).first()
     begun = parcels.agg(F.min("step0")).first()[0]
     hops = int(last) - int(first if begun is None else begun) + 1
     saved = L.cut(P.saved_steps(steps.select("step"), m["dt_s"], out["save_every_s"]).select("step"))
-    how = m["routing"] if m["routing"] != "auto" else "paths" if g.count() * hops <= L.MOST_PATH_ROWS else "supersteps"
-    schedule = None
-    if how == "paths":
+    every, kept_steps = cfg["restart"]["every"], {int(last)}
+    if every > 0:
+        kept_steps |= set(range(int(first) + every - 1, int(last) + 1, every))
+    schedule, kept = None, None
+
+    def by_blocks(until: int | None = None) -> B.Routed:
+        """The run, or what it is up to a step whose state was not kept."""
+        clock = steps if until is None else steps.where(F.col("step") <= until)
+        return B.by_blocks(parcels, g.select("cell_id", "r", "c"), flow, travel, m["dt_s"], saved, clock, sorted(kept_steps) if until is None else [until])
+
+    if m_routing == "paths":
         schedule = L.cut(L.hop_schedule(L.paths(flow, hops), travel, m["dt_s"]))
         routed = L.by_schedule(parcels, schedule, saved, steps)
+    elif m_routing == "supersteps":
+        routed, kept_steps = L.by_supersteps(parcels, flow, travel, m["dt_s"], saved, steps), set()
     else:
-        routed = L.by_supersteps(parcels, flow, travel, m["dt_s"], saved, steps)
+        routed = by_blocks()
+        kept = routed.kept
     outflow = routed.outflow
     least = out["inundation_threshold_m"]
     depth = L.cut(P.flood_depths(routed.placed, g, saved))
@@ -113,7 +142,7 @@ def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict, star
     # measured from the parcels, those of an earlier run included, so that the balance can be wrong
     balance = L.cut(P.volume_balance(runoff, outflow, routed.inside, start and start.scalars))
     state_ = runoff.groupBy("cell_id").agg(F.max_by("p_cum_mm", "step").alias("p_cum_mm"), F.max_by("q_cum_mm", "step").alias("q_cum_mm"))
-    return Run(results, balance, P.quality_report(balance), outflow, g.select("cell_id").join(state_, "cell_id", "left").fillna(0.0), parcels, runoff, schedule, start)
+    return Run(results, balance, P.quality_report(balance), outflow, g.select("cell_id").join(state_, "cell_id", "left").fillna(0.0), parcels, runoff, schedule, start, kept, frozenset(kept_steps), by_blocks, routed.moved)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -145,19 +174,23 @@ def main(argv: list[str] | None = None) -> None:
     steps = spark.range(first, first + n).select(F.col("id").cast("int").alias("step"), F.timestamp_micros(F.unix_micros(start) + ((F.col("id") + 1) * dt * 1e6).cast("long")).alias("t"))
     rain = spark.read.parquet(a.rain) if a.rain else domain.configured_rain(spark, grid, cfg)
     times = report.Timings()
+    spark.sparkContext.setJobGroup("plan and route", "plan and route")
     with times("plan and route"):
         run = simulate(grid, rain, steps, cfg, before)
     every = cfg["output"]["rotate_every_s"] or cfg["output"]["save_every_s"]
     rotation = P.saved_steps(steps.select("step"), dt, every).select("step", "rotation")
+    spark.sparkContext.setJobGroup("results", "results")
     with times("results"):
         run.results.join(F.broadcast(rotation), "step", "left").fillna(0, ["rotation"]).write.mode("overwrite").partitionBy("rotation", "step").parquet(f"{a.out}/results")
     interval = cfg["output"]["outflow_interval_s"]
+    spark.sparkContext.setJobGroup("outflow", "outflow")
     with times("outflow"):
         arrays = L.cut(L.outflow_arrays(run.outflow, interval, dt))
         arrays.write.mode("overwrite").parquet(f"{a.out}/outflow")
         files.write_outflow(arrays, grid, f"{a.out}/outflow_geojson", interval)
     run.report.write.mode("overwrite").json(f"{a.out}/report")
     keep = cfg["restart"]["every"]
+    spark.sparkContext.setJobGroup("state", "state")
     with times("state"):
         for step in sorted({*range(first + keep - 1, first + n, keep), first + n - 1}) if keep > 0 else []:
             s = run.state_at(step, dt)
