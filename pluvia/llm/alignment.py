@@ -26,11 +26,13 @@ and n_best counts every link whose pair is among its A id's most frequent. Empty
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
+import sys
 from collections import defaultdict
-from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import count
 from zlib import crc32
 
@@ -70,39 +72,43 @@ def letters_of_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-@dataclass(repr=False)
 class Pair:
     """Both tokenizers and the bytes of their tokens. ``raw``: the two files' bytes."""
 
-    raw: tuple[bytes, bytes]
-    bytes_a: list[bytes] = field(default_factory=list)
-    bytes_b: list[bytes] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core already
+    def __init__(self, raw: tuple[bytes, bytes]) -> None:
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_buffer(self.raw[0]), SentencePieceProcessor(model_proto=self.raw[1])
-        self.a.encode_special_tokens = True
-        code, vocab = letters_of_bytes(), self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = [b""] * (max(vocab.values(), default=-1) + 1)
+        self.raw, self.kind = raw, json.loads(raw[0])
+        self.b = SentencePieceProcessor(model_proto=raw[1])
+        code, vocab = letters_of_bytes(), self.kind["model"]["vocab"]
+        self.bytes_a, self.bytes_b = [b""] * (max(vocab.values(), default=-1) + 1), []
         for piece, k in vocab.items():
             self.bytes_a[k] = bytes(code[c] for c in piece) if all(c in code for c in piece) else piece.encode()
         for k in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(k)
             self.bytes_b.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(k) else piece.replace(SPACE, " ").encode())
+        self.long_a, self.long_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.blank = self.b.piece_to_id(SPACE)
-        self.fast = self._by_ranks(json.loads(self.raw[0])["model"])
+        self.fast = self._by_ranks(self.kind["model"])
+
+    @cached_property
+    def a(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core already
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_buffer(self.raw[0])
+        out.encode_special_tokens = True
+        return out
 
     def _by_ranks(self, model: dict):
         """A's ids by rank of merged bytes, several times as fast; None unless ids are in the order of the merges."""
         import tiktoken
 
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        if any(model["vocab"].get(x + y) != 256 + k for k, (x, y) in enumerate(merges)) or len(set(self.bytes_a[: 256 + len(merges)])) != 256 + len(merges):
+        known = 256 + len(merges)
+        if any(model["vocab"].get(x + y) != 256 + k for k, (x, y) in enumerate(merges)) or len(set(self.bytes_a[:known])) != known:
             return None
-        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={self.bytes_a[k]: k for k in range(256 + len(merges))}, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={self.bytes_a[k]: k for k in range(known)}, special_tokens={}).encode_ordinary
 
     _known = {}
 
@@ -118,9 +124,8 @@ class Pair:
 
         A must cut texts by its byte-level pattern first, which starts a new part at white space after anything else.
         """
-        kind = json.loads(self.a.to_str())
-        split, model = kind["pre_tokenizer"] or {}, kind["model"]
-        if kind["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model["type"] != "BPE" or model.get("dropout"):
+        split, model = self.kind["pre_tokenizer"] or {}, self.kind["model"]
+        if self.kind["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model["type"] != "BPE" or model.get("dropout"):
             raise ValueError("A must be a byte-level BPE without a normalizer")
         probe = "  a  éﬁ b "
         if self.b.normalize(probe) != (SPACE + probe).replace(" ", SPACE):
@@ -130,8 +135,12 @@ class Pair:
         led = {piece[1] for piece in (b.decode("utf-8", "replace") for b in self.bytes_b) if len(piece) > 1 and piece[0] == " " and piece[1] != " "}
         return "".join(c for c in CANDIDATES if c not in merged and (c == " " or c not in led))
 
-    def aligned(self, segments: list[str]) -> list[tuple]:
-        """(n_a, n_b, n_groups, groups, links) of each segment; zeros where a tokenizer does not give its bytes back."""
+    def aligned(self, segments: list[str]) -> tuple[np.ndarray, ...]:
+        """(n_a, n_b, n_links; a, b, steps): by segment, and its ids and steps one after the other.
+
+        A link ends where a token of A (1), of B (2) or one of each (3, the end of a group) does. Segments of which a tokenizer does not
+        give the bytes back have none.
+        """
         if self.fast is not None:
             ids_a = [self.fast(s) for s in segments]
         else:
@@ -139,27 +148,38 @@ class Pair:
         ids_b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         # B adds its space to every text but the empty one; a segment without a space of its own does not have that token
         ids_b = [([self.blank] if s == " " else b if s[0] == " " else b[1:]) for s, b in zip(segments, ids_b, strict=True)]
-        return [self._one(s.encode(), a, b) for s, a, b in zip(segments, ids_a, ids_b, strict=True)]
-
-    def _one(self, data: bytes, a: list[int], b: list[int]) -> tuple:
-        in_a, in_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
-        if b"".join(in_a) != data or b"".join(in_b) != data:
-            return 0, 0, 0, "", []
-        links, groups, i, j, at_i, at_j, end_a, end_b = [], [], 0, 0, 0, 0, len(in_a[0]), len(in_b[0])
-        while True:
-            links.append((a[i] << 32) | b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[at_i : i + 1]))}|{','.join(map(str, b[at_j : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return len(a), len(b), len(groups), ";".join(groups), links
-                at_i, at_j, end_a, end_b = i, j, end_a + len(in_a[i]), end_b + len(in_b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(in_a[i])
-            else:
-                j += 1
-                end_b += len(in_b[j])
+        data = [s.encode() for s in segments]
+        for ids, table in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            if b"".join([table[k] for x in ids for k in x]) != b"".join(data):
+                bad = {j for j, x in enumerate(ids) if b"".join([table[k] for k in x]) != data[j]}
+                ids_a, ids_b, data = ([[] if j in bad else x for j, x in enumerate(v)] for v in (ids_a, ids_b, data))
+                data = [x or b"" for x in data]
+        n_a, n_b = (np.array([len(x) for x in v], "<u4") for v in (ids_a, ids_b))
+        a, b = (np.array([k for x in v for k in x], "<u4") for v in (ids_a, ids_b))
+        end_a, end_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])  # in all segments' bytes
+        ends = np.union1d(end_a, end_b)
+        steps = (np.isin(ends, end_a, assume_unique=True) + 2 * np.isin(ends, end_b, assume_unique=True)).astype("u1")
+        edge = np.searchsorted(ends, np.cumsum([len(x) for x in data]), side="right")
+        return n_a, n_b, np.diff(edge, prepend=0).astype("<u4"), a, b, steps
+
+
+def links_of(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The id pairs of links, a * 2**32 + b: a link is of the tokens that have not ended before it."""
+    at = lambda bit: np.cumsum((steps & bit) > 0) - ((steps & bit) > 0)
+    return (a.astype(np.int64)[at(1)] << 32) + b[at(2)] if len(steps) else np.zeros(0, np.int64)
+
+
+def group_texts(n_links: np.ndarray, a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3;`` of each segment, every group with its semicolon."""
+    group = np.cumsum(steps == 3) - (steps == 3)
+    own_a, own_b = group[(steps & 1) > 0], group[(steps & 2) > 0]
+    order = np.argsort(np.concatenate([2 * own_a, 2 * own_b + 1]), kind="stable")  # by group, A's tokens before B's
+    last = lambda own: np.append(own[1:] != own[:-1], True)[: len(own)]
+    sign = np.concatenate([np.where(last(own_a), "|", ","), np.where(last(own_b), ";", ",")]) if len(group) else np.zeros(0, "U1")
+    pieces = [f"{k}{c}" for k, c in zip(np.concatenate([a, b])[order].tolist(), sign[order].tolist(), strict=True)]
+    edge = np.concatenate([[0], np.cumsum(n_links.astype(np.int64))])
+    done = np.concatenate([[0], np.cumsum(((steps & 1) > 0).astype(np.int64) + ((steps & 2) > 0))])[edge].tolist()
+    return ["".join(pieces[i:j]) for i, j in zip(done, done[1:], strict=False)]
 
 
 def segments_pattern(cut: str) -> re.Pattern:
@@ -188,6 +208,13 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: workers go on to other blocks, and a block's arrays are large."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _strings(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and bytes."""
     return np.array([len(v) for v in values], "<u4"), np.frombuffer(b"".join(values), np.uint8)
@@ -239,6 +266,7 @@ def numbered(docs: DataFrame, cut: str, shares: int, block_chars: int = BLOCK_CH
                     part = []
             if part:
                 yield batch_of(part)
+            _release()
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -268,13 +296,11 @@ def align(shared: DataFrame, raw) -> DataFrame:
         for data in rows.column("data").to_pylist():
             no, sizes, text = _unpack(data)
             members.append((no, np.fromiter(map(slot.__getitem__, _split(sizes, text)), np.int64)))
-        segments, found = list(slot), []
-        for at in range(0, len(segments), 2000):
-            found += pair.aligned(segments[at : at + 2000])
-        heads = np.array([f[:3] for f in found], "<u4").reshape(-1, 3)
-        n_links, links = np.array([len(f[4]) for f in found], "<u4"), np.array([x for f in found for x in f[4]], "<i8")
-        n_text, text = _strings([f[3].encode() for f in found])
-        data = [_pack(no, *(heads[at, k] for k in range(3)), n_links[at], _gathered(n_links, links, at), n_text[at], _gathered(n_text, text, at)) for no, at in members]
+        segments = list(slot)
+        found = [pair.aligned(segments[at : at + 2000]) for at in range(0, len(segments), 2000)]
+        n_a, n_b, n_links, a, b, steps = (np.concatenate(x) for x in zip(*found, strict=True))
+        data = [_pack(no, n_a[at], n_b[at], n_links[at], _gathered(n_a, a, at), _gathered(n_b, b, at), _gathered(n_links, steps, at)) for no, at in members]
+        _release()
         return pa.table({"home": rows.column("block"), "data": pa.array(data, pa.binary())})
 
     return shared.groupBy("share").applyInArrow(run, "home long, data binary")
@@ -283,23 +309,23 @@ def align(shared: DataFrame, raw) -> DataFrame:
 class _Block:
     """A block's documents and the alignments of its segments, by number."""
 
-    def __init__(self, null, ids, lengths, codes, n_a, n_b, n_groups, n_links, links, n_text, text) -> None:
-        self.arrays = (null, ids, lengths, codes, n_a, n_b, n_groups, n_links, links, n_text, text)
-        self.n, self.codes = len(ids), codes.astype(np.int64)
+    def __init__(self, null, ids, lengths, codes, n_a, n_b, n_links, a, b, steps) -> None:
+        self.arrays = (null, ids, lengths, codes, n_a, n_b, n_links, a, b, steps)
+        self.n, self.codes = len(ids), codes
         self.ids = pa.array(ids, pa.int64(), mask=null.astype(bool))
-        self.owner = np.repeat(np.arange(self.n), lengths)
+        self.owner = np.repeat(np.arange(self.n, dtype="<u4"), lengths)
         self.edge = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
-        self.bad = np.bincount(self.owner[n_a[self.codes] == 0], minlength=self.n) > 0
-        self.links, self.n_links = links, n_links.astype(np.int64)
+        self.bad = np.bincount(self.owner[n_a[codes] == 0], minlength=self.n) > 0
+        self.links, self.n_links = links_of(a, b, steps), n_links.astype(np.int64)
         self.start = np.cumsum(self.n_links) - self.n_links
 
     @classmethod
     def of(cls, documents: bytes, alignments: list[bytes]) -> _Block:
         parts = [_unpack(d) for d in alignments]
-        empty = [np.zeros(0, t) for t in ("<u4", "<u4", "<u4", "<u4", "<u4", "<i8", "<u4", "u1")]
-        no, n_a, n_b, n_groups, n_links, links, n_text, text = (np.concatenate([e, *(p[k] for p in parts)]) for k, e in enumerate(empty))
+        empty = [np.zeros(0, t) for t in ("<u4", "<u4", "<u4", "<u4", "<u4", "<u4", "u1")]
+        no, n_a, n_b, n_links, a, b, steps = (np.concatenate([e, *(p[k] for p in parts)]) for k, e in enumerate(empty))
         order = np.argsort(no, kind="stable")  # all numbers from 0 on, once each
-        return cls(*_unpack(documents), n_a[order], n_b[order], n_groups[order], n_links[order], _gathered(n_links, links, order), n_text[order], _gathered(n_text, text, order))
+        return cls(*_unpack(documents), n_a[order], n_b[order], n_links[order], _gathered(n_a, a, order), _gathered(n_b, b, order), _gathered(n_links, steps, order))
 
     def linked(self) -> tuple[np.ndarray, np.ndarray]:
         """(id pairs, how many documents hold them linked)."""
@@ -309,7 +335,7 @@ class _Block:
         while at < self.n:  # some documents at once, one at least
             to = max(at + 1, int(np.searchsorted(edge, edge[at] + (1 << 18), side="right")) - 1)
             good = ~self.bad[self.owner[edge[at] : edge[to]]]
-            seen = np.unique(((self.owner[edge[at] : edge[to]][good] - at) << 32) + self.codes[edge[at] : edge[to]][good])
+            seen = np.unique(((self.owner[edge[at] : edge[to]][good].astype(np.int64) - at) << 32) + self.codes[edge[at] : edge[to]][good])
             doc, no = seen >> 32, seen & 0xFFFFFFFF
             many = self.n_links[no]
             place = np.repeat(self.start[no] - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -320,19 +346,21 @@ class _Block:
 
     def report(self, pairs: np.ndarray, docs: np.ndarray, best: np.ndarray):
         """Rows of the report, some at a time; ``pairs``: sorted, with their counts and whether they are their A id's best."""
-        _, _, _, _, n_a, n_b, n_groups, _, links, n_text, text = self.arrays
+        _, _, _, _, n_a, n_b, _, a, b, steps = self.arrays
+        links = self.links
         at = np.minimum(np.searchsorted(pairs, links), max(0, len(pairs) - 1))
         known = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)  # others are of texts without tokens only
         by_segment = lambda v: (lambda c: c[self.start + self.n_links] - c[self.start])(np.concatenate([[0], np.cumsum(np.where(known, v[at], 0) if len(pairs) else np.zeros(len(links), np.int64))]))
+        n_groups = (lambda c: c[self.start + self.n_links] - c[self.start])(np.concatenate([[0], np.cumsum(steps == 3)]))
         columns = (n_a, n_b, n_groups, self.n_links, by_segment(best), by_segment(docs))
         sums = []
         for values in columns:
             run = np.concatenate([[0], np.cumsum(values.astype(np.int64)[self.codes])])
             sums.append(np.where(self.bad, 0, run[self.edge[1:]] - run[self.edge[:-1]]))
-        texts, codes, lo = _split(n_text, text), self.codes, 0
+        texts, codes, lo = group_texts(self.n_links, a, b, steps), self.codes, 0
         while lo < self.n:
             hi = max(lo + 1, int(np.searchsorted(self.edge, self.edge[lo] + (1 << 18), side="right")) - 1)
-            groups = ["" if self.bad[k] else ";".join([texts[c] for c in codes[self.edge[k] : self.edge[k + 1]].tolist()]) for k in range(lo, hi)]
+            groups = ["" if self.bad[k] else "".join([texts[c] for c in codes[self.edge[k] : self.edge[k + 1]].tolist()])[:-1] for k in range(lo, hi)]
             yield pa.RecordBatch.from_arrays([self.ids[lo:hi], *(pa.array(v[lo:hi], pa.int64()) for v in sums), pa.array(groups, pa.string())], schema=_REPORT)
             lo = hi
 
@@ -348,6 +376,7 @@ def _met(documents: pa.Table, alignments: pa.Table) -> pa.Table:
     block = _Block.of(documents.column("data")[0].as_py(), alignments.column("data").to_pylist())
     pairs, counts = block.linked()
     n = len(pairs)
+    _release()
     return pa.table({
         "block": pa.array([documents.column("block")[0].as_py()] * (n + 1), pa.int64()), "data": pa.array([_pack(*block.arrays)] + [None] * n, pa.binary()),
         "pair": pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(pairs, pa.int64())]), "docs": pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(counts, pa.int64())]),
@@ -380,8 +409,9 @@ def token_alignments(docs: DataFrame, files: tuple[str, str] | None = None, bloc
 
         def compose(batches):
             for batch in batches:
-                for data in batch.column("data").to_pylist():
-                    yield from _Block(*_unpack(data)).report(*known.value)
+                for data in batch.column("data"):
+                    yield from _Block(*_unpack(data.as_py())).report(*known.value)
+                    _release()
 
         return in_batches(blocks, compose, _REPORT_DDL, arrow=True)
 

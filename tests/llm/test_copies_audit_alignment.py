@@ -247,7 +247,7 @@ def test_cuts_are_proved_and_segments_are_whole(pair):
 def test_a_tokenizer_that_merges_across_is_not_cut_there(pair):
     class Odd(alignment.Pair):
         def __init__(self):
-            self.a, self.b, self.bytes_a, self.bytes_b = pair.a, pair.b, pair.bytes_a, [*pair.bytes_b, b"of the", b" \n"]
+            self.kind, self.b, self.bytes_a, self.bytes_b = pair.kind, pair.b, pair.bytes_a, [*pair.bytes_b, b"of the", b" \n"]
 
     odd = Odd()
     odd.b = type("B", (), {"normalize": pair.b.normalize, "is_byte": lambda self, k: k < pair.b.get_piece_size() and pair.b.is_byte(k)})()
