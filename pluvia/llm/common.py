@@ -99,6 +99,18 @@ def held_out(col: str, fold: tuple[int, int]) -> F.Column:
     return F.coalesce(bucket(col, fold[0]) == fold[1], F.lit(False)).alias("held_out")
 
 
+def settled(labels: DataFrame, label: str, where: F.Column) -> DataFrame:
+    """(doc_id, ``label``) of ids that ``labels`` calls 0 or 1 without contradicting itself; rows of ids that fulfil ``where``."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & where)
+    return known.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("most")).where(F.col(label) == F.col("most")).drop("most")
+
+
+def shortest(rows: DataFrame, label: str) -> list:
+    """For each label the shortest of ``rows`` (doc_id, text, ``label``): what is learnt from where all texts are beyond a bound."""
+    least = F.min(F.struct(F.octet_length("text"), F.xxhash64("doc_id", "text"), "doc_id", "text")).alias("r")
+    return [(r["r"]["text"], r[label]) for r in rows.where("text <> ''").groupBy(label).agg(least).orderBy(label).collect()]  # two rows
+
+
 def bounded_sample(df: DataFrame, by: str, limit: int, key: str = "doc_id", seed: int = 7) -> DataFrame:
     """About ``limit`` rows for each value of ``by``, chosen by a hash of ``key``: same rows however the table is split."""
     counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}

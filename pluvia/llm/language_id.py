@@ -7,15 +7,15 @@ the count expected from false positives alone (the filter's own fill) is taken o
 A language contains an n-gram when the n-gram is at least ``ratio`` times as frequent in it as in the language where it is
 most frequent, which keeps foreign passages and mislabelled rows from filling every filter. Counts come from a bounded sample
 of labelled rows (``max_docs`` documents for each language, whole texts; at most ``max_grams`` n-grams of each language),
-summed on the executors. More than 64 languages take more words to a position. Null texts and texts without a letter are
-``und`` with score 0; a text too short for any known n-gram gets the first language with score 0. Rows without an id are not
-learnt from and not held out; repeated ids are scored each for itself.
+summed on the executors. More than 64 languages take more words to a position. Null texts and texts without a letter (numerals
+of any script are none) are ``und`` with score 0; a text too short for any known n-gram gets the first language with score 0. Ties go to
+the first language in order of names, and n-grams of equal counts to the smaller hash. Very long texts are read whole, in runs of texts; one
+text is one run. Rows without an id are not learnt from and not held out; repeated ids are scored each for itself. Other columns, whatever their
+names, are not read. Without anything to learn from, every text is ``und``.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,7 +26,6 @@ from pluvia.llm.common import LOWER, bounded_sample, bucket, gram_hashes, held_o
 POSITION_BITS = 19
 HASHES = 2
 GRAM = 5
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = LOWER.copy()
 _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
@@ -136,7 +135,7 @@ def languages(docs: DataFrame, fold: tuple[int, int] = (4, 2), **options) -> Dat
                 hits[lo:hi] = filters.popcounts(doc, h, hi - lo)
                 total[lo:hi] = np.bincount(doc, minlength=hi - lo)
             true = np.maximum((hits - total[:, None] * false) / (1 - false), 0)
-            letters = np.array([isinstance(t, str) and _LETTER.search(t) is not None for t in pdf["text"]], bool)
+            letters = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in pdf["text"]], bool)
             if not filters.languages:
                 names, score = np.full(n, "und", object), np.zeros(n)
             else:

@@ -7,9 +7,12 @@ labels trains the weights, so the sentences that carry the blame emerge without
 Features that do not set toxic documents of the sample apart beyond chance (z below ``screen``) have no weight.
 
 Training takes a bounded sample of labelled rows (``max_train`` documents for each label, whole texts, at most
-``max_train_bytes`` of them on the driver); scoring goes over every row in one pass without a shuffle. Null and empty texts
-have no sentence and score 0. Every row is scored by its text alone: repeated ids, null ids (never learnt from, ``held_out``
-false) and other columns do not matter.
+``max_train_bytes`` of them, in UTF-8, on the driver): a text that does not fit any more is passed over, not the ones after it. Ids whose
+labels contradict each other are not learnt from. Where no text fits, the shortest of each label is learnt from; without any labelled text
+the model calls nothing toxic. Scoring goes over every row in one pass without a shuffle. Null and empty texts have no sentence
+and score 0; very long ones are scored whole, in runs of sentences. Ties: a score of the threshold itself is toxic, and of equally bad
+sentences the last is the worst one. Every row is scored by its text alone: repeated ids, null ids (never learnt from, ``held_out``
+false) and other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import LOWER, bounded_sample, bucket, gram_hashes, held_out, in_batches, joined, mixed, runs, utf8, words
+from pluvia.llm.common import LOWER, bounded_sample, bucket, gram_hashes, held_out, in_batches, joined, mixed, runs, settled, shortest, utf8, words
 
 BITS = 18
 #: Word beginnings of so many bytes are features beside whole words: inflected forms share them.
@@ -151,17 +154,21 @@ def _odds(none: np.ndarray) -> np.ndarray:
 
 def _fit(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], max_train: int, max_train_bytes: int):
     mod, out = fold
-    known = labels.select("doc_id", label).where(F.col(label).isin(0, 1) & (bucket("doc_id", mod) != out)).dropDuplicates(["doc_id"])
+    known = settled(labels, label, bucket("doc_id", mod) != out)
     sample = bounded_sample(known, label, max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")  # the sample is bounded
+    size = F.octet_length("text")
+    # the sample is bounded, and its texts are: what does not fit is passed over, and the next one is tried
+    rows = docs.select("doc_id", "text").where(size <= max_train_bytes).join(F.broadcast(sample), "doc_id")
     kept, used = [], 0
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        used += len(r["text"])
-        if used > max_train_bytes:
-            break
-        kept.append((r["text"], r[label]))
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toLocalIterator():
+        text = utf8([r["text"]])[0]
+        if used + len(text) <= max_train_bytes:
+            used += len(text)
+            kept.append((text, r[label]))
     counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    return utf8(t for t, _ in kept), np.array([y for _, y in kept], np.int64), counts.get(1, 0) / max(1, sum(counts.values()))
+    if not any(t for t, _ in kept):
+        kept = [(utf8([t])[0], y) for t, y in shortest(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), label)]
+    return [t for t, _ in kept], np.array([y for _, y in kept], np.int64), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def _scores(texts: list[bytes], weights: np.ndarray, bias: float, shift: float):
