@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pluvia.llm.common import discard, in_batches, stored
 
 #: A block of documents ends at about this many characters of text.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 10 << 20
 #: Bytes of text of the corpus for each share of its segments.
 SHARE_BYTES = 16 << 20
 #: Most pairs whose counts are broadcast (24 bytes each).
@@ -169,17 +169,28 @@ def links_of(a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return (a.astype(np.int64)[at(1)] << 32) + b[at(2)] if len(steps) else np.zeros(0, np.int64)
 
 
-def group_texts(n_links: np.ndarray, a: np.ndarray, b: np.ndarray, steps: np.ndarray) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3;`` of each segment, every group with its semicolon."""
-    group = np.cumsum(steps == 3) - (steps == 3)
-    own_a, own_b = group[(steps & 1) > 0], group[(steps & 2) > 0]
-    order = np.argsort(np.concatenate([2 * own_a, 2 * own_b + 1]), kind="stable")  # by group, A's tokens before B's
+def group_texts(n_links: np.ndarray, a: np.ndarray, b: np.ndarray, steps: np.ndarray, at_once: int = 1 << 17) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3;`` of each segment, every group with its semicolon; about ``at_once`` links are spelled out at a time."""
+    ends = np.cumsum(n_links.astype(np.int64))
+    step_a, step_b = ((steps & k) > 0 for k in (1, 2))
+    used_a, used_b = (np.concatenate([[0], np.cumsum(x)]) for x in (step_a, step_b))
+    out, lo = [], 0
     last = lambda own: np.append(own[1:] != own[:-1], True)[: len(own)]
-    sign = np.concatenate([np.where(last(own_a), "|", ","), np.where(last(own_b), ";", ",")]) if len(group) else np.zeros(0, "U1")
-    pieces = [f"{k}{c}" for k, c in zip(np.concatenate([a, b])[order].tolist(), sign[order].tolist(), strict=True)]
-    edge = np.concatenate([[0], np.cumsum(n_links.astype(np.int64))])
-    done = np.concatenate([[0], np.cumsum(((steps & 1) > 0).astype(np.int64) + ((steps & 2) > 0))])[edge].tolist()
-    return ["".join(pieces[i:j]) for i, j in zip(done, done[1:], strict=False)]
+    while lo < len(ends):
+        from_ = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, from_ + at_once, side="right")))
+        to = int(ends[hi - 1])
+        group = np.cumsum(steps[from_:to] == 3) - (steps[from_:to] == 3)
+        own_a, own_b = group[step_a[from_:to]], group[step_b[from_:to]]
+        order = np.argsort(np.concatenate([2 * own_a, 2 * own_b + 1]), kind="stable")  # by group, A's tokens before B's
+        sign = np.concatenate([np.where(last(own_a), "|", ","), np.where(last(own_b), ";", ",")])
+        ids = np.concatenate([a[used_a[from_] : used_a[to]], b[used_b[from_] : used_b[to]]])
+        pieces = [f"{k}{c}" for k, c in zip(ids[order].tolist(), sign[order].tolist(), strict=True)]
+        edge = np.concatenate([[from_], ends[lo:hi]])
+        done = (used_a[edge] + used_b[edge] - used_a[from_] - used_b[from_]).tolist()
+        out += ["".join(pieces[i:j]) for i, j in zip(done, done[1:], strict=False)]
+        lo = hi
+    return out
 
 
 def segments_pattern(cut: str) -> re.Pattern:

@@ -254,6 +254,16 @@ def test_a_tokenizer_that_merges_across_is_not_cut_there(pair):
     assert " " not in odd.cuts() and "\n" not in odd.cuts()
 
 
+def test_texts_of_groups_do_not_depend_on_portions(pair):
+    parts = alignment.segments_pattern(pair.cuts()).findall(" " + " ".join(t for t in _texts() if t and len(t) < 3000))
+    _, _, n_links, a, b, steps = pair.aligned(parts)
+    whole = alignment.group_texts(n_links, a, b, steps)
+    assert whole == alignment.group_texts(n_links, a, b, steps, 1) == alignment.group_texts(n_links, a, b, steps, 97) and len(whole) == len(parts)
+    slow = alignment.Pair(pair.raw)
+    slow.fast = None
+    assert all((x == y).all() for x, y in zip(pair.aligned(parts), slow.aligned(parts), strict=True))
+
+
 def test_documents_of_a_large_block_are_counted_once(spark, pair):
     rng = np.random.default_rng(8)
     rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"w{k}"], 30))) for k in range(400)]
