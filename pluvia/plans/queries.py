@@ -241,7 +241,7 @@ def _schedule(spark, d, hops=None):
     return L.hop_schedule(L.paths(f, hops), _travel(g), DT), f, g
 
 
-def _routed(spark, d, last, saved=()):
+def _by_blocks(spark, d, last, saved=()):
     """The parcels' run up to step ``last`` by blocks, and the grid."""
     g, f = _flow(spark, d)
     clock = spark.range(last + 1).select(F.col("id").cast("int").alias("step"))
@@ -284,7 +284,7 @@ def advect_supersteps(spark, d):
 
 
 def _outflow(spark, d):
-    return _routed(spark, d, 60)[0].outflow.where("n > 0")
+    return _by_blocks(spark, d, 60)[0].outflow.where("n > 0")
 
 
 @query(f"{_CLOCK} SELECT prev AS node, CAST((step + 1) * 600 // 3600 AS INTEGER) AS k, sum(n)::BIGINT AS n, round(sum(vol), 6) AS vol FROM moves WHERE gone GROUP BY ALL")
@@ -305,7 +305,7 @@ _DEPTH = f"{_CLOCK}, v AS (SELECT cur, sum(vol) AS vol FROM moves WHERE step = 1
 
 
 def _depth(spark, d):
-    routed, g = _routed(spark, d, 19, [19])
+    routed, g = _by_blocks(spark, d, 19, [19])
     return P.flood_depth(routed.placed.drop("step"), g)
 
 
@@ -427,7 +427,7 @@ def quality_report(spark, d):
 
 @query(f"{_CLOCK} SELECT step, sum(n)::BIGINT AS moved FROM moves WHERE step >= step0 AND (gone OR cur <> prev) AND step <= 39 GROUP BY step")
 def particle_hops(spark, d):
-    return _routed(spark, d, 39)[0].moved.where("moved > 0").select(F.col("step").cast("int").alias("step"), "moved")
+    return _by_blocks(spark, d, 39)[0].moved.where("moved > 0").select(F.col("step").cast("int").alias("step"), "moved")
 
 
 @query(f"{_RAIN} SELECT step, cell_id, round(p, 6) AS p_cum_mm, round(q, 6) AS q_cum_mm, round(dq, 6) AS dq_mm FROM runoff WHERE step >= 12")
