@@ -15,7 +15,6 @@ NCOL = 40
 DX = DY = 0.01
 X0, Y0 = 10.0, 45.0
 STEP_S = 21600.0
-N_STEPS = 24
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,20 +64,34 @@ def directed(g: DataFrame) -> DataFrame:
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, k, t, base): mean value of each event type and day."""
     e = read(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "value")
-    e = e.groupBy(F.col("event_type").alias("source"), "day").agg(F.round(F.avg("value") / 20, 4).alias("base"))
+    e = e.groupBy(F.col("event_type").alias("source"), "day").agg((F.avg("value") / 20).alias("base"))
     return e.select("source", F.day("day").alias("k"), F.to_timestamp("day").alias("t"), "base")
 
 
-SLICES = """slices AS (SELECT event_type AS source, CAST(day(ts) AS INTEGER) AS k, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS t, round(avg(value) / 20, 4) AS base
+SLICES = """slices AS (SELECT event_type AS source, CAST(day(ts) AS INTEGER) AS k, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS t, avg(value) / 20 AS base
   FROM events GROUP BY ALL)"""
 
 
-def steps(spark: SparkSession) -> DataFrame:
-    """(step, t): every six hours from 2024-01-03."""
-    return spark.range(N_STEPS).select(F.col("id").cast("int").alias("step"), F.timestamp_seconds(F.lit(1704240000) + F.col("id") * 21600).alias("t"))
+def n_steps(spark: SparkSession, sf_dir: str) -> int:
+    """Steps of six hours from the first to the last day of events."""
+    return _span(spark, sf_dir)[1]
 
 
-STEPS = "steps AS (SELECT CAST(i AS INTEGER) AS step, TIMESTAMP '2024-01-03 00:00:00' + INTERVAL 6 HOUR * i AS t FROM range(0, 24) s(i))"
+def _span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(seconds of the first day's beginning, steps)."""
+    day = F.unix_seconds(F.to_timestamp(F.to_date("ts")))
+    first, last = read(spark, sf_dir, "events").agg(F.min(day), F.max(day)).first()
+    return (0, 0) if first is None else (first, (last - first) // 21600 + 4)
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(step, t): every six hours of all days of events."""
+    first, n = _span(spark, sf_dir)
+    return spark.range(n).select(F.col("id").cast("int").alias("step"), F.timestamp_seconds(F.lit(first) + F.col("id") * 21600).alias("t"))
+
+
+STEPS = """span AS (SELECT CAST(min(CAST(ts AS DATE)) AS TIMESTAMP) AS t0, CAST(4 * (date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1) AS INTEGER) AS n FROM events),
+steps AS (SELECT CAST(i AS INTEGER) AS step, t0 + INTERVAL 6 HOUR * i AS t FROM span, unnest(range(0, n)) u(i))"""
 
 WEIGHTS = {"click": 0.5, "view": 0.3, "purchase": 0.2}
 

@@ -119,7 +119,7 @@ def domain_toposort(spark, d):
 
 
 def _picked(spark, d, select):
-    return R.pick_slices(X.steps(spark), X.slices(spark, d), select)
+    return R.pick_slices(X.steps(spark, d), X.slices(spark, d), select)
 
 
 _AS = f"WITH {X.SLICES}, {X.STEPS}, pairs AS (SELECT s.source, step, k, s.t AS st, steps.t AS t FROM slices s CROSS JOIN steps)"
@@ -319,7 +319,7 @@ def inundation_mask(spark, d):
     return _depth(spark, d).select("cell_id", S.inundated(F.col("depth_m"), F.col("depth_m").isNotNull(), 1e-5).cast("int").alias("inundated"))
 
 
-_OUT_STEPS = "step IN (5, 11, 17, 23)"
+_OUT_STEPS = "step % 6 = 5"
 
 
 @query(f"{_RAIN} SELECT step, cell_id, round(max(dq / 1000) OVER (PARTITION BY cell_id ORDER BY step), 9) AS depth_max_m, CAST(max(dq / 1000) OVER (PARTITION BY cell_id ORDER BY step) >= 0.001::DOUBLE AS INTEGER) AS inundated_max FROM runoff WHERE {_OUT_STEPS}")
@@ -334,14 +334,14 @@ def running_max_depth(spark, d):
 def _risk_cells(spark, d):
     g, f = _flow(spark, d)
     acc = L.flow_accumulation(g.select("cell_id", "active", "area_m2"), f)
-    last = _runoff(spark, d).where(F.col("step") == X.N_STEPS - 1).select("cell_id", "q_cum_mm")
+    last = _runoff(spark, d).where(F.col("step") == X.n_steps(spark, d) - 1).select("cell_id", "q_cum_mm")
     return g.join(acc, "cell_id").join(last, "cell_id", "left").select("cell_id", "active", "acc_m2", F.coalesce("q_cum_mm", F.lit(0.0)).alias("q_cum_mm"), "x", "y", "r", "c")
 
 
 _RISK = (
     _RAIN.replace("WITH ", "WITH RECURSIVE ", 1)
     + f""", {X.D8}, {_WALK}, acc AS (SELECT cur AS cell_id, sum(CASE WHEN active THEN area_m2 ELSE 0 END) AS acc FROM walk JOIN grid ON grid.cell_id = src GROUP BY cur),
-last AS (SELECT cell_id, q FROM runoff WHERE step = 23), cells AS (SELECT cell_id, acc, q, x, y, r, c FROM grid JOIN acc USING (cell_id) JOIN last USING (cell_id) WHERE active),
+last AS (SELECT cell_id, q FROM runoff WHERE step = (SELECT n - 1 FROM span)), cells AS (SELECT cell_id, acc, q, x, y, r, c FROM grid JOIN acc USING (cell_id) JOIN last USING (cell_id) WHERE active),
 st AS (SELECT quantile_cont(q, 0.05) AS ql, quantile_cont(q, 0.95) AS qh, quantile_cont(acc, 0.05) AS al, quantile_cont(acc, 0.95) AS ah FROM cells),
 norm AS (SELECT cell_id, x, y, r, c, least(greatest((q - ql) / (qh - ql), 0), 1) AS qn, least(greatest((acc - al) / (ah - al), 0), 1) AS an FROM cells, st),
 risk AS (SELECT *, 0.55::DOUBLE * qn + (1 - 0.55::DOUBLE) * qn * an AS risk FROM norm)"""
@@ -385,18 +385,13 @@ def risk_class_as_coded(spark, d):
     return _classes(spark, d, "as_coded")
 
 
-def _routed(spark, d):
-    """Runoff, its parcels and their schedule over the rain's own steps."""
+def _balance(spark, d):
+    """The balance of the runoff's parcels, routed by blocks over the rain's own steps."""
     r = L.cut(_runoff(spark, d).select("step", "cell_id", "rain_mm", "dq_mm", "area_m2"))
     g, f = _flow(spark, d)
-    schedule = L.cut(L.hop_schedule(L.paths(f, X.N_STEPS + 1), _travel(g), X.STEP_S))
-    return r, L.spawn(r, 50000.0), schedule
-
-
-def _balance(spark, d):
-    r, parcels, schedule = _routed(spark, d)
-    out = L.outflow_events(parcels, schedule).where(F.col("step") < X.N_STEPS)
-    return P.volume_balance(r, out, L.in_grid(parcels, schedule, X.steps(spark)))
+    clock = X.steps(spark, d).select("step")
+    routed = B.by_blocks(L.spawn(r, 50000.0), g.select("cell_id", "r", "c"), f, _travel(g), X.STEP_S, clock.limit(0), clock)
+    return P.volume_balance(r, routed.outflow, routed.inside)
 
 
 #: The literal clock over the rain's steps of six hours, with the parcels that the runoff makes.
@@ -405,7 +400,7 @@ _BALANCE = (
     + f""", {X.D8}, {TRAVEL}, made AS (SELECT cell_id, step AS step0, dq / 1000 * area_m2 AS vol FROM runoff WHERE dq > 0),
 moves AS (SELECT step0, vol, cell_id AS cur, 0.0::DOUBLE AS tau, step0 - 1 AS step, FALSE AS gone FROM made
   UNION ALL SELECT step0, vol, CASE WHEN tau - 21600 <= 1e-9 THEN ds_id ELSE cur END, CASE WHEN tau - 21600 <= 1e-9 THEN tau - 21600 + coalesce(travel_s, 0) ELSE tau - 21600 END,
-    step + 1, tau - 21600 <= 1e-9 AND ds_id IS NULL FROM moves JOIN flow ON flow.cell_id = cur LEFT JOIN travel ON node = ds_id WHERE NOT gone AND step < 23),
+    step + 1, tau - 21600 <= 1e-9 AND ds_id IS NULL FROM moves JOIN flow ON flow.cell_id = cur LEFT JOIN travel ON node = ds_id WHERE NOT gone AND step < (SELECT n - 1 FROM span)),
 held AS (SELECT step, sum(CASE WHEN gone THEN vol ELSE 0 END) AS outf, sum(CASE WHEN gone THEN 0 ELSE vol END) AS stored FROM moves WHERE step >= step0 GROUP BY step),
 b AS (SELECT step, sum(rain_mm / 1000 * area_m2) AS rain, sum(dq / 1000 * area_m2) AS run FROM runoff GROUP BY step),
 bal AS (SELECT b.step, rain, run, coalesce(outf, 0) AS outf, coalesce(stored, 0) AS stored, sum(rain) OVER w AS rc, sum(run) OVER w AS uc, sum(coalesce(outf, 0)) OVER w AS oc FROM b LEFT JOIN held USING (step) WINDOW w AS (ORDER BY b.step))"""
