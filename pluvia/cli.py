@@ -7,6 +7,7 @@ alerts by rules; map.
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from pathlib import Path
@@ -22,8 +23,10 @@ from pluvia.operators import grid as G
 from pluvia.operators import products as P
 from pluvia.operators import stations as T
 from pluvia.plans import domains
+from pluvia.plans.storage import cut
 from pluvia.sources import domain as D
 from pluvia.sources import files, geotiff, netcdf
+from pluvia.streaming import delivery as O
 
 
 def _spark() -> SparkSession:
@@ -189,6 +192,12 @@ def model_file(spark: SparkSession, path: str, variable: str, hours: float, cell
 PROPERTIES = {"flood_depth": ("depth_mean", "depth_max"), "risk_index": ("risk_mean", "risk_max")}
 
 
+def _regular(axis) -> bool:
+    """Whether steps of an axis differ by rounding only."""
+    steps = [b - a for a, b in zip(axis, axis[1:], strict=False)]
+    return not steps or max(steps) - min(steps) <= 1e-3 * abs(sum(steps) / len(steps))
+
+
 def zones(argv: list[str]) -> None:
     p = argparse.ArgumentParser(prog="zones", description="features with statistics of a run's results")
     p.add_argument("--features", required=True)
@@ -211,18 +220,24 @@ def zones(argv: list[str]) -> None:
     values = values.withColumnsRenamed({"flood_depth": "depth_m", "risk_index": "risk"})
     for name in ("depth_m", "risk"):
         values = values if name in values.columns else values.withColumn(name, F.lit(None).cast("double"))
-    features = files.read_features(spark, a.features)
+    # ids need not be unique: rows are numbered, and written so that their numbers stay
+    features = cut(files.read_features(spark, a.features).withColumnRenamed("feature_id", "own_id").withColumn("feature_id", F.monotonically_increasing_id()))
     step = lambda v: float(v[1] - v[0]) if len(v) > 1 else 1.0
     dx, dy = axes.steps
     grid = (float(axes.x[0]), step(axes.x), len(axes.x), float(axes.y[0]), step(axes.y), len(axes.y))
     tile = max(abs(dx), abs(dy)) * 16
-    e = Y.enriched(features, values, grid, tile, a.depth_threshold_m, a.point_buffer_deg, a.line_buffer_deg, a.stats_mode, a.risk_class_by, a.risk_thresholds)
+    uneven = None
+    if not (_regular(axes.x) and _regular(axes.y)):
+        axis = lambda v: spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)], "i int, v double")
+        uneven = axis(axes.x), axis(axes.y)
+    e = Y.enriched(features, values, grid, tile, a.depth_threshold_m, a.point_buffer_deg, a.line_buffer_deg, a.stats_mode, a.risk_class_by, a.risk_thresholds, uneven)
     new = [c for v in wanted for c in PROPERTIES.get(v, ())]
     for v in wanted:
         if v not in PROPERTIES:
-            one = Y.zonal_single(Y.shapes(features).where("kind = 'area'"), values, dx, dy, tile, v, a.stats_mode)
+            one = Y.zonal_single(Y.shapes(features).where("kind = 'area'"), Y.uneven_boxes(values, *uneven) if uneven else values, dx, dy, tile, v, a.stats_mode)
             e = e.join(one, "feature_id", "left")
             new += [f"{v}_mean", f"{v}_max"]
+    e = e.drop("feature_id").withColumnRenamed("own_id", "feature_id")
     new += ["mode", "flooded_pct"] + (["risk_class"] if "risk_index" in wanted else [])
     files.write_collection(files.with_values(e, new), a.out)
     print(json.dumps(Y.update_counts(e).first().asDict()))
@@ -261,7 +276,9 @@ def alerts(argv: list[str]) -> None:
     rows = [(r["name"], *A.parse_rule(r["when"]), r.get("severity", "info"), r.get("channels", []), r.get("template")) for r in cfg["rules"]]
     rules = spark.createDataFrame(rows, "rule string, property string, op string, value string, severity string, channels array<string>, template string")
     f = files.read_features(spark, a.features)
-    hits = A.matches(f, rules).join(f.select("feature_id", "properties"), "feature_id")
+    # ids need not be unique: rows are numbered, and written so that their numbers stay
+    f = cut(f.withColumn("feature_row", F.monotonically_increasing_id().cast("string")).select(F.col("feature_id").alias("own_id"), "properties", F.col("feature_row").alias("feature_id")))
+    hits = A.matches(f, rules).join(f, "feature_id").drop("feature_id").withColumnRenamed("own_id", "feature_id")
     hits = hits.withColumn("feature", S.feature_name(F.col("properties"), F.col("feature_id")))
     hits = hits.withColumn("alert_id", A.alert_id(F.col("feature_id"), F.col("rule"), F.col("property"), F.col("op"), F.col("value"), A.six_digits(F.col("actual"))))
     templates = {r["name"]: r.get("template") for r in cfg["rules"]}
@@ -271,17 +288,29 @@ def alerts(argv: list[str]) -> None:
     contacts = cfg.get("channels", {})
     routed = A.routed(hits.withColumn("message", message), list(contacts), contacts).withColumn("ts", F.current_timestamp())
     sent = A.read_sent(spark, a.sent) if a.sent else spark.createDataFrame([], "alert_id string, ts timestamp")
-    from pluvia.plans.storage import cut
-
     routed = cut(routed)
-    summary = A.run_summary(routed, sent).first().asDict()
-    new = cut(A.unsent(routed, sent))
+    # what lies in the outbox is on its way; it is remembered as sent when it is (see deliver)
+    known = sent.unionByName(O.queued(spark, a.outbox).select("alert_id", F.lit(None).cast("timestamp").alias("ts")).distinct())
+    summary = A.run_summary(routed, known).first().asDict()
+    new = cut(A.unsent(routed, known))
     A.deliveries(new).write.mode("append").parquet(a.outbox)
-    if a.sent:
-        A.remember(new.where("not missing_route").select("alert_id", "ts"), a.sent)
     print(json.dumps(summary))
 
 
+def deliver(argv: list[str]) -> None:
+    p = argparse.ArgumentParser(prog="deliver", description="sends what lies in an outbox, and again what failed")
+    p.add_argument("--outbox", required=True)
+    p.add_argument("--log", required=True, help="folder of claims and acknowledgements")
+    p.add_argument("--senders", required=True, help="module:name of a dict {channel: function(message, key)}")
+    p.add_argument("--sent", help="table of alerts that were sent")
+    p.add_argument("--most-attempts", type=int, default=8)
+    a = p.parse_args(argv)
+    module, _, name = a.senders.partition(":")
+    senders = getattr(importlib.import_module(module), name)
+    done = O.deliver(_spark(), a.outbox, a.log, senders, a.sent, a.most_attempts)
+    print(json.dumps({r["kind"]: r["n"] for r in done.groupBy(F.split("status", ":")[0].alias("kind")).agg(F.count("*").alias("n")).collect()}))
+
+
 def draw(argv: list[str]) -> None:
     p = argparse.ArgumentParser(prog="map", description="a PNG of one output step on shaded relief")
     p.add_argument("--domain", required=True)
@@ -315,7 +344,7 @@ def nested(argv: list[str]) -> None:
         simulate.main(["--grid", d["grid"], "--out", S.tagged_path(a.out, name), *more, *rest])
 
 
-COMMANDS = {"simulate": simulate.main, "nested": nested, "make-domain": make_domain, "stations": station_rain, "radar": radar_rain, "model": model_rain, "zones": zones, "alerts": alerts, "map": draw}
+COMMANDS = {"simulate": simulate.main, "nested": nested, "make-domain": make_domain, "stations": station_rain, "radar": radar_rain, "model": model_rain, "zones": zones, "alerts": alerts, "deliver": deliver, "map": draw}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -201,15 +201,17 @@ def zonal_single(shapes_: DataFrame, cells: DataFrame, dx: float, dy: float, til
     return p.groupBy("feature_id").agg(F.try_divide(F.sum(F.col("w") * v), F.sum("w")).alias(f"{value}_mean"), F.max(v).alias(f"{value}_max"))
 
 
-def enriched(features: DataFrame, cells: DataFrame, axes: tuple[float, float, int, float, float, int], tile: float, threshold: float, point_buffer: float = 0.0, line_buffer: float = 0.0, mode: str = "centre", class_by: str = "mean", thresholds: tuple[float, float, float] | None = None) -> DataFrame:
+def enriched(features: DataFrame, cells: DataFrame, axes: tuple[float, float, int, float, float, int], tile: float, threshold: float, point_buffer: float = 0.0, line_buffer: float = 0.0, mode: str = "centre", class_by: str = "mean", thresholds: tuple[float, float, float] | None = None, uneven: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Every row of ``features`` once, of whatever id, with statistics by what it is: (..., mode, n, depth_mean, depth_max, risk_mean, risk_max, risk_class, flooded_pct).
 
     Polygons, and points and lines with a buffer (in units of the plane), take their cells (``area``); points without one the
     nearest cell (``point``), lines the one nearest to their centroid (``line_centroid``), several points likewise
     (``centroid``). Empty and other geometries have mode NULL. Samples have no ``flooded_pct``. ``axes``: x0, dx, nx, y0, dy, ny
-    of the grid (c, r).
+    of the grid (c, r); ``uneven``: its axes x and y (i, v) instead, where their steps differ.
     """
     x0, dx, nx, y0, dy, ny = axes
+    if uneven:
+        cells = uneven_boxes(cells, *uneven)
     # ids need not be unique (files number their features from 0): rows are numbered, and written so that their numbers stay
     kept = features.withColumn("feature_row", F.monotonically_increasing_id())
     kept = cut(kept)
@@ -221,7 +223,8 @@ def enriched(features: DataFrame, cells: DataFrame, axes: tuple[float, float, in
             buffered = s.where((F.col("kind") == kind) & (F.lit(True) if kind == "line" else ~many))
             area = area.unionByName(zonal(buffered, cells, dx, dy, tile, threshold, "centre", buffer))
     sampled = s.where(((F.col("kind") == "line") & F.lit(line_buffer <= 0)) | ((F.col("kind") == "point") & (F.lit(point_buffer <= 0) | many)))
-    spot = Z.sample_points(sampled.select("feature_id", F.col("cx").alias("px"), F.col("cy").alias("py")), x0, dx, nx, y0, dy, ny, cells)
+    points = sampled.select("feature_id", F.col("cx").alias("px"), F.col("cy").alias("py"))
+    spot = sample_uneven(points, *uneven, cells) if uneven else Z.sample_points(points, x0, dx, nx, y0, dy, ny, cells)
     valid = lambda c: S.finite(F.col(c))
     spot = spot.select("feature_id", F.when(valid("depth_m").isNotNull() & valid("risk").isNotNull(), 1).otherwise(0).cast("long").alias("n"), valid("depth_m").alias("depth_mean"), valid("depth_m").alias("depth_max"), valid("risk").alias("risk_mean"), valid("risk").alias("risk_max"), F.lit(None).cast("double").alias("flooded_pct"))
     how = F.when(F.col("kind") == "area", "area").when(F.col("kind") == "line", "area" if line_buffer > 0 else "line_centroid").when(F.col("kind") == "point", F.when(many, "centroid").otherwise("area" if point_buffer > 0 else "point"))
