@@ -1,8 +1,8 @@
 """Features against cells in column expressions: rings and paths as lists of edges, point tests, distances, exact overlaps.
 
 A feature is one row with its edges (ax, ay, bx, by, s): the sign ``s`` turns every outer ring against the clock and every hole
-with it, so that one sum over all edges serves polygons with holes and of several parts. Cells meet features by scan lines
-(:mod:`pluvia.operators.scanline`), edge by edge. Nothing here runs Python.
+with it, so that one sum over all edges serves polygons with holes and of several parts. Outlines of few edges meet cells by an equi-join
+on tiles and a closed form; longer ones by scan lines (:mod:`pluvia.operators.scanline`), edge by edge. Nothing here runs Python.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pluvia.operators import scanline as N
 from pluvia.operators import zonal as Z
 from pluvia.plans.storage import cut
 
+#: Outlines of at most so many edges are compared with each cell as a whole, longer ones by scan lines.
+FEW_EDGES = 32
 AREAS, LINES = ("Polygon", "MultiPolygon"), ("LineString", "MultiLineString")
 _POINT = "array<double>"
 
@@ -181,10 +183,30 @@ def weighted_cells(shapes_: DataFrame, cells: DataFrame, dx: float, dy: float, t
     any area; both weigh cos(latitude). ``exact``: the shared area.
     """
     c = cells if {"west", "south", "east", "north"} <= set(cells.columns) else cell_boxes(cells, dx, dy)
+    short = F.size("edges") <= FEW_EDGES
+    p, long = _cell_by_cell(shapes_.where(short), c, tile, mode, buffer), shapes_.where(~short)
+    if not long.isEmpty():
+        lines = N.areas(long, c, tile) if mode != "centre" else N.near(long, c, tile, buffer) if buffer > 0 else N.centres(long, c, tile)
+        p = p.unionByName(lines.withColumn("w", S.cos_lat(F.col("y"))) if mode != "exact" else lines)
+    return p
+
+
+def _cell_by_cell(shapes_: DataFrame, cells: DataFrame, tile: float, mode: str, buffer: float) -> DataFrame:
+    """:func:`weighted_cells` of short outlines, whose few edges go along with their cells."""
+    wide, tall = F.col("east") - F.col("west"), F.col("north") - F.col("south")
+    if mode == "centre":
+        reach = F.lit(buffer)
+        margin = (reach, reach)
+    else:  # cells whose centres are within the largest half of a cell
+        sides = cells.agg(F.max(wide), F.max(tall)).first()
+        margin = tuple(F.lit((v or 0.0) / 2) for v in sides)
+    more = lambda c, s, m: (F.col(c) + s * m).alias(c)
+    f = shapes_.select("feature_id", "edges", more("x0", -1, margin[0]), more("x1", 1, margin[0]), more("y0", -1, margin[1]), more("y1", 1, margin[1]))
+    p = Z.candidates(f, cells, tile).drop("x0", "x1", "y0", "y1")
     if mode == "centre":
-        p = N.near(shapes_, c, tile, buffer) if buffer > 0 else N.centres(shapes_, c, tile)
-        return p.withColumn("w", S.cos_lat(F.col("y")))
-    p = N.areas(shapes_, c, tile)
+        here = distance(F.col("x"), F.col("y"), F.col("edges")) <= buffer if buffer > 0 else inside(F.col("x"), F.col("y"), F.col("edges"))
+        return p.where(here).withColumn("w", S.cos_lat(F.col("y"))).drop("edges")
+    p = p.withColumn("w", overlap(F.col("edges"), F.col("west"), F.col("south"), F.col("east"), F.col("north"))).where(F.col("w") > N.LEAST * wide * tall).drop("edges")
     return p.withColumn("w", S.cos_lat(F.col("y"))) if mode == "touched" else p
 
 

@@ -55,6 +55,23 @@ def zonal_uneven_axes(spark, d):
     return Q._rounded(Q.Z.stats(p, "feature_id", F.col("w"), "depth_m", "risk", 0.5))
 
 
+def _long_outlines(spark, d) -> DataFrame:
+    """Boxes of suppliers whose sides are cut into 16 edges each: 64 edges, which go by scan lines."""
+    x, y, w, h = (F.col(c) for c in ("fx", "fy", "w", "h"))
+    n = 16
+    corners = [(x, y, w, 0), (x + w, y, 0, h), (x + w, y + h, -w, 0), (x, y + h, 0, -h)]
+    points = [(a + u * (k / n), b + v * (k / n)) for a, b, u, v in corners for k in range(n)]
+    g = K._text('{"type":"Polygon","coordinates":[', *K._ring(*points), "]}")
+    return Y.shapes(K._suppliers(spark, d).select("feature_id", g.alias("geometry"), F.lit("Polygon").alias("geom_type")))
+
+
+@query(f"""WITH {X.GRID}, {Q._VALUES}, {K._S}, q AS (SELECT feature_id, depth_m, risk, greatest(least(x + 0.5, fx + w) - greatest(x - 0.5, fx), 0) * greatest(least(y + 0.5, fy + h) - greatest(y - 0.5, fy), 0) AS a
+  FROM sup JOIN vals ON x + 0.5 > fx AND x - 0.5 < fx + w AND y + 0.5 > fy AND y - 0.5 < fy + h), p AS (SELECT feature_id, depth_m, risk, a AS w FROM q WHERE a > 1e-6) SELECT feature_id, {Q._STATS} FROM p GROUP BY feature_id""")
+def zonal_long_outline(spark, d):
+    p = Y.weighted_cells(_long_outlines(spark, d), Q._values(spark, d), 1.0, 1.0, 4.0, "exact").where("w > 1e-6")
+    return Q._rounded(Q.Z.stats(p, "feature_id", F.col("w"), "depth_m", "risk", 0.5))
+
+
 @query(f"""{_UNEVEN}, x_ AS (SELECT feature_id, c FROM sup, ax QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY abs(fx + 0.013 - v), c) = 1),
 y_ AS (SELECT feature_id, r FROM sup, ay QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY abs(fy + 0.017 - v), r) = 1)
 SELECT feature_id, cell_id, round(depth_m, 6) AS depth_m, round(risk, 6) AS risk FROM x_ JOIN y_ USING (feature_id) LEFT JOIN vals USING (r, c)""")

@@ -81,6 +81,17 @@ def test_near_equals_distances(spark, cells, reach):
     assert sorted((r["feature_id"], r["cell_id"]) for r in N.near(s, cells, 1.0, reach).collect()) == sorted((r["feature_id"], r["cell_id"]) for r in want.collect())
 
 
+@pytest.mark.parametrize(("mode", "buffer"), [("centre", 0.0), ("touched", 0.0), ("exact", 0.0), ("centre", 0.8)])
+def test_short_and_long_outlines_go_together(spark, cells, monkeypatch, mode, buffer):
+    s = _shapes(spark, _geometries())
+    rows = lambda: sorted((r["feature_id"], r["cell_id"], round(r["w"], 8)) for r in Y.weighted_cells(s, cells, 1.0, 1.0, 2.0, mode, buffer).collect())
+    mixed = rows()
+    monkeypatch.setattr(Y, "FEW_EDGES", 0)
+    lines = rows()
+    monkeypatch.setattr(Y, "FEW_EDGES", 10_000)
+    assert mixed == lines == rows() and len(mixed) > 50
+
+
 def test_outline_of_a_hundred_thousand_vertices(spark):
     n = 100_000
     t = np.arange(n) * 2 * math.pi / n
