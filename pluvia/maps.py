@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Colours of the four risk classes and of the scale of depths, from low to high.
-RISK_COLOURS = ("#2ca25f", "#ffffb2", "#fe9929", "#e31a1c")
-DEPTH_COLOURS = ("#deebf7", "#9ecae1", "#4292c6", "#08519c", "#08306b")
+#: Colours of the four risk classes and of the scale of depths, from low to high: both get darker, so that they read without colour too.
+RISK_COLOURS = ("#f1e3d3", "#d9a679", "#a8553c", "#5c1a2e")
+DEPTH_COLOURS = ("#e6f4f1", "#a3d5cf", "#5aa9b0", "#2b7088", "#123a5a")
 
 
 def png(rgb: np.ndarray) -> bytes:

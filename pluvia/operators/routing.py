@@ -93,7 +93,7 @@ class _Sums:
         return key, total, np.bincount(back, vol, len(key))
 
 
-def advanced(parcels: pa.Table, region: pa.Table, dt_s: float, first: int, last: int, saved: np.ndarray, kept: np.ndarray) -> pa.Table:
+def advanced(parcels: pa.Table, region: pa.Table, dt_s: float, first: int, last: int, saved: np.ndarray, kept: np.ndarray, sink: bool = True) -> pa.Table:
     """What becomes of a block's parcels up to step ``last``, or until they leave it: rows of ``_SCHEMA``."""
     net = _Net(region)
     at = net.places(parcels.column("cell_id").to_numpy())
@@ -108,6 +108,8 @@ def advanced(parcels: pa.Table, region: pa.Table, dt_s: float, first: int, last:
     arrived = np.zeros(len(at), bool)
     while len(at):
         hop = step + waiting_steps(tau, dt_s) - 1
+        if not sink:  # what has nowhere to go stays
+            hop = np.where(net.down[at] == -1, last + 1, hop)
         # at this cell at the end of the steps a to b; a parcel that has just come was here at the end of the step before
         a, b = np.maximum(step - arrived, first), np.minimum(hop - 1, last)
         here = a <= b
@@ -170,10 +172,11 @@ def advanced(parcels: pa.Table, region: pa.Table, dt_s: float, first: int, last:
     return pa.concat_tables([empty, *(p.cast(empty.schema) for p in parts)])
 
 
-def by_blocks(parcels: DataFrame, cells: DataFrame, flow: DataFrame, travel: DataFrame, dt_s: float, saved: DataFrame, steps: DataFrame, keep: list[int] | None = None, tile: int = TILE, halo: int = HALO, most_parcels: int = MOST_PARCELS) -> Routed:
+def by_blocks(parcels: DataFrame, cells: DataFrame, flow: DataFrame, travel: DataFrame, dt_s: float, saved: DataFrame, steps: DataFrame, keep: list[int] | None = None, tile: int = TILE, halo: int = HALO, most_parcels: int = MOST_PARCELS, sink: bool = True) -> Routed:
     """Routes ``parcels`` (cell_id, step0, n, vol[, tau]) over ``cells`` (cell_id, r, c) through ``steps``; see :class:`Routed`.
 
     ``flow``: (cell_id, ds_id), ``travel``: (node, travel_s), ``saved``: the run's output steps, ``keep``: steps whose states are kept.
+    Without ``sink`` parcels stay in a cell that has no next one.
     Sizes of blocks are broadcast: one row for each ``tile`` x ``tile`` cells.
     """
     first, last = (int(x) for x in steps.agg(F.min("step"), F.max("step")).first())
@@ -192,7 +195,7 @@ def by_blocks(parcels: DataFrame, cells: DataFrame, flow: DataFrame, travel: Dat
     given = []
 
     def advance(group: pa.Table, around: pa.Table) -> pa.Table:
-        return advanced(group, around, dt_s, first, last, outputs, chosen)
+        return advanced(group, around, dt_s, first, last, outputs, chosen, sink)
 
     while True:
         p = waiting.groupBy(block(inner("r"), inner("c")).alias("block"), "cell_id", "step0", "tau").agg(F.sum("n").cast("long").alias("n"), F.sum("vol").cast("double").alias("vol"))

@@ -92,6 +92,8 @@ def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict, star
     m_routing = m["routing"]
     if m_routing not in ("auto", "blocks", "paths", "supersteps"):
         raise ValueError(f"no routing {m_routing!r}")
+    if not m["outflow_sink"] and m_routing not in ("auto", "blocks"):
+        raise ValueError("only routing by blocks keeps water that has nowhere to go")
     if m_routing != "paths":
         parcels = parcels.withColumn("tau", F.lit(0.0))
     if start is not None:
@@ -111,7 +113,7 @@ def simulate(grid: DataFrame, rain: DataFrame, steps: DataFrame, cfg: dict, star
     def by_blocks(until: int | None = None) -> B.Routed:
         """The run, or what it is up to a step whose state was not kept."""
         clock = steps if until is None else steps.where(F.col("step") <= until)
-        return B.by_blocks(parcels, g.select("cell_id", "r", "c"), flow, travel, m["dt_s"], saved, clock, sorted(kept_steps) if until is None else [until])
+        return B.by_blocks(parcels, g.select("cell_id", "r", "c"), flow, travel, m["dt_s"], saved, clock, sorted(kept_steps) if until is None else [until], sink=m["outflow_sink"])
 
     if m_routing == "paths":
         schedule = L.cut(L.hop_schedule(L.paths(flow, hops), travel, m["dt_s"]))

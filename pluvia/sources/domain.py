@@ -304,12 +304,13 @@ def write_results(results: DataFrame, path: str, axes: Axes, cells: DataFrame, c
     """
     fill, least = cfg["output"]["fill"], cfg["output"]["inundation_threshold_m"]
     flags = lambda what, words: {"long_name": what, "units": "1", "flag_values": [0, 1], "flag_meanings": words, "threshold_depth_m": least}
+    # Names of variables, standard name, units and flags; the descriptions are free texts.
     known = {
-        "flood_depth": ("f4", {"standard_name": "water_depth", "long_name": "Flood water depth", "units": "m", "_FillValue": fill}, True),
-        "risk_index": ("f4", {"long_name": "Hydrogeological risk index", "units": "1", "_FillValue": fill}, True),
-        "inundation_mask": ("i1", flags("Inundation mask (1=inundated, 0=dry)", "dry inundated"), True),
-        "flood_depth_max": ("f4", {"long_name": "Maximum flood water depth over simulation", "units": "m", "_FillValue": fill}, False),
-        "inundation_mask_max": ("i1", flags("Ever inundated during simulation", "never_inundated inundated"), False),
+        "flood_depth": ("f4", {"standard_name": "water_depth", "long_name": "depth of water on the cell", "units": "m", "_FillValue": fill}, True),
+        "risk_index": ("f4", {"long_name": "risk from runoff and upstream area, 0 to 1", "units": "1", "_FillValue": fill}, True),
+        "inundation_mask": ("i1", flags("whether the depth reaches the threshold", "dry inundated"), True),
+        "flood_depth_max": ("f4", {"long_name": "largest depth up to the last step", "units": "m", "_FillValue": fill}, False),
+        "inundation_mask_max": ("i1", flags("whether the depth has reached the threshold by the last step", "never_inundated inundated"), False),
     }
     kinds = {k: v for k, v in known.items() if k in results.columns}
     steps = results.select("step", S.cf_hours(F.col("t")).alias("h")).distinct().orderBy("step").collect()  # output steps of a run

@@ -83,6 +83,16 @@ def test_particles_that_move(water):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_without_a_sink_water_stays(water):
+    parcels, cells, flow, travel, steps = water
+    kept = B.by_blocks(parcels, cells, flow, travel, DT, steps.where("step = 24"), steps, tile=4, halo=2, sink=False)
+    assert kept.outflow.count() == 0 and kept.placed.agg(F.sum("vol")).first()[0] == parcels.agg(F.sum("vol")).first()[0] == kept.inside.where("step = 24").first()["vol"]
+    ends = {r["cell_id"] for r in flow.where("ds_id is null").collect()}
+    gone = B.by_blocks(parcels, cells, flow, travel, DT, steps.where("step = 24"), steps)
+    moving = lambda x: {(r["node"], r["vol"]) for r in x.placed.collect() if r["node"] not in ends}
+    assert moving(kept) == moving(gone)
+
+
 def test_nothing_to_route_and_water_that_jumps(spark, water):
     parcels, cells, flow, travel, steps = water
     none = B.by_blocks(parcels.limit(0), cells, flow, travel, DT, steps, steps)
