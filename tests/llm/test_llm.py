@@ -700,7 +700,7 @@ def test_image_tables_find_what_all_pairs_find(spark):
     rows, k = [], 0
     edits = [
         lambda x: np.rot90(x), lambda x: np.rot90(x, 2), lambda x: x[10:80, 14:90], lambda x: x[5:60, 30:92] * 0.7 + 40, lambda x: np.clip(x + rng.normal(0, 6, x.shape), 0, 255),
-        lambda x: I._shrunk(x.astype(np.float32), 1.25), lambda x: np.rint(x / 16) * 16,
+        lambda x: I._shrunk(x.astype(np.float32), 1.25), lambda x: np.rint(x / 16) * 16, lambda x: I._shrunk(x.astype(np.float32), 2.0), lambda x: x[24:72, 24:72],
     ]
     for _ in range(16):
         x = blob()
@@ -720,7 +720,10 @@ def test_image_tables_find_what_all_pairs_find(spark):
                 exact.add((q, i))
     true = {(q, i) for q, i in exact if i // 10 == q // 10}
     assert len(true) >= 0.95 * 16 * len(edits) and len(exact - true) <= 0.02 * 16 * 15 * len(edits)
-    assert len(found & true) >= 0.95 * len(true) and not found - exact
+    assert not found - exact
+    for j in range(1, len(edits) + 1):  # each edit by itself
+        of_edit = {p for p in true if p[1] % 10 == j}
+        assert len(found & of_edit) >= 0.95 * len(of_edit), j
     again = images.unionByName(images).unionByName(spark.createDataFrame([(None, rows[0][1])], "image_id long, image binary"))
     twice = [(r["query_id"], r["image_id"]) for r in I.find_copies(again, again.where("image_id % 10 = 0"), block=8).collect()]
     assert len(twice) == len(set(twice)) and set(twice) == found
