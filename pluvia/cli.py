@@ -135,13 +135,16 @@ def radar_rain(argv: list[str]) -> None:
     p.add_argument("--b", type=float, default=1.6)
     p.add_argument("--min-dbz", type=float)
     p.add_argument("--max-dbz", type=float)
+    p.add_argument("--crs", help="of the rasters: an EPSG code (4326, 6933, UTM zones) or a grid mapping's attributes as JSON; else what the first file says")
     a = p.parse_args(argv)
     spark = _spark()
     cells, axes = _domain(spark, a.domain)
     raw = geotiff.read_rasters(spark, a.input_dir).withColumn("rate", S.dbz_to_rain(F.col("value"), a.a, a.b, a.min_dbz, a.max_dbz))
-    axis = lambda i, v: raw.where("k = 0").select(F.col(i).alias("i"), F.col(v).alias("v")).distinct()
-    near = G.nearest_nodes(cells.select("cell_id", "x", "y"), axis("c", "x"), axis("r", "y"))
-    rates = near.join(raw.select("k", F.col("c").alias("i"), F.col("r").alias("j"), "rate"), ["i", "j"]).select("k", "cell_id", "rate")
+    width, height, place = geotiff.place(raw.where("k = 0").select("file").first()["file"])
+    crs = json.loads(a.crs) if a.crs else place.epsg
+    source = raw.select("k", F.col("c").alias("i"), F.col("r").alias("j"), "rate")
+    own = None if axes.in_metres else crs  # a domain in metres is on the grid of its rasters
+    rates = G.reprojected(cells, own, place.x0, place.dx, width, place.y0, place.dy, height, source).select("k", "cell_id", "rate")
     first = spark.range(1).select(S.cf_hours(S.iso_timestamp(F.lit(a.start)))).first()[0]
     n = raw.select("k").distinct().count()
     _save_rain(rates, a.out, axes, [first + k * a.step_s / 3600.0 for k in range(n)], cells, "radar")

@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pluvia.functions import projections
 from pluvia.functions import scalars as S
 
 
-def reprojected(target: DataFrame, epsg: int, source_axis_x: DataFrame, source_axis_y: DataFrame, source: DataFrame, value: str) -> DataFrame:
-    """``target`` (cell_id, x, y in degrees) with the nearest value of a raster (i, j) in a UTM zone: the match of both grids."""
-    x, y = S.utm(F.col("x"), F.col("y"), F.lit(epsg))
-    return regrid_nearest(target.select("cell_id", x.alias("x"), y.alias("y")), source_axis_x, source_axis_y, source, value)
+def in_projection(target: DataFrame, crs: int | dict | None) -> DataFrame:
+    """``target`` (cell_id, x, y in degrees) with x and y of an EPSG code or of a grid mapping; what that cannot show is left out."""
+    x, y = projections.of(crs)(F.col("x"), F.col("y"))
+    return target.select("cell_id", x.alias("x"), y.alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+
+
+def nearest_on_grid(target: DataFrame, x0: float, dx: float, nx: int, y0: float, dy: float, ny: int) -> DataFrame:
+    """``target`` (..., x, y) with the indices i, j of the nearest node of an even grid, by arithmetic; ties go to the lower index."""
+    index = lambda v, v0, dv, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.ceil((F.col(v) - v0) / dv - 0.5))).cast("int")
+    return target.withColumn("i", index("x", x0, dx, nx)).withColumn("j", index("y", y0, dy, ny))
+
+
+def reprojected(target: DataFrame, crs: int | dict | None, x0: float, dx: float, nx: int, y0: float, dy: float, ny: int, source: DataFrame) -> DataFrame:
+    """``target`` (cell_id, x, y in degrees) with the columns of the nearest node of ``source`` (i, j, ...), an even grid in a projection.
+
+    Projected coordinates of cells are all different, so nodes are found by arithmetic and not by a list of an axis.
+    """
+    near = nearest_on_grid(in_projection(target, crs), x0, dx, nx, y0, dy, ny)
+    return near.drop("x", "y").join(source, ["i", "j"]).drop("i", "j")
 
 
 def clean_domain(raw: DataFrame, dem_fill: float | None = None) -> DataFrame:

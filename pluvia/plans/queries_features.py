@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.functions import projections
 from pluvia.functions import scalars as S
 from pluvia.operators import alerts as A
 from pluvia.operators import geometry as Y
@@ -177,6 +178,70 @@ def equal_area_projection(spark, d):
     return _lonlat(spark, d).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+_CONE = projections.Lambert(lon0=3.0, lat0=46.5, lat1=44.0, lat2=49.0, east=700000.0, north=6600000.0)
+_POLE = projections.PolarStereographic(lon0=-45.0, lat1=70.0)
+_SOUTH = projections.PolarStereographic(lon0=0.0, lat1=-71.0)
+_SPHERE = projections.Lambert(lon0=12.0, lat0=42.0, lat1=38.0, lat2=46.0, a=6370000.0, f=0.0)
+
+
+def _t(lat: str, e: float) -> str:
+    """exp(-isometric latitude) in SQL, written as the tangent of half the polar distance."""
+    return f"(tan(pi() / 4 - radians({lat}) / 2) / pow((1 - {e!r}::DOUBLE * sin(radians({lat}))) / (1 + {e!r}::DOUBLE * sin(radians({lat}))), {e / 2!r}::DOUBLE))"
+
+
+def _m(lat: float, e: float) -> str:
+    return f"(cos(radians({lat!r})) / sqrt(1 - pow({e!r}::DOUBLE * sin(radians({lat!r})), 2)))"
+
+
+def _cone_sql(p: projections.Lambert) -> str:
+    t1, t2, m1, m2 = _t(repr(p.lat1), p.e), _t(repr(p.lat2), p.e), _m(p.lat1, p.e), _m(p.lat2, p.e)
+    return f"""WITH {_LL}, n AS (SELECT (ln({m1}) - ln({m2})) / (ln({t1}) - ln({t2})) AS n), c AS (SELECT n, {p.a!r}::DOUBLE * {m1} / (n * pow({t1}, n)) AS k FROM n),
+o AS (SELECT n, k, k * pow({_t(repr(p.lat0), p.e)}, n) AS r0 FROM c),
+q AS (SELECT id, k * pow({_t('lat', p.e)}, n) AS r, n * radians(lon - {p.lon0!r} - 360 * floor((lon - {p.lon0!r} + 180) / 360)) AS turn, r0 FROM ll CROSS JOIN o)
+SELECT id, round({p.east!r}::DOUBLE + r * sin(turn), 2) AS x, round({p.north!r}::DOUBLE + r0 - r * cos(turn), 2) AS y FROM q"""
+
+
+def _lambert(spark, d, p: projections.Lambert) -> DataFrame:
+    x, y = p.forward(F.col("lon"), F.col("lat"))
+    return _lonlat(spark, d).select("id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+@query(_cone_sql(_CONE))
+def lambert_projection(spark, d):
+    return _lambert(spark, d, _CONE)
+
+
+@query(_cone_sql(_SPHERE))
+def lambert_of_sphere(spark, d):
+    return _lambert(spark, d, _SPHERE)
+
+
+def _polar_sql(p: projections.PolarStereographic, where: str) -> str:
+    side = 1 if p.lat1 > 0 else -1
+    k = f"({p.a!r}::DOUBLE * {_m(abs(p.lat1), p.e)} / {_t(repr(abs(p.lat1)), p.e)} * {_t(f'({side} * lat)', p.e)})"
+    return f"SELECT id, round({k} * sin(radians(lon - {p.lon0!r})), 2) AS x, round({-side} * {k} * cos(radians(lon - {p.lon0!r})), 2) AS y FROM ll WHERE {where}"
+
+
+@query(f"WITH {_LL} {_polar_sql(_POLE, 'lat >= 0')} UNION ALL {_polar_sql(_SOUTH, 'lat < 0')}")
+def polar_projection(spark, d):
+    (a, b), (e, f) = (p.forward(F.col("lon"), F.col("lat")) for p in (_POLE, _SOUTH))
+    north = F.col("lat") >= 0
+    return _lonlat(spark, d).select("id", F.round(F.when(north, a).otherwise(e), 2).alias("x"), F.round(F.when(north, b).otherwise(f), 2).alias("y"))
+
+
+@query(f"WITH {_LL} SELECT id, round(lon, 7) AS lon, round(lat, 7) AS lat, round(lon, 7) AS polar_lon, round(lat, 7) AS polar_lat FROM ll")
+def projections_round_trip(spark, d):
+    g = _lonlat(spark, d)
+    x, y = _CONE.forward(F.col("lon"), F.col("lat"))
+    (a, b), (e, f) = (p.forward(F.col("lon"), F.col("lat")) for p in (_POLE, _SOUTH))
+    north = F.col("lat") >= 0
+    g = g.select("id", north.alias("north"), x.alias("x"), y.alias("y"), F.when(north, a).otherwise(e).alias("u"), F.when(north, b).otherwise(f).alias("v"))
+    lon, lat = _CONE.inverse(F.col("x"), F.col("y"))
+    (a, b), (e, f) = (p.inverse(F.col("u"), F.col("v")) for p in (_POLE, _SOUTH))
+    p, q = F.when(F.col("north"), a).otherwise(e), F.when(F.col("north"), b).otherwise(f)
+    return g.select("id", *(F.round(c, 7).alias(n) for c, n in ((lon, "lon"), (lat, "lat"), (p, "polar_lon"), (q, "polar_lat"))))
+
+
 @query(f"WITH {X.GRID} SELECT r, round({S.WGS84_A**2 / 2!r}::DOUBLE * radians(0.01) * abs({_Q('max(y)')} - {_Q('(max(y) - 0.01)')}), 1) AS area_m2 FROM grid GROUP BY r")
 def cell_area_ellipsoid(spark, d):
     y = X.grid(spark, d).groupBy("r").agg(F.max("y").alias("y"))

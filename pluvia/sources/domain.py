@@ -145,8 +145,7 @@ def configured_rain(spark: SparkSession, cells: DataFrame, cfg: dict) -> DataFra
 def read_raster(spark: SparkSession, path: str, variable: str, x_name: str = "longitude", y_name: str = "latitude") -> tuple[DataFrame, Axes]:
     """((r, c, value), axes) of a GeoTIFF or of a NetCDF variable of two dimensions."""
     if path.lower().endswith(RASTERS):
-        head = geotiff.parse(bytes(spark.read.format("binaryFile").load(path).first()["content"]))  # one file, for its place
-        h, w = head.values.shape
+        w, h, head = geotiff.place(spark.read.format("binaryFile").load(path).select("path").first()["path"])  # one file's header
         axes = Axes(head.x0 + np.arange(w) * head.dx, head.y0 + np.arange(h) * head.dy, x_name, y_name, "crs", S.crs_attributes({"epsg_code": f"EPSG:{head.epsg}"} if head.epsg else None))
         return geotiff.read_rasters(spark, path).select("r", "c", "value"), axes
     ds, entries = netcdf.opened(path)

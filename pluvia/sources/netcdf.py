@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from pluvia.sources import storage
+
 #: Fixed values of the format: external types by number.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 NUMBER = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6}
@@ -123,7 +125,7 @@ def parse(data: bytes, only: str | None = None) -> Dataset:
 def opened(path: str) -> tuple[Dataset, dict[str, Entry]]:
     """The header of a file and its one-dimensional variables, without reading more of it."""
     size = 64 << 10
-    with open(path, "rb") as f:
+    with storage.opened(path) as f:
         while True:
             f.seek(0)
             data = f.read(size)
@@ -248,7 +250,7 @@ class NetcdfReader(DataSourceReader):
 
         rows, cols = self.entries[0].shape[-2:]
         each = max(1, BATCH // max(1, cols))
-        with open(self.path, "rb") as f:
+        with storage.opened(self.path) as f:
             for r in range(partition.first, partition.first + partition.rows, each):
                 n = min(each, partition.first + partition.rows - r)
                 columns = []
@@ -262,7 +264,7 @@ class NetcdfReader(DataSourceReader):
 
 
 class NetcdfSource(DataSource):
-    """For files on a path that every executor can open; tables of many files go through ``read_files``."""
+    """For a file on a path or URI that every executor can open, read by ranges; tables of many files go through ``read_files``."""
 
     @classmethod
     def name(cls) -> str:
