@@ -49,7 +49,7 @@ def pick_by_source(steps: DataFrame, slices: DataFrame, select: dict[str, str])
 def blend(picked: DataFrame, rates: DataFrame, weights: dict[str, float], mode: str | dict[str, str], dt_s: float) -> DataFrame:
     """(step, cell_id, rain_mm): weighted sum over sources of each step's rain; sources of weight 0 are not read.
 
-    ``mode`` is one for all sources or one for each.
+    ``mode`` is one for all sources or one for each. Rates that lie by ``cell_id`` stay where they are: nothing is shuffled.
     """
     used = {k: w for k, w in weights.items() if w}
     mm = F.lit(0.0)
@@ -58,7 +58,12 @@ def blend(picked: DataFrame, rates: DataFrame, weights: dict[str, float], mode:
         mm = F.when(F.col("source") == name, rate * float(w)).otherwise(mm)
     # clamping comes before weights, so that negative weights take rain away
     r = rates.where(F.col("source").isin(list(used))).withColumn("mm", mm)
-    return picked.where(F.col("source").isin(list(used))).join(r, ["source", "k"]).groupBy("step", "cell_id").agg(F.sum("mm").alias("rain_mm"))
+    # steps that show the same slices have the same rain: it is summed up once for all of them. Both tables are a run's clock.
+    shown = picked.where(F.col("source").isin(list(used))).groupBy("step").agg(F.sort_array(F.collect_list(F.struct("source", "k"))).alias("slices"))
+    shown = shown.groupBy("slices").agg(F.min("step").alias("like"), F.collect_list("step").alias("steps"))
+    asked = shown.select("like", F.explode("slices").alias("s")).select("like", "s.source", "s.k")
+    mm = r.join(F.broadcast(asked), ["source", "k"]).groupBy("like", "cell_id").agg(F.sum("mm").alias("rain_mm"))
+    return mm.join(F.broadcast(shown.select("like", "steps")), "like").select(F.explode("steps").alias("step"), "cell_id", "rain_mm")
 
 
 def scalar_rain(grid: DataFrame, name: str, value: float) -> DataFrame:
@@ -73,16 +78,25 @@ def runoff_steps(rain: DataFrame, grid: DataFrame, ia_ratio: float = 0.2, compat
     """
     w = Window.partitionBy("cell_id").orderBy("step")
     g = grid.where("active").select("cell_id", "cn")
-    d = rain.join(g, "cell_id")
     if start is None:
-        d = d.withColumn("p0", F.lit(0.0)).withColumn("q0", F.lit(0.0))
+        g = g.withColumn("p0", F.lit(0.0)).withColumn("q0", F.lit(0.0))
     else:
-        d = d.join(start.select("cell_id", F.col("p_cum_mm").alias("p0"), F.col("q_cum_mm").alias("q0")), "cell_id", "left").fillna(0.0, ["p0", "q0"])
+        g = g.join(start.select("cell_id", F.col("p_cum_mm").alias("p0"), F.col("q_cum_mm").alias("q0")), "cell_id", "left").fillna(0.0, ["p0", "q0"])
+    d = rain.join(g.hint("shuffle_hash"), "cell_id")  # a share of the cells is held, so that only the window sorts rain
     d = d.withColumn("p_cum_mm", F.col("p0") + F.sum("rain_mm").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("q_cum_mm", S.scs_runoff_mm(F.col("p_cum_mm"), F.col("cn"), ia_ratio, compat))
     return d.select("step", "cell_id", "rain_mm", "p_cum_mm", "q_cum_mm", F.greatest(F.col("q_cum_mm") - F.coalesce(F.lag("q_cum_mm").over(w), F.col("q0")), F.lit(0.0)).alias("dq_mm"))
 
 
+def runoff_total(rain: DataFrame, grid: DataFrame, ia_ratio: float = 0.2, compat: str = "documented") -> DataFrame:
+    """(cell_id, p_cum_mm, q_cum_mm) of active cells at the end of ``rain`` (step, cell_id, rain_mm): the last of :func:`runoff_steps`.
+
+    Runoff of a sum needs no order of steps.
+    """
+    d = rain.groupBy("cell_id").agg(F.sum("rain_mm").alias("p_cum_mm")).join(grid.where("active").select("cell_id", "cn"), "cell_id")
+    return d.select("cell_id", "p_cum_mm", S.scs_runoff_mm(F.col("p_cum_mm"), F.col("cn"), ia_ratio, compat).alias("q_cum_mm"))
+
+
 def advances(picked: DataFrame) -> DataFrame:
     """(source, step, k): the steps at which a source's slice changes."""
     before = F.lag("k").over(Window.partitionBy("source").orderBy("step"))

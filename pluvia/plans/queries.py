@@ -143,13 +143,13 @@ def rain_step(spark, d):
 
 def _rates(spark, d):
     """Rates of slices at cells; the grid is cut into five classes of rain, so that a slice is a small table times the grid."""
-    g = X.grid(spark, d).where("active").select("cell_id", (1 + (F.col("cell_id") % 5) / 10.0).alias("factor"))
+    g = X.by_cell(X.grid(spark, d).where("active").select("cell_id", (1 + (F.col("cell_id") % 5) / 10.0).alias("factor")))
     s = F.broadcast(X.slices(spark, d).select("source", "k", "base"))  # a month's slices of five sources
     return g.join(s, F.lit(True)).select("source", "k", "cell_id", (F.col("base") * F.col("factor") * 0.2).alias("rate"))
 
 
-def _blended(spark, d):
-    return R.blend(_picked(spark, d, "previous"), _rates(spark, d), X.WEIGHTS, "intensity_mmph", X.STEP_S)
+def _blended(spark, d, steps="true"):
+    return R.blend(_picked(spark, d, "previous").where(steps), _rates(spark, d), X.WEIGHTS, "intensity_mmph", X.STEP_S)
 
 
 _RAIN = f"""WITH {X.GRID}, {X.SLICES}, {X.STEPS}, pairs AS (SELECT s.source, step, k, base, s.t AS st, steps.t AS t FROM slices s CROSS JOIN steps),
@@ -334,7 +334,7 @@ def running_max_depth(spark, d):
 def _risk_cells(spark, d):
     g, f = _flow(spark, d)
     acc = L.flow_accumulation(g.select("cell_id", "active", "area_m2"), f)
-    last = _runoff(spark, d).where(F.col("step") == X.n_steps(spark, d) - 1).select("cell_id", "q_cum_mm")
+    last = R.runoff_total(_blended(spark, d), g).select("cell_id", "q_cum_mm")
     return g.join(acc, "cell_id").join(last, "cell_id", "left").select("cell_id", "active", "acc_m2", F.coalesce("q_cum_mm", F.lit(0.0)).alias("q_cum_mm"), "x", "y", "r", "c")
 
 
@@ -428,10 +428,10 @@ def particle_hops(spark, d):
 @query(f"{_RAIN} SELECT step, cell_id, round(p, 6) AS p_cum_mm, round(q, 6) AS q_cum_mm, round(dq, 6) AS dq_mm FROM runoff WHERE step >= 12")
 def restart_runoff(spark, d):
     """The second half of a run from the state that the first one left."""
-    g, mm = X.grid(spark, d), L.cut(_blended(spark, d))
-    first = R.runoff_steps(mm.where("step < 12"), g)
+    g = X.grid(spark, d)
+    first = R.runoff_steps(_blended(spark, d, "step < 12"), g)
     state = first.groupBy("cell_id").agg(F.max_by("p_cum_mm", "step").alias("p_cum_mm"), F.max_by("q_cum_mm", "step").alias("q_cum_mm"))
-    return R.runoff_steps(mm.where("step >= 12"), g, start=L.cut(state)).select("step", "cell_id", rnd("p_cum_mm"), rnd("q_cum_mm"), rnd("dq_mm"))
+    return R.runoff_steps(_blended(spark, d, "step >= 12"), g, start=L.cut(state)).select("step", "cell_id", rnd("p_cum_mm"), rnd("q_cum_mm"), rnd("dq_mm"))
 
 
 @query(f"{_CLOCK} SELECT step, cur AS node, sum(n)::BIGINT AS n, round(sum(vol), 6) AS vol FROM moves WHERE step IN (3, 9, 19) AND step >= step0 AND NOT gone GROUP BY ALL")
