@@ -1,6 +1,6 @@
 """Kriging of networks of any size: semivariances by distance, a fitted model, and the nearest stations of every cell.
 
-Pairs of stations come from an equi-join on tiles as wide as the farthest lag, so that there are as many as stations have within that
+Pairs of places come from an equi-join on tiles as wide as the farthest lag, so that there are as many as places have within that
 reach; one aggregation makes the lag table, a few rows for each bin of time. Stations near a cell are looked for in rings of tiles that
 grow until the nearest ``k`` are certain, and each cell's system has k + 1 unknowns. No matrix of all stations is built.
 """
@@ -30,18 +30,25 @@ NEAREST, COMPARED = 16, 1 << 21
 def lag_table(stations: DataFrame, lag_m: float, lags: int) -> DataFrame:
     """(bin, lag, pairs, distance_m, semivariance) of stations (bin, station, x_m, y_m, value): half the mean squared difference.
 
-    Lag k has the pairs from k * ``lag_m`` up to the next; a pair counts once. Stations without a value count for nothing.
+    Lag k has the pairs from k * ``lag_m`` up to the next; a pair counts once. Stations (one row each in a bin) without a value count
+    for nothing. Stations of one place are paired with others as one: counts, means and squared deviations give all their pairs.
     """
     reach = lag_m * lags
     tile = lambda c: F.floor(F.col(c) / reach)
-    s = stations.where("value is not null and not isnan(value)").select("bin", "station", "x_m", "y_m", "value").withColumns({"tx": tile("x_m"), "ty": tile("y_m")})
-    other = s.select("bin", "tx", "ty", *(F.col(c).alias(f"{c}_2") for c in ("station", "x_m", "y_m", "value")))
+    known = stations.where("value is not null and not isnan(value) and station is not null and not isnan(x_m) and not isnan(y_m)")
+    n, mean = F.count("*"), F.avg("value")
+    s = cut(known.groupBy("bin", "x_m", "y_m").agg(n.alias("n"), mean.alias("value"), (F.var_pop("value") * n).alias("dev")).withColumns({"tx": tile("x_m"), "ty": tile("y_m")}))
+    other = s.select("bin", "tx", "ty", *(F.col(c).alias(f"{c}_2") for c in ("x_m", "y_m", "n", "value", "dev")))
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     near = s.withColumn("d", F.explode(around)).withColumns({"tx": F.col("tx") + F.col("d.i"), "ty": F.col("ty") + F.col("d.j")}).drop("d")
     far = F.hypot(F.col("x_m") - F.col("x_m_2"), F.col("y_m") - F.col("y_m_2"))
-    pairs = near.join(other, ["bin", "tx", "ty"]).where(F.col("station") < F.col("station_2")).withColumn("h", far).where(F.col("h") < reach)
-    half = F.pow(F.col("value") - F.col("value_2"), 2) / 2
-    return pairs.groupBy("bin", F.floor(F.col("h") / lag_m).cast("int").alias("lag")).agg(F.count("*").alias("pairs"), F.avg("h").alias("distance_m"), F.avg(half).alias("semivariance"))
+    apart = near.join(other, ["bin", "tx", "ty"]).where(F.struct("x_m", "y_m") < F.struct("x_m_2", "y_m_2")).withColumn("h", far).where(F.col("h") < reach)
+    squares = F.col("n_2") * F.col("dev") + F.col("n") * F.col("dev_2") + F.col("n") * F.col("n_2") * F.pow(F.col("value") - F.col("value_2"), 2)
+    apart = apart.select("bin", "h", (F.col("n") * F.col("n_2")).alias("m"), (squares / 2).alias("half"))
+    within = s.where("n > 1").select("bin", F.lit(0.0).alias("h"), F.expr("n * (n - 1) div 2").alias("m"), (F.col("n") * F.col("dev") / 2).alias("half"))
+    m = F.sum("m")
+    lag = F.floor(F.col("h") / lag_m).cast("int").alias("lag")
+    return apart.unionByName(within).groupBy("bin", lag).agg(m.alias("pairs"), (F.sum(F.col("m") * F.col("h")) / m).alias("distance_m"), (F.sum("half") / m).alias("semivariance"))
 
 
 @dataclass(frozen=True)
