@@ -33,11 +33,6 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("area_m2", S.sphere_cell_area(F.col("y"), DX, DY))
 
 
-def by_cell(cells: DataFrame) -> DataFrame:
-    """Cells dealt over all tasks by their id: a grid in one file would be one task's, with all that is made of its cells."""
-    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell_id")
-
-
 def rows(spark: SparkSession, sf_dir: str) -> int:
     """Rows of the grid."""
     return grid(spark, sf_dir).agg(F.max("r") + 1).first()[0]

@@ -16,6 +16,7 @@ from pluvia.operators import stations as T
 from pluvia.operators import zonal as Z
 from pluvia.plans import domains
 from pluvia.plans import fixtures as X
+from pluvia.plans.storage import dealt
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,7 +144,7 @@ def rain_step(spark, d):
 
 def _rates(spark, d):
     """Rates of slices at cells; the grid is cut into five classes of rain, so that a slice is a small table times the grid."""
-    g = X.by_cell(X.grid(spark, d).where("active").select("cell_id", (1 + (F.col("cell_id") % 5) / 10.0).alias("factor")))
+    g = dealt(X.grid(spark, d).where("active").select("cell_id", (1 + (F.col("cell_id") % 5) / 10.0).alias("factor")), "cell_id")
     s = F.broadcast(X.slices(spark, d).select("source", "k", "base"))  # a month's slices of five sources
     return g.join(s, F.lit(True)).select("source", "k", "cell_id", (F.col("base") * F.col("factor") * 0.2).alias("rate"))
 

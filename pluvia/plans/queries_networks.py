@@ -11,6 +11,7 @@ from pluvia.plans import fixtures as X
 from pluvia.plans import queries as Q
 from pluvia.plans import queries_features as K
 from pluvia.plans.queries import query, rnd
+from pluvia.plans.storage import dealt
 
 _NET = "net AS (SELECT CAST((day(ts) - 1) // 10 AS BIGINT) AS bin, user_id AS station, (user_id % 40)::DOUBLE AS x, (user_id % 37)::DOUBLE AS y, avg(value) AS value FROM events WHERE event_id % 17 <> 0 GROUP BY ALL)"
 
@@ -44,7 +45,7 @@ def _axes(spark, d) -> tuple[DataFrame, DataFrame]:
 def _boxes(spark, d) -> DataFrame:
     x, y, w, h = (F.col(c) for c in ("fx", "fy", "w", "h"))
     g = K._text('{"type":"Polygon","coordinates":[', *K._box(x, y, w, h), "]}")
-    return Y.shapes(K._suppliers(spark, d).select("feature_id", g.alias("geometry"), F.lit("Polygon").alias("geom_type")))
+    return Y.shapes(dealt(K._suppliers(spark, d), "feature_id").select("feature_id", g.alias("geometry"), F.lit("Polygon").alias("geom_type")))
 
 
 @query(f"""{_UNEVEN}, q AS (SELECT feature_id, depth_m, risk, greatest(least(east, fx + w) - greatest(west, fx), 0) * greatest(least(north, fy + h) - greatest(south, fy), 0) AS w_, (east - west) * (north - south) AS whole
@@ -62,7 +63,7 @@ def _long_outlines(spark, d) -> DataFrame:
     corners = [(x, y, w, 0), (x + w, y, 0, h), (x + w, y + h, -w, 0), (x, y + h, 0, -h)]
     points = [(a + u * (k / n), b + v * (k / n)) for a, b, u, v in corners for k in range(n)]
     g = K._text('{"type":"Polygon","coordinates":[', *K._ring(*points), "]}")
-    return Y.shapes(K._suppliers(spark, d).select("feature_id", g.alias("geometry"), F.lit("Polygon").alias("geom_type")))
+    return Y.shapes(dealt(K._suppliers(spark, d), "feature_id").select("feature_id", g.alias("geometry"), F.lit("Polygon").alias("geom_type")))
 
 
 @query(f"""WITH {X.GRID}, {Q._VALUES}, {K._S}, q AS (SELECT feature_id, depth_m, risk, greatest(least(x + 0.5, fx + w) - greatest(x - 0.5, fx), 0) * greatest(least(y + 0.5, fy + h) - greatest(y - 0.5, fy), 0) AS a

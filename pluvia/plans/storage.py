@@ -23,3 +23,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint below the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all tasks by ``key``: what is read from one file would be one task's, with all that is made of it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

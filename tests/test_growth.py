@@ -9,6 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from pluvia.operators import geometry as Y
 from pluvia.operators import products as P
 from pluvia.operators import rain as R
 from pluvia.operators import stations as T
@@ -114,3 +115,18 @@ def test_idw_of_more_stations_than_go_out_at_once(spark, most):
         here = [v for h, v in d if h == 0]
         w = [1 / max(h, 0.5) ** 2 for h, _ in d]
         assert got[cell] == pytest.approx(here[0] if here else sum(a * v for a, (_, v) in zip(w, d, strict=True)) / sum(w))
+
+
+def test_only_cells_around_the_features_are_joined(spark):
+    """A far part of the grid does not travel, and edges are weighed by compiled expressions, one row each."""
+    cells = spark.range(3000).selectExpr("id cell_id", "cast(id % 10 as double) x", "cast(id div 10 as double) y")
+    box = spark.createDataFrame([(1, '{"type":"Polygon","coordinates":[[[1.2,2.1],[4.9,2.1],[4.9,5.3],[1.2,5.3],[1.2,2.1]]]}', "Polygon")], "feature_id long, geometry string, geom_type string")
+    p = Y.weighted_cells(Y.shapes(box), cells, 1.0, 1.0, 4.0, "exact")
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "lambda" not in plan
+    got = {r["cell_id"]: r["w"] for r in p.collect()}
+    lap = lambda c, a, b: max(0.0, min(c + 0.5, b) - max(c - 0.5, a))
+    want = {y * 10 + x: w for x in range(10) for y in range(300) if (w := lap(x, 1.2, 4.9) * lap(y, 2.1, 5.3)) > 0}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
