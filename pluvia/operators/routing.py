@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.plans.storage import cut
@@ -27,6 +27,7 @@ TILE, HALO, MOST_PARCELS = 512, 64, 1_000_000
 #: states that are kept, parcels for other blocks.
 PLACED, OUT, INSIDE, MOVED, KEPT, CROSSING = range(6)
 _SCHEMA = "kind int, step int, node long, r int, c int, tau double, n long, vol double"
+_WALKED = "kind int, origin long, step int, node long, r int, c int, tau double"
 #: Rows of one kind that a block gathers before it sums them up.
 _GATHER = 1 << 20
 
@@ -172,6 +173,37 @@ def advanced(parcels: pa.Table, region: pa.Table, dt_s: float, first: int, last:
     return pa.concat_tables([empty, *(p.cast(empty.schema) for p in parts)])
 
 
+def _block(r: str, c: str, tile: int) -> Column:
+    """The block in whose square a cell is."""
+    return F.shiftleft(F.floor(F.col(r) / tile).cast("long"), 31) + F.floor(F.col(c) / tile).cast("long")
+
+
+def _around(cells: DataFrame, flow: DataFrame, travel: DataFrame, tile: int, halo: int) -> tuple[DataFrame, DataFrame]:
+    """Cells with what is next to them, and the same rows for each block in whose square or margin they are."""
+    inner = lambda c, d: F.floor((F.col(c) + d) / tile)
+    ahead = travel.select(F.col("node").alias("ds_id"), F.col("travel_s").alias("ds_travel_s"))
+    net = cells.select("cell_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).join(flow.select("cell_id", "ds_id"), "cell_id", "left").join(ahead, "ds_id", "left")
+    net = cut(net.select("cell_id", "r", "c", "ds_id", F.col("ds_travel_s").cast("double").alias("ds_travel_s")))
+    region = net.withColumn("i", F.explode(F.sequence(inner("r", -halo), inner("r", halo)))).withColumn("j", F.explode(F.sequence(inner("c", -halo), inner("c", halo))))
+    return net, region.select(_block("i", "j", 1).alias("block"), "cell_id", "r", "c", "ds_id", "ds_travel_s")
+
+
+def _shared(p: DataFrame, region: DataFrame, most: int, *key: str):
+    """Rows of ``p`` (block, *key, ...) in shares of about ``most``, grouped, and the cells around each share; None without rows."""
+    n = p.count()
+    if not n:
+        return None
+    sizes = p.groupBy("block").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
+    around = region.join(F.broadcast(sizes.withColumnRenamed("block", "home")), F.col("block") == F.col("home"))
+    if n > most:
+        sizes = cut(sizes)
+        shared = p.join(F.broadcast(sizes), "block").withColumn("share", F.pmod(F.xxhash64(*key), F.col("shares")).cast("int")).drop("shares")
+    else:
+        shared = p.withColumn("share", F.lit(0))
+    around = around.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    return shared.groupBy("block", "share"), around.select("home", "part", "cell_id", "r", "c", "ds_id", "ds_travel_s").groupBy("home", "part")
+
+
 def by_blocks(parcels: DataFrame, cells: DataFrame, flow: DataFrame, travel: DataFrame, dt_s: float, saved: DataFrame, steps: DataFrame, keep: list[int] | None = None, tile: int = TILE, halo: int = HALO, most_parcels: int = MOST_PARCELS, sink: bool = True) -> Routed:
     """Routes ``parcels`` (cell_id, step0, n, vol[, tau]) over ``cells`` (cell_id, r, c) through ``steps``; see :class:`Routed`.
 
@@ -182,13 +214,7 @@ def by_blocks(parcels: DataFrame, cells: DataFrame, flow: DataFrame, travel: Dat
     first, last = (int(x) for x in steps.agg(F.min("step"), F.max("step")).first())
     outputs = np.array(sorted(r[0] for r in saved.select("step").distinct().collect()), np.int64)  # output steps of a run
     chosen = np.array(sorted({k for k in keep or () if first <= k <= last}), np.int64)
-    inner = lambda c, d=0: F.floor((F.col(c) + d) / tile)
-    block = lambda i, j: F.shiftleft(i.cast("long"), 31) + j.cast("long")
-    ahead = travel.select(F.col("node").alias("ds_id"), F.col("travel_s").alias("ds_travel_s"))
-    net = cells.select("cell_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).join(flow.select("cell_id", "ds_id"), "cell_id", "left").join(ahead, "ds_id", "left")
-    net = cut(net.select("cell_id", "r", "c", "ds_id", F.col("ds_travel_s").cast("double").alias("ds_travel_s")))
-    region = net.withColumn("i", F.explode(F.sequence(inner("r", -halo), inner("r", halo)))).withColumn("j", F.explode(F.sequence(inner("c", -halo), inner("c", halo))))
-    region = region.select(block(F.col("i"), F.col("j")).alias("block"), "cell_id", "r", "c", "ds_id", "ds_travel_s")
+    net, region = _around(cells, flow, travel, tile, halo)
     tau = F.coalesce(F.col("tau"), F.lit(0.0)) if "tau" in parcels.columns else F.lit(0.0)
     at = parcels.where(F.col("step0") <= last).select("cell_id", F.col("step0").cast("int").alias("step0"), tau.cast("double").alias("tau"), "n", "vol")
     waiting = at.join(net.select("cell_id", "r", "c"), "cell_id")
@@ -198,21 +224,11 @@ def by_blocks(parcels: DataFrame, cells: DataFrame, flow: DataFrame, travel: Dat
         return advanced(group, around, dt_s, first, last, outputs, chosen, sink)
 
     while True:
-        p = waiting.groupBy(block(inner("r"), inner("c")).alias("block"), "cell_id", "step0", "tau").agg(F.sum("n").cast("long").alias("n"), F.sum("vol").cast("double").alias("vol"))
-        p = cut(p)
-        n = p.count()
-        if not n:
+        p = waiting.groupBy(_block("r", "c", tile).alias("block"), "cell_id", "step0", "tau").agg(F.sum("n").cast("long").alias("n"), F.sum("vol").cast("double").alias("vol"))
+        groups = _shared(cut(p), region, most_parcels, "cell_id", "step0", "tau")
+        if groups is None:
             break
-        sizes = p.groupBy("block").agg(F.ceil(F.count("*") / most_parcels).cast("int").alias("shares"))
-        around = region.join(F.broadcast(sizes.withColumnRenamed("block", "home")), F.col("block") == F.col("home"))
-        if n > most_parcels:
-            sizes = cut(sizes)
-            shared = p.join(F.broadcast(sizes), "block").withColumn("share", F.pmod(F.xxhash64("cell_id", "step0", "tau"), F.col("shares")).cast("int"))
-        else:
-            shared = p.withColumn("share", F.lit(0))
-        around = around.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        left = shared.select("block", "share", "cell_id", "step0", "tau", "n", "vol").groupBy("block", "share")
-        right = around.select("home", "part", "cell_id", "r", "c", "ds_id", "ds_travel_s").groupBy("home", "part")
+        left, right = groups
         found = cut(left.cogroup(right).applyInArrow(advance, _SCHEMA))
         given.append(found)
         crossing = found.where(F.col("kind") == CROSSING)
@@ -230,3 +246,62 @@ def by_blocks(parcels: DataFrame, cells: DataFrame, flow: DataFrame, travel: Dat
     kept = total(of(KEPT), "step", F.col("node").alias("cell_id"), "tau").select("step", "cell_id", "tau", "n", "vol")
     moved = of(MOVED).groupBy("step").agg(F.sum("n").alias("moved"))
     return Routed(total(of(PLACED), "step", "node"), total(of(OUT), "node", "step"), inside, kept, moved)
+
+
+def walked(walkers: pa.Table, region: pa.Table, dt_s: float, last: int) -> pa.Table:
+    """Rows of ``_WALKED``: where and in which step a block's walkers leave the grid, or cross to another block; none for those that
+    do neither up to step ``last``."""
+    net = _Net(region)
+    at = net.places(walkers.column("cell_id").to_numpy())
+    origin, step, tau = (walkers.column(c).to_numpy() for c in ("origin", "step", "tau"))
+    step = step.astype(np.int64)
+    if (net.down[at] == -2).any():
+        raise ValueError("water must flow to a neighbouring cell")
+    found = {OUT: [], CROSSING: []}
+    while len(at):
+        hop = step + waiting_steps(tau, dt_s) - 1
+        ahead, left = net.down[at], (net.down[at] == -1) & (hop <= last)
+        found[OUT].append((origin[left], hop[left], at[left], tau[left]))
+        go = (ahead >= 0) & (hop <= last)
+        origin, at, tau, step, hop, ahead = (x[go] for x in (origin, at, tau, step, hop, ahead))
+        tau, at, step = tau - (hop - step + 1) * dt_s + net.wait[at], ahead, hop + 1
+        edge = net.down[at] == -2
+        if edge.any():
+            found[CROSSING].append((origin[edge], step[edge], at[edge], tau[edge]))
+            origin, at, tau, step = (x[~edge] for x in (origin, at, tau, step))
+    parts = []
+    for kind, rows in found.items():
+        who, when, where, waits = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        columns = [np.full(len(who), kind, np.int32), who.astype(np.int64), when.astype(np.int32), net.cell[where].astype(np.int64), net.r[where].astype(np.int32), net.c[where].astype(np.int32), waits.astype(np.float64)]
+        parts.append(pa.table(columns, names=[x.split()[0] for x in _WALKED.split(", ")]))
+    return pa.concat_tables(parts)
+
+
+def exits(origins: DataFrame, cells: DataFrame, flow: DataFrame, travel: DataFrame, dt_s: float, steps: int, tile: int = TILE, halo: int = HALO, most_parcels: int = MOST_PARCELS) -> DataFrame:
+    """(cell_id, node, after): a parcel spawned in a cell of ``origins`` (cell_id) in step s leaves the grid from ``node`` in step
+    s + after. Cells whose parcels need ``steps`` steps or more have no row.
+
+    A path does not depend on the step it begins in, so one walker a cell stands for the parcels of all steps. Walkers go by
+    blocks as the parcels of :func:`by_blocks` do, in as many rounds.
+    """
+    net, region = _around(cells, flow, travel, tile, halo)
+    waiting = origins.select("cell_id").distinct().join(net.select("cell_id", "r", "c"), "cell_id").select(F.col("cell_id").alias("origin"), "cell_id", "r", "c", F.lit(0).alias("step"), F.lit(0.0).alias("tau"))
+    given = []
+
+    def walk(group: pa.Table, around: pa.Table) -> pa.Table:
+        return walked(group, around, dt_s, steps - 1)
+
+    while True:
+        groups = _shared(waiting.select(_block("r", "c", tile).alias("block"), "origin", "cell_id", "step", "tau"), region, most_parcels, "origin")
+        if groups is None:
+            break
+        found = cut(groups[0].cogroup(groups[1]).applyInArrow(walk, _WALKED))
+        given.append(found.where(F.col("kind") == OUT).select(F.col("origin").alias("cell_id"), "node", F.col("step").alias("after")))
+        crossing = found.where(F.col("kind") == CROSSING)
+        if crossing.isEmpty():
+            break
+        waiting = crossing.select("origin", F.col("node").alias("cell_id"), "r", "c", "step", "tau")
+    every = given[0] if given else cells.sparkSession.createDataFrame([], "cell_id long, node long, after int")
+    for more in given[1:]:
+        every = every.unionByName(more)
+    return every

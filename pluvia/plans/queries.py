@@ -387,12 +387,11 @@ def risk_class_as_coded(spark, d):
 
 
 def _balance(spark, d):
-    """The balance of the runoff's parcels, routed by blocks over the rain's own steps."""
-    r = L.cut(_runoff(spark, d).select("step", "cell_id", "rain_mm", "dq_mm", "area_m2"))
+    """The balance of the runoff's parcels over the rain's own steps; a walker for each cell is routed by blocks."""
     g, f = _flow(spark, d)
     clock = X.steps(spark, d).select("step")
-    routed = B.by_blocks(L.spawn(r, 50000.0), g.select("cell_id", "r", "c"), f, _travel(g), X.STEP_S, clock.limit(0), clock)
-    return P.volume_balance(r, routed.outflow, routed.inside)
+    exits = B.exits(g.where("active"), g.select("cell_id", "r", "c"), f, _travel(g), X.STEP_S, X.n_steps(spark, d))
+    return P.balance_of_stays(_runoff(spark, d), exits, clock)
 
 
 #: The literal clock over the rain's steps of six hours, with the parcels that the runoff makes.

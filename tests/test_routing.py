@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pluvia.operators import flow as L
+from pluvia.operators import products as P
 from pluvia.operators import routing as B
+from pluvia.plans import queries as Q
 
 ROWS, COLS, DT, LAST = 13, 11, 5.0, 24
 
@@ -118,3 +120,39 @@ def test_rounds_follow_the_margin_not_the_depth(spark):
     finally:
         B.cut = real
     assert sum("kind" in c for c in rounds) <= n / 40 + 1
+
+
+@pytest.mark.parametrize(("tile", "halo", "most"), [(512, 64, 1_000_000), (4, 1, 1_000_000), (3, 2, 7)])
+def test_walkers_leave_as_the_parcels_of_the_literal_clock(water, literal, tile, halo, most):
+    parcels, cells, flow, travel, steps = water
+    out = B.exits(parcels, cells, flow, travel, DT, LAST + 1, tile=tile, halo=halo, most_parcels=most)
+    assert out.count() == out.select("cell_id").distinct().count()
+    left = parcels.join(out, "cell_id").withColumn("step", F.col("step0") + F.col("after")).where(F.col("step") <= LAST).groupBy("node", "step").agg(F.sum("n").alias("n"), F.sum("vol").alias("vol"))
+    assert sorted((r["node"], r["step"], r["n"], r["vol"]) for r in left.collect()) == literal[1]
+
+
+def test_the_balance_of_stays_is_that_of_the_literal_clock(water):
+    parcels, cells, flow, travel, steps = water
+    runoff = parcels.groupBy("cell_id", F.col("step0").alias("step")).agg(F.sum("vol").alias("dq_mm")).select("cell_id", "step", (F.col("dq_mm") * 2).alias("rain_mm"), "dq_mm", F.lit(1000.0).alias("area_m2"))
+    dry = steps.select(F.lit(0).cast("long").alias("cell_id"), "step", F.lit(3.0).alias("rain_mm"), F.lit(0.0).alias("dq_mm"), F.lit(1000.0).alias("area_m2"))
+    runoff = runoff.unionByName(dry)
+    clock = L.by_supersteps(parcels, flow, travel, DT, steps.limit(0), steps)
+    want = P.volume_balance(runoff, clock.outflow, clock.inside).orderBy("step").collect()
+    got = P.balance_of_stays(runoff, B.exits(parcels, cells, flow, travel, DT, LAST + 1, tile=4, halo=2), steps).orderBy("step").collect()
+    assert len(got) == len(want) == LAST + 1 and any(r["outflow_m3"] for r in want)
+    for a, b in zip(got, want, strict=True):
+        assert a.asDict() == pytest.approx(b.asDict())
+
+
+def test_the_balance_routes_one_walker_a_cell(spark, monkeypatch):
+    rows, real = [], B._shared
+    monkeypatch.setattr(B, "_shared", lambda p, *rest: rows.append(p.count()) or real(p, *rest))
+    assert Q.volume_balance(spark, "/root/testdata/sf0.001").count() == Q.X.n_steps(spark, "/root/testdata/sf0.001")
+    assert rows and max(rows) <= Q.X.grid(spark, "/root/testdata/sf0.001").where("active").count()
+
+
+def test_nothing_to_walk_and_water_that_jumps(spark, water):
+    parcels, cells, flow, travel, steps = water
+    assert B.exits(parcels.limit(0), cells, flow, travel, DT, 5).count() == 0
+    with pytest.raises(Exception, match="neighbouring"):
+        B.exits(cells.limit(1).select(F.lit(0).cast("long").alias("cell_id")), cells, spark.createDataFrame([(0, 142)], "cell_id long, ds_id long"), travel, DT, 5, tile=2, halo=1).count()
