@@ -259,13 +259,33 @@ def _probe(batches, model, most_bits: int, least: int, most: int = 1 << 22):
         yield pd.DataFrame(out, columns=["query_id", "image_id", "n_matches", "n_inliers", "turn", "scale"])
 
 
+def _close(c: np.ndarray, wide: np.ndarray, mine: np.ndarray, flat: np.ndarray, first: np.ndarray, n: np.ndarray, most_bits: int, some: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs (descriptor, stored place) of candidates that differ in ``most_bits`` bits at most, in order.
+
+    Bits are compared word by word, ``some`` candidates at a time, before a pair that several bands propose is told apart: few
+    candidates are close, so that only these are sorted.
+    """
+    here, there = np.ascontiguousarray(c.T), np.ascontiguousarray(wide.T)
+    found = [np.zeros(0, np.int64)]
+    portion = (np.cumsum(n) - n) // some
+    for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(portion)) + 1):
+        k = n[part]
+        a = np.repeat(mine[part], k)
+        b = flat[np.arange(k.sum()) + np.repeat(first[part] - np.cumsum(k) + k, k)]
+        bits = np.zeros(len(a), np.int16)
+        for word in range(len(here)):
+            bits += np.bitwise_count(here[word][a] ^ there[word][b])
+            if word % 2:
+                near = bits <= most_bits
+                a, b, bits = a[near], b[near], bits[near]
+        found.append(a * len(wide) + b)
+    hit = np.unique(np.concatenate(found))
+    return hit // len(wide), hit % len(wide)
+
+
 def _agreeing(c, image, corners, mine, flat, first, n, wide, owner, place, queries: int, most_bits: int, least: int):
     """(image, query, matches, agreeing corners, turn, scale) of pairs of images among candidates: ``n`` of ``flat`` from ``first``."""
-    theirs = flat[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    hit = np.unique(np.repeat(mine, n) * len(wide) + theirs)
-    mine, theirs = hit // len(wide), hit % len(wide)
-    near = np.bitwise_count(c.view(np.uint64)[mine] ^ wide[theirs]).sum(1) <= most_bits
-    mine, theirs = mine[near], theirs[near]
+    mine, theirs = _close(c.view(np.uint64), wide, mine, flat, first, n, most_bits)
     pair = image[mine] * queries + owner[theirs]
     by = np.argsort(pair, kind="stable")
     pair, mine, theirs = pair[by], mine[by], theirs[by]
