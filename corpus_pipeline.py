@@ -2,8 +2,8 @@
 
 1. toxicity: documents that the noisy-or model predicts toxic go; the model learns from ``labels``.
 2. near_duplicates: of each component of the n-gram Jaccard join (five-word shingles, similarity 0.8) the smallest id stays.
-3. repeated_passages: strings of 400 bytes that occur more than once among the documents that are left are cut out; documents
-   stay, shorter.
+3. repeated_passages: strings of 400 bytes that occur more than once among the documents that are left are cut out, and so are
+   passages of over 50 words that stand in more than one of them; documents stay, shorter.
 4. mixture: sources are replicated to target weights; a document may come several times or, by its draw, not at all.
 5. packing: token sequences of at most 1024, one row for each piece.
 
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_repeats(docs, length=400)
+    return without_repeats(docs, length=400, words=51)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
